@@ -1,0 +1,11 @@
+"""Operators for large-scale training-data pipelines.
+
+Nothing else in ``glossa`` imports this subpackage.  Functions that run on
+executors are pickled by value, so a cluster needs no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
