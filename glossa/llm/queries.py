@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, topk, urls
+from . import jaccard, licenses, substrings, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,14 +21,24 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_topk_search, op4_url_filter, op7_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_topk_search, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op7_license_scan)}
 
-SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op4_url_filter": urls.SQL}
+SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_substring_dedup": substrings.SQL, "op4_url_filter": urls.SQL}
