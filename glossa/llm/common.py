@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,18 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
-
-    Only where the session names no folder (tests, a laptop) one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where none is set (tests, a laptop) one is made."""
     sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="glossa-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: ids of rows to drop are sent to all tasks only up to this many
+MAX_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids of ``dropped``, a table of that one column."""
+    dropped = checkpointed(dropped.distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= MAX_IDS else dropped, id_col, "left_anti")
+
+
 def word_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 

@@ -208,3 +208,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col), F.coalesce(crc_fold(id_col, folds) == held_fold, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_fold: int = 1, folds: int = 3, sample_rows: int = 10_000) -> DataFrame:
+    """``docs``, all columns, without the rows that the classifier rejects."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, held_fold=held_fold, folds=folds, sample_rows=sample_rows)
+    if model is None:
+        return docs
+    state = model.edges, model.weights, model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, judge = Tokens(), Additive(*state)
+        for batch in batches:
+            if batch.num_rows:
+                scores = judge.score(np.array([statistics(t, cache) for t in texts_of(batch, text_col)]))
+                yield batch.filter(pa.array(scores >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

