@@ -1 +1,11 @@
-"""glossa: legal-document structuring on Spark."""
+"""glossa: legal-document structuring on Spark.
+
+Functions that run on executors are pickled by value, so a cluster needs no
+copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

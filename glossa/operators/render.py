@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import heading_level, reference_link
-from .tree import LEAF_LABELS
+from ..functions.text import full_text, heading_level, law_references, reference_link
+from .tree import leaf_path
 
 
 def plain_scalar(value: str) -> str:
@@ -102,14 +102,10 @@ def trees_json(tree: DataFrame) -> DataFrame:
     Children are folded into their parents bottom-up in three passes, the
     depth of the level orders.
     """
-    from ..functions.text import full_text, law_references
-
     none = F.array().cast("array<string>")
 
     def leaf(x: Column) -> Column:
-        label = F.when(x["level"] == "clause", LEAF_LABELS["clause"]).when(x["level"] == "footnote", LEAF_LABELS["footnote"]).otherwise(x["text"])
-        path = F.concat(F.when(F.col("by_font"), F.array("title")).otherwise(none), F.array(label))
-        return node_json(x["level"], x["title"], x["text"], F.lit(""), x["page_num"], path, law_references(full_text(x["title"], x["text"])), none)
+        return node_json(x["level"], x["title"], x["text"], F.lit(""), x["page_num"], leaf_path(x), law_references(full_text(x["title"], x["text"])), none)
 
     rows = tree.select("doc_id", "node_pos", "parent_pos", "parent_order", "sort_order", "level", "title", "text", "number", "page_num", "hierarchy_path", "law_references", F.transform("leaves", leaf).alias("below"))
     content = node_json(*(F.col(c) for c in ("level", "title", "text", "number", "page_num", "hierarchy_path", "law_references", "below")))

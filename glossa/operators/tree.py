@@ -73,18 +73,30 @@ def build(nodes: DataFrame) -> DataFrame:
 LEAF_LABELS = {"clause": "款", "footnote": "脚注"}
 
 
+def leaf_path(leaf: Column) -> Column:
+    """Its label, below the title only where a font made the node a heading."""
+    label = F.when(leaf["level"] == "clause", LEAF_LABELS["clause"]).when(leaf["level"] == "footnote", LEAF_LABELS["footnote"]).otherwise(leaf["text"])
+    return F.concat(F.when(F.col("by_font"), F.array("title")).otherwise(F.array().cast("array<string>")), F.array(label))
+
+
 def all_nodes(tree: DataFrame) -> DataFrame:
-    """Structural nodes and leaves in one table; ascending (node_pos, leaf_no) is reading order."""
-    cols = ["doc_id", "node_pos", "leaf_no", "parent_pos", "level", "sort_order", "heading_level", "number", "title", "text", "hierarchy_path", "page_num", "law_references", "depth"]
-    own = tree.withColumn("leaf_no", F.lit(0)).withColumn("heading_level", heading_level(F.col("level"))).select(cols)
-    leaves = tree.select("doc_id", "node_pos", "title", "by_font", "depth", F.explode("leaves").alias("x"))
-    label = F.when(F.col("x.level") == "clause", LEAF_LABELS["clause"]).when(F.col("x.level") == "footnote", LEAF_LABELS["footnote"]).otherwise(F.col("x.text"))
-    path = F.concat(F.when(F.col("by_font"), F.array("title")).otherwise(F.array().cast("array<string>")), F.array(label))
-    below = leaves.select(
-        "doc_id", F.col("x.pos").alias("node_pos"), F.lit(1).alias("leaf_no"), F.col("node_pos").alias("parent_pos"), F.col("x.level").alias("level"), sort_order(F.col("x.level")).alias("sort_order"), F.lit(0).alias("heading_level"),
-        F.lit("").alias("number"), F.col("x.title").alias("title"), F.col("x.text").alias("text"), path.alias("hierarchy_path"), F.col("x.page_num").alias("page_num"), law_references(full_text(F.col("x.title"), F.col("x.text"))).alias("law_references"), (F.col("depth") + 1).alias("depth"),
+    """Structural nodes and leaves in one table; ascending (node_pos, leaf_no) is reading order.
+
+    A node and its leaves come out of one row, so the tree is computed once.
+    """
+
+    def node(**columns: Column) -> Column:
+        return F.struct(*(c.alias(k) for k, c in columns.items()))
+
+    own = node(
+        node_pos=F.col("node_pos"), leaf_no=F.lit(0), parent_pos=F.col("parent_pos"), level=F.col("level"), sort_order=F.col("sort_order"), heading_level=heading_level(F.col("level")), number=F.col("number"),
+        title=F.col("title"), text=F.col("text"), hierarchy_path=F.col("hierarchy_path"), page_num=F.col("page_num"), law_references=F.col("law_references"), depth=F.col("depth"),
     )
-    return own.unionByName(below)
+    below = F.transform("leaves", lambda x: node(
+        node_pos=x["pos"], leaf_no=F.lit(1), parent_pos=F.col("node_pos"), level=x["level"], sort_order=sort_order(x["level"]), heading_level=F.lit(0), number=F.lit(""),
+        title=x["title"], text=x["text"], hierarchy_path=leaf_path(x), page_num=x["page_num"], law_references=law_references(full_text(x["title"], x["text"])), depth=F.col("depth") + 1,
+    ))
+    return tree.select("doc_id", F.inline(F.concat(F.array(own), below)))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

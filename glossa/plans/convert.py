@@ -16,6 +16,8 @@ class Options:
     filter_lines: bool = True
     toc: bool = False
     anchors: bool = True
+    #: store the annotated lines in the checkpoint folder, for runs that use more than one result
+    store: bool = False
 
 
 @dataclass
@@ -48,5 +50,7 @@ def structure(lines: DataFrame, rules: Rules | None = None, options: Options | N
     meta = metadata.metadata(lines, source)
     kept = clean.filter_lines(lines, rules) if options.filter_lines else lines
     annotated = segment.annotate(kept, meta.select("doc_id", "doc_type"))
+    if options.store:
+        annotated = annotated.checkpoint()
     built = tree.build(segment.nodes_of(annotated))
     return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options)
