@@ -55,7 +55,7 @@ def numeral_value(text: Column) -> Column:
     above = F.when(upper == "", F.lit(1).cast("bigint")).otherwise(below_ten_thousand(upper))
     return (
         F.when(text == "", F.lit(0).cast("bigint"))
-        .when(text.rlike(r"^\p{Nd}+$"), text.try_cast("bigint"))
+        .when(text.rlike("^[0-9０-９]+$"), F.translate(text, "０１２３４５６７８９", "0123456789").try_cast("bigint"))
         .when(at > 0, above * 10000 + below_ten_thousand(lower))
         .otherwise(below_ten_thousand(text))
     )

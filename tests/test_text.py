@@ -66,7 +66,7 @@ def test_doc_types(spark):
 def test_articles_and_references(spark):
     assert values(spark, text.article_number, ["第一条之二 x", "第十条", "x"]) == ["一之二", "十", ""]
     assert values(spark, text.without_article_number, ["第一条之二 x", "第十条", "第一条为"]) == ["x", "", "第一条为"]
-    assert values(spark, text.law_references, ["依照《民法典》第一条第二款、《刑法》第三条第一项", "无"]) == [["《民法典》第一条第二款", "《刑法》第三条"], []]
+    assert values(spark, text.law_references, ["依照《民法典》第一条第二款、《刑法》第三条第一项", "无"]) == [["《民法典》第一条第二款", "《刑法》第三条第一项"], []]
     assert values(spark, text.reference_link, ["《民法典》第一百条", "《第三条释义》第五条", "x"]) == ["[《民法典》第一百条](#article-一百)", "[《第三条释义》第五条](#article-三)", "x"]
     assert values(spark, text.label_level, ["第一编", "第二章", "第三节", "第四条", "第五", "一章"]) == ["part", "chapter", "section", "article", None, None]
 
