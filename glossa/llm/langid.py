@@ -32,7 +32,9 @@ ORDERS = (4, 3, 2, 1)
 
 
 def words_in(token: bytes) -> list[str]:
-    return LETTERS.findall(token.decode().lower())
+    """Runs of letters, lower-cased; a fraction or a raised digit is none."""
+    found = LETTERS.findall(token.decode().lower())
+    return found if all(map(str.isalpha, found)) else "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
 
 
 def ngrams(word: str, order: int) -> list[str]:
@@ -59,7 +61,8 @@ class Model:
                 if k == kind:
                     counts.setdefault(text, np.zeros(len(languages)))[at[lang]] += n
                     totals[at[lang]] += n
-            floor = np.log(totals + smoothing * max(len(counts), 1))
+            # a language without any of these is no likelier for it
+            floor = np.log(np.where(totals > 0, totals, totals.max(initial=0)) + smoothing * max(len(counts), 1))
             tables[kind] = {t: np.log(c + smoothing) - floor for t, c in counts.items()}
         return cls(languages, tables)
 

@@ -154,8 +154,11 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.
     cuts = np.quantile(p, np.linspace(0, 0.9, 91))
     above_p = 1 - np.searchsorted(p, cuts, side="left") / len(p)
     above_u = 1 - np.searchsorted(u, cuts, side="left") / len(u)
-    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
-    return float(np.clip(((above_u + slack) / np.maximum(above_p, 1e-9))[(above_u + slack) / np.maximum(above_p, 1e-9) > 0].min() - slack, 0.05, 0.99))
+    # the threshold with the least upper confidence bound, then the plain ratio there
+    slack = np.sqrt(np.log(40) / 2)
+    bound = (above_u + slack / np.sqrt(len(u))) / np.maximum(above_p - slack / np.sqrt(len(p)), 1e-9)
+    at = int(bound.argmin())
+    return float(np.clip(above_u[at] / max(above_p[at], 1e-9), 0.05, 0.99))
 
 
 def features_of(rows: DataFrame, keep: list[str]) -> DataFrame:
