@@ -26,10 +26,11 @@ def plain_scalar(value: str) -> str:
     return out
 
 
-@pandas_udf(T.StringType())
-def yaml_scalar(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@pandas_udf(T.ArrayType(T.StringType()))
+def yaml_scalars(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Arrays of values quoted, nulls left; one trip to Python for all of a document's fields."""
     for batch in values:
-        yield batch.map(plain_scalar, na_action="ignore")
+        yield batch.map(lambda row: [v if v is None else plain_scalar(v) for v in row], na_action="ignore")
 
 
 def lines_of(*parts: Column) -> Column:
@@ -45,14 +46,16 @@ EXTRA_HEADER = {
 }
 
 
-def headers(meta: DataFrame, quote=yaml_scalar) -> DataFrame:
+def headers(meta: DataFrame, quote=yaml_scalars) -> DataFrame:
     """doc_id, header: the block of metadata at the top, with a line end."""
-    field = lambda label, value: F.when(value != "", F.concat(F.lit(f"{label}: "), quote(value)))
-    parts = [field(label, F.col(c)) for label, c in HEADER]
-    parts.append(F.when(F.col("doc_type") != "unknown", F.concat(F.lit("doc_type: "), F.col("doc_type"))))
-    for kind, fields in EXTRA_HEADER.items():
-        parts += [F.when(F.col("doc_type") == kind, field(label, F.try_element_at("extra", F.lit(k)))) for label, k in fields]
-    return meta.select("doc_id", lines_of(F.lit("---"), *parts, F.lit("---"), F.lit("")).alias("header"))
+    fields = [(label, F.nullif(F.col(c), F.lit(""))) for label, c in HEADER]
+    plain = len(fields)
+    for kind, extras in EXTRA_HEADER.items():
+        fields += [(label, F.when(F.col("doc_type") == kind, F.try_element_at("extra", F.lit(k)))) for label, k in extras]
+    rows = meta.withColumn("quoted", quote(F.array(*(v for _, v in fields))))
+    shown = [F.concat(F.lit(f"{label}: "), F.col("quoted")[i]) for i, (label, _) in enumerate(fields)]
+    shown.insert(plain, F.when(F.col("doc_type") != "unknown", F.concat(F.lit("doc_type: "), F.col("doc_type"))))
+    return rows.select("doc_id", lines_of(F.lit("---"), *shown, F.lit("---"), F.lit("")).alias("header"))
 
 
 def heading(level: Column, title: Column) -> Column:
@@ -84,7 +87,7 @@ def bodies(nodes: DataFrame, *, toc: bool = False, anchors: bool = True) -> Data
     return parts.select("doc_id", (lines_of(contents, body) if toc else body).alias("body"))
 
 
-def markdown(nodes: DataFrame, meta: DataFrame, *, toc: bool = False, anchors: bool = True, quote=yaml_scalar) -> DataFrame:
+def markdown(nodes: DataFrame, meta: DataFrame, *, toc: bool = False, anchors: bool = True, quote=yaml_scalars) -> DataFrame:
     """doc_id, content."""
     empty = lines_of(F.lit("## 目录\n"), F.lit(""), F.lit("---"), F.lit("")) if toc else F.lit(None).cast("string")
     return headers(meta, quote).join(bodies(nodes, toc=toc, anchors=anchors), "doc_id", "left").select("doc_id", lines_of(F.col("header"), F.coalesce("body", empty)).alias("content"))
