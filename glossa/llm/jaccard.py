@@ -6,14 +6,18 @@
    size whatever the corpus; bucket count, then hash, is the total order.
 2. Each set is sorted rarest first.  Two sets that link share an n-gram of
    their prefixes, so prefixes meet by n-gram.  Length, position and a suffix
-   filter (a histogram of the set over ranges of the hash, whose difference
-   bounds the overlap) drop pairs that cannot link.
-3. Links that only confirm a class are not needed: first each member of an
-   n-gram's group proposes its best partner; these pairs are verified on whole
-   sets and joined into components.  Then all pairs that pass the filters and
-   are still in different components are verified, each once.  No link
-   between different sets can be lost, and a group of n near copies costs about
-   n verifications.  Groups over ``BLOCK`` members are compared block by block.
+   filter (a histogram of the set over ranges of the hash, finer for larger
+   sets, whose difference bounds the overlap) drop pairs that cannot link.
+   Classes left with a partner go on, with a sketch (the parity of the set's
+   hashes in 1024 cells, whose differing cells bound the overlap more tightly).
+3. Links that only confirm a component are not needed.  In each of ``ROUNDS``
+   rounds every class proposes its nearest partner in another component, looking
+   at its ``FIRST`` rarest shared n-grams only; these pairs are verified on whole
+   sets and joined.  Then all pairs of all n-grams that pass the filters and are
+   still in different components are verified, each once.  No link between
+   different sets can be lost, and a group of n near copies costs about n
+   verifications.  N-grams with over ``BLOCK`` classes are compared by pairs of
+   blocks, each a task's work.
 
 Defined cases: null and empty texts have no set and link with nothing; shorter
 texts than an n-gram are one n-gram; rows that share a doc_id are one document
@@ -31,12 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import HashCache, Powers, checkpointed, hashes_of, rolling, texts_of
 
-COUNTERS, CHUNK, RANGES, BLOCK = 1 << 22, 1 << 16, 16, 2048
+COUNTERS, CHUNK, CELLS, BLOCK, ROUNDS, FIRST = 1 << 22, 1 << 16, 1024, 2048, 2, 4
 
-#: class ids are sent to all tasks only up to this many
+#: class ids are sent to all tasks, and links joined within one, only up to this many
 MAX_SENT = 1_000_000
 
 
@@ -66,59 +71,139 @@ def prefix_of(found: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.n
     return found[np.argsort(rank, kind="stable")[:size]]
 
 
-POSTING = np.dtype([("key", np.uint64), ("hi", np.int64), ("lo", np.int64), ("n", np.int32), ("pos", np.int32), ("hist", np.uint16, (RANGES,))])
+POSTING = np.dtype([("key", np.uint64), ("hi", np.int64), ("lo", np.int64), ("n", np.int32), ("pos", np.int32), ("cls", np.int32)])
 
 
-def passing(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of postings of an n-gram pass the filters, and how far apart their histograms are (else -1)."""
-    nx, ny = x["n"].astype(np.int64)[:, None], y["n"].astype(np.int64)[None, :]
+def ranges_for(n: int) -> int:
+    """How many ranges the histogram of a set of n elements has."""
+    return min(max(16, 1 << max(0, (n - 1) // 32).bit_length()), 1024)
+
+
+def histogram(found: np.ndarray) -> np.ndarray:
+    """Elements in each range of the hash, clipped; a clipped count only weakens the filter."""
+    r = ranges_for(len(found))
+    counts = np.bincount((found >> np.uint64(65 - r.bit_length())).astype(np.int64), minlength=r)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+class Histograms:
+    """Histograms of classes, compared at the coarser width of a pair."""
+
+    def __init__(self, each: list[np.ndarray]) -> None:
+        self.width = np.array([len(h) for h in each], dtype=np.int64)
+        self.place, self.table = {}, {}
+        for w in np.unique(self.width).tolist():
+            for level in (w, w // 2):
+                own = np.flatnonzero((self.width == level) | (self.width == 2 * level))
+                if level in self.table or not len(own):
+                    continue
+                self.place[level] = np.zeros(len(each), dtype=np.int64)
+                self.place[level][own] = np.arange(len(own))
+                self.table[level] = np.stack([np.minimum(each[c].reshape(level, -1).sum(1, dtype=np.int64), 255) for c in own.tolist()]).astype(np.int16)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """At least how many elements the classes x and y, pair by pair and of like size, differ in."""
+        level = np.minimum(self.width[x], self.width[y])
+        out = np.zeros(len(x), dtype=np.int64)
+        for w in np.unique(level).tolist():
+            # sets of a size that can link are at most one width apart; others are left to the length filter
+            at = np.flatnonzero((level == w) & (np.maximum(self.width[x], self.width[y]) <= 2 * w))
+            t, p = self.table[w], self.place[w]
+            out[at] = np.abs(t[p[x[at]]] - t[p[y[at]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parity of the elements in each cell: sets differ in at least as many elements as cells."""
+    cells = np.bincount(((found >> np.uint64(24)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+def within_bounds(nx, ny, ix, iy, num: int, den: int):
+    """Whether sets of nx and ny elements that share the elements at places ix and iy can link, and how many elements may differ."""
     least = needed(nx, ny, num, den)
-    ix, iy = x["pos"].astype(np.int64)[:, None], y["pos"].astype(np.int64)[None, :]
     ok = (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num) & (np.minimum(ix, iy) + 1 + np.minimum(nx - ix - 1, ny - iy - 1) >= least)
+    return ok, nx + ny - 2 * least
+
+
+def passing(x: np.ndarray, y: np.ndarray, hists: Histograms, num: int, den: int) -> np.ndarray:
+    """Which pairs of postings, element by element, pass length, position and suffix filters."""
+    ok, room = within_bounds(x["n"].astype(np.int64), y["n"].astype(np.int64), x["pos"].astype(np.int64), y["pos"].astype(np.int64), num, den)
+    at = np.flatnonzero(ok)
+    ok[at] = hists.apart(x["cls"][at], y["cls"][at]) <= room[at]
+    return ok
+
+
+def with_partner(every: np.ndarray, hists: Histograms, num: int, den: int) -> np.ndarray:
+    """Of postings sorted by key: which have another of their key that passes.
+
+    Neighbours at growing distance are compared until both have a partner.
+    Keys with more than BLOCK postings keep those not settled by then.
+    """
+    key = every["key"]
+    start = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    size = np.diff(np.r_[np.flatnonzero(start), len(key)])
+    left = np.repeat(np.flatnonzero(start) + size, size) - np.arange(len(key)) - 1 if len(key) else size  # postings of the key after this one
+    keep = np.zeros(len(key), dtype=bool)
+    at, d = np.flatnonzero(left > 0), 1
+    while len(at) and d <= BLOCK:
+        now = at[~(keep[at] & keep[at + d])]
+        for s in range(0, len(now), 1 << 16):
+            part = now[s : s + (1 << 16)]
+            part = part[passing(every[part], every[part + d], hists, num, den)]
+            keep[part] = keep[part + d] = True
+        d += 1
+        at = at[left[at] >= d]
+    return keep | (np.repeat(size, size) > BLOCK)
+
+
+def distances(a: dict[str, np.ndarray], b: dict[str, np.ndarray], num: int, den: int) -> np.ndarray:
+    """Differing cells of each pair of classes of an n-gram that passes the filters and is in two components, else -1."""
+    col, row = (lambda k: a[k].astype(np.int64)[:, None]), (lambda k: b[k].astype(np.int64)[None, :])
+    ok, room = within_bounds(col("n"), row("n"), col("pos"), row("pos"), num, den)
+    ok &= a["comp"][:, None] != b["comp"][None, :]
     out = np.full(ok.shape, -1, dtype=np.int64)
-    a, b = np.nonzero(ok)
-    for s in range(0, len(a), 1 << 18):
-        p, q = a[s : s + (1 << 18)], b[s : s + (1 << 18)]
-        out[p, q] = np.abs(x["hist"][p].astype(np.int32) - y["hist"][q].astype(np.int32)).sum(1)
-    out[out > nx + ny - 2 * least] = -1
+    p, q = np.nonzero(ok)
+    for s in range(0, len(p), 1 << 17):
+        i, j = p[s : s + (1 << 17)], q[s : s + (1 << 17)]
+        out[i, j] = np.bitwise_count(a["sketch"][i] ^ b["sketch"][j]).sum(1, dtype=np.int64)
+    out[out > room] = -1
     return out
 
 
-def best_partners(group: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group in a fixed order: indices of (member, best earlier partner), and which members have any partner.
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (the smallest node reachable).
 
-    Groups over BLOCK members: each block against itself and the first block.
+    Up to MAX_SENT distinct edges are joined by one task's union-find, more by
+    alternating large and small stars.
     """
-    pairs: list[np.ndarray] = []
-    some = np.zeros(len(group), dtype=bool)
-    for at in range(0, len(group), BLOCK):
-        rows = np.arange(at, min(at + BLOCK, len(group)))
-        for base in dict.fromkeys((at, 0)):
-            cols = np.arange(base, min(base + BLOCK, len(group)))
-            d = passing(group[rows], group[cols], num, den)
-            d[rows[:, None] == cols[None, :]] = -1
-            some[rows[(d >= 0).any(1)]] = True
-            some[cols[(d >= 0).any(0)]] = True
-            d[cols[None, :] >= rows[:, None]] = -1
-            d[d < 0] = 1 << 40
-            near = d.argmin(1)
-            has = d[np.arange(len(rows)), near] < 1 << 40
-            pairs.append(np.stack([rows[has], cols[near[has]]], axis=1))
-    if len(group) > BLOCK:
-        some[:] = True  # blocks that were not compared here may hold partners
-    both = np.concatenate(pairs)
-    return both[:, 0], both[:, 1], some
-
-
-def split_groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)] if len(keys) else np.array([0])
-    wide = np.diff(cuts) > 1
-    return zip(cuts[:-1][wide].tolist(), cuts[1:][wide].tolist(), strict=True)
+    edges = checkpointed(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
+    return (joined_in_task if edges.count() <= MAX_SENT else joined_by_stars)(edges)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) by alternating large and small stars."""
-    now = checkpointed(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
+def joined_in_task(edges: DataFrame) -> DataFrame:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while top.setdefault(root, root) != root:
+                root = top[root]
+            while top[x] != root:
+                top[x], x = root, top[x]
+            return root
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                top[max(a, b)] = min(a, b)
+        found = [(x, find(x)) for x in top]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, c in found if x != c], pa.int64()), pa.array([c for x, c in found if x != c], pa.int64())], names=["node", "comp"])
+
+    return edges.coalesce(1).mapInArrow(join, "node long, comp long")
+
+
+def joined_by_stars(now: DataFrame) -> DataFrame:
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -143,13 +228,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         cache, powers, counts = HashCache(), Powers(), np.zeros(COUNTERS, dtype=np.uint32)
         names = ["id", "n", "hi", "lo", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        held: list[np.ndarray] = []
+
+        def tally() -> None:
+            cells, times = np.unique(np.concatenate(held) & np.uint64(COUNTERS - 1), return_counts=True)
+            counts[cells.astype(np.int64)] += times.astype(np.uint32)
+            held.clear()
+
         for batch in batches:
-            out = []
+            out, n = [], 0
             for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
                 found = grams(text, width, cache, powers)
                 if len(found):
-                    np.add.at(counts, (found & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                    held.append(found)
+                    n += len(found)
+                    if n > 500_000:
+                        tally()
+                        n = 0
                 out.append((i, len(found), *(digest(found) if len(found) else (None, None)), None))
+            if held:
+                tally()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         packed = [(c, zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1)) for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
@@ -174,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers, counts = HashCache(), Powers(), sent.value
-        held, n, seen = [], 0, set()
+        held, hists, n, seen = [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
@@ -183,7 +281,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             every, bucket = every[order], bucket[order]
             cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
             pieces = [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([pack(p) for p in pieces], pa.binary())], names=["bucket", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([pack(p, hists) for p in pieces], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
             for text in texts_of(batch):
@@ -196,17 +294,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 prefix = prefix_of(found, counts, num, den)
                 out = np.empty(len(prefix), dtype=POSTING)
                 out["key"], out["hi"], out["lo"], out["n"], out["pos"] = prefix, name[0], name[1], len(found), np.arange(len(prefix))
-                out["hist"] = np.minimum(np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=RANGES), 65535)
+                out["cls"] = len(hists)
+                hists.append(histogram(found))
                 held.append(out)
                 n += len(out)
                 if n > 500_000:
                     yield flush()
-                    held, n = [], 0
+                    held, hists, n = [], [], 0
         if n:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [unpack(x) for batch in batches for x in batch.column("data").to_pylist()]
+        held, hists = [], []
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                found, own = unpack(data)
+                found["cls"] += len(hists)
+                held.append(found)
+                hists += own
         if not held:
             return
         every = np.concatenate(held)
@@ -214,30 +319,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         every = every[np.lexsort((every["lo"], every["hi"], every["key"]))]
         same = (every["key"][1:] == every["key"][:-1]) & (every["hi"][1:] == every["hi"][:-1]) & (every["lo"][1:] == every["lo"][:-1])
         every = every[np.r_[True, ~same]]
-        asked, members = set(), []
-        for a, b in split_groups(every["key"]):
-            group = every[a:b]
-            lengths = np.sort(group["n"]).astype(np.int64)
-            if not (lengths[:-1] * den >= lengths[1:] * num).any():
-                continue
-            x, y, some = best_partners(group, num, den)
-            for p, q in zip(group[x], group[y], strict=True):
-                asked.add((int(p["hi"]), int(p["lo"]), int(q["hi"]), int(q["lo"])))
-            members.append(group[some])
-        pairs = list(zip(*asked, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in pairs), pa.nulls(len(pairs[0]), pa.int64()), pa.nulls(len(pairs[0]), pa.binary())], names=["hi", "lo", "hi2", "lo2", "key", "data"])
-        if members:
-            m = np.concatenate(members)
-            yield pa.RecordBatch.from_arrays([pa.array(m["hi"]), pa.array(m["lo"]), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.int64()), pa.array(m["key"].view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary())], names=["hi", "lo", "hi2", "lo2", "key", "data"])
-
-    met = checkpointed(rows.select("text").mapInArrow(postings, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(meet, "hi long, lo long, hi2 long, lo2 long, key long, data binary"))
+        m = every[with_partner(every, Histograms(hists), num, den)]
+        yield pa.RecordBatch.from_arrays([pa.array(m["key"].view(np.int64)), *(pa.array(np.ascontiguousarray(m[c])) for c in ("hi", "lo", "n", "pos"))], names=["key", "hi", "lo", "n", "pos"])
+
+    met = checkpointed(rows.select("text").mapInArrow(postings, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(meet, "key long, hi long, lo long, n int, pos int"))
     classes = checkpointed(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")))
-    other = classes.toDF("hi2", "lo2", "rep2")
-    asked = met.where("key is null").select("hi", "lo", "hi2", "lo2").distinct().join(classes, ["hi", "lo"]).join(other, ["hi2", "lo2"]).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes, "rep")
+    def sets_of(wanted: DataFrame, result, ddl: str) -> DataFrame:
+        """``result`` of the set of each wanted class (rep, hi, lo), from its document's whole text."""
         wanted = checkpointed(wanted)
         if wanted.count() <= MAX_SENT:
             wanted = F.broadcast(wanted)
@@ -249,10 +338,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 for i, hi, lo, text in zip(batch.column("rep").to_pylist(), batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), texts_of(batch), strict=True):
                     found = grams(text, width, cache, powers)
                     if len(found) and digest(found) == (hi, lo):
-                        out.append((i, found.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["rep", "grams"])
+                        out.append((i, result(found)))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["rep", ddl])
+
+        return rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "hi", "lo", "text").mapInArrow(whole, f"rep long, {ddl} binary")
 
-        full = checkpointed(rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "hi", "lo", "text").mapInArrow(whole, "rep long, grams binary"))
+    # rows that repeat an id yield a class again
+    active = met.select("hi", "lo").distinct().join(classes, ["hi", "lo"])
+    sketches = checkpointed(sets_of(active, sketch, "sketch").dropDuplicates(["rep"]))
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("pos", "key"))
+    members = checkpointed(met.join(classes, ["hi", "lo"]).select("key", "n", "pos", "rep").withColumn("nth", nth))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes, "rep")
+        full = checkpointed(sets_of(wanted, lambda found: found.tobytes(), "grams"))
         left, right = full.toDF("a", "grams_a"), full.toDF("b", "grams_b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,65 +368,92 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         # repeated rows of one id yield repeated sets
         return checkpointed(pairs.join(right, "b").join(left, "a").mapInArrow(check, "a long, b long").distinct())
 
-    links = verify(asked)
-    comps = checkpointed(components(links))
-
-    members = met.where("key is not null").join(classes, ["hi", "lo"]).join(comps, F.col("rep") == F.col("node"), "left").select("key", "data", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = members.join(open_keys, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "data", "rep", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each n-gram and pair of blocks: pairs of different components that pass the filters."""
-        held: list[tuple] = []
-        state = None
-        asked: set[tuple[int, int]] = set()
-
-        def close() -> None:
-            group = np.frombuffer(b"".join(h[0] for h in held), dtype=POSTING)
-            rep, comp = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-            for at in range(0, len(group), 512):
-                d = passing(group[at : at + 512], group, num, den)
-                x, y = np.nonzero((d >= 0) & (comp[at : at + 512, None] < comp[None, :]))
-                asked.update(zip(np.minimum(rep[x + at], rep[y]).tolist(), np.maximum(rep[x + at], rep[y]).tolist(), strict=True))
-
-        def out() -> pa.RecordBatch:
-            a, b = list(zip(*asked, strict=True)) or ([], [])
-            asked.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for key, data, rep, comp, i, j in zip(*(batch.column(c).to_pylist() for c in ("key", "data", "rep", "comp", "i", "j")), strict=True):
-                if (key, i, j) != state and held:
-                    close()
-                    held.clear()
-                    if len(asked) > 500_000:
-                        yield out()
-                state = key, i, j
-                held.append((data, rep, comp))
-        if held:
-            close()
-        yield out()
-
-    rest = spread.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long")
-    linked = verify(rest)
     same_id = sets.where("n > 0").join(classes, ["hi", "lo"]).select("id", "rep")
     tied = same_id.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
-    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(linked).union(tied))
+
+    def proposed(comps: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of classes of different components that pass the filters: each class's nearest, or all."""
+        looked = members.where(F.col("nth") <= FIRST) if nearest else members
+        placed = looked.join(comps, F.col("rep") == F.col("node"), "left").select("key", "n", "pos", "rep", F.coalesce("comp", "rep").alias("comp"))
+        open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        spread = placed.join(open_keys, "key").join(sketches, "rep").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "pos", "rep", "comp", "sketch")
+
+        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            state, best = None, {}
+
+            def close() -> None:
+                own, n, pos, rep, comp = (np.array(c) for c in list(zip(*held, strict=True))[:5])
+                cells = np.frombuffer(b"".join(h[5] for h in held), dtype=np.uint64).reshape(len(held), -1)
+                group = {"n": n, "pos": pos, "rep": rep, "comp": comp, "sketch": cells}
+                # of two components one is not the largest: its members against all others
+                names, times = np.unique(comp, return_counts=True)
+                small = comp != names[times.argmax()]
+                first, second = own == state[1], own == state[2]
+                sides = [(first & small, second)] if state[1] == state[2] else [(first & small, second), (first & ~small, second & small)]
+                of = lambda mask: {k: v[mask] for k, v in group.items()}
+                for one, other in sides:
+                    left, right = of(one), of(other)
+                    for at in range(0, len(left["n"]), 512):
+                        part = {k: v[at : at + 512] for k, v in left.items()}
+                        propose(distances(part, right, num, den), part["rep"], right["rep"])
+
+            def propose(d: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+                if not nearest:
+                    x, y = np.nonzero(d >= 0)
+                    best.update(dict.fromkeys(zip(np.minimum(rows[x], cols[y]).tolist(), np.maximum(rows[x], cols[y]).tolist(), strict=True), 0))
+                    return
+                for m, us, them in ((d, rows, cols), (d.T, cols, rows)):
+                    if not m.size:
+                        continue
+                    far = np.where(m < 0, 1 << 40, m)
+                    near = far.argmin(1)
+                    for x in np.flatnonzero(far[np.arange(len(us)), near] < 1 << 40).tolist():
+                        got = (int(far[x, near[x]]), int(them[near[x]]))
+                        if got < best.get(int(us[x]), (1 << 50,)):
+                            best[int(us[x])] = got
+
+            def out() -> pa.RecordBatch:
+                found = [(a, b, d) for a, (d, b) in best.items()] if nearest else [(a, b, 0) for a, b in best]
+                best.clear()
+                columns = list(zip(*found, strict=True)) or [[], [], []]
+                return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b", "d"])
+
+            for batch in batches:
+                for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "n", "pos", "rep", "comp", "sketch")), strict=True):
+                    if (key, i, j) != state and held:
+                        close()
+                        held.clear()
+                        if len(best) > 300_000:
+                            yield out()
+                    state = key, i, j
+                    held.append(tuple(row))
+            if held:
+                close()
+            yield out()
+
+        found = spread.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long, d long")
+        return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")) if nearest else found.select("a", "b")
+
+    comps = checkpointed(components(tied))
+    for nearest in [True] * ROUNDS + [False]:
+        found = verify(proposed(comps, nearest))
+        comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)))
     named = sets.join(classes, ["hi", "lo"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return named.groupBy("id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min(F.coalesce("comp", "rep")), F.first("id")).alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
-def pack(rows: np.ndarray) -> bytes:
+def pack(rows: np.ndarray, hists: list[np.ndarray]) -> bytes:
     """Postings, with what a class has in common written once."""
-    names, index = np.unique(rows[["hi", "lo"]], return_inverse=True)
-    at = np.zeros(len(names), dtype=np.int64)
-    at[index] = np.arange(len(rows))
-    head = np.array([len(rows), len(names)], dtype=np.int64)
-    return head.tobytes() + b"".join(x.tobytes() for x in (rows["key"], rows["pos"], index.astype(np.uint32), names["hi"], names["lo"], rows["n"][at], rows["hist"][at]))
+    own, first, index = np.unique(rows["cls"], return_index=True, return_inverse=True)
+    of = rows[first]
+    head = np.array([len(rows), len(own)], dtype=np.int64)
+    return head.tobytes() + b"".join(x.tobytes() for x in (rows["key"], rows["pos"], index.astype(np.uint32), of["hi"], of["lo"], of["n"], *(hists[c] for c in own.tolist())))
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
     place = 16
 
@@ -337,7 +464,7 @@ def unpack(data: bytes) -> np.ndarray:
         return out
 
     key, pos, index = take(np.uint64, n), take(np.int32, n), take(np.uint32, n)
-    hi, lo, size, hist = take(np.int64, m), take(np.int64, m), take(np.int32, m), take(np.uint16, m * RANGES).reshape(m, RANGES)
+    hi, lo, size = take(np.int64, m), take(np.int64, m), take(np.int32, m)
     out = np.empty(n, dtype=POSTING)
-    out["key"], out["pos"], out["hi"], out["lo"], out["n"], out["hist"] = key, pos, hi[index], lo[index], size[index], hist[index]
-    return out
+    out["key"], out["pos"], out["hi"], out["lo"], out["n"], out["cls"] = key, pos, hi[index], lo[index], size[index], index
+    return out, [take(np.uint8, ranges_for(int(k))) for k in size]

@@ -59,6 +59,7 @@ def test_equals_brute_force(spark, how):
 
 def test_large_family_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "FIRST", 1)
     rng = random.Random(1)
     rows = list(enumerate(family(rng, 150, 100, 8) + family(rng, 60, 100, 3)))
     assert found(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
@@ -115,16 +116,34 @@ def test_filters_never_drop_a_link():
         for s, prefix in ((x, p), (y, q)):
             r = np.zeros(1, dtype=jaccard.POSTING)
             r["n"], r["pos"] = len(s), np.flatnonzero(prefix == shared[0])[0]
-            r["hist"] = jaccard.histogram(s)
+            r["cls"] = len(rows)
             rows.append(r)
             sides.append({"n": r["n"], "pos": r["pos"], "comp": np.array([len(sides)]), "sketch": np.frombuffer(jaccard.sketch(s), dtype=np.uint64)[None, :]})
-        assert jaccard.passing(rows[0], rows[1], 80, 100)[0]
+        hists = jaccard.Histograms([jaccard.histogram(x), jaccard.histogram(y)])
+        assert jaccard.passing(rows[0], rows[1], hists, 80, 100)[0]
         assert jaccard.distances(*sides, 80, 100)[0, 0] >= 0
 
 
 def test_postings_round_trip():
     rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (3, 40, 900, 70000)]
+    hists = [jaccard.histogram(x) for x in sets]
     rows = np.zeros(50, dtype=jaccard.POSTING)
-    rows["key"], rows["hi"], rows["pos"] = rng.integers(0, 2**64, 50, dtype=np.uint64), np.arange(50) % 4, np.arange(50)
-    rows["lo"], rows["n"], rows["hist"] = rows["hi"] * 3, rows["hi"] + 9, (rows["hi"][:, None] + np.arange(jaccard.RANGES)).astype(np.uint8)
-    assert (jaccard.unpack(jaccard.pack(rows)) == rows).all()
+    rows["key"], rows["cls"], rows["pos"] = rng.integers(0, 2**64, 50, dtype=np.uint64), np.arange(50) % 4, np.arange(50)
+    rows["hi"], rows["lo"], rows["n"] = rows["cls"] * 7, rows["cls"] * 3, np.array([len(x) for x in sets])[rows["cls"]]
+    back, own = jaccard.unpack(jaccard.pack(rows, hists))
+    assert (back == rows).all() and all((a == b).all() for a, b in zip(own, hists, strict=True))
+
+
+def test_histograms_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (5, 30, 500, 520, 1030, 2040, 9000, 40000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 2**64, n // 30, dtype=np.uint64)]))
+        assert jaccard.Histograms([jaccard.histogram(x), jaccard.histogram(y)]).apart(np.array([0]), np.array([1]))[0] <= len(np.setxor1d(x, y))
+
+
+def test_stars_and_union_find_agree(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "u long, v long").selectExpr("least(u, v) as u", "greatest(u, v) as v").where("u <> v").distinct()
+    assert sorted(map(tuple, jaccard.joined_in_task(edges).collect())) == sorted(map(tuple, jaccard.joined_by_stars(edges).collect()))
