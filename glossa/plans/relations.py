@@ -11,7 +11,8 @@ NUMERALS = "一 二 三 四 五 六 七 八 九 十 十一 十二 十三 十四
 
 LEX_LINES = f"""
 SELECT doc_id, ln AS line_no,
-  CASE WHEN ln = 1 THEN '第' || num || '章 总则'
+  CASE WHEN ln = 1 AND doc_id % 7 = 3 THEN '公布说明'
+    WHEN ln = 1 THEN '第' || num || '章 总则'
     WHEN k = 0 THEN '（' || num || '）登记；'
     WHEN k = 1 THEN '第' || num || '条之二 依照《民法典》第' || num || '条第二款。'
     WHEN k = 2 THEN CAST(ln AS varchar(9)) || '. 编号项'
