@@ -32,7 +32,7 @@ from .common import HashCache, Powers, hashes_of, rolling, texts_of, words_of
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 #: windows that a map task holds at once, and those aimed at for a bucket
-FLUSH, BUCKET = 4_000_000, 1_000_000
+FLUSH, BUCKET = 1_000_000, 1_000_000
 
 #: rows between tasks; kind 0: hashes to compare, 1: word intervals already settled, 2: hashes settled by a bucket
 ROW = [("bucket", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("keys", pa.binary()), ("who", pa.binary())]
@@ -99,8 +99,8 @@ def settle(ids: list[int], parts: list[np.ndarray], window: int, bits: int) -> l
     ids_sorted = np.array(ids, dtype=np.int64)[by_id]
     lengths = np.array([len(parts[i]) for i in by_id])
     keys = np.concatenate([parts[i] for i in by_id])
-    doc = np.repeat(np.arange(len(by_id)), lengths)
-    place = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    doc = np.repeat(np.arange(len(by_id), dtype=np.int32), lengths)
+    place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
     order = np.argsort(keys, kind="stable")
     keys, doc, place = keys[order], doc[order], place[order]
     first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
@@ -176,7 +176,7 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
                 if b != bucket and keys:
                     close()
                     keys, ids = [], []
-                    if sum(map(len, out_ids)) > FLUSH // 4:
+                    if sum(map(len, out_ids)) > FLUSH:
                         yield as_batch(replies())
                 bucket = b
                 k, i = receive(b, data, who, bits)
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
     found = removals(docs, window, id_col, text_col).select(F.col("id").alias("__id"), F.col("found").alias("__found"))
     both = docs.join(found, docs[id_col].cast("long") == found["__id"], "left").drop("__id")
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
-    schema = schema.add("n_words", "long").add("n_removed", "long").add("removed", "array<struct<start:long,end:long>>")
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = HashCache(), Powers()
