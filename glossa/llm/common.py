@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import tempfile
+import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,6 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def worker_state(name: str, make: Callable):
+    """An object that a Python worker keeps from task to task, made when first asked for."""
+    holder = sys.modules.setdefault("_glossa_worker", types.ModuleType("_glossa_worker"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
+def worker_slot(name: str, key: str, make: Callable):
+    """As ``worker_state``, but another key replaces the object."""
+    slot = worker_state(name, lambda: ["", None])
+    if slot[0] != key:
+        slot[:] = [key, make()]
+    return slot[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,8 +4,9 @@ Every window of ``window`` consecutive words is hashed.  A map task first
 settles the windows that repeat among its own documents and sends one entry a
 distinct hash onwards, so that no passage, however common, sends more than one
 entry a task.  Entries meet by hash bucket; each reply names a document and its
-windows that also start in a document with a smaller id.  Replies travel to the
-documents, where removed windows merge into maximal intervals.
+windows that also start in a document with a smaller id.  Replies and documents
+meet by a hash of the id, in parts of bounded size, where removed windows merge
+into maximal intervals.
 
 What is shuffled: about ten bytes a distinct window and task, the replies, and
 the texts once.
@@ -19,24 +20,59 @@ doc_id is kept whole and removes nothing elsewhere; other columns are kept.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, Powers, hashes_of, rolling, texts_of, words_of
+from .common import HashCache, Powers, hashes_of, rolling, texts_of, words_of, worker_state
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 #: windows that a map task holds at once, and those aimed at for a bucket
 FLUSH, BUCKET = 1_000_000, 1_000_000
 
-#: rows between tasks; kind 0: hashes to compare, 1: word intervals already settled, 2: hashes settled by a bucket
-ROW = [("bucket", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("keys", pa.binary()), ("who", pa.binary())]
-ROW_DDL = "bucket int, kind tinyint, id long, keys binary, who binary"
+#: rows between tasks; kind 0: hashes to compare, 1: word intervals already settled, 2: hashes settled by a bucket (1 and 2 for a part of the documents)
+ROW = [("bucket", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), ("keys", pa.binary()), ("who", pa.binary())]
+ROW_DDL = "bucket int, kind tinyint, part int, keys binary, who binary"
+
+
+def part_of(value: int, parts: int) -> int:
+    """The part of a document; ``part_column`` says the same in SQL."""
+    return zlib.crc32(str(value).encode()) % parts
+
+
+def part_column(value: Column, text: Column, parts: int) -> Column:
+    """Documents without an id go by their text."""
+    return F.pmod(F.crc32(F.coalesce(value.cast("string"), text, F.lit("")).cast("binary")), F.lit(parts)).cast("int")
+
+
+def addressed(ids: np.ndarray, values: np.ndarray, kind: int, parts: int, bits: int) -> list[tuple]:
+    """Rows for the parts of some documents; ids sorted, a value (or pair of values) for each."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)] if len(ids) else np.array([0])
+    owners, counts = ids[cuts[:-1]], np.diff(cuts)
+    part = np.array([part_of(i, parts) for i in owners.tolist()], dtype=np.int64)
+    rows = []
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        data = np.concatenate([values[cuts[k] : cuts[k + 1]] for k in own])
+        head = np.r_[len(own), owners[own], counts[own]].astype(np.int64)
+        rows.append((int(p) % (1 << bits), kind, int(p), data.tobytes(), head.tobytes()))
+    return rows
+
+
+def delivered(kind: int, keys: bytes, who: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, its values) of an addressed row."""
+    head = np.frombuffer(who, dtype=np.int64)
+    n = int(head[0])
+    values = np.frombuffer(keys, dtype=np.uint64) if kind == 2 else np.frombuffer(keys, dtype=np.int32).reshape(-1, 2)
+    ends = np.cumsum(head[1 + n :])
+    for i, a, b in zip(head[1 : 1 + n].tolist(), (ends - head[1 + n :]).tolist(), ends.tolist(), strict=True):
+        yield i, values[a:b]
 
 
 def planes(keys: np.ndarray, drop: int) -> bytes:
@@ -93,12 +129,12 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, ROW, strict=True)], names=[n for n, _ in ROW])
 
 
-def settle(ids: list[int], parts: list[np.ndarray], window: int, bits: int) -> list[tuple]:
+def settle(ids: list[int], found: list[np.ndarray], window: int, bits: int, parts: int) -> list[tuple]:
     """Rows to send for the windows of some documents."""
     by_id = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
     ids_sorted = np.array(ids, dtype=np.int64)[by_id]
-    lengths = np.array([len(parts[i]) for i in by_id])
-    keys = np.concatenate([parts[i] for i in by_id])
+    lengths = np.array([len(found[i]) for i in by_id])
+    keys = np.concatenate([found[i] for i in by_id])
     doc = np.repeat(np.arange(len(by_id), dtype=np.int32), lengths)
     place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
     order = np.argsort(keys, kind="stable")
@@ -111,22 +147,24 @@ def settle(ids: list[int], parts: list[np.ndarray], window: int, bits: int) -> l
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     cuts = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)] if len(doc) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        owner = int(ids_sorted[doc[a]])
-        rows.append((owner % (1 << bits), 1, owner, intervals(place[a:b], window).astype(np.int32).tobytes(), b""))
+    spans = [intervals(place[a:b].astype(np.int64), window).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if spans:
+        owners = np.repeat(ids_sorted[doc[cuts[:-1]]], [len(x) for x in spans])
+        # rows that share an id have their own indices
+        rows += addressed(owners, np.concatenate(spans), 1, parts, bits)
     return rows
 
 
-def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """id, found: what is to be removed from the document, in pieces."""
+def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """What is to be removed from documents, addressed to their parts, and the number of parts."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(np.ceil(np.log2(max(size / 6 / BUCKET, 1)))))
-    parts = min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // (2 * BUCKET)))
+    parts = int(min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // (2 * BUCKET))))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers, ids, held, n = HashCache(), Powers(), [], [], 0
+        cache, powers, ids, held, n = worker_state("words", HashCache), Powers(), [], [], 0
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
                 if i is None:
@@ -137,10 +175,10 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
                     held.append(found)
                     n += len(found)
                 if n >= FLUSH:
-                    yield as_batch(settle(ids, held, window, bits))
+                    yield as_batch(settle(ids, held, window, bits, parts))
                     ids, held, n = [], [], 0
         if n:
-            yield as_batch(settle(ids, held, window, bits))
+            yield as_batch(settle(ids, held, window, bits, parts))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, keys, ids = None, [], []
@@ -163,15 +201,13 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
             out_ids.clear()
             out_keys.clear()
             order = np.argsort(i, kind="stable")
-            i, k = i[order], k[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(i)) + 1, len(i)] if len(i) else [0]
-            return [(0, 2, int(i[a]), k[a:b].tobytes(), b"") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return addressed(i[order], k[order], 2, parts, bits)
 
         for batch in batches:
             settled = []
-            for b, kind, i, data, who in zip(*(batch.column(n).to_pylist() for n, _ in ROW), strict=True):
+            for b, kind, part, data, who in zip(*(batch.column(n).to_pylist() for n, _ in ROW), strict=True):
                 if kind:
-                    settled.append((0, kind, i, data, b""))
+                    settled.append((0, kind, part, data, who))
                     continue
                 if b != bucket and keys:
                     close()
@@ -189,8 +225,8 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
         if last := replies():
             yield as_batch(last)
 
-    sent = rows.mapInArrow(windows, ROW_DDL).repartition(int(parts), "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(compare, ROW_DDL).groupBy("id").agg(F.collect_list(F.struct("kind", "keys")).alias("found"))
+    sent = rows.mapInArrow(windows, ROW_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(compare, ROW_DDL).select("part", "kind", "keys", "who"), parts
 
 
 def cut_text(text: bytes, spans: np.ndarray) -> bytes:
@@ -212,37 +248,39 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
     added = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     kept = [c for c in docs.columns if c not in {n for n, _ in added}]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    found = removals(docs, window, id_col, text_col).select(F.col("id").alias("__id"), F.col("found").alias("__found"))
-    both = docs.join(found, docs[id_col].cast("long") == found["__id"], "left").drop("__id")
+    found, parts = removals(docs, window, id_col, text_col)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = HashCache(), Powers()
-        for batch in batches:
-            texts, counts, gone, spans = [], [], [], []
-            for text, pieces in zip(texts_of(batch, text_col), batch.column("__found").to_pylist(), strict=True):
-                words = words_of(text)
-                span = np.zeros((0, 2), dtype=np.int64)
-                if pieces:
-                    settled = [np.frombuffer(p["keys"], dtype=np.int32).reshape(-1, 2).astype(np.int64) for p in pieces if p["kind"] == 1]
-                    keys = [np.frombuffer(p["keys"], dtype=np.uint64) for p in pieces if p["kind"] == 2]
-                    if keys:
-                        own = rolling(hashes_of(words, cache), window, powers)
-                        settled.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys))), window))
-                    span = joined(np.concatenate(settled))
-                    # rows that share a doc_id may be shorter
-                    span = np.minimum(span, len(words))
-                    span = span[span[:, 0] < span[:, 1]]
-                texts.append(cut_text(text, span) if len(span) else text)
-                counts.append(len(words))
-                gone.append(int((span[:, 1] - span[:, 0]).sum()))
-                spans.append([{"start": a, "end": b} for a, b in span.tolist()])
-            values = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), **dict(zip((n for n, _ in added), (pa.array(x, k) for x, (_, k) in zip((counts, gone, spans), added, strict=True)), strict=True))}
-            names = [*kept, *(n for n, _ in added)]
-            yield pa.RecordBatch.from_arrays([values[n] if n in values else batch.column(n) for n in names], names=names)
-
-    return both.mapInArrow(cut, schema)
+    def cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        cache, powers = worker_state("words", HashCache), Powers()
+        settled: dict[int, list[np.ndarray]] = {}
+        keys: dict[int, list[np.ndarray]] = {}
+        for kind, data, who in zip(*(replies.column(c).to_pylist() for c in ("kind", "keys", "who")), strict=True):
+            for i, values in delivered(kind, data, who):
+                (settled if kind == 1 else keys).setdefault(i, []).append(values)
+        given = rows.column(text_col).combine_chunks().cast(pa.binary()).to_pylist()
+        texts, counts, gone, spans = [], [], [], []
+        for i, text in zip(rows.column("__id").to_pylist(), given, strict=True):
+            words = words_of(text)
+            span = [x.astype(np.int64) for x in settled.get(i, ())] if i is not None else []
+            if i in keys and i is not None:
+                own = rolling(hashes_of(words, cache), window, powers)
+                span.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys[i]))), window))
+            # rows that share a doc_id may be shorter
+            span = np.minimum(joined(np.concatenate(span)), len(words)) if span else np.zeros((0, 2), dtype=np.int64)
+            span = span[span[:, 0] < span[:, 1]]
+            texts.append(cut_text(text, span) if len(span) else text)
+            counts.append(len(words))
+            gone.append(int((span[:, 1] - span[:, 0]).sum()))
+            spans.append([{"start": a, "end": b} for a, b in span.tolist()])
+        values = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), **dict(zip((n for n, _ in added), (pa.array(x, k) for x, (_, k) in zip((counts, gone, spans), added, strict=True)), strict=True))}
+        names = [*kept, *(n for n, _ in added)]
+        return pa.table([values[n] if n in values else rows.column(n) for n in names], names=names)
+
+    own_id = F.col(f"`{id_col}`").cast("long")
+    placed = docs.withColumns({"__id": own_id, "__part": part_column(own_id, F.col(f"`{text_col}`").cast("string"), parts)})
+    return placed.groupBy("__part").cogroup(found.groupBy("part")).applyInArrow(cut, schema)
 
 
 SQL = r"""
