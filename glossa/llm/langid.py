@@ -16,6 +16,7 @@ sorts first; repeated rows are judged one by one; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, texts_of
+from .common import crc_fold, texts_of, worker_slot
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -43,47 +44,50 @@ def ngrams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """languages, and for words (0) and each n-gram order the log frequencies per language."""
+    """languages, and for words (0) and each n-gram order where a string's log frequencies per language stand in ``logs``."""
 
-    def __init__(self, languages: list[str], tables: dict[int, dict[str, np.ndarray]]) -> None:
-        self.languages, self.tables = languages, tables
+    def __init__(self, languages: list[str], places: dict[int, dict[str, int]], logs: np.ndarray) -> None:
+        self.languages, self.places, self.logs = languages, places, logs
 
     @classmethod
     def of(cls, rows: list[tuple[str, int, str, int]], smoothing: float = 0.5) -> Model:
         """rows: language, 0 for a word or an n-gram's order, the string, its count."""
         languages = sorted({lang for lang, *_ in rows})
         at = {lang: i for i, lang in enumerate(languages)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
+        places: dict[int, dict[str, int]] = {}
+        parts, done = [np.zeros((0, len(languages)))], 0
         for kind in (0, *ORDERS):
-            counts: dict[str, np.ndarray] = {}
-            totals = np.zeros(len(languages))
-            for lang, k, text, n in rows:
-                if k == kind:
-                    counts.setdefault(text, np.zeros(len(languages)))[at[lang]] += n
-                    totals[at[lang]] += n
+            own = [(at[lang], text, n) for lang, k, text, n in rows if k == kind]
+            names = {text: i for i, text in enumerate(sorted({text for _, text, _ in own}))}
+            counts = np.zeros((len(names), len(languages)))
+            for lang, text, n in own:
+                counts[names[text], lang] += n
+            totals = counts.sum(0)
             # a language without any of these is no likelier for it
-            floor = np.log(np.where(totals > 0, totals, totals.max(initial=0)) + smoothing * max(len(counts), 1))
-            tables[kind] = {t: np.log(c + smoothing) - floor for t, c in counts.items()}
-        return cls(languages, tables)
+            floor = np.log(np.where(totals > 0, totals, totals.max(initial=0)) + smoothing * max(len(names), 1))
+            places[kind] = {text: done + i for text, i in names.items()}
+            parts.append(np.log(counts + smoothing) - floor)
+            done += len(names)
+        return cls(languages, places, np.concatenate(parts))
 
     def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
+        known = self.places[0].get(word)
         if known is not None:
-            return known
-        marked, total, n = f"<{word}>", np.zeros(len(self.languages)), 0
+            return self.logs[known]
+        marked, found = f"<{word}>", []
         for i in range(len(marked)):
             for order in ORDERS:
-                found = self.tables[order].get(marked[i : i + order]) if i + order <= len(marked) else None
-                if found is not None:
-                    total, n = total + found, n + 1
+                place = self.places[order].get(marked[i : i + order]) if i + order <= len(marked) else None
+                if place is not None:
+                    found.append(place)
                     break
-        return total / max(n, 1)
+        return self.logs[found].sum(0) / max(len(found), 1)
 
 
 class Scores(dict):
     """white-space token -> row of a score table: a score per language, then 1 if the token has a letter."""
 
-    limit = 300_000
+    limit = 600_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -91,27 +95,37 @@ class Scores(dict):
 
     def empty(self) -> None:
         self.clear()
-        self.rows: list[np.ndarray] = []
-        self.filled, self.table = 0, np.zeros((1024, len(self.model.languages) + 1))
+        self.fresh: list[np.ndarray] = []
+        self.lettered: list[bool] = []
+        self.filled, self.table = 0, np.zeros((4096, len(self.model.languages) + 1), dtype=np.float64)
 
     def __missing__(self, token: bytes) -> int:
         words = words_in(token)
-        self.rows.append(np.r_[sum((self.model.word(w) for w in words), np.zeros(len(self.model.languages))), float(bool(words))])
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self.fresh.append(self.model.word(words[0]) if len(words) == 1 else sum(map(self.model.word, words), np.zeros(len(self.model.languages))))
+        self.lettered.append(bool(words))
+        self[token] = self.filled + len(self.fresh) - 1
+        return self.filled + len(self.fresh) - 1
+
+    def settle(self) -> None:
+        """Move new rows to the table."""
+        end = self.filled + len(self.fresh)
+        if len(self.table) < end:
+            grown = np.zeros((2 * end, self.table.shape[1]))
+            grown[: self.filled] = self.table[: self.filled]
+            self.table = grown
+        if self.fresh:
+            self.table[self.filled : end, :-1] = self.fresh
+            self.table[self.filled : end, -1] = self.lettered
+            self.filled = end
+            self.fresh.clear()
+            self.lettered.clear()
 
     def judge(self, text: bytes | None) -> tuple[str, float]:
         if len(self) > self.limit:
             self.empty()
         tokens = text.split() if text else []
         index = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if self.filled < len(self.rows):
-            if len(self.table) < len(self.rows):
-                grown = np.zeros((2 * len(self.rows), self.table.shape[1]))
-                grown[: self.filled] = self.table[: self.filled]
-                self.table = grown
-            self.table[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
+        self.settle()
         total = self.table[index].sum(0)
         if not total[-1] or not self.model.languages:
             return "und", 0.0
@@ -156,11 +170,12 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_fold
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_fold: int = 2, folds: int = 4, sample_docs: int = 8000, words: int = 20_000, grams: int = 10_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, held_fold=held_fold, folds=folds, sample_docs=sample_docs, words=words, grams=grams)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))  # (words + 4 * grams) entries a language at most
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.places, model.logs))  # (words + 4 * grams) entries a language at most
+    key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(Model(*sent.value))
+        scores = worker_slot("languages", key, lambda: Scores(Model(*sent.value)))
         for batch in batches:
             found = [scores.judge(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
