@@ -4,15 +4,17 @@ Words are maximal runs without ASCII marks and white space, lower-cased.  A
 seed is a fixed mask over ``SPAN`` consecutive words; it hashes the words where
 the mask has a 1 and ignores the others, so a substituted word under a 0 does
 not hide a hit.  Every window of every document is hashed under every mask and
-joined with the hashes of the benchmark's windows.  A hit aligns an item with a
-document; the item's words are then compared with the document's at that
-alignment, place by place, and the item has leaked if at least ``share`` of its
-words agree.
+joined with the hashes of the benchmark's windows; only the hash travels, not
+the text.  A hit aligns an item with a document; in a second pass over the
+documents that have hits the item's words are compared with the document's at
+that alignment, place by place, and the item has leaked if at least ``share``
+of its words agree.
 
-The benchmark's seeds are sent to all tasks only up to ``MAX_SENT``; beyond
-that both sides are shuffled by seed.
+The benchmark's seeds, and the alignments, are sent to all tasks only up to
+``MAX_SENT``; beyond that both sides are shuffled.
 
-Defined cases: null and empty texts have no windows; items of fewer than
+Defined cases: rows that share a doc_id are one document, rows without one too;
+null and empty texts have no windows; items of fewer than
 ``SPAN`` words give no evidence and are not searched for; repeated items and
 rows are each reported once a pair; a null doc_id or item_id is kept as null;
 other columns are ignored.
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SPAN = 8
 MASKS = ("11101011", "11011101", "10110111")
 MAX_SENT = 500_000
@@ -48,11 +52,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     hashed = lambda c: F.transform(words_of(F.col(c)), lambda w: F.xxhash64(w))
     items = benchmark.select(F.col(item_col).alias("item"), hashed(item_text_col).alias("h"))
     total = items.agg(F.sum(F.greatest(F.size("h") - (SPAN - 1), F.lit(0)))).first()[0] or 0
-    seeds = windows(items, ["item", "h"]).select(F.col("item"), F.col("h").alias("item_h"), F.col("place").alias("item_place"), "seed").distinct()
+    seeds = windows(items, ["item"]).select("item", F.col("place").alias("item_place"), "seed").distinct()
     if total * len(MASKS) <= MAX_SENT:
-        seeds = F.broadcast(seeds)
-    rows = docs.select(F.col(id_col).alias("doc"), hashed(text_col).alias("h"))
-    hits = windows(rows, ["doc", "h"]).join(seeds, "seed").withColumn("shift", F.col("place") - F.col("item_place"))
+        seeds, items = F.broadcast(seeds), F.broadcast(items)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    hits = windows(rows.select("doc", hashed("text").alias("h")), ["doc"]).join(seeds, "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("shift"))
+    aligned = checkpointed(hits.distinct().groupBy("doc").agg(F.collect_list(F.struct("item", "shift")).alias("hits"), F.count(F.lit(1)).alias("n")))
+    sent = (aligned.agg(F.sum("n")).first()[0] or 0) <= MAX_SENT
+    aligned = aligned.select(F.col("doc").alias("hit_doc"), "hits")
+    suspects = rows.join(F.broadcast(aligned) if sent else aligned, F.col("doc").eqNullSafe(F.col("hit_doc"))).select("doc", hashed("text").alias("h"), "hits")
+    hits = suspects.select("doc", "h", F.explode("hits").alias("hit")).join(items.select(F.col("item").alias("of"), F.col("h").alias("item_h")), F.col("hit.item").eqNullSafe(F.col("of"))).select("doc", F.col("of").alias("item"), "h", "item_h", F.col("hit.shift").alias("shift"))
     cut = F.greatest(-F.col("shift"), F.lit(0))
     size = F.size("item_h")
     beside = F.slice("h", F.greatest(F.col("shift"), F.lit(0)) + 1, F.greatest(size - cut, F.lit(0)))
