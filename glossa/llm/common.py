@@ -74,7 +74,7 @@ def word_hash(word: bytes) -> int:
 class HashCache(dict):
     """word bytes -> 64-bit hash; emptied by ``trim`` so that memory stays bounded."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = word_hash(word)

@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    meetings = 2 * parts  # a task holds all postings of its n-grams
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers, counts = HashCache(), Powers(), np.zeros(COUNTERS, dtype=np.uint32)
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
-            bucket = (every["key"] >> np.uint64(40)).astype(np.int64) % parts
+            bucket = (every["key"] >> np.uint64(40)).astype(np.int64) % meetings
             order = np.argsort(bucket, kind="stable")
             every, bucket = every[order], bucket[order]
             cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         m = every[with_partner(every, Histograms(hists), num, den)]
         yield pa.RecordBatch.from_arrays([pa.array(m["key"].view(np.int64)), *(pa.array(np.ascontiguousarray(m[c])) for c in ("hi", "lo", "n", "pos"))], names=["key", "hi", "lo", "n", "pos"])
 
-    met = checkpointed(rows.select("text").mapInArrow(postings, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(meet, "key long, hi long, lo long, n int, pos int"))
+    met = checkpointed(rows.select("text").mapInArrow(postings, "bucket int, data binary").repartition(meetings, "bucket").mapInArrow(meet, "key long, hi long, lo long, n int, pos int"))
     classes = checkpointed(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")))
 
     def sets_of(wanted: DataFrame, result, ddl: str) -> DataFrame:
