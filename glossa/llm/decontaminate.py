@@ -10,6 +10,14 @@ documents that have hits the item's words are compared with the document's at
 that alignment, place by place, and the item has leaked if at least ``share``
 of its words agree.
 
+The overlap around a hit is judged too.  A region is a maximal stretch of an alignment in which every
+word lies in ``SPAN`` consecutive words of which ``AGREE`` agree; the shifts up
+to ``DRIFT`` beside a hit's are looked at as well, for text after a dropped or
+inserted word.  The item has also leaked if one region has ``run`` agreeing
+words (all words of a shorter item), or if the item's places that agree in
+regions of any shift, taken together, reach ``share``; ``matched`` is then the
+larger of that union and the best alignment, whose shift ``place`` tells.
+
 The benchmark's seeds, and the alignments, are sent to all tasks only up to
 ``MAX_SENT``; beyond that both sides are shuffled.
 
@@ -31,6 +39,9 @@ SPAN = 8
 MASKS = ("11101011", "11011101", "10110111")
 MAX_SENT = 500_000
 
+#: agreeing words of a region that are a leak by themselves; those of any SPAN words in a region; shifts looked at beside a hit
+RUN, AGREE, DRIFT = 13, 6, 3
+
 
 def words_of(text: Column) -> Column:
     apart = F.split(F.lower(text.cast("string")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -47,7 +58,31 @@ def windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.7) -> DataFrame:
+def agreeing(item_words: Column, words: Column, shift: Column) -> Column:
+    """Whether each of the item's words agrees with the document's at its place."""
+    return F.transform(item_words, lambda w, p: F.coalesce(F.get(words, p + shift) == w, F.lit(False)))
+
+
+def leaked_regions(each: DataFrame, share: float, run: int) -> DataFrame:
+    """doc, item, b of the items leaked by an alignment, a region or the union of regions."""
+    starts = F.sequence(F.lit(0), F.col("item_words") - SPAN)
+    good = F.transform(starts, lambda p: F.size(F.filter(F.slice("agree", p + 1, SPAN), lambda x: x)) >= AGREE)
+    # windows that hold place p start at p - SPAN + 1 to p
+    inside = lambda p: F.exists(F.slice("good", F.greatest(p - (SPAN - 1), F.lit(0)) + 1, F.least(p, F.lit(SPAN - 1)) + 1), lambda g: g)
+    marks = F.transform("agree", lambda a, p: F.when(~inside(p), "0").when(a, "1").otherwise("x"))
+    marked = each.withColumn("good", good).withColumn("marks", marks)
+    longest = F.array_max(F.transform(F.split(F.array_join("marks", ""), "0+"), lambda r: F.length(F.replace(r, F.lit("x"), F.lit("")))))
+    places = F.filter(F.transform("marks", lambda m, p: F.when(m == "1", p)), lambda p: p.isNotNull())
+    judged = marked.select("doc", "item", "words", "shift", "item_words", "matched", longest.alias("longest"), places.alias("places"))
+    top = F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_words")).alias("b")
+    # items that share an id are judged text by text
+    whole = judged.groupBy("doc", "item", "words").agg(top, F.max("longest").alias("longest"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("union"))
+    matched = F.greatest("b.matched", "union")
+    leaked = whole.where((matched >= F.lit(share) * F.col("b.item_words")) | (F.col("longest") >= F.least(F.lit(run), F.col("b.item_words"))))
+    return leaked.groupBy("doc", "item").agg(F.max(F.struct(matched.alias("matched"), F.col("b.back").alias("back"), F.col("b.item_words").alias("item_words"))).alias("b"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.7, run: int = RUN) -> DataFrame:
     """A row per document and leaked item: doc_id, item_id, place (of the item in the document's words), item_words, matched, overlap."""
     hashed = lambda c: F.transform(words_of(F.col(c)), lambda w: F.xxhash64(w))
     items = benchmark.select(F.col(item_col).alias("item"), hashed(item_text_col).alias("h"))
@@ -57,16 +92,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         seeds, items = F.broadcast(seeds), F.broadcast(items)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     hits = windows(rows.select("doc", hashed("text").alias("h")), ["doc"]).join(seeds, "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("shift"))
-    aligned = checkpointed(hits.distinct().groupBy("doc").agg(F.collect_list(F.struct("item", "shift")).alias("hits"), F.count(F.lit(1)).alias("n")))
+    by_item = hits.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts"))
+    aligned = checkpointed(by_item.groupBy("doc").agg(F.collect_list(F.struct("item", "shifts")).alias("hits"), F.sum(F.size("shifts")).alias("n")))
     sent = (aligned.agg(F.sum("n")).first()[0] or 0) <= MAX_SENT
     aligned = aligned.select(F.col("doc").alias("hit_doc"), "hits")
     suspects = rows.join(F.broadcast(aligned) if sent else aligned, F.col("doc").eqNullSafe(F.col("hit_doc"))).select("doc", hashed("text").alias("h"), "hits")
-    hits = suspects.select("doc", "h", F.explode("hits").alias("hit")).join(items.select(F.col("item").alias("of"), F.col("h").alias("item_h")), F.col("hit.item").eqNullSafe(F.col("of"))).select("doc", F.col("of").alias("item"), "h", "item_h", F.col("hit.shift").alias("shift"))
-    cut = F.greatest(-F.col("shift"), F.lit(0))
-    size = F.size("item_h")
-    beside = F.slice("h", F.greatest(F.col("shift"), F.lit(0)) + 1, F.greatest(size - cut, F.lit(0)))
-    own = F.slice("item_h", cut + 1, size)
-    matched = F.size(F.filter(F.zip_with(beside, own, lambda a, b: a == b), lambda x: x))
-    found = hits.select("doc", "item", F.col("shift"), size.alias("item_words"), matched.alias("matched")).where(F.col("matched") >= F.lit(share) * F.col("item_words"))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_words")).alias("b"))
+    shifts = F.array_distinct(F.flatten(F.transform("hit.shifts", lambda s: F.sequence(s - DRIFT, s + DRIFT))))
+    hits = suspects.select("doc", "h", F.explode("hits").alias("hit")).join(items.select(F.col("item").alias("of"), F.col("h").alias("item_h")), F.col("hit.item").eqNullSafe(F.col("of"))).select("doc", F.col("of").alias("item"), "h", "item_h", F.explode(shifts).alias("shift"))
+    size = F.size("item_h").alias("item_words")
+    agree = agreeing(F.col("item_h"), F.col("h"), F.col("shift"))
+    each = hits.select("doc", "item", F.xxhash64("item_h").alias("words"), "shift", size, agree.alias("agree")).withColumn("matched", F.size(F.filter("agree", lambda x: x)))
+    best = leaked_regions(each, share, run)
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col if item_col != id_col else "item"), (-F.col("b.back")).cast("int").alias("place"), F.col("b.item_words").alias("item_words"), F.col("b.matched").alias("matched"), (F.col("b.matched") / F.col("b.item_words")).alias("overlap"))

@@ -92,3 +92,50 @@ def test_null_ids_extra_columns_and_native_plan(spark):
     assert [(r.doc_id, r.item_id, r.matched) for r in leaks.collect()] == [(None, None, 8)]
     plan = leaks._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def region_rule(docs, items, share=0.7, run=13):
+    """Pairs leaked by the regions of any shift, by comparing all shifts."""
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for i, q in items:
+            v, union, longest = words(q), set(), 0
+            for shift in range(1 - len(v), len(w)):
+                agree = [0 <= shift + p < len(w) and w[shift + p] == v[p] for p in range(len(v))]
+                inside = {p for s in range(len(v) - 7) if sum(agree[s : s + 8]) >= 6 for p in range(s, s + 8)}
+                union |= {p for p in inside if agree[p]}
+                n = 0
+                for p in range(len(v)):
+                    n = n + agree[p] if p in inside else 0
+                    longest = max(longest, n)
+            if v and (len(union) >= share * len(v) or longest >= min(run, len(v))):
+                out.add((d, i))
+    return out
+
+
+def test_a_shifted_copy_and_an_excerpt_are_found(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, n in enumerate([16, 17, 24, 40, 59])]
+    filler = lambda: " ".join(f"f{rng.randrange(500)}" for _ in range(30))
+    docs, want = [], set()
+    for i, q in items:
+        w = q.split()
+        half = len(w) // 2
+        for leak in (w[:half] + w[half + 1 :], w[:half] + ["new"] + w[half:], w[: max(13, len(w) * 65 // 100)], w[-13:], w[:8] + ["x"] + w[9:15]):
+            want.add((len(docs), i))
+            docs.append((len(docs), f"{filler()} {' '.join(leak)} {filler()}"))
+        docs.append((len(docs), f"{filler()} {' '.join(w[:10])} {filler()}"))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want == region_rule(docs, items)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_regions_cover_the_alignments_and_stay_in_the_rule(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "MAX_SENT", sent)
+    docs, items = corpus(1)
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    pairs, aligned = {(r.doc_id, r.item_id) for r in got}, {(d, i) for d, i, *_ in brute(docs, items)}
+    assert aligned <= pairs and pairs <= aligned | region_rule(docs, items)
