@@ -324,10 +324,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         yield pa.RecordBatch.from_arrays([pa.array(m["key"].view(np.int64)), *(pa.array(np.ascontiguousarray(m[c])) for c in ("hi", "lo", "n", "pos"))], names=["key", "hi", "lo", "n", "pos"])
 
     met = checkpointed(rows.select("text").mapInArrow(postings, "bucket int, data binary").repartition(meetings, "bucket").mapInArrow(meet, "key long, hi long, lo long, n int, pos int"))
-    classes = checkpointed(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")))
+    # an id with several texts stands for several classes, numbered by text
+    numbered = F.row_number().over(Window.partitionBy("rep").orderBy("hi", "lo"))
+    classes = checkpointed(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")).withColumn("text_no", numbered))
 
     def sets_of(wanted: DataFrame, result, ddl: str) -> DataFrame:
-        """``result`` of the set of each wanted class (rep, hi, lo), from its document's whole text."""
+        """``result`` of the set of each wanted class (rep, text_no, hi, lo), from its document's whole text."""
         wanted = checkpointed(wanted)
         if wanted.count() <= MAX_SENT:
             wanted = F.broadcast(wanted)
@@ -336,24 +338,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             cache, powers = HashCache(), Powers()
             for batch in batches:
                 out = []
-                for i, hi, lo, text in zip(batch.column("rep").to_pylist(), batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), texts_of(batch), strict=True):
+                for i, k, hi, lo, text in zip(batch.column("rep").to_pylist(), batch.column("text_no").to_pylist(), batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), texts_of(batch), strict=True):
                     found = grams(text, width, cache, powers)
                     if len(found) and digest(found) == (hi, lo):
-                        out.append((i, result(found)))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["rep", ddl])
+                        out.append((i, k, result(found)))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in out], pa.int64()), pa.array([k for _, k, _ in out], pa.int32()), pa.array([d for _, _, d in out], pa.binary())], names=["rep", "text_no", ddl])
 
-        return rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "hi", "lo", "text").mapInArrow(whole, f"rep long, {ddl} binary")
+        return rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "text_no", "hi", "lo", "text").mapInArrow(whole, f"rep long, text_no int, {ddl} binary")
 
     # rows that repeat an id yield a class again
     active = met.select("hi", "lo").distinct().join(classes, ["hi", "lo"])
-    sketches = checkpointed(sets_of(active, sketch, "sketch").dropDuplicates(["rep"]))
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("pos", "key"))
-    members = checkpointed(met.join(classes, ["hi", "lo"]).select("key", "n", "pos", "rep").withColumn("nth", nth))
+    sketches = checkpointed(sets_of(active, sketch, "sketch").dropDuplicates(["rep", "text_no"]))
+    nth = F.row_number().over(Window.partitionBy("rep", "text_no").orderBy("pos", "key"))
+    members = checkpointed(met.join(classes, ["hi", "lo"]).select("key", "n", "pos", "rep", "text_no").withColumn("nth", nth))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes, "rep")
-        full = checkpointed(sets_of(wanted, lambda found: found.tobytes(), "grams"))
+        full = checkpointed(sets_of(wanted, lambda found: found.tobytes(), "grams").select("rep", "grams"))
         left, right = full.toDF("a", "grams_a"), full.toDF("b", "grams_b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,10 +377,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     def proposed(comps: DataFrame, nearest: bool) -> DataFrame:
         """Pairs of classes of different components that pass the filters: each class's nearest, or all."""
         looked = members.where(F.col("nth") <= FIRST) if nearest else members
-        placed = looked.join(comps, F.col("rep") == F.col("node"), "left").select("key", "n", "pos", "rep", F.coalesce("comp", "rep").alias("comp"))
+        placed = looked.join(comps, F.col("rep") == F.col("node"), "left").select("key", "n", "pos", "rep", "text_no", F.coalesce("comp", "rep").alias("comp"))
         open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        spread = placed.join(open_keys, "key").join(sketches, "rep").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = placed.join(open_keys, "key").join(sketches, ["rep", "text_no"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "pos", "rep", "comp", "sketch")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

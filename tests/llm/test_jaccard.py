@@ -147,3 +147,13 @@ def test_stars_and_union_find_agree(spark):
     rng = random.Random(4)
     edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "u long, v long").selectExpr("least(u, v) as u", "greatest(u, v) as v").where("u <> v").distinct()
     assert sorted(map(tuple, jaccard.joined_in_task(edges).collect())) == sorted(map(tuple, jaccard.joined_by_stars(edges).collect()))
+
+
+def test_texts_that_share_an_id_keep_the_links_of_each(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 60, 3):
+        one, other = (family(rng, 1, 60, 0)[0] for _ in range(2))
+        rows += [(k, one), (k, other), (k + 1, one + " near"), (k + 2, other + " near")]
+    got = found(spark, rows, 3, 90, 100)
+    assert got == brute(rows, 3, 90, 100) and {c for _, _, c in got} == set(range(0, 60, 3))
