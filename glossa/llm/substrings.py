@@ -19,6 +19,7 @@ doc_id is kept whole and removes nothing elsewhere; other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: windows that a map task holds at once, and those aimed at for a bucket
 FLUSH, BUCKET = 1_000_000, 1_000_000
 
-#: rows between tasks; kind 0: hashes to compare, 1: word intervals already settled, 2: hashes settled by a bucket (1 and 2 for a part of the documents)
+#: rows between tasks; kind 0: hashes to compare, 1: word intervals already settled, with the digest of their text, 2: hashes settled by a bucket (1 and 2 for a part of the documents)
 ROW = [("bucket", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), ("keys", pa.binary()), ("who", pa.binary())]
 ROW_DDL = "bucket int, kind tinyint, part int, keys binary, who binary"
 
@@ -52,7 +53,7 @@ def part_column(value: Column, text: Column, parts: int) -> Column:
 
 
 def addressed(ids: np.ndarray, values: np.ndarray, kind: int, parts: int, bits: int) -> list[tuple]:
-    """Rows for the parts of some documents; ids sorted, a value (or pair of values) for each."""
+    """Rows for the parts of some documents; ids sorted, a value (or a text's digest and an interval) for each."""
     cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)] if len(ids) else np.array([0])
     owners, counts = ids[cuts[:-1]], np.diff(cuts)
     part = np.array([part_of(i, parts) for i in owners.tolist()], dtype=np.int64)
@@ -69,12 +70,17 @@ def delivered(kind: int, keys: bytes, who: bytes) -> Iterator[tuple[int, np.ndar
     """(document, its values) of an addressed row."""
     head = np.frombuffer(who, dtype=np.int64)
     n = int(head[0])
-    values = np.frombuffer(keys, dtype=np.uint64) if kind == 2 else np.frombuffer(keys, dtype=np.int32).reshape(-1, 2)
+    values = np.frombuffer(keys, dtype=np.uint64) if kind == 2 else np.frombuffer(keys, dtype=np.int32).reshape(-1, 4)
     ends = np.cumsum(head[1 + n :])
     for i, a, b in zip(head[1 : 1 + n].tolist(), (ends - head[1 + n :]).tolist(), ends.tolist(), strict=True):
         yield i, values[a:b]
 
 
+def text_digest(text: bytes) -> np.ndarray:
+    """64 bits, as two of 32, that tell rows of one id apart."""
+    return np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), dtype=np.int32)
+
+
 def planes(keys: np.ndarray, drop: int) -> bytes:
     """Sorted 64-bit keys byte by byte, without the bytes that the bucket tells."""
     return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, drop:].T).tobytes()
@@ -129,7 +135,7 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, ROW, strict=True)], names=[n for n, _ in ROW])
 
 
-def settle(ids: list[int], found: list[np.ndarray], window: int, bits: int, parts: int) -> list[tuple]:
+def settle(ids: list[int], found: list[np.ndarray], digests: list[np.ndarray], window: int, bits: int, parts: int) -> list[tuple]:
     """Rows to send for the windows of some documents."""
     by_id = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
     ids_sorted = np.array(ids, dtype=np.int64)[by_id]
@@ -149,9 +155,11 @@ def settle(ids: list[int], found: list[np.ndarray], window: int, bits: int, part
     cuts = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)] if len(doc) else [0]
     spans = [intervals(place[a:b].astype(np.int64), window).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     if spans:
-        owners = np.repeat(ids_sorted[doc[cuts[:-1]]], [len(x) for x in spans])
+        sizes = [len(x) for x in spans]
+        owners = np.repeat(ids_sorted[doc[cuts[:-1]]], sizes)
         # rows that share an id have their own indices
-        rows += addressed(owners, np.concatenate(spans), 1, parts, bits)
+        of = np.repeat(np.stack([digests[by_id[d]] for d in doc[cuts[:-1]]]), sizes, axis=0)
+        rows += addressed(owners, np.concatenate([of, np.concatenate(spans)], axis=1), 1, parts, bits)
     return rows
 
 
@@ -165,6 +173,7 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers, ids, held, n = worker_state("words", HashCache), Powers(), [], [], 0
+        digests: list[np.ndarray] = []
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
                 if i is None:
@@ -173,12 +182,13 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
                 if len(found):
                     ids.append(i)
                     held.append(found)
+                    digests.append(text_digest(text))
                     n += len(found)
                 if n >= FLUSH:
-                    yield as_batch(settle(ids, held, window, bits, parts))
-                    ids, held, n = [], [], 0
+                    yield as_batch(settle(ids, held, digests, window, bits, parts))
+                    ids, held, digests, n = [], [], [], 0
         if n:
-            yield as_batch(settle(ids, held, window, bits, parts))
+            yield as_batch(settle(ids, held, digests, window, bits, parts))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, keys, ids = None, [], []
@@ -263,13 +273,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
         texts, counts, gone, spans = [], [], [], []
         for i, text in zip(rows.column("__id").to_pylist(), given, strict=True):
             words = words_of(text)
-            span = [x.astype(np.int64) for x in settled.get(i, ())] if i is not None else []
+            span = []
+            if i in settled and i is not None and text:
+                own = text_digest(text)
+                span = [x[(x[:, :2] == own).all(1), 2:].astype(np.int64) for x in settled[i]]
             if i in keys and i is not None:
                 own = rolling(hashes_of(words, cache), window, powers)
                 span.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys[i]))), window))
-            # rows that share a doc_id may be shorter
-            span = np.minimum(joined(np.concatenate(span)), len(words)) if span else np.zeros((0, 2), dtype=np.int64)
-            span = span[span[:, 0] < span[:, 1]]
+            span = joined(np.concatenate(span)) if span else np.zeros((0, 2), dtype=np.int64)
             texts.append(cut_text(text, span) if len(span) else text)
             counts.append(len(words))
             gone.append(int((span[:, 1] - span[:, 0]).sum()))

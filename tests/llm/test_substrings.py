@@ -95,3 +95,10 @@ def test_digest_matches_the_kept_words(spark):
     rows = corpus(2, 20)
     got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA), window=4).select("doc_id", F.btrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("t"))
     assert sorted((r.doc_id, r.t) for r in got.collect()) == sorted((i, t) for i, _, _, t in brute(rows, 4))
+
+
+def test_different_texts_under_one_id_lose_only_their_own_repeats(spark):
+    rows = [(1, "a b c d e"), (2, "x a b c d y"), (2, "p q r s t u v"), (2, "k k a b c"), (3, "p q r s z")]
+    for parts in (1, 3):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1).repartition(parts), window=3).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.text.strip()) for r in got) == brute(rows, 3)
