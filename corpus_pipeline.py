@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import decontaminate, jaccard, packing, quality, substrings
-from glossa.llm.common import stored, table, without
+from glossa.llm.common import once, stored, table, without
 
 #: passages of more than this many words that repeat are cut
 PASSAGE_WORDS = 50
@@ -26,9 +26,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five words, similarity 0.8) the document with the smallest id."""
+    """Of each class of near duplicates (five words, similarity 0.8) the document with the smallest id.
+
+    Of rows that repeat id and text one stays, and of rows without an id that
+    repeat a text; a row without an id is in no class, so its near copies, and
+    copies of it that have an id, stay.
+    """
     classes = jaccard.near_duplicates(docs, width=5, num=80, den=100)
-    return without(docs, classes.where("component_id <> doc_id").select("doc_id"), "doc_id")
+    return without(once(docs, "doc_id", "text"), classes.where("component_id <> doc_id").select("doc_id"), "doc_id")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,10 +61,23 @@ def stored(df: DataFrame) -> DataFrame:
 MAX_IDS = 1_000_000
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the distinct ids of a checkpointed table of that one column; null equals null."""
+    ids = ids.toDF("__id")
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, docs[id_col].eqNullSafe(ids["__id"]), how)
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the ids of ``dropped``, a table of that one column."""
-    dropped = checkpointed(dropped.distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= MAX_IDS else dropped, id_col, "left_anti")
+    """``docs`` without the ids of ``dropped``, a table of that one column; a null there drops the rows without an id."""
+    return by_ids(docs, checkpointed(dropped.distinct()), id_col, "left_anti")
+
+
+def once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of those that repeat both id (or its absence) and text."""
+    ids = checkpointed(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
+    if ids.isEmpty():
+        return docs
+    return by_ids(docs, ids, id_col, "left_anti").unionByName(by_ids(docs, ids, id_col, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def word_hash(word: bytes) -> int:

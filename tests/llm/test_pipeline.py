@@ -70,3 +70,16 @@ def test_nulls_repeats_and_extra_columns(spark, tmp_path):
         if k < 4:
             assert out.columns == docs.columns
             docs = out
+
+
+def test_rows_without_an_id_and_repeated_rows_do_not_escape(spark, tmp_path):
+    folder = str(tmp_path)
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "other words", "en", "s", 11), (None, "x y z", "en", "s", 5), (None, "x y z", "en", "s", 5), (None, "u v w", "en", "s", 5), (2, "clean", "en", "s", 5)]
+    write(spark, folder, rows + [(None, item, "en", "s", 50)], [], [(1, item)])
+    docs = common.table(spark, folder, "documents")
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, folder)
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted({r[:2] for r in rows} | {(None, item)}, key=str)
+    left = corpus_pipeline.decontamination_stage(spark, near, folder)
+    assert near.schema == docs.schema and left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [1, 1, 2]
