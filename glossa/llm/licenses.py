@@ -5,7 +5,8 @@ document frequency over all scanned documents.  For each file the
 ``rare_words`` highest-weighted licence words that it holds are looked up in
 the template postings; places in the file and in the template are subtracted,
 and a template is a candidate at a relative position where several rare words
-agree.  A candidate counts only if each mandatory key phrase of the template
+agree.  The file's other licence words vote only from within a key phrase, so no
+template runs out of votes.  A candidate counts only if each mandatory key phrase of the template
 stands in the file word by word at that position.
 
 Base labels come from fixed phrases wherever their words stand consecutively.
@@ -79,6 +80,8 @@ class Index:
         self.base = [(p.encode().split(), label) for p, label in base.items()]
         self.vocabulary = sorted({*self.postings, *(w for p, _ in self.base for w in p)})
         self.postings = dict(self.postings)
+        of_keys = {(t, at + k) for t, keys in enumerate(self.keys) for at, phrase in keys for k in range(len(phrase))}
+        self.key_postings = {w: [x for x in found if x in of_keys] for w, found in self.postings.items()}
 
     def scan(self, text: bytes | None, idf: dict[bytes, float], rare_words: int, vocabulary: frozenset) -> tuple:
         words = words_lower(text)
@@ -92,11 +95,11 @@ class Index:
                 hits += at
                 labels.add(label)
         base = sorted(labels)
-        rare = sorted((w for w in where if w in self.postings), key=lambda w: (-idf[w], w))[:rare_words]
+        rare = sorted((w for w in where if w in self.postings), key=lambda w: (-idf[w], w))
         votes: dict[tuple[int, int], float] = defaultdict(float)
         count: dict[tuple[int, int], int] = defaultdict(int)
-        for w in rare:
-            for t, i in self.postings[w]:
+        for k, w in enumerate(rare):
+            for t, i in (self.postings if k < rare_words else self.key_postings)[w]:
                 for p in where[w]:
                     votes[t, p - i] += idf[w]
                     count[t, p - i] += 1
