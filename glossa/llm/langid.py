@@ -6,7 +6,8 @@ each place the longest n-gram known, from four characters down to one.  A
 document's score is the sum over its words, turned into a probability.
 
 The model is fitted on at most about ``sample_docs`` labelled documents, whole
-texts, and keeps the ``words`` most frequent words of each language.
+texts, and keeps the ``words`` most frequent words of each language.  An n-gram's count is the
+number of distinct words of the sample that hold it, times how often each does.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without labelled documents everything is ``und``; ties go to the language that
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, texts_of, worker_slot
+from .common import checkpointed, crc_fold, texts_of, worker_slot
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -151,17 +152,24 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_fold
                 for token, n in tokens.items():
                     for w in words_in(token):
                         whole[w] += n
-                out += [(lang, 0, w, n) for w, n in whole.items()]
-                for order in ORDERS:
-                    parts: Counter = Counter()
-                    for w in whole:
-                        parts.update(ngrams(w, order))
-                    out += [(lang, order, g, n) for g, n in parts.items()]
+                out += [(lang, w, n) for w, n in whole.items()]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string(), pa.string(), pa.int64()], strict=True)], names=["lang", "item", "n"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, w in zip(batch.column("lang").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                found.update((lang, order, g) for order in ORDERS for g in ngrams(w, order))
+            out = [(*key, n) for key, n in found.items()]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "kind", "item", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where("n > 1 or kind > 0")
+    # n-grams count once a distinct word of the whole sample, however it is split in batches
+    whole = checkpointed(sample.mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    pieces = whole.select("lang", "item").mapInArrow(parts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = whole.where("n > 1").select("lang", F.lit(0).alias("kind"), "item", "n").union(pieces)
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item"))
     kept = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("kind") == 0, words).otherwise(grams)).select("lang", "kind", "item", "n").toArrow()
     return Model.of(sorted(zip(*(kept[c].to_pylist() for c in ("lang", "kind", "item", "n")), strict=True)))

@@ -60,3 +60,17 @@ def test_words_first_then_shorter_ngrams():
 def test_other_columns(spark):
     rows = spark.createDataFrame([(i, t, lang, 1, "x") for i, t, lang in corpus(60)], SCHEMA + ", held_out int, kind string")
     assert langid.identify(rows).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    rows, size = corpus(300), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    # words that training has not seen are scored by n-grams
+    rows += [(1000 + i, t[::-1] + "x", None) for i, t, _ in rows[:40]]
+    before, seen = spark.conf.get(size), []
+    try:
+        for n, parts in ((before, 1), (7, 3)):
+            spark.conf.set(size, n)
+            seen.append({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(spark.createDataFrame(rows, SCHEMA).coalesce(1).repartition(parts)).collect()})
+    finally:
+        spark.conf.set(size, before)
+    assert seen[0] == seen[1]
