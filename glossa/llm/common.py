@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 import sys
 import tempfile
 import types
@@ -16,20 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def worker_state(name: str, make: Callable):
-    """An object that a Python worker keeps from task to task, made when first asked for."""
-    holder = sys.modules.setdefault("_glossa_worker", types.ModuleType("_glossa_worker"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
-
+def worker_slot(key: str, make: Callable):
+    """An object that a Python worker keeps from task to task, until one of another key takes its place.
 
-def worker_slot(name: str, key: str, make: Callable):
-    """As ``worker_state``, but another key replaces the object."""
-    slot = worker_state(name, lambda: ["", None])
-    if slot[0] != key:
-        slot[:] = [key, make()]
-    return slot[1]
+    There is one slot a worker, so that operators which follow one another don't add up their caches.
+    """
+    holder = sys.modules.setdefault("_glossa_worker", types.ModuleType("_glossa_worker"))
+    if getattr(holder, "key", None) != key:
+        holder.key, holder.value = key, None
+        holder.value = make()
+    return holder.value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests, a laptop) one is made."""
+    """The folder of ``spark.checkpoint.dir``; where none is set one is made in local mode, and a cluster gets an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -54,7 +53,25 @@ def stored(df: DataFrame) -> DataFrame:
     """The table, written as Parquet to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def unused(name: str, names: list[str]) -> str:
+    """``name``, or with marks put before it until no column has it (in any case)."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 #: ids of rows to drop are sent to all tasks only up to this many
@@ -63,8 +80,9 @@ MAX_IDS = 1_000_000
 
 def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """``docs`` with (left_semi) or without (left_anti) the distinct ids of a checkpointed table of that one column; null equals null."""
-    ids = ids.toDF("__id")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, docs[id_col].eqNullSafe(ids["__id"]), how)
+    own = unused("id", docs.columns)
+    ids = ids.toDF(own)
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), how)
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
@@ -80,36 +98,12 @@ def once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return by_ids(docs, ids, id_col, "left_anti").unionByName(by_ids(docs, ids, id_col, "left_semi").dropDuplicates([id_col, text_col]))
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-class HashCache(dict):
-    """word bytes -> 64-bit hash; emptied by ``trim`` so that memory stays bounded."""
-
-    limit = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = word_hash(word)
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\x09-\\x0D."""
     return text.split() if text else []
 
 
-def hashes_of(words: list[bytes], cache: HashCache) -> np.ndarray:
-    out = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-    cache.trim()
-    return out
-
-
-#: odd multiplier of the Rabin-Karp polynomial, modulo 2**64
+#: odd multiplier of the Rabin-Karp polynomials, modulo 2**64
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -143,12 +137,110 @@ def rolling(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     up, down = powers.get(len(hashes))
     prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * down, out=prefix[1:])
-    out = (prefix[width:] - prefix[:-width]) * up[:n]
-    # finalise, so that any bits of the value can choose a bucket
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
+    return mixed((prefix[width:] - prefix[:-width]) * up[:n])
+
+
+#: bytes of text that are hashed at once
+PIECE = 1 << 19
+
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection that lets any bits of a polynomial's value choose a bucket."""
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class WordHashes:
+    """64-bit hashes of words, made for whole pieces of text by Rabin-Karp sums over their bytes.
+
+    A word is a maximal run of bytes other than space and \\x09-\\x0D.  Memory is
+    bounded by PIECE and by eight bytes a word of one text.
+    """
+
+    def __init__(self, lower: bool) -> None:
+        self.lower, self.powers = lower, Powers()
+
+    def of_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The hashes of each text of a string or binary column; null: none."""
+        column = column.cast(pa.binary())
+        if column.null_count:
+            column = column.fill_null(b"")
+        n = len(column)
+        if not n:
+            return
+        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+        at = np.frombuffer(column.buffers()[1], dtype=np.int32, count=n + 1, offset=4 * column.offset).astype(np.int64)
+        i = 0
+        while i < n:
+            j = int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1
+            if j > i:
+                hashes, starts = self.piece(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                cuts = np.searchsorted(starts, at[i : j + 1] - at[i]).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield hashes[a:b]
+                i = j
+            else:
+                yield self.long_text(data[at[i] : at[i + 1]])
+                i += 1
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of each byte (lower-cased, plus one) times BASE to minus its place."""
+        down = self.powers.get(len(data))[1]
+        values = (LOWER[data] if self.lower else data).astype(np.uint64)
+        values += np.uint64(1)
+        values *= down
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(values, out=out[1:])
+        return out
+
+    def piece(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start of each word; texts: where a text starts (or ends), which parts words too."""
+        if not len(data):
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        word, edge = ~SPACE[data], np.zeros(len(data) + 1, dtype=bool)
+        edge[texts] = edge[0] = edge[-1] = True
+        before, after = edge[:-1].copy(), edge[1:].copy()
+        before[1:] |= ~word[:-1]
+        after[:-1] |= ~word[1:]
+        starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
+        sums = self.sums(data)
+        return mixed((sums[ends] - sums[starts]) * self.powers.get(len(data))[0][starts]), starts
+
+    def long_text(self, data: np.ndarray) -> np.ndarray:
+        """A text of more than PIECE bytes, cut at white space."""
+        out, at = [], 0
+        while at < len(data):
+            block = data[at : at + PIECE]
+            if at + len(block) < len(data):
+                spaces = np.flatnonzero(SPACE[block])
+                if not len(spaces):
+                    found, at = self.long_word(data, at)
+                    out.append(found)
+                    continue
+                block = block[: spaces[-1] + 1]
+            out.append(self.piece(block, np.zeros(1, dtype=np.int64))[0])
+            at += len(block)
+        return np.concatenate(out)
+
+    def long_word(self, data: np.ndarray, at: int) -> tuple[np.ndarray, int]:
+        """The hash of a word that is longer than PIECE and starts at ``at``, and its end."""
+        total, scale, step = 0, 1, pow(BASE, -PIECE, 1 << 64)
+        while at < len(data):
+            block = data[at : at + PIECE]
+            spaces = np.flatnonzero(SPACE[block])
+            block = block[: spaces[0]] if len(spaces) else block
+            total += int(self.sums(block)[-1]) * scale
+            scale = scale * step % (1 << 64)
+            at += len(block)
+            if len(spaces):
+                break
+        return mixed(np.array([total % (1 << 64)], dtype=np.uint64)), at
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

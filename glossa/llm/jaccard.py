@@ -3,26 +3,32 @@
 1. Every document becomes a set of word n-gram hashes.  Equal sets share a
    class (a 128-bit digest), so copies are never compared.  The same pass
    counts n-grams over all documents in ``COUNTERS`` buckets, a table of fixed
-   size whatever the corpus; bucket count, then hash, is the total order.
+   size whatever the corpus, and makes a sketch of each set (the parity of its
+   hashes in about twice as many cells as it has elements; two sets differ in at
+   least as many elements as cells).  Bucket count, then hash, is the total order.
 2. Each set is sorted rarest first.  Two sets that link share an n-gram of
-   their prefixes, so prefixes meet by n-gram.  Length, position and a suffix
-   filter (a histogram of the set over ranges of the hash, finer for larger
-   sets, whose difference bounds the overlap) drop pairs that cannot link.
-   Classes left with a partner go on, with a sketch (the parity of the set's
-   hashes in 1024 cells, whose differing cells bound the overlap more tightly).
+   their prefixes, so prefixes meet by n-gram in buckets whose number follows the
+   postings.  Length and position filters leave the classes with a partner.
+   N-grams of ``HOT`` documents or more are spread over buckets and all kept.
 3. Links that only confirm a component are not needed.  In each of ``ROUNDS``
    rounds every class proposes its nearest partner in another component, looking
-   at its ``FIRST`` rarest shared n-grams only; these pairs are verified on whole
-   sets and joined.  Then all pairs of all n-grams that pass the filters and are
-   still in different components are verified, each once.  No link between
-   different sets can be lost, and a group of n near copies costs about n
-   verifications.  N-grams with over ``BLOCK`` classes are compared by pairs of
-   blocks, each a task's work.
+   at its ``FIRST`` rarest shared n-grams only, and there at a block of about
+   ``BLOCK`` classes, dealt anew in each round; these pairs are verified on whole
+   sets and joined.  Then all pairs of all n-grams that pass length, position and
+   suffix filter (the sketches) and are still in different components are
+   verified, each once: of the classes of an n-gram, those outside its largest
+   component visit all blocks.  No link between different sets can be lost, and a
+   group of n near copies costs about n verifications.
+4. A pair is verified where the class with more pairs has its set; that one goes
+   once to every ``FAN`` partners.
 
 Defined cases: null and empty texts have no set and link with nothing; shorter
 texts than an n-gram are one n-gram; rows that share a doc_id are one document
-(its n_shingles is the largest, its links are those of all its rows); a null
-doc_id yields no row; other columns are ignored.
+(its n_shingles is the largest, its links are those of all its rows); repeated
+rows change nothing; sets that tie for nearest go by the smaller id; a null
+doc_id yields no row, and an empty table none; an id that is no whole number is an
+error; texts are hashed in pieces, so a very long one takes eight bytes a word; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,21 +43,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HashCache, Powers, checkpointed, hashes_of, rolling, texts_of
+from .common import Powers, WordHashes, checkpointed, discard, rolling, stored
 
-COUNTERS, CHUNK, CELLS, BLOCK, ROUNDS, FIRST = 1 << 22, 1 << 16, 1024, 2048, 2, 4
+COUNTERS, CHUNK, BLOCK, ROUNDS, FIRST, FAN = 1 << 22, 1 << 16, 2048, 2, 4, 256
 
-#: class ids are sent to all tasks, and links joined within one, only up to this many
-MAX_SENT = 1_000_000
+#: occurrences that make an n-gram hot; postings that a map task holds, and those aimed at for a bucket
+HOT, FLUSH, BUCKET = 1 << 14, 1_000_000, 500_000
 
+#: cells of a sketch, least and most
+LEAST_CELLS, MOST_CELLS = 64, 1 << 14
 
-def grams(text: bytes | None, width: int, cache: HashCache, powers: Powers) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of an A-Z lower-cased text."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
+#: ids of fixed width are sent to all tasks, and links joined within one, only up to this many
+MAX_SENT = 500_000
+
+
+def grams(words: np.ndarray, width: int, powers: Powers) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of a text, given its words' hashes."""
+    if not len(words):
+        return words
     own = min(width, len(words))
-    return np.unique(rolling(hashes_of(words, cache), own, powers) ^ np.uint64((width - own) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    found = np.sort(rolling(words, own, powers) ^ np.uint64((width - own) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def digest(found: np.ndarray) -> tuple[int, int]:
@@ -63,60 +75,51 @@ def needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def prefix_of(found: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The prefix, rarest first."""
+def prefix_of(found: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix, rarest first, and the counts of its elements."""
     n = len(found)
     size = n + (-num * n // den) + 1
-    rank = (counts[found & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(48)) | (found >> np.uint64(16))
-    return found[np.argsort(rank, kind="stable")[:size]]
-
-
-POSTING = np.dtype([("key", np.uint64), ("hi", np.int64), ("lo", np.int64), ("n", np.int32), ("pos", np.int32), ("cls", np.int32)])
-
+    times = counts[found & np.uint64(COUNTERS - 1)]
+    rank = (np.minimum(times, 65535).astype(np.uint64) << np.uint64(48)) | (found >> np.uint64(16))
+    order = np.argsort(rank, kind="stable")[:size]
+    return found[order], times[order]
 
-def ranges_for(n: int) -> int:
-    """How many ranges the histogram of a set of n elements has."""
-    return min(max(16, 1 << max(0, (n - 1) // 32).bit_length()), 1024)
 
+#: key: the upper 48 bits of an n-gram's hash; hi: half of its class's digest; blocks: over which the n-gram's classes are dealt
+POSTING = np.dtype([("key", np.int64), ("hi", np.int64), ("n", np.int32), ("pos", np.int32), ("blocks", np.int32)])
+POSTING_DDL = "key long, hi long, n int, pos int, blocks int"
 
-def histogram(found: np.ndarray) -> np.ndarray:
-    """Elements in each range of the hash, clipped; a clipped count only weakens the filter."""
-    r = ranges_for(len(found))
-    counts = np.bincount((found >> np.uint64(65 - r.bit_length())).astype(np.int64), minlength=r)
-    return np.minimum(counts, 255).astype(np.uint8)
 
+def pack(rows: np.ndarray) -> bytes:
+    """Postings column by column, keys without their empty bytes; n and blocks go once a class and key."""
+    names, index = np.unique(np.stack([rows["hi"], rows["n"].astype(np.int64)]), axis=1, return_inverse=True)
+    small = index.astype(np.uint16 if names.shape[1] <= 65536 else np.uint32)
+    wide = np.flatnonzero(rows["blocks"] > 1)
+    planes = rows["key"].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    head = np.array([len(rows), names.shape[1], small.itemsize, len(wide)], dtype=np.int64)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, planes, small, rows["pos"].astype("<i4").view(np.uint8).reshape(-1, 4).T, names[0], names[1].astype(np.int32), wide.astype(np.int32), rows["blocks"][wide]))
 
-class Histograms:
-    """Histograms of classes, compared at the coarser width of a pair."""
 
-    def __init__(self, each: list[np.ndarray]) -> None:
-        self.width = np.array([len(h) for h in each], dtype=np.int64)
-        self.place, self.table = {}, {}
-        for w in np.unique(self.width).tolist():
-            for level in (w, w // 2):
-                own = np.flatnonzero((self.width == level) | (self.width == 2 * level))
-                if level in self.table or not len(own):
-                    continue
-                self.place[level] = np.zeros(len(each), dtype=np.int64)
-                self.place[level][own] = np.arange(len(own))
-                self.table[level] = np.stack([np.minimum(each[c].reshape(level, -1).sum(1, dtype=np.int64), 255) for c in own.tolist()]).astype(np.int16)
+def unpack(data: bytes) -> np.ndarray:
+    n, m, width, w = np.frombuffer(data, dtype=np.int64, count=4).tolist()
+    place = 32
 
-    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """At least how many elements the classes x and y, pair by pair and of like size, differ in."""
-        level = np.minimum(self.width[x], self.width[y])
-        out = np.zeros(len(x), dtype=np.int64)
-        for w in np.unique(level).tolist():
-            # sets of a size that can link are at most one width apart; others are left to the length filter
-            at = np.flatnonzero((level == w) & (np.maximum(self.width[x], self.width[y]) <= 2 * w))
-            t, p = self.table[w], self.place[w]
-            out[at] = np.abs(t[p[x[at]]] - t[p[y[at]]]).sum(1, dtype=np.int64)
+    def take(kind, count):
+        nonlocal place
+        out = np.frombuffer(data, dtype=kind, count=count, offset=place)
+        place += out.nbytes
         return out
 
-
-def sketch(found: np.ndarray) -> bytes:
-    """Parity of the elements in each cell: sets differ in at least as many elements as cells."""
-    cells = np.bincount(((found >> np.uint64(24)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
-    return np.packbits(cells.astype(np.uint8)).tobytes()
+    out, keys = np.empty(n, dtype=POSTING), np.zeros((n, 8), dtype=np.uint8)
+    keys[:, :6] = take(np.uint8, 6 * n).reshape(6, n).T
+    index = take(np.uint16 if width == 2 else np.uint32, n)
+    out["key"] = keys.view("<i8").ravel()
+    out["pos"] = np.ascontiguousarray(take(np.uint8, 4 * n).reshape(4, n).T).view("<i4").ravel()
+    out["hi"], out["n"] = take(np.int64, m)[index], take(np.int32, m)[index]
+    out["blocks"] = 1
+    wide = take(np.int32, w)
+    out["blocks"][wide] = take(np.int32, w)
+    return out
 
 
 def within_bounds(nx, ny, ix, iy, num: int, den: int):
@@ -126,16 +129,8 @@ def within_bounds(nx, ny, ix, iy, num: int, den: int):
     return ok, nx + ny - 2 * least
 
 
-def passing(x: np.ndarray, y: np.ndarray, hists: Histograms, num: int, den: int) -> np.ndarray:
-    """Which pairs of postings, element by element, pass length, position and suffix filters."""
-    ok, room = within_bounds(x["n"].astype(np.int64), y["n"].astype(np.int64), x["pos"].astype(np.int64), y["pos"].astype(np.int64), num, den)
-    at = np.flatnonzero(ok)
-    ok[at] = hists.apart(x["cls"][at], y["cls"][at]) <= room[at]
-    return ok
-
-
-def with_partner(every: np.ndarray, hists: Histograms, num: int, den: int) -> np.ndarray:
-    """Of postings sorted by key: which have another of their key that passes.
+def with_partner(every: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of postings sorted by key: which have another of their key within length and position bounds.
 
     Neighbours at growing distance are compared until both have a partner.
     Keys with more than BLOCK postings keep those not settled by then.
@@ -148,27 +143,103 @@ def with_partner(every: np.ndarray, hists: Histograms, num: int, den: int) -> np
     at, d = np.flatnonzero(left > 0), 1
     while len(at) and d <= BLOCK:
         now = at[~(keep[at] & keep[at + d])]
-        for s in range(0, len(now), 1 << 16):
-            part = now[s : s + (1 << 16)]
-            part = part[passing(every[part], every[part + d], hists, num, den)]
-            keep[part] = keep[part + d] = True
+        x, y = every[now], every[now + d]
+        now = now[within_bounds(*(z[c].astype(np.int64) for c in ("n", "pos") for z in (x, y)), num, den)[0]]
+        keep[now] = keep[now + d] = True
         d += 1
         at = at[left[at] >= d]
     return keep | (np.repeat(size, size) > BLOCK)
 
 
-def distances(a: dict[str, np.ndarray], b: dict[str, np.ndarray], num: int, den: int) -> np.ndarray:
-    """Differing cells of each pair of classes of an n-gram that passes the filters and is in two components, else -1."""
-    col, row = (lambda k: a[k].astype(np.int64)[:, None]), (lambda k: b[k].astype(np.int64)[None, :])
-    ok, room = within_bounds(col("n"), row("n"), col("pos"), row("pos"), num, den)
-    ok &= a["comp"][:, None] != b["comp"][None, :]
-    out = np.full(ok.shape, -1, dtype=np.int64)
-    p, q = np.nonzero(ok)
-    for s in range(0, len(p), 1 << 17):
-        i, j = p[s : s + (1 << 17)], q[s : s + (1 << 17)]
-        out[i, j] = np.bitwise_count(a["sketch"][i] ^ b["sketch"][j]).sum(1, dtype=np.int64)
-    out[out > room] = -1
-    return out
+def sketch(found: np.ndarray) -> bytes:
+    """Parity of the elements in each of some power of two of cells."""
+    cells = min(max(LEAST_CELLS, 1 << (2 * len(found) - 1).bit_length()), MOST_CELLS)
+    odd = np.bincount(((found >> np.uint64(16)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of classes, compared at the coarser width of a pair."""
+
+    def __init__(self, each: list[bytes]) -> None:
+        self.width = np.array([len(x) // 8 for x in each], dtype=np.int64)
+        self.place, self.table = {}, {}
+        for w in np.unique(self.width).tolist():
+            for level in (w, w // 2):
+                own = np.flatnonzero((self.width == level) | (self.width == 2 * level))
+                if level in self.table or not len(own):
+                    continue
+                self.place[level] = np.zeros(len(each), dtype=np.int64)
+                self.place[level][own] = np.arange(len(own))
+                rows = [np.frombuffer(each[c], dtype=np.uint64) for c in own.tolist()]
+                # cells go by the low bits of a hash, so the halves fold
+                self.table[level] = np.stack([x if len(x) == level else x[:level] ^ x[level:] for x in rows])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """At least how many elements the classes x and y, pair by pair, differ in."""
+        level = np.minimum(self.width[x], self.width[y])
+        out = np.zeros(len(x), dtype=np.int64)
+        for w in np.unique(level).tolist():
+            # sets that can link are at most one width apart; others are left to the length filter
+            at = np.flatnonzero((level == w) & (np.maximum(self.width[x], self.width[y]) <= 2 * w))
+            t, p = self.table[w], self.place[w]
+            step = max(1, (1 << 20) // w)
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                out[part] = np.bitwise_count(t[p[x[part]]] ^ t[p[y[part]]]).sum(1, dtype=np.int64)
+        return out
+
+
+class Meeting:
+    """Classes that meet at n-grams: a row for each, sorted by group; the pairs that may link."""
+
+    NAMES = ("group", "visits", "n", "pos", "rep", "comp", "sketch")
+
+    def __init__(self, rows: list[pa.Table], num: int, den: int) -> None:
+        whole = pa.concat_tables(rows)
+        self.group, visits, self.n, self.pos, self.rep, self.comp = (whole[c].to_numpy() for c in self.NAMES[:-1])
+        self.visits = visits.astype(bool)
+        self.sketches, self.num, self.den = Sketches(whole["sketch"].to_pylist()), num, den
+
+    def pairs(self, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of ids that pass all filters, and in how many elements they differ at least.
+
+        For the nearest, each row meets those before it in its group; else visitors meet the others.
+        """
+        start = np.r_[True, self.group[1:] != self.group[:-1]]
+        first = np.flatnonzero(start)[np.cumsum(start) - 1]
+        if nearest:
+            who, count = np.arange(len(first)), np.arange(len(first)) - first
+        else:
+            at = np.cumsum(~self.visits)
+            hosts = at - at[first] + ~self.visits[first]  # hosts come before visitors
+            who = np.flatnonzero(self.visits)
+            count = hosts[who]
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(who):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 18), side="right")))
+            times = count[a:b]
+            x = np.repeat(who[a:b], times)
+            y = np.repeat(first[who[a:b]], times) + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+            a = b
+            ok = self.comp[x] != self.comp[y]
+            x, y = x[ok], y[ok]
+            ok, room = within_bounds(*(z[i].astype(np.int64) for z in (self.n, self.pos) for i in (x, y)), self.num, self.den)
+            x, y, room = x[ok], y[ok], room[ok]
+            apart = self.sketches.apart(x, y)
+            ok = apart <= room
+            yield self.rep[x[ok]], self.rep[y[ok]], apart[ok]
+
+
+def least_of(a: np.ndarray, b: np.ndarray, d: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest b of each a, or distinct pairs."""
+    order = np.lexsort((b, d, a)) if nearest else np.lexsort((b, a))
+    a, b, d = a[order], b[order], d[order]
+    if len(a):
+        ok = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if not nearest else False)]
+        a, b, d = a[ok], b[ok], d[ok]
+    return a, b, d
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,253 +292,275 @@ def joined_by_stars(now: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: classes of documents linked by a Jaccard similarity of num/den or more."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("id").isNotNull())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meetings = 2 * parts  # a task holds all postings of its n-grams
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers, counts = HashCache(), Powers(), np.zeros(COUNTERS, dtype=np.uint32)
-        names = ["id", "n", "hi", "lo", "counts"]
+        hashes, powers, counts = WordHashes(lower=True), Powers(), np.zeros(COUNTERS, dtype=np.uint32)
+        names = ["id", "n", "hi", "lo", "data"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         held: list[np.ndarray] = []
+        n = 0
 
         def tally() -> None:
-            cells, times = np.unique(np.concatenate(held) & np.uint64(COUNTERS - 1), return_counts=True)
-            counts[cells.astype(np.int64)] += times.astype(np.uint32)
+            cells = np.sort(np.concatenate(held) & np.uint64(COUNTERS - 1))
             held.clear()
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            counts[cells[starts].astype(np.int64)] += np.diff(np.r_[starts, len(cells)]).astype(np.uint32)
 
         for batch in batches:
-            out, n = [], 0
-            for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
-                found = grams(text, width, cache, powers)
+            out = []
+            for i, words in zip(batch.column("id").to_pylist(), hashes.of_column(batch.column("text")), strict=True):
+                found = grams(words, width, powers)
                 if len(found):
                     held.append(found)
                     n += len(found)
-                    if n > 500_000:
+                    if n > FLUSH // 2:
                         tally()
                         n = 0
-                out.append((i, len(found), *(digest(found) if len(found) else (None, None)), None))
-            if held:
-                tally()
+                    out.append((i, len(found), *digest(found), sketch(found)))
+                else:
+                    out.append((i, 0, None, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        if held:
+            tally()
         packed = [(c, zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1)) for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
         if packed:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.int64()), pa.array([c for c, _ in packed], pa.int64()), pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.int64()), pa.array([p for _, p in packed], pa.binary())], names=names)
+            salt = int(counts.sum()) % (1 << 20)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.int64()), pa.array([c for c, _ in packed], pa.int64()), pa.array([salt] * len(packed), pa.int64()), pa.nulls(len(packed), pa.int64()), pa.array([p for _, p in packed], pa.binary())], names=names)
 
-    first = checkpointed(rows.mapInArrow(count, "id long, n long, hi long, lo long, counts binary"))
-    sets = first.where("counts is null").select("id", "n", "hi", "lo")
+    first = stored(rows.mapInArrow(count, "id long, n long, hi long, lo long, data binary"))
+    sets = first.where("id is not null").select("id", "n", "hi", "lo")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for c, data in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for c, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(data), dtype=np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(s, 65535).astype(np.uint16).tobytes() for s in sums.values()], pa.binary())], names=["n", "counts"])
-
-    # 2 bytes a counter: a table of fixed size
-    counts = np.zeros(COUNTERS, dtype=np.uint16)
-    for r in first.where("counts is not null").select("n", "counts").repartition(COUNTERS // CHUNK, "n").mapInArrow(total, "n long, counts binary").collect():
-        counts[r.n * CHUNK : (r.n + 1) * CHUNK] = np.frombuffer(r.counts, dtype=np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes(), 1) for s in sums.values()], pa.binary())], names=["n", "data"])
+
+    # counters of the tasks add up in two steps, the first dealt by chunk and task
+    chunks = COUNTERS // CHUNK
+    partial = first.where("id is null").select("n", "hi", "data").repartition(max(chunks, parts), "n", "hi").mapInArrow(total, "n long, data binary")
+    counts = np.zeros(COUNTERS, dtype=np.uint32)  # a table of fixed size
+    for r in partial.repartition(chunks, "n").mapInArrow(total, "n long, data binary").collect():
+        counts[r.n * CHUNK : (r.n + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.data), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(counts)
+    expected = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    buckets = max(parts, int(expected // BUCKET))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers, counts = HashCache(), Powers(), sent.value
-        held, hists, n, seen = [], [], 0, set()
+        hashes, powers, counts = WordHashes(lower=True), Powers(), sent.value
+        held, n, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
-            bucket = (every["key"] >> np.uint64(40)).astype(np.int64) % meetings
-            order = np.argsort(bucket, kind="stable")
-            every, bucket = every[order], bucket[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-            pieces = [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([pack(p, hists) for p in pieces], pa.binary())], names=["bucket", "data"])
+            held.clear()
+            hot = every["blocks"] > HOT // BLOCK
+            bucket = (every["key"] ^ np.where(hot, every["hi"] & 0xFFFFFFFF, 0)) % buckets
+            order = np.lexsort((bucket, hot))
+            every, bucket, hot = every[order], bucket[order], hot[order]
+            cuts = np.r_[0, np.flatnonzero((np.diff(bucket) != 0) | (np.diff(hot.astype(np.int8)) != 0)) + 1, len(bucket)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(hot[cuts[:-1]], pa.bool_()), pa.array([pack(every[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "hot", "data"])
 
         for batch in batches:
-            for text in texts_of(batch):
-                found = grams(text, width, cache, powers)
+            for words in hashes.of_column(batch.column("text")):
+                found = grams(words, width, powers)
                 if not len(found) or (name := digest(found)) in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(name)
-                prefix = prefix_of(found, counts, num, den)
+                prefix, times = prefix_of(found, counts, num, den)
                 out = np.empty(len(prefix), dtype=POSTING)
-                out["key"], out["hi"], out["lo"], out["n"], out["pos"] = prefix, name[0], name[1], len(found), np.arange(len(prefix))
-                out["cls"] = len(hists)
-                hists.append(histogram(found))
+                out["key"], out["hi"], out["n"], out["pos"] = prefix >> np.uint64(16), name[0], len(found), np.arange(len(prefix))
+                out["blocks"] = -(-times.astype(np.int64) // BLOCK)
                 held.append(out)
                 n += len(out)
-                if n > 500_000:
+                if n > FLUSH:
                     yield flush()
-                    held, hists, n = [], [], 0
+                    n = 0
         if n:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hists = [], []
+        held, now = [], None
+
+        def close() -> pa.RecordBatch:
+            every = np.concatenate(held)
+            held.clear()
+            every = every[np.lexsort((every["hi"], every["n"], every["key"]))]
+            same = (every["key"][1:] == every["key"][:-1]) & (every["hi"][1:] == every["hi"][:-1]) & (every["n"][1:] == every["n"][:-1])
+            every = every[np.r_[True, ~same]]
+            m = every if now[1] else every[with_partner(every, num, den)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(m[c])) for c in POSTING.names], names=list(POSTING.names))
+
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                found, own = unpack(data)
-                found["cls"] += len(hists)
-                held.append(found)
-                hists += own
-        if not held:
-            return
-        every = np.concatenate(held)
-        held.clear()
-        every = every[np.lexsort((every["lo"], every["hi"], every["key"]))]
-        same = (every["key"][1:] == every["key"][:-1]) & (every["hi"][1:] == every["hi"][:-1]) & (every["lo"][1:] == every["lo"][:-1])
-        every = every[np.r_[True, ~same]]
-        m = every[with_partner(every, Histograms(hists), num, den)]
-        yield pa.RecordBatch.from_arrays([pa.array(m["key"].view(np.int64)), *(pa.array(np.ascontiguousarray(m[c])) for c in ("hi", "lo", "n", "pos"))], names=["key", "hi", "lo", "n", "pos"])
-
-    met = checkpointed(rows.select("text").mapInArrow(postings, "bucket int, data binary").repartition(meetings, "bucket").mapInArrow(meet, "key long, hi long, lo long, n int, pos int"))
+            for bucket, hot, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hot", "data")), strict=True):
+                # what is hot needs no partner, so a part of a bucket will do
+                if held and ((bucket, hot) != now or hot and sum(map(len, held)) > 2 * BUCKET):
+                    yield close()
+                now = bucket, hot
+                held.append(unpack(data))
+        if held:
+            yield close()
+
+    sorted_out = rows.select("text").mapInArrow(postings, "bucket long, hot boolean, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "hot")
+    met = stored(sorted_out.mapInArrow(meet, POSTING_DDL))
     # an id with several texts stands for several classes, numbered by text
     numbered = F.row_number().over(Window.partitionBy("rep").orderBy("hi", "lo"))
-    classes = checkpointed(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")).withColumn("text_no", numbered))
-
-    def sets_of(wanted: DataFrame, result, ddl: str) -> DataFrame:
-        """``result`` of the set of each wanted class (rep, text_no, hi, lo), from its document's whole text."""
-        wanted = checkpointed(wanted)
-        if wanted.count() <= MAX_SENT:
-            wanted = F.broadcast(wanted)
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache, powers = HashCache(), Powers()
-            for batch in batches:
-                out = []
-                for i, k, hi, lo, text in zip(batch.column("rep").to_pylist(), batch.column("text_no").to_pylist(), batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), texts_of(batch), strict=True):
-                    found = grams(text, width, cache, powers)
-                    if len(found) and digest(found) == (hi, lo):
-                        out.append((i, k, result(found)))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in out], pa.int64()), pa.array([k for _, k, _ in out], pa.int32()), pa.array([d for _, _, d in out], pa.binary())], names=["rep", "text_no", ddl])
-
-        return rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "text_no", "hi", "lo", "text").mapInArrow(whole, f"rep long, text_no int, {ddl} binary")
-
-    # rows that repeat an id yield a class again
-    active = met.select("hi", "lo").distinct().join(classes, ["hi", "lo"])
-    sketches = checkpointed(sets_of(active, sketch, "sketch").dropDuplicates(["rep", "text_no"]))
+    classes = stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")).withColumn("text_no", numbered))
+    # half a digest picks its class, but for chance: then both stand for it
+    active = checkpointed(met.select("hi").distinct().join(classes, "hi").select("rep", "text_no", "hi", "lo"))
+    chosen = F.broadcast(active) if active.count() <= MAX_SENT else active
+    sketches = stored(first.withColumnRenamed("id", "rep").join(chosen, ["rep", "hi", "lo"]).select("rep", "text_no", F.col("data").alias("sketch")).dropDuplicates(["rep", "text_no"]))
     nth = F.row_number().over(Window.partitionBy("rep", "text_no").orderBy("pos", "key"))
-    members = checkpointed(met.join(classes, ["hi", "lo"]).select("key", "n", "pos", "rep", "text_no").withColumn("nth", nth))
+    shared = met.join(chosen, "hi").select("key", "n", "pos", "blocks", "rep", "text_no")
+    is_hot = F.col("blocks") > HOT // BLOCK
+    # hot postings of copies come from several tasks
+    members = stored(shared.where(~is_hot).union(shared.where(is_hot).dropDuplicates(["rep", "text_no", "key"])).withColumn("nth", nth))
+    discard(met)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """Of pairs of ids (a, b) those of which any texts link."""
         pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes, "rep")
-        full = checkpointed(sets_of(wanted, lambda found: found.tobytes(), "grams").select("rep", "grams"))
-        left, right = full.toDF("a", "grams_a"), full.toDF("b", "grams_b")
+        if pairs.isEmpty():
+            return pairs
+        degree = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("k")))
+        known = pairs.join(degree.toDF("a", "ka"), "a").join(degree.toDF("b", "kb"), "b")
+        ordered = known.select(F.when(F.col("kb") > F.col("ka"), F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(F.col("kb") > F.col("ka"), F.col("a")).otherwise(F.col("b")).alias("leaf"), F.greatest("ka", "kb").alias("k"))
+        ordered = ordered.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("k") / FAN)).cast("int").alias("salt"))
+        goes = ordered.select(F.col("hub").alias("rep"), "hub", "salt", F.lit(None).cast("long").alias("leaf")).distinct().union(ordered.select(F.col("leaf").alias("rep"), "hub", "salt", "leaf"))
+        wanted = checkpointed(goes.groupBy("rep").agg(F.collect_list(F.struct("hub", "salt", "leaf")).alias("goes")))
+        asked = checkpointed(active.join(wanted.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_set(F.struct("hi", "lo")).alias("names")).join(wanted, "rep"))
+        if 2 * (asked.agg(F.sum(F.size("goes"))).first()[0] or 0) <= MAX_SENT:
+            asked = F.broadcast(asked)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, powers = WordHashes(lower=True), Powers()
+            kinds = [("hub", pa.int64()), ("salt", pa.int32()), ("leaf", pa.int64()), ("grams", pa.binary())]
+
+            def batch_of(out: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True):
-                    p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    both = len(p) + len(q) - len(np.union1d(p, q))
-                    keep.append(den * both >= num * (len(p) + len(q) - both))
-                mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                out, size = [], 0
+                for names, goes, words in zip(batch.column("names").to_pylist(), batch.column("goes").to_pylist(), hashes.of_column(batch.column("text")), strict=True):
+                    found = grams(words, width, powers)
+                    if not len(found) or dict(zip(("hi", "lo"), digest(found), strict=True)) not in names:
+                        continue
+                    data = found.tobytes()
+                    for x in goes:
+                        out.append((x["hub"], x["salt"], x["leaf"], data))
+                        size += len(data)
+                        if size > 1 << 23:
+                            yield batch_of(out)
+                            out, size = [], 0
+                if out:
+                    yield batch_of(out)
 
-        # repeated rows of one id yield repeated sets
-        return checkpointed(pairs.join(right, "b").join(left, "a").mapInArrow(check, "a long, b long").distinct())
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, hubs = None, {}
+            for batch in batches:
+                a, b = [], []
+                for hub, salt, leaf, data in zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "leaf", "grams")), strict=True):
+                    if (hub, salt) != at:
+                        at, hubs = (hub, salt), {}
+                    if leaf is None:
+                        hubs[data] = np.frombuffer(data, dtype=np.uint64)
+                        continue
+                    y = np.frombuffer(data, dtype=np.uint64)
+                    for x in hubs.values():
+                        if not min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
+                            continue
+                        both = np.sort(np.concatenate([x, y]))
+                        shared = int((both[1:] == both[:-1]).sum())
+                        if den * shared >= num * (len(x) + len(y) - shared):
+                            a.append(hub)
+                            b.append(leaf)
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        sets_sent = rows.join(asked, rows["id"] == asked["rep"]).select("names", "goes", "text").mapInArrow(send, "hub long, salt int, leaf long, grams binary")
+        # a hub's own sets come before its leaves'
+        return checkpointed(sets_sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("leaf").asc_nulls_first()).mapInArrow(check, "a long, b long").distinct())
 
     same_id = sets.where("n > 0").join(classes, ["hi", "lo"]).select("id", "rep")
     tied = same_id.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
 
-    def proposed(comps: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of classes of different components that pass the filters: each class's nearest, or all."""
-        looked = members.where(F.col("nth") <= FIRST) if nearest else members
-        placed = looked.join(comps, F.col("rep") == F.col("node"), "left").select("key", "n", "pos", "rep", "text_no", F.coalesce("comp", "rep").alias("comp"))
-        open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        spread = placed.join(open_keys, "key").join(sketches, ["rep", "text_no"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "pos", "rep", "comp", "sketch")
+    def proposed(comps: DataFrame, turn: int) -> DataFrame:
+        """Pairs of classes of different components that pass the filters: each class's nearest, or (turn 0) all."""
+        looked = members.where(F.col("nth") <= FIRST) if turn else members
+        placed = looked.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
+        if turn:
+            seated = placed.withColumns({"host": F.col("own"), "guest": F.lit(0), "visits": F.lit(False)})
+        else:
+            placed = checkpointed(placed)
+            by_comp = placed.groupBy("key", "blocks", "comp").agg(F.count(F.lit(1)).alias("k"))
+            open_keys = by_comp.groupBy("key", "blocks").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"))
+            outside = F.col("all") - F.col("most")
+            open_keys = open_keys.where(outside > 0).select("key", "blocks", "top", F.ceil(outside / BLOCK).cast("int").alias("seats"))
+            open_keys = open_keys.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            open_rows = placed.join(open_keys, ["key", "blocks", "own"])
+            hosts = open_rows.withColumns({"host": F.col("own"), "guest": F.explode(F.sequence(F.lit(0), F.col("seats") - 1)), "visits": F.lit(False)})
+            guests = open_rows.where("comp <> top").withColumns({"host": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "guest": F.pmod(F.xxhash64("rep"), F.col("seats")).cast("int"), "visits": F.lit(True)})
+            seated = hosts.unionByName(guests)
+        seated = seated.join(sketches, ["rep", "text_no"]).select("key", "host", "guest", "visits", "n", "pos", "rep", "comp", "sketch")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-            state, best = None, {}
+            held: list[pa.Table] = []
+            found: list[tuple] = []
+
+            def reduced() -> tuple:
+                out = least_of(*(np.concatenate(c) for c in zip(*found, strict=True)), bool(turn))
+                found.clear()
+                return out
 
             def close() -> None:
-                own, n, pos, rep, comp = (np.array(c) for c in list(zip(*held, strict=True))[:5])
-                cells = np.frombuffer(b"".join(h[5] for h in held), dtype=np.uint64).reshape(len(held), -1)
-                group = {"n": n, "pos": pos, "rep": rep, "comp": comp, "sketch": cells}
-                # of two components one is not the largest: its members against all others
-                names, times = np.unique(comp, return_counts=True)
-                small = comp != names[times.argmax()]
-                first, second = own == state[1], own == state[2]
-                sides = [(first & small, second)] if state[1] == state[2] else [(first & small, second), (first & ~small, second & small)]
-                of = lambda mask: {k: v[mask] for k, v in group.items()}
-                for one, other in sides:
-                    left, right = of(one), of(other)
-                    for at in range(0, len(left["n"]), 512):
-                        part = {k: v[at : at + 512] for k, v in left.items()}
-                        propose(distances(part, right, num, den), part["rep"], right["rep"])
-
-            def propose(d: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
-                if not nearest:
-                    x, y = np.nonzero(d >= 0)
-                    best.update(dict.fromkeys(zip(np.minimum(rows[x], cols[y]).tolist(), np.maximum(rows[x], cols[y]).tolist(), strict=True), 0))
-                    return
-                for m, us, them in ((d, rows, cols), (d.T, cols, rows)):
-                    if not m.size:
-                        continue
-                    far = np.where(m < 0, 1 << 40, m)
-                    near = far.argmin(1)
-                    for x in np.flatnonzero(far[np.arange(len(us)), near] < 1 << 40).tolist():
-                        got = (int(far[x, near[x]]), int(them[near[x]]))
-                        if got < best.get(int(us[x]), (1 << 50,)):
-                            best[int(us[x])] = got
-
-            def out() -> pa.RecordBatch:
-                found = [(a, b, d) for a, (d, b) in best.items()] if nearest else [(a, b, 0) for a, b in best]
-                best.clear()
-                columns = list(zip(*found, strict=True)) or [[], [], []]
-                return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b", "d"])
+                for x, y, d in Meeting(held, num, den).pairs(bool(turn)):
+                    found.append((np.r_[x, y], np.r_[y, x], np.r_[d, d]) if turn else (np.minimum(x, y), np.maximum(x, y), d))
+                    if sum(len(f[0]) for f in found) > 1_000_000:
+                        found.append(reduced())
+                held.clear()
 
+            rows_held, last = 0, None
             for batch in batches:
-                for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "n", "pos", "rep", "comp", "sketch")), strict=True):
-                    if (key, i, j) != state and held:
-                        close()
-                        held.clear()
-                        if len(best) > 300_000:
-                            yield out()
-                    state = key, i, j
-                    held.append(tuple(row))
+                t = pa.Table.from_batches([batch])
+                if not len(t):
+                    continue
+                key, host, guest = (t[c].to_numpy() for c in ("key", "host", "guest"))
+                change = np.r_[last is None or last != (key[0], host[0], guest[0]), (key[1:] != key[:-1]) | (host[1:] != host[:-1]) | (guest[1:] != guest[:-1])]
+                last = key[-1], host[-1], guest[-1]
+                # groups are whole up to the last change
+                cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
+                base = int(held[-1]["group"][-1].as_py()) if held else -1
+                t = t.append_column("group", pa.array(base + np.cumsum(change))).select(list(Meeting.NAMES))
+                if change.any() and rows_held + cut > 20_000:
+                    held.append(t.slice(0, cut))
+                    close()
+                    held.append(t.slice(cut))
+                    rows_held = len(t) - cut
+                    if sum(len(f[0]) for f in found) > 300_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in reduced()], names=["a", "b", "d"])
+                else:
+                    held.append(t)
+                    rows_held += len(t)
             if held:
                 close()
-            yield out()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in reduced()], names=["a", "b", "d"])
 
-        found = spread.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long, d long")
-        return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")) if nearest else found.select("a", "b")
+        found = seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(across, "a long, b long, d long")
+        return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")) if turn else found.select("a", "b")
 
     comps = checkpointed(components(tied))
-    for nearest in [True] * ROUNDS + [False]:
-        found = verify(proposed(comps, nearest))
+    for turn in [*range(1, ROUNDS + 1), 0]:
+        found = verify(proposed(comps, turn))
+        if found.isEmpty():
+            continue
         comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)))
+    discard(members, sketches)
     named = sets.join(classes, ["hi", "lo"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return named.groupBy("id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min(F.coalesce("comp", "rep")), F.first("id")).alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id")
-
-
-def pack(rows: np.ndarray, hists: list[np.ndarray]) -> bytes:
-    """Postings, with what a class has in common written once."""
-    own, first, index = np.unique(rows["cls"], return_index=True, return_inverse=True)
-    of = rows[first]
-    head = np.array([len(rows), len(own)], dtype=np.int64)
-    return head.tobytes() + b"".join(x.tobytes() for x in (rows["key"], rows["pos"], index.astype(np.uint32), of["hi"], of["lo"], of["n"], *(hists[c] for c in own.tolist())))
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
-    place = 16
-
-    def take(kind, count):
-        nonlocal place
-        out = np.frombuffer(data, dtype=kind, count=count, offset=place)
-        place += out.nbytes
-        return out
-
-    key, pos, index = take(np.uint64, n), take(np.int32, n), take(np.uint32, n)
-    hi, lo, size = take(np.int64, m), take(np.int64, m), take(np.int32, m)
-    out = np.empty(n, dtype=POSTING)
-    out["key"], out["pos"], out["hi"], out["lo"], out["n"], out["cls"] = key, pos, hi[index], lo[index], size[index], index
-    return out, [take(np.uint8, ranges_for(int(k))) for k in size]

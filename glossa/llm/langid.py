@@ -183,7 +183,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = worker_slot("languages", key, lambda: Scores(Model(*sent.value)))
+        scores = worker_slot(f"languages {key}", lambda: Scores(Model(*sent.value)))
         for batch in batches:
             found = [scores.judge(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, texts_of, worker_state
+from .common import checkpointed, texts_of, worker_slot
 
 CAPACITY, STEP, END_ID = 4096, 8, 2
 
@@ -83,7 +83,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
     width = 4 * CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_state(f"tokens {tokenizer}", lambda: TokenCache(tokenizer))
+        cache = worker_slot(f"tokens {tokenizer}", lambda: TokenCache(tokenizer))
         for batch in batches:
             out: list[tuple] = []
             for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):

@@ -1,26 +1,30 @@
 """Removal of repeated passages: Rabin-Karp hashes of every token window.
 
-Every window of ``window`` consecutive words is hashed.  A map task first
-settles the windows that repeat among its own documents and sends one entry a
-distinct hash onwards, so that no passage, however common, sends more than one
-entry a task.  Entries meet by hash bucket; each reply names a document and its
-windows that also start in a document with a smaller id.  Replies and documents
-meet by a hash of the id, in parts of bounded size, where removed windows merge
-into maximal intervals.
+Every window of ``window`` consecutive words is hashed, to 80 bits: by chance
+about n**2 / 2**81 of the pairs among n distinct windows are taken for equal.  A
+map task first settles the windows that repeat among its own documents and sends
+one entry a distinct hash onwards, so that no passage, however common, sends more
+than one entry a task.  Entries meet by hash bucket; each reply names a document
+and its windows that also start in a document with a smaller id.  Replies and
+documents meet by a hash of id and text, in parts of bounded size, where removed
+windows merge into maximal intervals.
 
 What is shuffled: about ten bytes a distinct window and task, the replies, and
 the texts once.
 
 Defined cases: a word is a run of bytes other than space and \\x09-\\x0D; null
 and empty texts have no words; texts shorter than a window lose nothing; rows
-that share a doc_id count as one document for "smaller id"; a row with a null
-doc_id is kept whole and removes nothing elsewhere; other columns are kept.
+that share a doc_id count as one document for "smaller id", so repeated rows and
+ids that tie remove nothing from one another; a row with a null doc_id is kept
+whole and removes nothing elsewhere; an id that is no whole number is an error; an
+empty table gives none; a very long text is hashed in pieces and takes some tens
+of bytes a word; other columns are kept, whatever their names, but for n_words,
+n_removed and removed, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, Powers, hashes_of, rolling, texts_of, words_of, worker_state
-
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+from .common import SPACE, Powers, WordHashes, mixed, rolling, texts_of, unused
 
 #: windows that a map task holds at once, and those aimed at for a bucket
 FLUSH, BUCKET = 1_000_000, 1_000_000
@@ -41,39 +43,53 @@ FLUSH, BUCKET = 1_000_000, 1_000_000
 ROW = [("bucket", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), ("keys", pa.binary()), ("who", pa.binary())]
 ROW_DDL = "bucket int, kind tinyint, part int, keys binary, who binary"
 
+#: a document as it is named between tasks: its id, and a byte of its text so that rows of one id spread
+NAME = np.dtype([("id", np.int64), ("tag", np.uint8)])
+
+#: makes the second hash of a window independent of the first
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
-def part_of(value: int, parts: int) -> int:
+
+def part_of(value: int, tag: int, parts: int) -> int:
     """The part of a document; ``part_column`` says the same in SQL."""
-    return zlib.crc32(str(value).encode()) % parts
+    return zlib.crc32(f"{value} {tag}".encode()) % parts
 
 
 def part_column(value: Column, text: Column, parts: int) -> Column:
     """Documents without an id go by their text."""
-    return F.pmod(F.crc32(F.coalesce(value.cast("string"), text, F.lit("")).cast("binary")), F.lit(parts)).cast("int")
+    text = F.coalesce(text, F.lit("")).cast("binary")
+    name = F.concat_ws(" ", value.cast("string"), F.pmod(F.crc32(text), F.lit(256)).cast("string"))
+    return F.pmod(F.when(value.isNull(), F.crc32(text)).otherwise(F.crc32(name.cast("binary"))), F.lit(parts)).cast("int")
+
 
+def window_hashes(words: np.ndarray, window: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 16 bits of each window."""
+    return rolling(words, window, powers), (rolling(mixed(words ^ OTHER), window, powers) >> np.uint64(48)).astype(np.uint16)
 
-def addressed(ids: np.ndarray, values: np.ndarray, kind: int, parts: int, bits: int) -> list[tuple]:
-    """Rows for the parts of some documents; ids sorted, a value (or a text's digest and an interval) for each."""
-    cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)] if len(ids) else np.array([0])
-    owners, counts = ids[cuts[:-1]], np.diff(cuts)
-    part = np.array([part_of(i, parts) for i in owners.tolist()], dtype=np.int64)
+
+def addressed(names: np.ndarray, values: np.ndarray, kind: int, parts: int, bits: int) -> list[tuple]:
+    """Rows for the parts of some documents; names sorted, a value (or a text's digest and an interval) for each."""
+    cuts = np.r_[0, np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)] if len(names) else np.array([0])
+    owners, counts = names[cuts[:-1]], np.diff(cuts)
+    part = np.array([part_of(*x, parts) for x in owners.tolist()], dtype=np.int64)
     rows = []
     for p in np.unique(part):
         own = np.flatnonzero(part == p)
         data = np.concatenate([values[cuts[k] : cuts[k + 1]] for k in own])
-        head = np.r_[len(own), owners[own], counts[own]].astype(np.int64)
+        head = np.r_[len(own), owners["id"][own], owners["tag"][own].astype(np.int64), counts[own]].astype(np.int64)
         rows.append((int(p) % (1 << bits), kind, int(p), data.tobytes(), head.tobytes()))
     return rows
 
 
-def delivered(kind: int, keys: bytes, who: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, its values) of an addressed row."""
+def delivered(kind: int, keys: bytes, who: bytes) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """(document's name, its values) of an addressed row."""
     head = np.frombuffer(who, dtype=np.int64)
     n = int(head[0])
     values = np.frombuffer(keys, dtype=np.uint64) if kind == 2 else np.frombuffer(keys, dtype=np.int32).reshape(-1, 4)
-    ends = np.cumsum(head[1 + n :])
-    for i, a, b in zip(head[1 : 1 + n].tolist(), (ends - head[1 + n :]).tolist(), ends.tolist(), strict=True):
-        yield i, values[a:b]
+    ids, tags, counts = head[1:].reshape(3, n)
+    ends = np.cumsum(counts)
+    for i, t, a, b in zip(ids.tolist(), tags.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+        yield (i, t), values[a:b]
 
 
 def text_digest(text: bytes) -> np.ndarray:
@@ -81,35 +97,44 @@ def text_digest(text: bytes) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), dtype=np.int32)
 
 
-def planes(keys: np.ndarray, drop: int) -> bytes:
-    """Sorted 64-bit keys byte by byte, without the bytes that the bucket tells."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, drop:].T).tobytes()
+def planes(values: np.ndarray, drop: int = 0) -> bytes:
+    """Integers byte by byte, the highest first, without the first ``drop`` bytes."""
+    size = values.dtype.itemsize
+    return np.ascontiguousarray(values.astype(f">u{size}").view(np.uint8).reshape(-1, size)[:, drop:].T).tobytes()
 
 
-def unplanes(data: bytes, drop: int, bucket: int, bits: int) -> np.ndarray:
-    n = len(data) // (8 - drop)
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, drop:] = np.frombuffer(data, dtype=np.uint8).reshape(8 - drop, n).T
-    keys = out.view(">u8").ravel().astype(np.uint64)
-    return keys | np.uint64((bucket << (64 - bits)) & (((1 << (8 * drop)) - 1) << (64 - 8 * drop)))
+def unplanes(data: np.ndarray, n: int, kind, drop: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    out = np.zeros((n, size), dtype=np.uint8)
+    out[:, drop:] = data.reshape(size - drop, n).T
+    return out.view(f">u{size}").ravel().astype(kind)
 
 
-def send(keys: np.ndarray, who: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple]:
-    """Rows for sorted keys; who: an index into ids for each."""
+def send(keys: np.ndarray, extra: np.ndarray, who: np.ndarray, names: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Rows for hashes; who: an index into names, sorted by id, for each."""
     drop, bucket = bits // 8, (keys >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((who, bucket))
+    keys, extra, who, bucket = keys[order], extra[order], who[order], bucket[order]
     cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)] if len(keys) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own, index = np.unique(who[a:b], return_inverse=True)
-        small = index.astype(np.uint16 if len(own) <= 65536 else np.uint32)
-        head = np.array([len(own), small.itemsize], dtype=np.int64)
-        yield int(bucket[a]), 0, 0, planes(keys[a:b], drop), head.tobytes() + ids[own].tobytes() + small.tobytes()
-
-
-def receive(bucket: int, keys: bytes, who: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n, width = np.frombuffer(who, dtype=np.int64, count=2)
-    ids = np.frombuffer(who, dtype=np.int64, count=n, offset=16)
-    index = np.frombuffer(who, dtype=np.uint16 if width == 2 else np.uint32, offset=16 + 8 * n)
-    return unplanes(keys, bits // 8, bucket, bits), ids[index]
+        own, counts = np.unique(who[a:b], return_counts=True)
+        ids = names["id"][own]
+        # gaps between ids, modulo 2**64, are short
+        gaps = np.diff(ids.view(np.uint64), prepend=np.uint64(0))
+        head = np.array([len(own), b - a], dtype=np.int64).tobytes()
+        yield int(bucket[a]), 0, 0, planes(keys[a:b], drop) + planes(extra[a:b]), head + planes(gaps) + names["tag"][own].tobytes() + planes(counts.astype(np.uint32))
+
+
+def receive(bucket: int, keys: bytes, who: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (64 and 16 bits) and the documents' names."""
+    m, n = np.frombuffer(who, dtype=np.int64, count=2).tolist()
+    drop, rest, data = bits // 8, np.frombuffer(who, dtype=np.uint8, offset=16), np.frombuffer(keys, dtype=np.uint8)
+    names = np.empty(m, dtype=NAME)
+    names["id"] = np.cumsum(unplanes(rest[: 8 * m], m, np.uint64), dtype=np.uint64).view(np.int64)
+    names["tag"] = rest[8 * m : 9 * m]
+    counts = unplanes(rest[9 * m :], m, np.uint32)
+    own = unplanes(data[: (8 - drop) * n], n, np.uint64, drop) | np.uint64((bucket << (64 - bits)) & (((1 << (8 * drop)) - 1) << (64 - 8 * drop)))
+    return own, unplanes(data[(8 - drop) * n :], n, np.uint16), np.repeat(names, counts)
 
 
 def intervals(starts: np.ndarray, window: int) -> np.ndarray:
@@ -135,20 +160,35 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, ROW, strict=True)], names=[n for n, _ in ROW])
 
 
-def settle(ids: list[int], found: list[np.ndarray], digests: list[np.ndarray], window: int, bits: int, parts: int) -> list[tuple]:
+def by_hash(keys: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by both hashes, and where in it a new one starts."""
+    order = np.argsort(keys, kind="stable")
+    k, e = keys[order], extra[order]
+    same = k[1:] == k[:-1]
+    if (same & (e[1:] != e[:-1])).any():
+        order = np.lexsort((extra, keys))
+        k, e = keys[order], extra[order]
+        same = (k[1:] == k[:-1]) & (e[1:] == e[:-1])
+    return order, np.r_[True, ~same] if len(k) else np.zeros(0, bool)
+
+
+def settle(names: np.ndarray, found: list[tuple], digests: list[np.ndarray], window: int, bits: int, parts: int) -> list[tuple]:
     """Rows to send for the windows of some documents."""
-    by_id = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
-    ids_sorted = np.array(ids, dtype=np.int64)[by_id]
-    lengths = np.array([len(found[i]) for i in by_id])
-    keys = np.concatenate([found[i] for i in by_id])
+    by_id = np.lexsort((names["tag"], names["id"]))
+    names = names[by_id]
+    lengths = np.array([len(found[i][0]) for i in by_id])
+    keys, extra = (np.concatenate([found[i][c] for i in by_id]) for c in (0, 1))
+    found.clear()
     doc = np.repeat(np.arange(len(by_id), dtype=np.int32), lengths)
     place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-    order = np.argsort(keys, kind="stable")
-    keys, doc, place = keys[order], doc[order], place[order]
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    order, first = by_hash(keys, extra)
+    keys, extra, doc, place = keys[order], extra[order], doc[order], place[order]
     least = doc[first][np.cumsum(first) - 1]
-    late = ids_sorted[doc] > ids_sorted[least]
-    rows = list(send(keys[first], doc[first], ids_sorted, bits))
+    late = names["id"][doc] > names["id"][least]
+    # rows of one id are answered by tag
+    tag = names["tag"][doc]
+    sent = first | (~late & np.r_[True, tag[1:] != tag[:-1]]) if len(doc) else first
+    rows = list(send(keys[sent], extra[sent], doc[sent], names, bits))
     doc, place = doc[late], place[late]
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
@@ -156,8 +196,8 @@ def settle(ids: list[int], found: list[np.ndarray], digests: list[np.ndarray], w
     spans = [intervals(place[a:b].astype(np.int64), window).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     if spans:
         sizes = [len(x) for x in spans]
-        owners = np.repeat(ids_sorted[doc[cuts[:-1]]], sizes)
         # rows that share an id have their own indices
+        owners = np.repeat(names[doc[cuts[:-1]]], sizes)
         of = np.repeat(np.stack([digests[by_id[d]] for d in doc[cuts[:-1]]]), sizes, axis=0)
         rows += addressed(owners, np.concatenate([of, np.concatenate(spans)], axis=1), 1, parts, bits)
     return rows
@@ -166,52 +206,64 @@ def settle(ids: list[int], found: list[np.ndarray], digests: list[np.ndarray], w
 def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """What is to be removed from documents, addressed to their parts, and the number of parts."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(np.ceil(np.log2(max(size / 6 / BUCKET, 1)))))
     parts = int(min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // (2 * BUCKET))))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers, ids, held, n = worker_state("words", HashCache), Powers(), [], [], 0
+        hashes, powers = WordHashes(lower=False), Powers()
+        names: list[tuple] = []
+        held: list[tuple] = []
         digests: list[np.ndarray] = []
+        n = 0
+
+        def close() -> pa.RecordBatch:
+            out = as_batch(settle(np.array(names, dtype=NAME), held, digests, window, bits, parts))
+            names.clear()
+            digests.clear()
+            return out
+
         for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
-                if i is None:
-                    continue
-                found = rolling(hashes_of(words_of(text), cache), window, powers)
-                if len(found):
-                    ids.append(i)
-                    held.append(found)
-                    digests.append(text_digest(text))
-                    n += len(found)
+            text = batch.column("text").cast(pa.binary())
+            for k, (i, words) in enumerate(zip(batch.column("id").to_pylist(), hashes.of_column(text), strict=True)):
+                if len(words) >= window:
+                    own = text[k].as_py()
+                    names.append((i, zlib.crc32(own) & 255))
+                    held.append(window_hashes(words, window, powers))
+                    digests.append(text_digest(own))
+                    n += len(words)
                 if n >= FLUSH:
-                    yield as_batch(settle(ids, held, digests, window, bits, parts))
-                    ids, held, digests, n = [], [], [], 0
+                    yield close()
+                    n = 0
         if n:
-            yield as_batch(settle(ids, held, digests, window, bits, parts))
+            yield close()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, ids = None, [], []
-        out_ids: list[np.ndarray] = []
-        out_keys: list[np.ndarray] = []
+        bucket, held = None, []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def close() -> None:
-            k, i = np.concatenate(keys), np.concatenate(ids)
-            order = np.lexsort((i, k))
-            k, i = k[order], i[order]
-            first = np.r_[True, k[1:] != k[:-1]]
-            late = i > i[first][np.cumsum(first) - 1]
-            out_ids.append(i[late])
-            out_keys.append(k[late])
+            k, e, who = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(k)
+            again = np.r_[k[order][1:] == k[order][:-1], False]
+            again[1:] |= again[:-1]
+            order = order[again]  # hashes that stand alone have no reply
+            k, e, who = k[order], e[order], who[order]
+            order = np.lexsort((who["id"], e, k))
+            k, e, who = k[order], e[order], who[order]
+            first = np.r_[True, (k[1:] != k[:-1]) | (e[1:] != e[:-1])] if len(k) else np.zeros(0, bool)
+            late = who["id"] > who["id"][first][np.cumsum(first) - 1]
+            out.append((who[late], k[late]))
 
         def replies() -> list[tuple]:
-            if not out_ids:
+            if not out:
                 return []
-            i, k = np.concatenate(out_ids), np.concatenate(out_keys)
-            out_ids.clear()
-            out_keys.clear()
-            order = np.argsort(i, kind="stable")
-            return addressed(i[order], k[order], 2, parts, bits)
+            who, k = (np.concatenate(c) for c in zip(*out, strict=True))
+            out.clear()
+            order = np.lexsort((who["tag"], who["id"]))
+            return addressed(who[order], k[order], 2, parts, bits)
 
         for batch in batches:
             settled = []
@@ -219,18 +271,15 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
                 if kind:
                     settled.append((0, kind, part, data, who))
                     continue
-                if b != bucket and keys:
+                if b != bucket and held:
                     close()
-                    keys, ids = [], []
-                    if sum(map(len, out_ids)) > FLUSH:
+                    if sum(len(k) for _, k in out) > FLUSH:
                         yield as_batch(replies())
                 bucket = b
-                k, i = receive(b, data, who, bits)
-                keys.append(k)
-                ids.append(i)
+                held.append(receive(b, data, who, bits))
             if settled:
                 yield as_batch(settled)
-        if keys:
+        if held:
             close()
         if last := replies():
             yield as_batch(last)
@@ -241,11 +290,12 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
 
 def cut_text(text: bytes, spans: np.ndarray) -> bytes:
     """The text without the words of the intervals and the space after each."""
-    at = [m.span() for m in WORD.finditer(text)]
+    word = ~SPACE[np.frombuffer(text, dtype=np.uint8)]
+    starts = np.flatnonzero(word & np.r_[True, ~word[:-1]])
     out, done = [], 0
     for a, b in spans.tolist():
-        out.append(text[done : at[a][0]])
-        done = at[b][0] if b < len(at) else len(text)
+        out.append(text[done : starts[a]])
+        done = int(starts[b]) if b < len(starts) else len(text)
     out.append(text[done:])
     return b"".join(out)
 
@@ -261,25 +311,27 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
     found, parts = removals(docs, window, id_col, text_col)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
+    whole_id, part = unused("id", kept), unused("part", kept)
 
     def cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        cache, powers = worker_state("words", HashCache), Powers()
-        settled: dict[int, list[np.ndarray]] = {}
-        keys: dict[int, list[np.ndarray]] = {}
+        hashes, powers = WordHashes(lower=False), Powers()
+        settled: dict[tuple, list[np.ndarray]] = {}
+        keys: dict[tuple, list[np.ndarray]] = {}
         for kind, data, who in zip(*(replies.column(c).to_pylist() for c in ("kind", "keys", "who")), strict=True):
-            for i, values in delivered(kind, data, who):
-                (settled if kind == 1 else keys).setdefault(i, []).append(values)
-        given = rows.column(text_col).combine_chunks().cast(pa.binary()).to_pylist()
+            for name, values in delivered(kind, data, who):
+                (settled if kind == 1 else keys).setdefault(name, []).append(values)
+        given = rows.column(text_col).cast(pa.string()).combine_chunks().cast(pa.binary())
         texts, counts, gone, spans = [], [], [], []
-        for i, text in zip(rows.column("__id").to_pylist(), given, strict=True):
-            words = words_of(text)
+        for i, text, words in zip(rows.column(whole_id).to_pylist(), given, hashes.of_column(given), strict=True):
+            text = text.as_py()
+            name = (i, zlib.crc32(text or b"") & 255)
             span = []
-            if i in settled and i is not None and text:
+            if name in settled and text:
                 own = text_digest(text)
-                span = [x[(x[:, :2] == own).all(1), 2:].astype(np.int64) for x in settled[i]]
-            if i in keys and i is not None:
-                own = rolling(hashes_of(words, cache), window, powers)
-                span.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys[i]))), window))
+                span = [x[(x[:, :2] == own).all(1), 2:].astype(np.int64) for x in settled[name]]
+            if name in keys:
+                own = rolling(words, window, powers)
+                span.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys[name]))), window))
             span = joined(np.concatenate(span)) if span else np.zeros((0, 2), dtype=np.int64)
             texts.append(cut_text(text, span) if len(span) else text)
             counts.append(len(words))
@@ -290,8 +342,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
         return pa.table([values[n] if n in values else rows.column(n) for n in names], names=names)
 
     own_id = F.col(f"`{id_col}`").cast("long")
-    placed = docs.withColumns({"__id": own_id, "__part": part_column(own_id, F.col(f"`{text_col}`").cast("string"), parts)})
-    return placed.groupBy("__part").cogroup(found.groupBy("part")).applyInArrow(cut, schema)
+    placed = docs.withColumns({whole_id: own_id, part: part_column(own_id, F.col(f"`{text_col}`").cast("string"), parts)})
+    return placed.groupBy(part).cogroup(found.groupBy("part")).applyInArrow(cut, schema)
 
 
 SQL = r"""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossa.llm import jaccard
@@ -65,6 +66,16 @@ def test_large_family_in_small_blocks(spark, monkeypatch):
     assert found(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def test_hot_ngrams_are_kept_whole(spark, monkeypatch):
+    # workers get the module's functions by value, and with them these figures
+    for name, value in (("BLOCK", 4), ("HOT", 8), ("BUCKET", 40), ("FLUSH", 100), ("FAN", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(6)
+    rows = list(enumerate(family(rng, 40, 40, 3) * 2 + ["very common words " + t for t in family(rng, 30, 4, 4)] + family(rng, 25, 60, 4)))
+    assert found(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+    assert found(spark, rows, 1, 70, 100) == brute(rows, 1, 70, 100)
+
+
 def test_links_survive_a_shuffled_send(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MAX_SENT", 0)
     rng = random.Random(5)
@@ -101,7 +112,7 @@ def test_null_ids_and_extra_columns(spark):
 
 def test_filters_never_drop_a_link():
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 5, jaccard.COUNTERS).astype(np.uint16)
+    counts = rng.integers(0, 5, jaccard.COUNTERS).astype(np.uint32)
     for _ in range(300):
         base = np.unique(rng.integers(0, 2**64, rng.integers(1, 80), dtype=np.uint64))
         drop = rng.random(len(base)) < 0.08
@@ -109,38 +120,50 @@ def test_filters_never_drop_a_link():
         both = len(np.intersect1d(x, y))
         if not len(y) or 100 * both < 80 * (len(x) + len(y) - both):
             continue
-        p, q = (jaccard.prefix_of(s, counts, 80, 100) for s in (x, y))
+        p, q = (jaccard.prefix_of(s, counts, 80, 100)[0] for s in (x, y))
         shared = np.intersect1d(p, q)
         assert len(shared)
-        rows, sides = [], []
-        for s, prefix in ((x, p), (y, q)):
-            r = np.zeros(1, dtype=jaccard.POSTING)
-            r["n"], r["pos"] = len(s), np.flatnonzero(prefix == shared[0])[0]
-            r["cls"] = len(rows)
-            rows.append(r)
-            sides.append({"n": r["n"], "pos": r["pos"], "comp": np.array([len(sides)]), "sketch": np.frombuffer(jaccard.sketch(s), dtype=np.uint64)[None, :]})
-        hists = jaccard.Histograms([jaccard.histogram(x), jaccard.histogram(y)])
-        assert jaccard.passing(rows[0], rows[1], hists, 80, 100)[0]
-        assert jaccard.distances(*sides, 80, 100)[0, 0] >= 0
+        rows = np.zeros(2, dtype=jaccard.POSTING)
+        rows["n"], rows["pos"] = (len(x), len(y)), [np.flatnonzero(z == shared[0])[0] for z in (p, q)]
+        assert jaccard.with_partner(rows, 80, 100).all()
+        meeting = pa.table({"group": [0, 0], "visits": [False, True], "n": rows["n"], "pos": rows["pos"], "rep": [5, 6], "comp": [5, 6], "sketch": [jaccard.sketch(x), jaccard.sketch(y)]})
+        for nearest in (True, False):
+            assert sum(len(a) for a, _, _ in jaccard.Meeting([meeting], 80, 100).pairs(nearest)) == 1
 
 
 def test_postings_round_trip():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (3, 40, 900, 70000)]
-    hists = [jaccard.histogram(x) for x in sets]
-    rows = np.zeros(50, dtype=jaccard.POSTING)
-    rows["key"], rows["cls"], rows["pos"] = rng.integers(0, 2**64, 50, dtype=np.uint64), np.arange(50) % 4, np.arange(50)
-    rows["hi"], rows["lo"], rows["n"] = rows["cls"] * 7, rows["cls"] * 3, np.array([len(x) for x in sets])[rows["cls"]]
-    back, own = jaccard.unpack(jaccard.pack(rows, hists))
-    assert (back == rows).all() and all((a == b).all() for a, b in zip(own, hists, strict=True))
+    for classes in (4, 70000):
+        rows = np.zeros(100000, dtype=jaccard.POSTING)
+        own = rng.integers(0, classes, len(rows))
+        rows["key"], rows["pos"] = rng.integers(0, 2**48, len(rows)), rng.integers(0, 70000, len(rows))
+        rows["hi"], rows["n"], rows["blocks"] = own * 7 - 2**62, own + 1, rng.choice([1, 1, 1, 5], len(rows))
+        assert (jaccard.unpack(jaccard.pack(rows)) == rows).all()
 
 
-def test_histograms_bound_the_difference():
+def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
-    for n in (5, 30, 500, 520, 1030, 2040, 9000, 40000):
+    for n in (1, 5, 30, 500, 520, 1030, 2040, 9000, 40000):
         x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 2**64, n // 30, dtype=np.uint64)]))
-        assert jaccard.Histograms([jaccard.histogram(x), jaccard.histogram(y)]).apart(np.array([0]), np.array([1]))[0] <= len(np.setxor1d(x, y))
+        if len(y):
+            assert jaccard.Sketches([jaccard.sketch(x), jaccard.sketch(y)]).apart(np.array([0]), np.array([1]))[0] <= len(np.setxor1d(x, y))
+
+
+def test_pairs_of_a_meeting_are_those_of_two_loops():
+    rng = np.random.default_rng(3)
+    n = 400
+    group, visits = np.sort(rng.integers(0, 40, n)), rng.random(n) < 0.4
+    order = np.lexsort((visits, group))
+    group, visits = group[order], visits[order]
+    sets = [np.unique(rng.integers(0, 40, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(n)]
+    comp = rng.integers(0, 5, n)
+    meeting = pa.table({"group": group, "visits": visits, "n": [len(x) for x in sets], "pos": [0] * n, "rep": np.arange(n), "comp": comp, "sketch": [jaccard.sketch(x) for x in sets]})
+    for nearest in (True, False):
+        got = {(a, b) for x, y, _ in jaccard.Meeting([meeting], 1, 100).pairs(nearest) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        allowed = lambda i, j: (j < i if nearest else visits[i] and not visits[j])
+        want = {(i, j) for i in range(n) for j in range(n) if group[i] == group[j] and comp[i] != comp[j] and allowed(i, j)}
+        assert got <= want and len(got) > 0.9 * len(want)
 
 
 def test_stars_and_union_find_agree(spark):

@@ -80,15 +80,32 @@ def test_text_keeps_its_spacing_and_other_columns(spark):
     assert got[2].text == "one\n two" and got[2].bucket == 8 and got[3].text == "x  y" and got[1].kind == "x"
 
 
-def test_planes_round_trip():
+def test_sent_rows_round_trip():
     import numpy as np
 
-    keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
+    rng = np.random.default_rng(0)
+    keys, extra = rng.integers(0, 2**64, 1000, dtype=np.uint64), rng.integers(0, 2**16, 1000).astype(np.uint16)
+    names = np.array([(i, t) for i, t in zip([-(2**63), -5, 0, 0, 7, 2**40, 2**63 - 1], range(7), strict=True)], dtype=substrings.NAME)
+    who = np.arange(1000) % 7
     for bits in (8, 11, 16):
-        rows = list(substrings.send(keys, np.arange(1000) % 7, np.arange(7) * 10, bits))
+        rows = list(substrings.send(keys, extra, who, names, bits))
         back = [substrings.receive(b, k, w, bits) for b, _, _, k, w in rows]
-        assert (np.concatenate([k for k, _ in back]) == keys).all()
-        assert (np.concatenate([i for _, i in back]) == np.arange(1000) % 7 * 10).all()
+        got = sorted(zip(*(np.concatenate([x[c] for x in back]).tolist() for c in range(3)), strict=True))
+        assert got == sorted(zip(keys.tolist(), extra.tolist(), names[who].tolist(), strict=True))
+
+
+def test_equal_first_hashes_are_told_apart():
+    import numpy as np
+
+    keys, extra = np.array([5, 3, 5, 5, 3], dtype=np.uint64), np.array([1, 0, 2, 1, 0], dtype=np.uint16)
+    order, first = substrings.by_hash(keys, extra)
+    assert order.tolist() == [1, 4, 0, 3, 2] and first.tolist() == [True, False, True, False, True]
+
+
+def test_names_that_clash_and_ids_that_are_text(spark):
+    rows = spark.createDataFrame([("1", "a b c d", 5, 6, "x"), ("2", "z a b c", 7, 8, "y")], "doc_id string, text string, id int, part int, __id string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(rows, window=3).collect()}
+    assert got["2"].text == "z " and (got["2"].id, got["2"].part, got["2"]["__id"]) == (7, 8, "y")
 
 
 def test_digest_matches_the_kept_words(spark):
