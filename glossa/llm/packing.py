@@ -13,14 +13,16 @@ The driver holds the histogram (a number a class) and the patterns, never
 documents; ranks come from per-shard counts, so that a length that a third of
 all pieces share is no single task's work.
 
-Defined cases: a null text is an empty one and has only the end id; repeated
-rows are packed one by one; a null doc_id is kept; other columns are ignored.
+Defined cases: a null or empty text has only the end id; a very long one fills
+sequences of its own and leaves a rest; repeated rows are packed one by one;
+pieces of equal length are ranked by id, start and content; a null doc_id is
+kept, an id that is no whole number is an error; an empty table gives none; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,45 +39,60 @@ CAPACITY, STEP, END_ID = 4096, 8, 2
 #: most shards for ranks: with the classes, a bound on the rows of the offset table
 SHARDS = 512
 
-#: letters, then marks that always start a token of their own
-SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|*#$%&]+)")
+#: an added token that parts words which are tokenised together, if the tokenizer has it
+PARTING = "<|startoftext|>"
 
 
-class TokenCache(dict):
-    """word bytes -> its token ids, as little-endian 32-bit integers.
+class TokenCache:
+    """Token ids of texts, as little-endian 32-bit integers, made of those of their words.
 
     The tokenizer splits at white space and never joins across it, so a text's
-    ids are those of its words; a word's trailing marks are split off too.
+    ids are those of its words.  It ignores A-Z case but in added tokens, all of
+    which hold ``<|``; texts with that mark keep their case.  New words of some
+    texts are tokenised in one call; ``limit`` and ``size`` bound what is kept.
     """
 
-    limit = 600_000
+    limit, size, piece = 250_000, 1 << 24, 1 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) > self.limit:
-                self.parts.clear()
-            found = self.parts[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        simple = SIMPLE.fullmatch(text)
-        value = self.part(simple[1]) + self.part(simple[2]) if simple else self.part(text)
-        self[word] = value
-        return value
-
-    def encode(self, text: bytes | None) -> bytes:
-        if len(self) > self.limit:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split())) if text else b""
+        self.parting = self.tokenizer.token_to_id(PARTING)
+        self.ids: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if b"<|" not in w] if self.parting is not None else []
+        if plain:
+            found = np.array(self.tokenizer.encode(PARTING.join(w.decode() for w in plain), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.r_[-1, np.flatnonzero(found == self.parting), len(found)].tolist()
+            data = found.tobytes()
+            for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
+                self.ids[w] = data[4 * (a + 1) : 4 * b]
+        for w in words if self.parting is None else (w for w in words if b"<|" in w):
+            self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.held += sum(map(len, words))
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            words, size = [], 0
+            while at < len(texts) and size < self.piece:
+                text = texts[at] or b""
+                words.append((text if b"<|" in text else text.lower()).split())
+                size += len(text)
+                at += 1
+            distinct = set().union(*words)
+            new = distinct.difference(self.ids)
+            if len(self.ids) + len(new) > self.limit or self.held > self.size:
+                self.ids.clear()
+                self.held, new = 0, distinct
+            if new:
+                self.learn(sorted(new))
+            for own in words:
+                yield b"".join(map(self.ids.__getitem__, own))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
@@ -86,14 +103,14 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
         cache = worker_slot(f"tokens {tokenizer}", lambda: TokenCache(tokenizer))
         for batch in batches:
             out: list[tuple] = []
-            for i, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
-                ids = cache.encode(text) + end
+            for i, ids in zip(batch.column("id").to_pylist(), cache.encode(texts_of(batch)), strict=True):
+                ids += end
                 total = len(ids) // 4
                 out += [(i, at // 4, len(part) // 4, zlib.crc32(part), total) for at in range(0, len(ids), width) for part in (ids[at : at + width],)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

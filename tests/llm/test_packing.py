@@ -33,13 +33,16 @@ def check(spark, rows):
     return got
 
 
-TEXTS = ["It's the cat's \"hat\", don't... 12.5%!! |x| --- C++", "Ünïcode Straße İstanbul ΣΑΣ οδος é é 日本語 ½ ²", "<|endoftext|> x<|startoftext|>", "a b\x85c d \x1f e", "word,word;word!? ####%%% 'tis 'S 'lls", "", None, "𝔘𝔫𝔦 😀😀 tab\there\n\nnew", "A" * 3000, "don't,'s.", "a\x0bb\x0cc\rd"]
+TEXTS = ["It's the cat's \"hat\", don't... 12.5%!! |x| --- C++", "Ünïcode Straße İstanbul ΣΑΣ οδος é é 日本語 ½ ²", "<|endoftext|> x<|startoftext|>", "<|ENDOFTEXT|> X y<|StartOfText|> <|endoftext|>Z", "a b\x85c d \x1f e", "word,word;word!? ####%%% 'tis 'S 'lls", "", None, "𝔘𝔫𝔦 😀😀 tab\there\n\nnew", "A" * 3000, "don't,'s.", "a\x0bb\x0cc\rd"]
 
 
 def test_word_ids_equal_the_tokenizers_ids():
-    cache = packing.TokenCache(PATH)
-    for text in TEXTS:
-        assert cache.encode(text and text.encode()) + b"\x02\0\0\0" == ids_of(text).tobytes(), text
+    for limit in (250_000, 3):
+        cache = packing.TokenCache(PATH)
+        cache.limit = limit
+        cache.piece = 20
+        for text, ids in zip(TEXTS, cache.encode([t and t.encode() for t in TEXTS]), strict=True):
+            assert ids + b"\x02\0\0\0" == ids_of(text).tobytes(), text
 
 
 def test_pieces_of_odd_texts(spark):
@@ -79,3 +82,8 @@ def test_knapsack_equals_brute_force():
         assert sizes @ counts <= 20
         if best is not None:
             assert values @ counts == pytest.approx(best)
+
+
+def test_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a b", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, id int, size string")
+    assert sorted((r.doc_id, r.length) for r in packing.pack_documents(rows).collect()) == [(1, 3), (2, 1)]
