@@ -4,9 +4,14 @@ The rules are given to the operator, cut into tries of at most
 ``max_rules`` entries; each trie is shipped with the tasks, so what is sent at
 once has a fixed bound, and a longer rule list takes more than one pass.
 
-Defined cases: a null url or one without ``://`` has empty host and path and
-gets the default verdict; rules that fit equally long are decided for block;
-repeated rows are judged one by one; other columns are ignored.
+The longest rule is the one of most characters, host and path together, and not
+the one of the deepest host.
+
+Defined cases: a null or empty url or one without ``://`` has empty host and path
+and gets the default verdict; of rules that fit and are equally long one that
+blocks wins, then the one that sorts last; a null id is kept; a very long url is
+read whole; repeated rows are judged one by one; an empty table gives none; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -52,31 +57,31 @@ class Trie:
                 node = node.setdefault("next", {}).setdefault(segment, {})
             keep(node, last, verdict, rule)
 
-    def find(self, host: str, path: str) -> tuple[int, int, str, str] | None:
-        """(host labels, path length, rule, verdict) of the longest rule that fits."""
-        best, node, depth = None, self.root, 0
+    def find(self, host: str, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest rule that fits."""
+        best, node = None, self.root
         segments = path[1:].split("/") if path.startswith("/") else []
         for label in reversed(host.split(".")):
             node = node.get("hosts", {}).get(label)
             if node is None:
                 break
-            depth += 1
-            if hit := node.get("leaves", {}).get(""):
-                best = (depth, 0, *hit)
-            at, length = node.get("paths"), 1
-            found = None
+            fits = [node["leaves"][""]] if "" in node.get("leaves", {}) else []
+            at = node.get("paths")
             for segment in segments:
                 if at is None:
                     break
-                for n in at.get("lengths", ()):
-                    if hit := at["leaves"].get(segment[:n]) if n <= len(segment) else None:
-                        found = (depth, length + n, *hit)
+                fits += [at["leaves"][segment[:n]] for n in at.get("lengths", ()) if n <= len(segment) and segment[:n] in at["leaves"]]
                 at = at.get("next", {}).get(segment)
-                length += len(segment) + 1
-            best = found or best
+            best = max((x for x in (best, *fits) if x), key=rank, default=None)
         return best
 
 
+def rank(hit: tuple[str, str]) -> tuple:
+    """Longer rules go first, of equally long ones those that block, then the one that sorts last."""
+    rule, verdict = hit
+    return len(rule), verdict == "block", rule
+
+
 def keep(node: dict, last: str, verdict: str, rule: str) -> None:
     leaves = node.setdefault("leaves", {})
     if leaves.get(last, ("", "allow"))[1] != "block":
@@ -101,24 +106,20 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """One row per page: id, host, path, rule (null: none fits) and verdict."""
     kind = pages.schema[id_col].dataType.simpleString()
-    df = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), F.lit(None).cast("struct<labels:int,chars:int,rule:string,verdict:string>").alias("best"))
+    df = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("best"))
     for i in range(0, max(1, len(rules)), max_rules):
         trie = Trie(rules[i : i + max_rules])
 
         def run(batches: Iterator[pa.RecordBatch], trie: Trie = trie) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for url, old in zip(batch.column("url").to_pylist(), batch.column("best").to_pylist(), strict=True):
-                    hit = trie.find(*host_and_path(url))
-                    new = hit and dict(zip(("labels", "chars", "rule", "verdict"), hit, strict=True))
-                    rank = lambda x: (x["labels"], x["chars"], x["verdict"] == "block")
-                    out.append(max((x for x in (old, new) if x), key=rank, default=None))
-                best = pa.array(out, pa.struct([("labels", pa.int32()), ("chars", pa.int32()), ("rule", pa.string()), ("verdict", pa.string())]))
                 parts = [host_and_path(u) for u in batch.column("url").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("url"), best, pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string())], names=[id_col, "url", "best", "host", "path"])
+                olds = [x and (x["rule"], x["verdict"]) for x in batch.column("best").to_pylist()]
+                hits = [max((x for x in (old, trie.find(*p)) if x), key=rank, default=None) for old, p in zip(olds, parts, strict=True)]
+                best = pa.array([x and dict(zip(("rule", "verdict"), x, strict=True)) for x in hits], pa.struct([("rule", pa.string()), ("verdict", pa.string())]))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), best, pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string())], names=["id", "url", "best", "host", "path"])
 
-        df = df.select(id_col, "url", "best").mapInArrow(run, f"`{id_col}` {kind}, url string, best struct<labels:int,chars:int,rule:string,verdict:string>, host string, path string")
-    return df.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        df = df.select("id", "url", "best").mapInArrow(run, f"id {kind}, url string, best struct<rule:string,verdict:string>, host string, path string")
+    return df.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = r"""

@@ -10,7 +10,7 @@ def plain(url, rules):
     for verdict, rule in rules:
         rhost, slash, rpath = rule.partition("/")
         if (host == rhost or host.endswith("." + rhost)) and path.startswith(slash + rpath):
-            rank = (rhost.count("."), len(slash + rpath), verdict == "block")
+            rank = (len(rule), verdict == "block")
             best = max(best or (rank, rule, verdict), (rank, rule, verdict))
     return (host, path, best[1], best[2]) if best else (host, path, None, "allow")
 
@@ -37,6 +37,13 @@ def test_ties_block_and_host_rules(spark):
     assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(rows, rules).collect()} == {1: ("a.com/x", "block"), 2: ("b.com", "block"), 3: ("b.com/ok/", "allow"), 4: ("b.com", "block")}
 
 
+@pytest.mark.parametrize("max_rules", [200_000, 1])
+def test_a_long_path_beats_a_deep_host(spark, max_rules):
+    rules = [("block", "com/aaaaaaaaaaaaaaaa"), ("allow", "example.com/a")]
+    rows = spark.createDataFrame([(1, "http://www.example.com/aaaaaaaaaaaaaaaa"), (2, "http://www.example.com/ab")], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(rows, rules, max_rules=max_rules).collect()} == {1: ("com/aaaaaaaaaaaaaaaa", "block"), 2: ("example.com/a", "allow")}
+
+
 def test_empty(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
     assert urls.filter_urls(spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string"), []).first().verdict == "allow"
