@@ -6,12 +6,15 @@ each place the longest n-gram known, from four characters down to one.  A
 document's score is the sum over its words, turned into a probability.
 
 The model is fitted on at most about ``sample_docs`` labelled documents, whole
-texts, and keeps the ``words`` most frequent words of each language.  An n-gram's count is the
-number of distinct words of the sample that hold it, times how often each does.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0;
-without labelled documents everything is ``und``; ties go to the language that
-sorts first; repeated rows are judged one by one; other columns are ignored.
+texts, and holds all their words and n-grams.  An n-gram's count is the number of
+distinct words of the sample that hold it, times how often each does, so scores
+are the same however the table is split.
+
+Defined cases: a text that is null or empty or has no letter is ``und`` with score
+0; a very long text is judged whole; without labelled documents everything is
+``und``; ties go to the language that sorts first; a null id is not learnt from;
+repeated rows are judged one by one; an empty table gives none; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import checkpointed, crc_fold, texts_of, worker_slot
 
@@ -88,7 +90,7 @@ class Model:
 class Scores(dict):
     """white-space token -> row of a score table: a score per language, then 1 if the token has a letter."""
 
-    limit = 600_000
+    limit, size = 300_000, 1 << 25
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -98,6 +100,7 @@ class Scores(dict):
         self.clear()
         self.fresh: list[np.ndarray] = []
         self.lettered: list[bool] = []
+        self.held = 0
         self.filled, self.table = 0, np.zeros((4096, len(self.model.languages) + 1), dtype=np.float64)
 
     def __missing__(self, token: bytes) -> int:
@@ -105,6 +108,7 @@ class Scores(dict):
         self.fresh.append(self.model.word(words[0]) if len(words) == 1 else sum(map(self.model.word, words), np.zeros(len(self.model.languages))))
         self.lettered.append(bool(words))
         self[token] = self.filled + len(self.fresh) - 1
+        self.held += len(token)
         return self.filled + len(self.fresh) - 1
 
     def settle(self) -> None:
@@ -122,7 +126,7 @@ class Scores(dict):
             self.lettered.clear()
 
     def judge(self, text: bytes | None) -> tuple[str, float]:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.size:
             self.empty()
         tokens = text.split() if text else []
         index = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
@@ -135,7 +139,7 @@ class Scores(dict):
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_fold: int, folds: int, sample_docs: int, words: int, grams: int) -> Model:
+def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_fold: int, folds: int, sample_docs: int) -> Model:
     able = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_fold("id", folds), F.lit(held_fold)) != held_fold))
     total = able.count()
     share = min(1.0, sample_docs / max(total, 1))
@@ -169,16 +173,14 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, held_fold
     # n-grams count once a distinct word of the whole sample, however it is split in batches
     whole = checkpointed(sample.mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     pieces = whole.select("lang", "item").mapInArrow(parts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = whole.where("n > 1").select("lang", F.lit(0).alias("kind"), "item", "n").union(pieces)
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item"))
-    kept = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("kind") == 0, words).otherwise(grams)).select("lang", "kind", "item", "n").toArrow()
+    kept = whole.select("lang", F.lit(0).alias("kind"), "item", "n").union(pieces).toArrow()
     return Model.of(sorted(zip(*(kept[c].to_pylist() for c in ("lang", "kind", "item", "n")), strict=True)))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_fold: int = 2, folds: int = 4, sample_docs: int = 8000, words: int = 20_000, grams: int = 10_000) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_fold: int = 2, folds: int = 4, sample_docs: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, held_fold=held_fold, folds=folds, sample_docs=sample_docs, words=words, grams=grams)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.places, model.logs))  # (words + 4 * grams) entries a language at most
+    model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, held_fold=held_fold, folds=folds, sample_docs=sample_docs)
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.places, model.logs))  # what the sampled texts hold
     key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 

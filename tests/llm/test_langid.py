@@ -74,3 +74,33 @@ def test_scores_do_not_depend_on_batches(spark):
     finally:
         spark.conf.set(size, before)
     assert seen[0] == seen[1]
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    ids = [i for i in range(40) if crc_fold_py(i, 4) != 2][:4]
+    rows = [(i, "the same words", lang) for i, lang in zip(ids, ("bb", "aa", "bb", "aa"), strict=True)] + [(100, "same", None), (101, "unseen", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[100] == got[101] == ("aa", 0.5)
+
+
+def test_backoff_equals_a_plain_one(spark):
+    rng = random.Random(9)
+    rows = [(lang, k, "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) if not k else "".join(rng.choice("<abc>") for _ in range(k)), rng.randrange(1, 9)) for lang in ("x", "y") for k in (0, 1, 2, 3, 4) for _ in range(12)]
+    rows = list({(lang, k, t): (lang, k, t, n) for lang, k, t, n in rows}.values())
+    model = langid.Model.of(rows)
+
+    def log(lang, kind, text):
+        names, total = {t for _, k, t, _ in rows if k == kind}, sum(n for a, k, _, n in rows if a == lang and k == kind)
+        return np.log(sum(n for a, k, t, n in rows if (a, k, t) == (lang, kind, text)) + 0.5) - np.log(total + 0.5 * len(names))
+
+    for word in ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(60)]:
+        for j, lang in enumerate(("x", "y")):
+            if any(t == word for _, k, t, _ in rows if k == 0):
+                want = log(lang, 0, word)
+            else:
+                marked, parts = f"<{word}>", []
+                for i in range(len(marked)):
+                    known = [k for k in (4, 3, 2, 1) if i + k <= len(marked) and any((q, t) == (k, marked[i : i + k]) for _, q, t, _ in rows)]
+                    parts += [log(lang, known[0], marked[i : i + known[0]])] if known else []
+                want = sum(parts) / max(len(parts), 1)
+            assert abs(model.word(word)[j] - want) < 1e-9
