@@ -14,9 +14,10 @@ never features; the id only picks the fold.  It is fitted on at most about
 ``sample_rows`` positives and as many unlabelled documents, whole texts.
 
 Defined cases: null and empty texts have the statistics of an empty text and
-get a score; a document with both labels is no positive; without positives
-every score is 0.5; repeated rows are scored one by one; other columns are
-ignored or kept.
+get a score; a very long text is judged whole, at some tens of bytes a word; a
+document with both labels is no positive; a null id is not learnt from; without
+positives every score is 0.5; a score of 0.5 is accepted; repeated rows are scored
+one by one; an empty table gives none; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, texts_of
+from .common import crc_fold, texts_of, worker_slot
 
 SPAN = 40
 SYMBOLS = re.compile(r"[^\w\s]{2,}$|^[^\w\s]+$")
@@ -40,7 +41,7 @@ FEATURES = [*(f"{t}_{kind}" for t in TRAITS for kind in ("mean", "most", "least"
 class Tokens(dict):
     """white-space token -> row of its traits; emptied when large."""
 
-    limit = 300_000
+    limit, size = 200_000, 1 << 24
 
     def __init__(self) -> None:
         self.empty()
@@ -48,17 +49,18 @@ class Tokens(dict):
     def empty(self) -> None:
         self.clear()
         self.rows: list[tuple] = []
-        self.table, self.filled = np.zeros((1024, 9)), 0
+        self.table, self.filled, self.held = np.zeros((1024, 9)), 0, 0
 
     def __missing__(self, token: bytes) -> int:
         text = token.decode()
         letters = sum(map(str.isalpha, text))
         self.rows.append((letters > 1 and text.upper() == text, bool(SYMBOLS.search(text)), letters == 0 and not any(map(str.isdigit, text)), any(map(str.isdigit, text)), letters > 13, text[-1] in ".?", text[0].isupper(), letters, len(text)))
         self[token] = len(self.rows) - 1
+        self.held += len(token)
         return len(self.rows) - 1
 
     def traits(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.size:
             self.empty()
         index = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         if self.filled < len(self.rows):
@@ -163,7 +165,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.
 
 def features_of(rows: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Tokens()
+        cache = worker_slot("traits", Tokens)
         for batch in batches:
             found = [statistics(t, cache).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.binary())], names=[*keep, "features"])
@@ -203,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, judge = Tokens(), Additive(*state) if state else None
+        cache, judge = worker_slot("traits", Tokens), Additive(*state) if state else None
         for batch in batches:
             x = np.array([statistics(t, cache) for t in texts_of(batch)]).reshape(-1, len(FEATURES))
             scores = judge.score(x) if judge else np.full(len(x), 0.5)
@@ -221,7 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     state = model.edges, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, judge = Tokens(), Additive(*state)
+        cache, judge = worker_slot("traits", Tokens), Additive(*state)
         for batch in batches:
             if batch.num_rows:
                 scores = judge.score(np.array([statistics(t, cache) for t in texts_of(batch, text_col)]))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -75,3 +76,47 @@ def test_statistics_of_copies_are_equal_whatever_was_seen_before():
     text = "Some words. And some WORDS!!\nAnd some words\n".encode()
     quality.statistics(b"other things first", b)
     assert (quality.statistics(text, a) == quality.statistics(text, b)).all()
+
+
+def test_statistics_equal_plain_counts():
+    texts = ["", "One two, TWO!! 33 x\n-- supercalifragilistic end.\nOne two, TWO!! 33 x", " ".join(f"w{i % 7}" for i in range(90)) + "\n\nMore ABC ?? more.", "a"]
+    for text in texts:
+        tokens, got = text.split(), dict(zip(quality.FEATURES, quality.statistics(text.encode(), quality.Tokens()), strict=True))
+        if not tokens:
+            assert not any(got.values())
+            continue
+        letters = [sum(c.isalpha() for c in t) for t in tokens]
+        traits = {
+            "upper": [n > 1 and t.upper() == t for t, n in zip(tokens, letters, strict=True)],
+            "mark_only": [not any(c.isalnum() for c in t) for t in tokens],
+            "digits": [any(c.isdigit() for c in t) for t in tokens],
+            "long": [n > 13 for n in letters],
+            "stop": [t[-1] in ".?" for t in tokens],
+            "capital": [t[0].isupper() for t in tokens],
+            "repeat": [i > 0 and tokens[i - 1] == t for i, t in enumerate(tokens)],
+            "near_repeat": [t in tokens[max(0, i - 3) : i] for i, t in enumerate(tokens)],
+        }
+        span = min(quality.SPAN, len(tokens))
+        for name, marks in traits.items():
+            local = [sum(marks[i : i + span]) / span for i in range(len(tokens) - span + 1)]
+            assert abs(got[f"{name}_mean"] - np.mean(marks)) < 1e-9 and abs(got[f"{name}_most"] - max(local)) < 1e-9 and abs(got[f"{name}_least"] - min(local)) < 1e-9
+        lines = [x for x in text.split("\n") if x.strip()]
+        assert abs(got["variety"] - len(set(tokens)) / len(tokens)) < 1e-9 and abs(got["top_share"] - max(map(tokens.count, tokens)) / len(tokens)) < 1e-9
+        assert abs(got["line_repeat"] - (1 - len(set(lines)) / len(lines))) < 1e-9 and abs(got["letters_per_word"] - np.mean(letters)) < 1e-9
+
+
+def test_descent_lowers_the_non_negative_risk():
+    rng = np.random.default_rng(0)
+    positive = rng.normal(1, 1, (600, 3))
+    unlabelled = np.concatenate([rng.normal(1, 1, (500, 3)), rng.normal(-1, 1, (500, 3))])
+    edges = quality.edges_of(np.concatenate([positive, unlabelled]))
+
+    def risk(model, prior=0.5):
+        g = lambda x: np.log(model.score(x) / (1 - model.score(x)))
+        loss = lambda v: np.mean([math.log1p(math.exp(-z)) for z in v])
+        return prior * loss(g(positive)) + max(0.0, loss(-g(unlabelled)) - prior * loss(-g(positive)))
+
+    start, end = quality.descend(positive, unlabelled, edges, 0.5, steps=1, rate=1e-9), quality.descend(positive, unlabelled, edges, 0.5)
+    assert risk(end) < 0.6 * risk(start)
+    truth = np.r_[np.ones(500), np.zeros(500)]
+    assert np.mean((end.score(unlabelled) >= 0.5) == truth) > 0.9
