@@ -5,8 +5,11 @@ the table is range-partitioned and sorted by that key, so that a run of rows is
 an annulus around a pivot.  Pivots come from a bounded sample
 (``sample_rows``); every row is indexed.
 
-Search: queries go in blocks of at most ``query_block`` (the bound on what is
-sent to executors).  A query visits the annuli of a pivot from the one at its
+The index is written once and read for each block of queries.
+
+Search: queries go in blocks of about ``query_block``, dealt by a hash of the id;
+the driver holds one block at a time, and with more than one block each one's
+result is written before the next is sent.  A query visits the annuli of a pivot from the one at its
 own distance outwards, and stops where the triangle inequality says that no
 score can reach its k-th best: for a row x of an annulus at least ``gap`` away,
 q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= (|q|^2 + |x|^2 - gap^2) / 2.
@@ -15,7 +18,9 @@ Scores against the sample give the first k-th best.  The result is exact.
 Defined cases: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; ties go to the
 smaller id; a repeated candidate row is a candidate of its own, a query id that
-repeats is one query (its smallest vector); an empty table gives no rows.
+repeats is one query (its smallest vector); a null id takes no part, an id that is
+no whole number is an error; an empty table gives no rows; vectors are as
+long as the longest; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 SCALE = 256
 
 
@@ -125,7 +132,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     spark = vectors.sparkSession
     real = F.col("v").cast("array<double>")
     ok = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(ok, F.lit(False))).select("id", real.alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(ok, F.lit(False))).select("id", real.alias("v"))
     total, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     total, dim = total or 0, max(dim or 0, 1)
     schema = "query_id long, rank int, vec_id long, score long"
@@ -145,12 +152,15 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "pivot", "dist", "x"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = rows.mapInArrow(keyed, "id long, pivot int, dist double, x binary").repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist")
+    index = stored(rows.mapInArrow(keyed, "id long, pivot int, dist double, x binary").repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist"))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     blocks = -(-asked.count() // query_block)
+    if blocks > 1:
+        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartitionByRange(parts, "block", "id"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = None
-    for i in range(max(blocks, 1)):
-        block = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow()
+    for i in range(blocks):
+        block = (asked.where(F.col("block") == i) if blocks > 1 else asked).select("id", "v").toArrow()
         q_ids, q = np.asarray(block["id"]), matrix(block["v"], dim, scale)
         if not len(q_ids):
             continue
@@ -173,12 +183,14 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             r = best.rows
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[r[:, 0]]), pa.array(r[:, 1]), pa.array(r[:, 2])], names=["query_id", "vec_id", "score"])
 
-        got = index.mapInArrow(search, "query_id long, vec_id long, score long")
+        got = index.mapInArrow(search, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            got = stored(got)
+            sent.unpersist()
         found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 SQL = """
