@@ -18,14 +18,18 @@ words (all words of a shorter item), or if the item's places that agree in
 regions of any shift, taken together, reach ``share``; ``matched`` is then the
 larger of that union and the best alignment, whose shift ``place`` tells.
 
-The benchmark's seeds, and the alignments, are sent to all tasks only up to
-``MAX_SENT``; beyond that both sides are shuffled.
+Items of fewer than ``SHORT`` words, in which few windows find room, are looked for
+by plain seeds too: each ``PLAIN`` words of them, or all if they have fewer.  An
+item of fewer than ``SPAN`` words has leaked only if all its words stand together.
+
+The benchmark's seeds and words, and the alignments, are sent to all tasks only
+up to ``MAX_SENT``; beyond that both sides are shuffled.
 
 Defined cases: rows that share a doc_id are one document, rows without one too;
-null and empty texts have no windows; items of fewer than
-``SPAN`` words give no evidence and are not searched for; repeated items and
-rows are each reported once a pair; a null doc_id or item_id is kept as null;
-other columns are ignored.
+null and empty texts and items have no words and no part; repeated items and
+rows are each reported once a pair; of alignments that tie the first is told; very
+long texts are taken whole; an empty table, of either, gives no rows; a null doc_id
+or item_id is kept as null; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ SPAN = 8
 MASKS = ("11101011", "11011101", "10110111")
 MAX_SENT = 500_000
 
+#: items of fewer words have plain seeds, of so many words
+SHORT, PLAIN = 13, 4
+
 #: agreeing words of a region that are a leak by themselves; those of any SPAN words in a region; shifts looked at beside a hit
 RUN, AGREE, DRIFT = 13, 6, 3
 
@@ -48,16 +55,24 @@ def words_of(text: Column) -> Column:
     return F.filter(apart, lambda w: w != "")
 
 
+def shifted(width: int) -> Column:
+    """The windows of some words of h, a struct w0, w1, ... each; fewer words: none."""
+    return F.arrays_zip(*(F.slice("h", F.lit(1 + i), F.greatest(F.size("h") - (width - 1), F.lit(0))).alias(f"w{i}") for i in range(width)))
+
+
 def windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     """A row per window and mask: the columns to keep, the window's place (from 0) and its seed."""
-    h = F.col("h")
-    shifted = F.arrays_zip(*(F.slice(h, F.lit(1 + i), F.greatest(F.size(h) - (SPAN - 1), F.lit(0))).alias(f"w{i}") for i in range(SPAN)))
-    # fewer words than a window: an empty array, no rows
-    placed = rows.select(*keep, F.posexplode(shifted).alias("place", "w"))
+    placed = rows.select(*keep, F.posexplode(shifted(SPAN)).alias("place", "w"))
     seeds = [F.xxhash64(F.lit(m), *(F.col(f"w.w{i}") for i in range(SPAN) if mask[i] == "1")) for m, mask in enumerate(MASKS)]
     return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed"))
 
 
+def plain_windows(rows: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """As ``windows``, of a width and without a mask."""
+    placed = rows.select(*keep, F.posexplode(shifted(width)).alias("place", "w"))
+    return placed.select(*keep, "place", F.xxhash64(F.lit(-width), *(F.col(f"w.w{i}") for i in range(width))).alias("seed"))
+
+
 def agreeing(item_words: Column, words: Column, shift: Column) -> Column:
     """Whether each of the item's words agrees with the document's at its place."""
     return F.transform(item_words, lambda w, p: F.coalesce(F.get(words, p + shift) == w, F.lit(False)))
@@ -65,7 +80,7 @@ def agreeing(item_words: Column, words: Column, shift: Column) -> Column:
 
 def leaked_regions(each: DataFrame, share: float, run: int) -> DataFrame:
     """doc, item, b of the items leaked by an alignment, a region or the union of regions."""
-    starts = F.sequence(F.lit(0), F.col("item_words") - SPAN)
+    starts = F.sequence(F.lit(0), F.greatest(F.col("item_words") - SPAN, F.lit(0)))
     good = F.transform(starts, lambda p: F.size(F.filter(F.slice("agree", p + 1, SPAN), lambda x: x)) >= AGREE)
     # windows that hold place p start at p - SPAN + 1 to p
     inside = lambda p: F.exists(F.slice("good", F.greatest(p - (SPAN - 1), F.lit(0)) + 1, F.least(p, F.lit(SPAN - 1)) + 1), lambda g: g)
@@ -78,20 +93,29 @@ def leaked_regions(each: DataFrame, share: float, run: int) -> DataFrame:
     # items that share an id are judged text by text
     whole = judged.groupBy("doc", "item", "words").agg(top, F.max("longest").alias("longest"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("union"))
     matched = F.greatest("b.matched", "union")
-    leaked = whole.where((matched >= F.lit(share) * F.col("b.item_words")) | (F.col("longest") >= F.least(F.lit(run), F.col("b.item_words"))))
+    long = F.col("b.item_words") >= SPAN
+    leaked = whole.where((F.col("b.matched") == F.col("b.item_words")) | long & ((matched >= F.lit(share) * F.col("b.item_words")) | (F.col("longest") >= F.least(F.lit(run), F.col("b.item_words")))))
     return leaked.groupBy("doc", "item").agg(F.max(F.struct(matched.alias("matched"), F.col("b.back").alias("back"), F.col("b.item_words").alias("item_words"))).alias("b"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.7, run: int = RUN) -> DataFrame:
     """A row per document and leaked item: doc_id, item_id, place (of the item in the document's words), item_words, matched, overlap."""
-    hashed = lambda c: F.transform(words_of(F.col(c)), lambda w: F.xxhash64(w))
-    items = benchmark.select(F.col(item_col).alias("item"), hashed(item_text_col).alias("h"))
-    total = items.agg(F.sum(F.greatest(F.size("h") - (SPAN - 1), F.lit(0)))).first()[0] or 0
-    seeds = windows(items, ["item"]).select("item", F.col("place").alias("item_place"), "seed").distinct()
-    if total * len(MASKS) <= MAX_SENT:
+    hashed = lambda c: F.transform(words_of(F.col(f"`{c}`")), lambda w: F.xxhash64(w))
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), hashed(item_text_col).alias("h"))
+    sizes = items.agg(F.sum(F.size("h") + 1), F.array_sort(F.collect_set(F.when(F.size("h").between(1, SHORT - 1), F.least(F.size("h"), F.lit(PLAIN)))))).first()
+    seeds = windows(items, ["item"])
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    hashed_rows = rows.select("doc", hashed("text").alias("h"))
+    of_docs = windows(hashed_rows, ["doc"])
+    for width in sizes[1]:
+        of_width = F.size("h") == width if width < PLAIN else F.size("h").between(PLAIN, SHORT - 1)
+        seeds = seeds.unionByName(plain_windows(items.where(of_width), ["item"], width))
+        of_docs = of_docs.unionByName(plain_windows(hashed_rows, ["doc"], width))
+    seeds = seeds.select("item", F.col("place").alias("item_place"), "seed").distinct()
+    # a word and its windows
+    if (sizes[0] or 0) * (1 + len(MASKS) + len(sizes[1])) <= MAX_SENT:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    hits = windows(rows.select("doc", hashed("text").alias("h")), ["doc"]).join(seeds, "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("shift"))
+    hits = of_docs.join(seeds, "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("shift"))
     by_item = hits.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts"))
     aligned = checkpointed(by_item.groupBy("doc").agg(F.collect_list(F.struct("item", "shifts")).alias("hits"), F.sum(F.size("shifts")).alias("n")))
     sent = (aligned.agg(F.sum("n")).first()[0] or 0) <= MAX_SENT

