@@ -67,4 +67,4 @@ def test_a_notices_file_keeps_templates_of_common_words():
     common = dict.fromkeys("under the mit license all rights reserved".encode().split(), 0.1)
     idf = {w: common.get(w, 5.0) for w in index.vocabulary}
     text = b"\n".join(b" ".join(notice) for notice in index.notices)
-    assert set(licenses.TEMPLATES) <= set(index.scan(text, idf, 48, frozenset(index.vocabulary))[5].split(","))
+    assert set(licenses.TEMPLATES) <= set(index.scan(text, idf, 16, frozenset(index.vocabulary))[5].split(","))
