@@ -19,7 +19,8 @@ Tokens are counted as runs of ASCII word characters and single other marks.
 Defined cases: rows go by turn, then role, then text, nulls first; a null role
 or text is an empty one; rows with a null conv_id are one conversation;
 repeated rows are turns of their own; only a first turn by ``system`` is a
-system turn; other columns are ignored.
+system turn; a very long turn is a window of its own; an empty table gives none;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -28,6 +28,11 @@ def worker_slot(key: str, make: Callable):
     return holder.value
 
 
+def release() -> None:
+    """Drop what an operator before has kept in this worker."""
+    worker_slot("", lambda: None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -164,6 +169,7 @@ class WordHashes:
     """
 
     def __init__(self, lower: bool) -> None:
+        release()
         self.lower, self.powers = lower, Powers()
 
     def of_column(self, column: pa.Array) -> Iterator[np.ndarray]:

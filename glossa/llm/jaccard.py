@@ -48,7 +48,7 @@ from .common import Powers, WordHashes, checkpointed, discard, rolling, stored
 COUNTERS, CHUNK, BLOCK, ROUNDS, FIRST, FAN = 1 << 22, 1 << 16, 2048, 2, 4, 256
 
 #: occurrences that make an n-gram hot; postings that a map task holds, and those aimed at for a bucket
-HOT, FLUSH, BUCKET = 1 << 14, 1_000_000, 500_000
+HOT, FLUSH, BUCKET = 1 << 14, 500_000, 500_000
 
 #: cells of a sketch, least and most
 LEAST_CELLS, MOST_CELLS = 64, 1 << 14
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 if len(found):
                     held.append(found)
                     n += len(found)
-                    if n > FLUSH // 2:
+                    if n > FLUSH:
                         tally()
                         n = 0
                     out.append((i, len(found), *digest(found), sketch(found)))
