@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; between stages the table is written as Parquet and read again.  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, also where it has more than these.
+
+Defined cases, for every stage: an empty table gives an empty one; a null text is
+an empty one; very long texts are taken whole; columns beside doc_id and text may
+have any names.  What a stage does with nulls, ties and repeated rows it says.
 """
 
 from __future__ import annotations
@@ -21,7 +25,12 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts."""
+    """Documents that the positive-unlabelled classifier accepts.
+
+    Every row is judged by its text, so repeated rows go or stay together; a row
+    without an id is judged and not learnt from; a score of just 0.5 is accepted;
+    without positives all stay.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -37,21 +46,27 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that also stand in a document with a smaller id; n_chars follows the text."""
-    cut = substrings.remove_repeats(docs, window=PASSAGE_WORDS)
+    """Texts without passages that also stand in a document with a smaller id; n_chars follows the text.
+
+    Rows without an id stay whole, and rows of one id cut nothing from one another.
+    """
+    cut = substrings.remove_repeats(docs, window=PASSAGE_WORDS + 1)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leaked benchmark item (rows without an id go together)."""
+    """Documents without a leaked benchmark item.
+
+    Rows that share an id go together, and so do rows without one; null items leak nothing.
+    """
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, leaks.select("doc_id"), "doc_id")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences."""
+    """Pieces of the documents in training sequences; repeated rows and rows without an id are packed one by one."""
     return packing.pack_documents(docs)
 
 
