@@ -23,6 +23,7 @@ columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,40 +40,59 @@ CAPACITY, STEP, END_ID = 4096, 8, 2
 #: most shards for ranks: with the classes, a bound on the rows of the offset table
 SHARDS = 512
 
-#: an added token that parts words which are tokenised together, if the tokenizer has it
-PARTING = "<|startoftext|>"
+#: letters, then marks that always start a token of their own
+SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|*#$%&]+)")
+
+#: parts words that are tokenised together: a character with a token of its own
+PARTING = "\x01"
 
 
 class TokenCache:
     """Token ids of texts, as little-endian 32-bit integers, made of those of their words.
 
     The tokenizer splits at white space and never joins across it, so a text's
-    ids are those of its words.  It ignores A-Z case but in added tokens, all of
-    which hold ``<|``; texts with that mark keep their case.  New words of some
-    texts are tokenised in one call; ``limit`` and ``size`` bound what is kept.
+    ids are those of its words; a word's trailing marks are split off too.  It
+    ignores A-Z case but in added tokens, all of which hold ``<|``; texts with that
+    mark keep their case.  New words of some texts are tokenised in one call.
+    Two generations of at most ``limit`` words and ``size`` bytes of words are kept.
     """
 
-    limit, size, piece = 250_000, 1 << 24, 1 << 20
+    limit, size, piece = 200_000, 1 << 23, 1 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.parting = self.tokenizer.token_to_id(PARTING)
+        self.parting = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
         self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w] if self.parting is not None else []
+    def tokenise(self, words: list[bytes]) -> None:
+        able = len(self.parting) == 1
+        odd = [w for w in words if not able or b"<|" in w or PARTING.encode() in w]
+        plain = sorted(set(words).difference(odd))
         if plain:
-            found = np.array(self.tokenizer.encode(PARTING.join(w.decode() for w in plain), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.r_[-1, np.flatnonzero(found == self.parting), len(found)].tolist()
+            joined = self.tokenizer.encode_batch_fast([f" {PARTING} ".join(w.decode() for w in plain)], add_special_tokens=False)
+            found = np.array(joined[0].ids, dtype="<u4")
+            cuts = np.r_[-1, np.flatnonzero(found == self.parting[0]), len(found)].tolist()
             data = found.tobytes()
             for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
                 self.ids[w] = data[4 * (a + 1) : 4 * b]
-        for w in words if self.parting is None else (w for w in words if b"<|" in w):
+        for w in odd:
             self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Put words that are not known into the cache."""
+        kept = words & self.old.keys()
+        self.ids.update((w, self.old[w]) for w in kept)
+        matched = [(w, SIMPLE.fullmatch(w.decode())) for w in words.difference(kept)]
+        parts = {w: (m[1].encode(), m[2].encode()) for w, m in matched if m}
+        needed = {w for w, m in matched if not m}.union(*parts.values())
+        self.tokenise([w for w in needed if w not in self.ids])
+        for w, (core, marks) in parts.items():
+            self.ids[w] = self.ids[core] + self.ids[marks]
         self.held += sum(map(len, words))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
@@ -85,12 +105,10 @@ class TokenCache:
                 size += len(text)
                 at += 1
             distinct = set().union(*words)
-            new = distinct.difference(self.ids)
-            if len(self.ids) + len(new) > self.limit or self.held > self.size:
-                self.ids.clear()
-                self.held, new = 0, distinct
-            if new:
-                self.learn(sorted(new))
+            if len(self.ids) > self.limit or self.held > self.size:
+                self.old, self.ids, self.held = self.ids, {}, 0
+            if new := distinct.difference(self.ids):
+                self.learn(new)
             for own in words:
                 yield b"".join(map(self.ids.__getitem__, own))
 
