@@ -10,11 +10,11 @@
    their prefixes, so prefixes meet by n-gram in buckets whose number follows the
    postings.  Length and position filters leave the classes with a partner.
    N-grams of ``HOT`` documents or more are spread over buckets and all kept.
-3. Links that only confirm a component are not needed.  In each of ``ROUNDS``
-   rounds every class proposes its nearest partner in another component, looking
-   at its ``FIRST`` rarest shared n-grams only, and there at a block of about
-   ``BLOCK`` classes, dealt anew in each round; these pairs are verified on whole
-   sets and joined.  Then all pairs of all n-grams that pass length, position and
+3. Links that only confirm a component are not needed.  In up to ``ROUNDS``
+   rounds, as long as they bring links, classes of different components meet at
+   their ``FIRST`` rarest shared n-grams, and there in blocks of about ``BLOCK``
+   classes, dealt anew in each round; the nearest pairs that span them (a least
+   forest) are verified on whole sets and joined.  Then all pairs of all n-grams that pass length, position and
    suffix filter (the sketches) and are still in different components are
    verified, each once: of the classes of an n-gram, those outside its largest
    component visit all blocks.  No link between different sets can be lost, and a
@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from .common import Powers, WordHashes, checkpointed, discard, rolling, stored
 
-COUNTERS, CHUNK, BLOCK, ROUNDS, FIRST, FAN = 1 << 22, 1 << 16, 2048, 2, 4, 256
+COUNTERS, CHUNK, BLOCK, ROUNDS, FIRST, FAN = 1 << 22, 1 << 16, 2048, 4, 4, 256
 
 #: occurrences that make an n-gram hot; postings that a map task holds, and those aimed at for a bucket
 HOT, FLUSH, BUCKET = 1 << 14, 500_000, 500_000
@@ -201,14 +201,14 @@ class Meeting:
         self.visits = visits.astype(bool)
         self.sketches, self.num, self.den = Sketches(whole["sketch"].to_pylist()), num, den
 
-    def pairs(self, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of ids that pass all filters, and in how many elements they differ at least.
+    def pairs(self, inside: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs of ids that pass all filters, in how many elements they differ at least, and their components.
 
-        For the nearest, each row meets those before it in its group; else visitors meet the others.
+        Inside, each row meets those before it in its group; else visitors meet the others.
         """
         start = np.r_[True, self.group[1:] != self.group[:-1]]
         first = np.flatnonzero(start)[np.cumsum(start) - 1]
-        if nearest:
+        if inside:
             who, count = np.arange(len(first)), np.arange(len(first)) - first
         else:
             at = np.cumsum(~self.visits)
@@ -228,18 +228,38 @@ class Meeting:
             ok, room = within_bounds(*(z[i].astype(np.int64) for z in (self.n, self.pos) for i in (x, y)), self.num, self.den)
             x, y, room = x[ok], y[ok], room[ok]
             apart = self.sketches.apart(x, y)
-            ok = apart <= room
-            yield self.rep[x[ok]], self.rep[y[ok]], apart[ok]
+            x, y, apart = (z[apart <= room] for z in (x, y, apart))
+            p, q = self.rep[x], self.rep[y]
+            yield np.minimum(p, q), np.maximum(p, q), apart, self.comp[x], self.comp[y]
 
 
-def least_of(a: np.ndarray, b: np.ndarray, d: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest b of each a, or distinct pairs."""
-    order = np.lexsort((b, d, a)) if nearest else np.lexsort((b, a))
-    a, b, d = a[order], b[order], d[order]
-    if len(a):
-        ok = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if not nearest else False)]
-        a, b, d = a[ok], b[ok], d[ok]
-    return a, b, d
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) at distance d make a least spanning forest of their components u and v."""
+    order = np.lexsort((b, a, d))
+    nodes, index = np.unique(np.r_[u[order], v[order]], return_inverse=True)
+    x, y = index[: len(a)], index[len(a) :]
+    label, alive, kept = np.arange(len(nodes)), np.arange(len(a)), []
+    while True:
+        p, q = label[x[alive]], label[y[alive]]
+        alive, p, q = (z[p != q] for z in (alive, p, q))
+        if not len(alive):
+            return order[np.unique(np.concatenate(kept))] if kept else order[:0]
+        # the first pair of each component, as pairs go by distance
+        best = np.full(len(nodes), len(a))
+        for side in (p, q):
+            first = np.full(len(nodes), len(a))
+            first[side[::-1]] = alive[::-1]
+            best = np.minimum(best, first)
+        own = np.flatnonzero(best < len(a))
+        kept.append(best[own])
+        ends = label[x[best[own]]], label[y[best[own]]]
+        to = np.arange(len(nodes))
+        to[own] = np.where(ends[0] == own, ends[1], ends[0])
+        # two that chose the same pair
+        to = np.where((to[to] == np.arange(len(nodes))) & (np.arange(len(nodes)) < to), np.arange(len(nodes)), to)
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -490,7 +510,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     tied = same_id.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
 
     def proposed(comps: DataFrame, turn: int) -> DataFrame:
-        """Pairs of classes of different components that pass the filters: each class's nearest, or (turn 0) all."""
+        """Pairs of classes of different components that pass the filters: a forest of the nearest, or (turn 0) all."""
         looked = members.where(F.col("nth") <= FIRST) if turn else members
         placed = looked.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
         placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
@@ -514,17 +534,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             found: list[tuple] = []
 
             def reduced() -> tuple:
-                out = least_of(*(np.concatenate(c) for c in zip(*found, strict=True)), bool(turn))
+                a, b, d, u, v = (np.concatenate(c) for c in zip(*found, strict=True))
                 found.clear()
-                return out
+                if turn:
+                    ok = forest(a, b, d, u, v)
+                else:
+                    order = np.lexsort((b, a))
+                    ok = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]] if len(a) else order
+                return a[ok], b[ok], d[ok], u[ok], v[ok]
 
             def close() -> None:
-                for x, y, d in Meeting(held, num, den).pairs(bool(turn)):
-                    found.append((np.r_[x, y], np.r_[y, x], np.r_[d, d]) if turn else (np.minimum(x, y), np.maximum(x, y), d))
-                    if sum(len(f[0]) for f in found) > 1_000_000:
+                for x in Meeting(held, num, den).pairs(bool(turn)):
+                    found.append(x)
+                    if sum(len(f[0]) for f in found) > 500_000:
                         found.append(reduced())
                 held.clear()
 
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in reduced()[:2]], names=["a", "b"])
+
             rows_held, last = 0, None
             for batch in batches:
                 t = pa.Table.from_batches([batch])
@@ -543,24 +571,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                     held.append(t.slice(cut))
                     rows_held = len(t) - cut
                     if sum(len(f[0]) for f in found) > 300_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in reduced()], names=["a", "b", "d"])
+                        yield out()
                 else:
                     held.append(t)
                     rows_held += len(t)
             if held:
                 close()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in reduced()], names=["a", "b", "d"])
+                yield out()
 
-        found = seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(across, "a long, b long, d long")
-        return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")) if turn else found.select("a", "b")
+        return seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(across, "a long, b long")
 
     comps = checkpointed(components(tied))
-    for turn in [*range(1, ROUNDS + 1), 0]:
+    turn = 1
+    while True:
         found = verify(proposed(comps, turn))
-        if found.isEmpty():
-            continue
-        comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)))
+        new = not found.isEmpty()
+        if new:
+            comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)))
+        if not turn:
+            break
+        turn = turn + 1 if new and turn < ROUNDS else 0
     discard(members, sketches)
     named = sets.join(classes, ["hi", "lo"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return named.groupBy("id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min(F.coalesce("comp", "rep")), F.first("id")).alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id")

@@ -128,7 +128,7 @@ def test_filters_never_drop_a_link():
         assert jaccard.with_partner(rows, 80, 100).all()
         meeting = pa.table({"group": [0, 0], "visits": [False, True], "n": rows["n"], "pos": rows["pos"], "rep": [5, 6], "comp": [5, 6], "sketch": [jaccard.sketch(x), jaccard.sketch(y)]})
         for nearest in (True, False):
-            assert sum(len(a) for a, _, _ in jaccard.Meeting([meeting], 80, 100).pairs(nearest)) == 1
+            assert sum(len(x[0]) for x in jaccard.Meeting([meeting], 80, 100).pairs(nearest)) == 1
 
 
 def test_postings_round_trip():
@@ -160,12 +160,32 @@ def test_pairs_of_a_meeting_are_those_of_two_loops():
     comp = rng.integers(0, 5, n)
     meeting = pa.table({"group": group, "visits": visits, "n": [len(x) for x in sets], "pos": [0] * n, "rep": np.arange(n), "comp": comp, "sketch": [jaccard.sketch(x) for x in sets]})
     for nearest in (True, False):
-        got = {(a, b) for x, y, _ in jaccard.Meeting([meeting], 1, 100).pairs(nearest) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        got = {(a, b) for x, y, *_ in jaccard.Meeting([meeting], 1, 100).pairs(nearest) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
         allowed = lambda i, j: (j < i if nearest else visits[i] and not visits[j])
-        want = {(i, j) for i in range(n) for j in range(n) if group[i] == group[j] and comp[i] != comp[j] and allowed(i, j)}
+        want = {(min(i, j), max(i, j)) for i in range(n) for j in range(n) if group[i] == group[j] and comp[i] != comp[j] and allowed(i, j)}
         assert got <= want and len(got) > 0.9 * len(want)
 
 
+def test_forest_is_a_least_one():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        u, v = rng.integers(0, 25, n), rng.integers(0, 25, n)
+        a, b, d = rng.integers(0, 99, n), rng.integers(0, 99, n), rng.integers(0, 6, n)
+        top = list(range(25))
+
+        def find(x, top=top):
+            return x if top[x] == x else find(top[x])
+
+        cost = 0
+        for k in np.argsort(d, kind="stable"):
+            p, q = find(u[k]), find(v[k])
+            if p != q:
+                top[p], cost = q, cost + d[k]
+        kept = jaccard.forest(a, b, d, u, v)
+        assert d[kept].sum() == cost and len(kept) == 25 - len({find(x) for x in range(25)})
+
+
 def test_stars_and_union_find_agree(spark):
     rng = random.Random(4)
     edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "u long, v long").selectExpr("least(u, v) as u", "greatest(u, v) as v").where("u <> v").distinct()
