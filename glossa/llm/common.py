@@ -24,6 +24,7 @@ def worker_slot(key: str, make: Callable):
     holder = sys.modules.setdefault("_glossa_worker", types.ModuleType("_glossa_worker"))
     if getattr(holder, "key", None) != key:
         holder.key, holder.value = key, None
+        pa.default_memory_pool().release_unused()
         holder.value = make()
     return holder.value
 

@@ -57,7 +57,7 @@ class TokenCache:
     Two generations of at most ``limit`` words and ``size`` bytes of words are kept.
     """
 
-    limit, size, piece = 200_000, 1 << 23, 1 << 20
+    limit, size, piece = 100_000, 1 << 22, 1 << 19
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

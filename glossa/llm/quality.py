@@ -41,35 +41,37 @@ FEATURES = [*(f"{t}_{kind}" for t in TRAITS for kind in ("mean", "most", "least"
 class Tokens(dict):
     """white-space token -> row of its traits; emptied when large."""
 
-    limit, size = 200_000, 1 << 24
+    limit, size = 150_000, 1 << 22
 
     def __init__(self) -> None:
         self.empty()
 
     def empty(self) -> None:
         self.clear()
-        self.rows: list[tuple] = []
+        self.fresh: list[tuple] = []
         self.table, self.filled, self.held = np.zeros((1024, 9)), 0, 0
 
     def __missing__(self, token: bytes) -> int:
         text = token.decode()
         letters = sum(map(str.isalpha, text))
-        self.rows.append((letters > 1 and text.upper() == text, bool(SYMBOLS.search(text)), letters == 0 and not any(map(str.isdigit, text)), any(map(str.isdigit, text)), letters > 13, text[-1] in ".?", text[0].isupper(), letters, len(text)))
-        self[token] = len(self.rows) - 1
+        self.fresh.append((letters > 1 and text.upper() == text, bool(SYMBOLS.search(text)), letters == 0 and not any(map(str.isdigit, text)), any(map(str.isdigit, text)), letters > 13, text[-1] in ".?", text[0].isupper(), letters, len(text)))
+        self[token] = self.filled + len(self.fresh) - 1
         self.held += len(token)
-        return len(self.rows) - 1
+        return self[token]
 
     def traits(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > self.limit or self.held > self.size:
             self.empty()
         index = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if self.filled < len(self.rows):
-            if len(self.table) < len(self.rows):
-                grown = np.zeros((2 * len(self.rows), 9))
-                grown[: self.filled] = self.table[: self.filled]
-                self.table = grown
-            self.table[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
+        end = self.filled + len(self.fresh)
+        if len(self.table) < end:
+            grown = np.zeros((2 * end, 9))
+            grown[: self.filled] = self.table[: self.filled]
+            self.table = grown
+        if self.fresh:
+            self.table[self.filled : end] = self.fresh
+            self.filled = end
+            self.fresh.clear()
         return index, self.table[index]
 
 
