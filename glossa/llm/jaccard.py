@@ -17,7 +17,8 @@
    forest) are verified on whole sets and joined.  Then all pairs of all n-grams that pass length, position and
    suffix filter (the sketches) and are still in different components are
    verified, each once: of the classes of an n-gram, those outside its largest
-   component visit all blocks.  No link between different sets can be lost, and a
+   component visit all blocks, and a pair that meets at several n-grams is told at
+   the first of those that are among the ``HEADS`` rarest of both.  No link between different sets can be lost, and a
    group of n near copies costs about n verifications.
 4. A pair is verified where the class with more pairs has its set; that one goes
    once to every ``FAN`` partners.
@@ -190,17 +191,31 @@ class Sketches:
         return out
 
 
+#: of a class's rarest shared n-grams, those by which a pair's first meeting is told
+HEADS = 8
+
+
 class Meeting:
     """Classes that meet at n-grams: a row for each, sorted by group; the pairs that may link."""
 
-    NAMES = ("group", "visits", "n", "pos", "rep", "comp", "sketch")
+    NAMES = ("group", "visits", "n", "pos", "rep", "comp", "sketch", "key", "heads")
 
     def __init__(self, rows: list[pa.Table], num: int, den: int) -> None:
         whole = pa.concat_tables(rows)
-        self.group, visits, self.n, self.pos, self.rep, self.comp = (whole[c].to_numpy() for c in self.NAMES[:-1])
+        self.group, visits, self.n, self.pos, self.rep, self.comp, _, self.key = (whole[c].to_numpy() if c != "sketch" else None for c in self.NAMES[:-1])
+        self.heads = np.frombuffer(b"".join(whole["heads"].to_pylist()), dtype=np.int64).reshape(len(self.key), HEADS)
         self.visits = visits.astype(bool)
         self.sketches, self.num, self.den = Sketches(whole["sketch"].to_pylist()), num, den
 
+    def met_before(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the pairs also meet at a smaller n-gram that is a head of both, and so are looked at there."""
+        out = np.zeros(len(x), dtype=bool)
+        for s in range(0, len(x), 1 << 14):
+            a, b, key = self.heads[x[s : s + (1 << 14)]], self.heads[y[s : s + (1 << 14)]], self.key[x[s : s + (1 << 14)]]
+            same = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0) & (a < key[:, None])
+            out[s : s + (1 << 14)] = same.any(1)
+        return out
+
     def pairs(self, inside: bool) -> Iterator[tuple[np.ndarray, ...]]:
         """Pairs of ids that pass all filters, in how many elements they differ at least, and their components.
 
@@ -229,10 +244,18 @@ class Meeting:
             x, y, room = x[ok], y[ok], room[ok]
             apart = self.sketches.apart(x, y)
             x, y, apart = (z[apart <= room] for z in (x, y, apart))
+            if not inside:
+                new = ~self.met_before(x, y)
+                x, y, apart = x[new], y[new], apart[new]
             p, q = self.rep[x], self.rep[y]
             yield np.minimum(p, q), np.maximum(p, q), apart, self.comp[x], self.comp[y]
 
 
+def heads_of(keys: list) -> bytes:
+    """Some n-grams of a class in a row of fixed width, filled up with -1."""
+    return np.array([*keys, *[-1] * (HEADS - len(keys))], dtype=np.int64).tobytes()
+
+
 def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Which pairs (a, b) at distance d make a least spanning forest of their components u and v."""
     order = np.lexsort((b, a, d))
@@ -441,6 +464,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     # hot postings of copies come from several tasks
     members = stored(shared.where(~is_hot).union(shared.where(is_hot).dropDuplicates(["rep", "text_no", "key"])).withColumn("nth", nth))
     discard(met)
+    # n-grams of one block alone: who has one meets everyone else who has it
+    heads = members.where((F.col("nth") <= HEADS) & (F.col("blocks") == 1)).groupBy("rep", "text_no").agg(F.collect_set("key").alias("heads"))
+    sketched = sketches.join(heads, ["rep", "text_no"], "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<bigint>")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Of pairs of ids (a, b) those of which any texts link."""
@@ -527,7 +553,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             hosts = open_rows.withColumns({"host": F.col("own"), "guest": F.explode(F.sequence(F.lit(0), F.col("seats") - 1)), "visits": F.lit(False)})
             guests = open_rows.where("comp <> top").withColumns({"host": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "guest": F.pmod(F.xxhash64("rep"), F.col("seats")).cast("int"), "visits": F.lit(True)})
             seated = hosts.unionByName(guests)
-        seated = seated.join(sketches, ["rep", "text_no"]).select("key", "host", "guest", "visits", "n", "pos", "rep", "comp", "sketch")
+        seated = seated.join(sketched, ["rep", "text_no"]).select("key", "host", "guest", "visits", "n", "pos", "rep", "comp", "sketch", "heads")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.Table] = []
@@ -564,7 +590,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 # groups are whole up to the last change
                 cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
                 base = int(held[-1]["group"][-1].as_py()) if held else -1
-                t = t.append_column("group", pa.array(base + np.cumsum(change))).select(list(Meeting.NAMES))
+                t = t.append_column("group", pa.array(base + np.cumsum(change)))
+                t = t.set_column(t.schema.get_field_index("heads"), "heads", pa.array([heads_of(h) for h in t["heads"].to_pylist()], pa.binary())).select(list(Meeting.NAMES))
                 if change.any() and rows_held + cut > 20_000:
                     held.append(t.slice(0, cut))
                     close()

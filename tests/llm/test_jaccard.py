@@ -126,7 +126,7 @@ def test_filters_never_drop_a_link():
         rows = np.zeros(2, dtype=jaccard.POSTING)
         rows["n"], rows["pos"] = (len(x), len(y)), [np.flatnonzero(z == shared[0])[0] for z in (p, q)]
         assert jaccard.with_partner(rows, 80, 100).all()
-        meeting = pa.table({"group": [0, 0], "visits": [False, True], "n": rows["n"], "pos": rows["pos"], "rep": [5, 6], "comp": [5, 6], "sketch": [jaccard.sketch(x), jaccard.sketch(y)]})
+        meeting = pa.table({"group": [0, 0], "visits": [False, True], "n": rows["n"], "pos": rows["pos"], "rep": [5, 6], "comp": [5, 6], "sketch": [jaccard.sketch(x), jaccard.sketch(y)], "key": [7, 7], "heads": [jaccard.heads_of([7, 9]), jaccard.heads_of([9, 7, 8])]})
         for nearest in (True, False):
             assert sum(len(x[0]) for x in jaccard.Meeting([meeting], 80, 100).pairs(nearest)) == 1
 
@@ -158,7 +158,7 @@ def test_pairs_of_a_meeting_are_those_of_two_loops():
     group, visits = group[order], visits[order]
     sets = [np.unique(rng.integers(0, 40, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(n)]
     comp = rng.integers(0, 5, n)
-    meeting = pa.table({"group": group, "visits": visits, "n": [len(x) for x in sets], "pos": [0] * n, "rep": np.arange(n), "comp": comp, "sketch": [jaccard.sketch(x) for x in sets]})
+    meeting = pa.table({"group": group, "visits": visits, "n": [len(x) for x in sets], "pos": [0] * n, "rep": np.arange(n), "comp": comp, "sketch": [jaccard.sketch(x) for x in sets], "key": group, "heads": [jaccard.heads_of([])] * n})
     for nearest in (True, False):
         got = {(a, b) for x, y, *_ in jaccard.Meeting([meeting], 1, 100).pairs(nearest) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
         allowed = lambda i, j: (j < i if nearest else visits[i] and not visits[j])
@@ -166,6 +166,11 @@ def test_pairs_of_a_meeting_are_those_of_two_loops():
         assert got <= want and len(got) > 0.9 * len(want)
 
 
+def test_pairs_are_told_at_their_first_common_head():
+    row = lambda key: pa.table({"group": [0, 0], "visits": [False, True], "n": [9, 9], "pos": [0, 0], "rep": [1, 2], "comp": [1, 2], "sketch": [jaccard.sketch(np.arange(9, dtype=np.uint64))] * 2, "key": [key] * 2, "heads": [jaccard.heads_of([5, 3, 2]), jaccard.heads_of([9, 5, 3])]})
+    assert [sum(len(x[0]) for x in jaccard.Meeting([row(k)], 90, 100).pairs(False)) for k in (2, 3, 5, 9)] == [1, 1, 0, 0]
+
+
 def test_forest_is_a_least_one():
     rng = np.random.default_rng(5)
     for _ in range(50):
