@@ -34,10 +34,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, backend=None) -> int:
+    """``backend`` makes an engine of ``sources.pdf.Backend`` for ``--ocr``; 0 is success, 1 some files failed, 2 a missing library."""
     from . import device
     from .plans.convert import Options, structure
-    from .sources import files, output, pdf, rules
+    from .sources import files, output, pdf, rules, shared
 
     args = parser().parse_args(argv)
     logging.basicConfig(level=(logging.WARNING, logging.INFO, logging.DEBUG)[min(args.verbose, 2)])
@@ -46,25 +47,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(device.profile(spark).summary(), file=sys.stderr)
         print(f"readers: {pdf.available()}", file=sys.stderr)
         return 0
+    docs, unread = None, []
     if args.path.rstrip("/").endswith(".parquet"):
         lines = spark.read.parquet(args.path)
     elif not pdf.available()["pdf"]:
         print("PDF files need pdfplumber, which is not installed; a Parquet table of lines works without", file=sys.stderr)
         return 2
-    elif args.ocr != "off":
-        print("recognition needs a backend: use glossa.sources.pdf.recognise with your own", file=sys.stderr)
+    elif args.ocr != "off" and backend is None:
+        print("recognition needs a backend: call glossa.cli.main with one", file=sys.stderr)
         return 2
     else:
-        lines = pdf.page_lines(pdf.read_pages(files.pdf_files(spark, args.path, recursive=args.command == "batch"), args.max_pages))
+        found = files.pdf_files(spark, args.path, recursive=args.command == "batch")
+        pages = shared.stored(pdf.read_pages(found, args.max_pages))  # several results read it
+        lines = pdf.read_documents(pages, found, args.ocr, backend)
+        docs = pages.where("error is null").select(F.col("source_path").alias("doc_id"))
+        unread = pdf.failures(pages)
+        for r in unread.toLocalIterator():
+            print(f"{r.source_path}: {r.error}", file=sys.stderr)
+        unread = unread.limit(1).collect()
     options = Options(max_pages=args.max_pages, filter_lines=not args.no_filter, toc=getattr(args, "toc", False), anchors=not getattr(args, "no_anchor", False))
-    done = structure(lines, rules.load(args.rules), options)
+    done = structure(lines, rules.load(args.rules), options, docs=docs)
     if getattr(args, "validate", False):
         for r in done.gaps().orderBy("doc_id", "node_pos").toLocalIterator():
             print(f"{r.doc_id}: {r.message}", file=sys.stderr)
     docs = done.json() if args.format == "json" else done.markdown()
     named = docs.withColumn("rel_path", files.output_path(F.col("doc_id").cast("string"), args.path, flatten=getattr(args, "flatten", False), extension=args.format))
     failed = output.write_files(named, args.output).where("not ok").count()
-    return 1 if failed else 0
+    return 1 if failed or unread else 0
 
 
 if __name__ == "__main__":

@@ -77,6 +77,11 @@ def law_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("《")), rx.every(text, rx.LAW_REFERENCE)).otherwise(F.array().cast("array<string>"))
 
 
+def law_titles(text: Column) -> Column:
+    """All titles of laws and other rules that a text names, with their brackets."""
+    return F.when(F.contains(text, F.lit("《")), rx.every(text, rx.LAW_TITLE)).otherwise(F.array().cast("array<string>"))
+
+
 def reference_link(reference: Column) -> Column:
     """A citation as a Markdown link to the article's anchor."""
     number = rx.first(reference, rx.LINK_NUMBER, 1)

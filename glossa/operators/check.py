@@ -24,5 +24,6 @@ def article_gaps(nodes: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("node_pos").rowsBetween(Window.unboundedPreceding, -1)
     jumps = numbered.withColumn("prev_num", F.max("num").over(before)).where("prev_num > 0 and num > prev_num + 1")
     missing = F.col("prev_num") + 1
+    # fixed value: the wording of a gap's message
     message = F.concat(F.lit("条号不连续: 第"), F.col("prev_num"), F.lit("条 → 第"), F.col("num"), F.lit("条 (缺失第"), missing, F.lit("条)"))
     return jumps.select("doc_id", "node_pos", "prev_num", "num", missing.alias("missing"), message.alias("message"))

@@ -13,9 +13,16 @@ from ..functions.text import strip
 TITLE_SHARE, TITLE_LENGTH, AUTHOR_SHARE, AUTHOR_LENGTH = 0.9, 4, 0.7, (1, 30)
 
 
-def first_page(lines: DataFrame) -> DataFrame:
-    """doc_id, page (its text), lines: of page 1, unsorted and unfiltered."""
-    rows = lines.where("page_num = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text", F.coalesce("font_size", F.lit(0.0)).alias("font_size")))).alias("lines"))
+def first_page(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, page (its text), lines: of page 1, unsorted and unfiltered.
+
+    Every document has a row, also one whose first page has no line, and one of
+    ``docs`` (doc_id) that has no line at all; their page is empty.
+    """
+    own = F.when(F.col("page_num") == 1, F.struct("line_no", "text", F.coalesce("font_size", F.lit(0.0)).alias("font_size")))
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("lines"))
+    if docs is not None:
+        rows = docs.select("doc_id").distinct().join(rows, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType)))
     return rows.withColumn("page", F.array_join("lines.text", "\n"))
 
 
@@ -51,8 +58,8 @@ def extract(pages: DataFrame, source: str | None = None) -> DataFrame:
     return rows.select("doc_id", name.alias("name"), found(page, rx.DOC_NUMBER).alias("doc_no"), date(1).alias("publish_date"), date(2).alias("effective_date"), found(page, rx.AUTHORITY).alias("issuing_authority"), F.lit(source or "").alias("source_pdf"), "doc_type", F.map_from_entries(entries).alias("extra"))
 
 
-def metadata(lines: DataFrame, source: str | None = None) -> DataFrame:
-    return extract(first_page(lines), source)
+def metadata(lines: DataFrame, source: str | None = None, docs: DataFrame | None = None) -> DataFrame:
+    return extract(first_page(lines, docs), source)
 
 
 def with_preamble(meta: DataFrame, preambles: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..schema import LINES
 
 # fixed values: characters that make a page text; characters beyond which a page is skipped; least score; resolution; longest side in pixels; pages a batch
 TEXT_CHARS, PAGE_LIMIT, MIN_SCORE, DPI, MAX_SIDE, BATCH = 10, 200_000, 0.5, 300, 4000, 5
@@ -39,7 +41,7 @@ def resolution(width_pt: Column, height_pt: Column, dpi: int = DPI, max_side: in
 
 
 def box_lines(pages: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, page_num, line_no, text, x0, y0, x1, y1, font_size of recognised boxes.
+    """doc_id, page_num, box_no, text, x0, y0, x1, y1, font_size of recognised boxes.
 
     pages: doc_id, page_num, dt_polys, rec_texts, rec_scores, dpi; the shortest
     of the three arrays sets how many boxes there are.
@@ -53,6 +55,14 @@ def box_lines(pages: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     return rows.select("doc_id", "page_num", "box_no", "text", *rounded, tenth(F.col("y1") - F.col("y0")).alias("font_size"))
 
 
+def lines_of_boxes(pages: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """LINES of recognised pages, numbered in reading order: by height, then left edge."""
+    order = Window.partitionBy("doc_id", "page_num").orderBy("y0", "x0", "box_no")
+    rows = box_lines(pages, min_score).withColumn("line_no", (F.row_number().over(order) - 1).cast("int"))
+    rows = rows.withColumns({"source_path": F.col("doc_id"), "bold": F.lit(False), "fontname": F.lit(""), "is_table": F.lit(False)})
+    return rows.select(*(F.col(f.name).cast(f.dataType) for f in LINES))
+
+
 def tenth(value: Column) -> Column:
     """Rounded to one decimal by the exact binary value, ties to even.
 

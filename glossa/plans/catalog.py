@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, rx, text
 from ..operators import check, clean, metadata, ocr, render, segment, tree, words
 from ..sources.rules import REPLACEMENTS, SIGNATURES, Rules
-from .relations import LEX_LINES, META_PAGES, relation
+from .relations import JUDGED_LINES, KIND_LINES, LEX_LINES, META_PAGES, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -267,7 +267,8 @@ ALL_SQL = f"""{SEGMENT_SQL}, every AS (
 )"""
 
 
-@query(f"WITH {ALL_SQL} SELECT doc_id, node_pos, leaf_no, level, title, text, parent_pos, depth FROM every e WHERE leaf_no = 1 OR NOT EXISTS (SELECT 1 FROM every c WHERE c.doc_id = e.doc_id AND c.parent_pos = e.node_pos)")
+@query(f"""WITH {ALL_SQL.replace("every AS (", "every AS MATERIALIZED (")}, parents AS (SELECT DISTINCT doc_id, parent_pos AS node_pos FROM every WHERE parent_pos IS NOT NULL)
+SELECT e.doc_id, e.node_pos, e.leaf_no, e.level, e.title, e.text, e.parent_pos, e.depth FROM every e LEFT JOIN parents p ON p.doc_id = e.doc_id AND p.node_pos = e.node_pos WHERE e.leaf_no = 1 OR p.doc_id IS NULL""")
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.leaves(tree.all_nodes(built(spark, sf_dir))).select("doc_id", "node_pos", "leaf_no", "level", "title", "text", "parent_pos", "depth")
 
@@ -290,9 +291,9 @@ def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run, from raw lines to Markdown with its header."""
-    from .convert import structure
+    from .convert import Options, structure
 
-    return structure(lex(spark, sf_dir)).markdown()
+    return structure(lex(spark, sf_dir), options=Options(store=True)).markdown()
 
 
 @query("""SELECT r_regionkey AS page_num, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || trim(n_name) || ' |', chr(10) ORDER BY n_nationkey) AS text FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey""")
@@ -331,3 +332,48 @@ def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word_no", "text"))
     placed = docs.select("doc_id", F.expr("1 + word_no div 200").cast("int").alias("page_num"), "word_no", "text", (F.expr("word_no % 200 div 9") * 12.0 + F.col("word_no") % 4).alias("top"), (F.col("word_no") % 9 * 30.0).alias("x0"), (F.col("word_no") % 9 * 30.0 + 25.0).alias("x1"), F.lit(None).cast("array<struct<size:double,fontname:string>>").alias("chars"))
     return words.cluster_words(placed)
+
+
+JUDGED_SQL = """CASE WHEN regexp_matches(text, '^(原告|被告|第三人|上诉人|被上诉人|申请人|被申请人|再审申请人|原审原告|原审被告)[：:]') THEN 'party'
+  WHEN regexp_matches(text, '^(原告|被告|第三人|上诉人|被上诉人).+诉称') OR regexp_matches(text, '^(本院|法院)(依法|于|经)?(组成|公开|审理|查明)') THEN 'procedure'
+  WHEN regexp_matches(text, '^(依照|根据).+(规定|判决|裁定|决定)如下') OR regexp_matches(text, '^(判决|裁定|决定)如下') THEN 'ruling'
+  WHEN regexp_matches(text, '^(审判长|审判员|代理审判员|陪审员|法官助理|书记员)[：:]?[ \t　]*[^ \t　]') THEN 'judges' ELSE '' END"""
+BOOK_LEVEL_SQL = f"""CASE WHEN regexp_matches(text, '^(前言|序言|序|自序|代序|导言|导论|引言|再版序|修订序|第[一二三四五六七八九十]版序)[：:]?$') THEN 'preface'
+  WHEN regexp_matches(text, '^(后记|跋)') OR regexp_matches(text, '^附录[ 　]*([一二三四五六七八九十]+|[0-9]+)?$') THEN 'appendix' ELSE {LEVEL_SQL} END"""
+
+
+@query(f"""WITH k AS ({KIND_LINES}) SELECT text, {BOOK_LEVEL_SQL} AS level, {JUDGED_SQL} AS judged, regexp_matches(text, '^([①②③④⑤⑥⑦⑧⑨⑩]|\\[[0-9]+\\])') AS footnote,
+  array_to_string(regexp_extract_all(text, '《[^》]*?[^》](法|条例|规定|办法|决定|意见|规则|细则|通则|解释|批复|答复)》', 0), '|') AS titles, count(*) AS n FROM k GROUP BY text""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every kind that statutes, judgments and books open nodes with, and near misses."""
+    rows = relation(spark, sf_dir, KIND_LINES, "lineitem").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    line = F.col("text")
+    return rows.select("text", classify.line_level(line).alias("level"), classify.judgment_level(line).alias("judged"), rx.starts(line, rx.FOOTNOTE).alias("footnote"), F.array_join(text.law_titles(line), "|").alias("titles"), "n")
+
+
+JUDGED_SEGMENT_SQL = (
+    SEGMENT_SQL.replace(LINES_SQL, f"lex AS ({JUDGED_LINES}), lev AS (SELECT *, {LEVEL_SQL} AS lv, {JUDGED_SQL} AS jv, {NUMBER_SQL} AS number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, y0, x0, line_no) AS INTEGER) AS pos FROM lex)")
+    .replace("lv IN ('part','chapter','section','article','subsection') AS title, lv IN ('sub_clause','item') AS sub FROM lev", "jv <> '' OR lv IN ('part','chapter','section','article','subsection') AS title, jv = '' AND lv IN ('sub_clause','item') AS sub FROM lev")
+    .replace("h.lv AS hlv", "CASE WHEN h.jv <> '' THEN h.jv ELSE h.lv END AS hlv")
+    .replace("CASE WHEN sub THEN 'article' ELSE lv END END AS level", "CASE WHEN sub THEN 'article' WHEN jv <> '' THEN jv ELSE lv END END AS level")
+    .replace("CASE level WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 ELSE 4 END AS so", "CASE level WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'party' THEN 3 WHEN 'procedure' THEN 3 WHEN 'ruling' THEN 3 ELSE 4 END AS so")
+)
+
+
+def judged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of judgments, annotated."""
+    zero = F.lit(0.0)
+    rows = relation(spark, sf_dir, JUDGED_LINES, "lineitem")
+    rows = rows.select("doc_id", F.lit(None).cast("string").alias("source_path"), "line_no", "text", "page_num", "x0", "y0", zero.alias("x1"), zero.alias("y1"), F.lit(12.0).alias("font_size"), F.lit(False).alias("bold"), F.lit("").alias("fontname"), F.lit(False).alias("is_table"))
+    return segment.by_windows(segment.classified(rows, rows.select("doc_id", F.lit("judgment").alias("doc_type")).distinct()))
+
+
+@query(f"WITH {JUDGED_SEGMENT_SQL} SELECT doc_id, pos, kind, level, node_pos FROM ann")
+def judgment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_lines(spark, sf_dir).select("doc_id", "pos", "kind", "level", "node_pos")
+
+
+@query(f"WITH {JUDGED_SEGMENT_SQL} SELECT doc_id, node_pos, level, parent_pos, path, depth FROM tree")
+def judgment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tree.build(segment.nodes_of(judged_lines(spark, sf_dir)))
+    return found.select("doc_id", "node_pos", "level", "parent_pos", F.array_join("hierarchy_path", " > ").alias("path"), "depth")

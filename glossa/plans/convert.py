@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import check, clean, metadata, ocr, render, segment, tree
+from ..sources import shared
 from ..sources.rules import Rules
 
 
@@ -16,7 +17,7 @@ class Options:
     filter_lines: bool = True
     toc: bool = False
     anchors: bool = True
-    #: store the annotated lines in the checkpoint folder, for runs that use more than one result
+    #: store metadata and annotated lines in the checkpoint folder, each of which more than one step reads
     store: bool = False
 
 
@@ -43,14 +44,21 @@ class Structured:
         return check.article_count(self.nodes)
 
 
-def structure(lines: DataFrame, rules: Rules | None = None, options: Options | None = None, source: str | None = None) -> Structured:
-    """lines: LINES as extracted.  Metadata sees the first page before anything is dropped or sorted."""
+def structure(lines: DataFrame, rules: Rules | None = None, options: Options | None = None, source: str | None = None, docs: DataFrame | None = None) -> Structured:
+    """lines: LINES as extracted.  Metadata sees the first page before anything is dropped or sorted.
+
+    Every document of ``docs`` (doc_id), and without it every one with a line on
+    any page, is in the results.
+    """
     rules, options = rules or Rules(), options or Options()
+    docs = lines.select("doc_id") if docs is None else docs
     lines = clean.normalize_lines(ocr.first_pages(lines, options.max_pages), rules)
-    meta = metadata.metadata(lines, source)
+    meta = metadata.metadata(lines, source, docs)
+    if options.store:
+        meta = shared.stored(meta)
     kept = clean.filter_lines(lines, rules) if options.filter_lines else lines
     annotated = segment.annotate(kept, meta.select("doc_id", "doc_type"))
     if options.store:
-        annotated = annotated.checkpoint()
+        annotated = shared.stored(annotated)
     built = tree.build(segment.nodes_of(annotated))
     return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options)

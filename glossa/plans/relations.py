@@ -29,6 +29,30 @@ FROM (
 ) t
 """
 
+NUMBERED = """
+  SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS int) AS ln, l_partkey, l_suppkey
+  FROM lineitem
+"""
+
+#: lines of every kind, and some that nearly are
+KINDS = (
+    "第一编 总则|第二编总则|第三编|第十章 附则|第十章附则|第二节 规定|第一条 甲|第一条之二 乙|第一条甲|（一）登记|(12) 编号|3、编号|a) 项|（B）项|ab) 项|"
+    "前言|序：|自序|导论:|第二版序|前言部分|后记|跋语|附录|附录一|附录 12|附录甲|一、小节|十二．小节|十三|"
+    "原告：张三|被告:李四|原告张三|再审申请人：王五|上诉人赵六诉称|第三人某某公司诉称不服|本院依法组成合议庭|法院于查明|本院认为|依照《民法典》第五条规定如下：|判决如下|根据事实裁定如下:|依照规定|"
+    "审判长 王五|书记员：赵六|代理审判员钱七|审判长|陪审员　孙八|① 参见前注|[12] 同上|12] 同上|⑩|参见《民法典》《刑法》与《某某管理条例》|《实施细则》和《解释》|正文"
+)
+KIND_LINES = f"""
+SELECT split_part('{KINDS}', '|', CAST(l_partkey % {KINDS.count("|") + 1} + 1 AS int)) AS text FROM lineitem
+"""
+
+#: judgments of some lines
+JUDGED = "原告：张三|被告：李四|本院经审理查明，双方有约|本院认为，应当支付|依照《民法典》第五条规定，判决如下：|一、被告支付|二、驳回其他请求|审判长 王五|书记员 赵六|（一）登记|第三条 引用|正文一行|原告：张三"
+JUDGED_LINES = f"""
+SELECT doc_id, ln AS line_no, CASE WHEN ln = 1 AND doc_id % 3 = 0 THEN '某某人民法院' ELSE split_part('{JUDGED}', '|', CAST(l_partkey % {JUDGED.count("|") + 1} + 1 AS int)) END AS text,
+  CAST(1 + (ln - 1 - (ln - 1) % 3) / 3 AS int) AS page_num, CAST(50 + 12 * (l_suppkey % 2) AS double) AS x0, CAST(10 * ln AS double) AS y0
+FROM ({NUMBERED}) t
+"""
+
 #: text of a first page from an order
 META_PAGES = """
 SELECT o_orderkey AS doc_id,

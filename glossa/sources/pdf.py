@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ocr
+from ..operators.words import HEIGHT, TOLERANCE
 from ..schema import LINES
 
 CHARS = "array<struct<size:double,fontname:string>>"
@@ -41,6 +42,20 @@ def available() -> dict[str, bool]:
     return {"pdf": have("pdfplumber"), "images": have("fitz"), "ocr": have("paddleocr")}
 
 
+def lines_of_words(found: list[dict]) -> list[dict]:
+    """A page's words on lines, for pages whose lines can't be had; as ``operators.words.cluster_words``, without fonts."""
+    lines: list[dict] = []
+    for w in found:
+        if not w["text"].strip():
+            continue
+        if not lines or abs(w["top"] - lines[-1]["y0"]) > TOLERANCE:
+            lines.append({"text": "", "x0": float(w["x0"]), "y0": float(w["top"]), "x1": float(w["x1"]), "y1": float(w["top"]) + HEIGHT, "chars": []})
+        now = lines[-1]
+        now["text"] += w["text"].strip()
+        now["x0"], now["x1"] = min(now["x0"], float(w["x0"])), max(now["x1"], float(w["x1"]))
+    return lines
+
+
 def read_pages(files: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages of PDF files (path, content), a page at a time."""
 
@@ -59,6 +74,8 @@ def read_pages(files: DataFrame, max_pages: int | None = None) -> DataFrame:
                                 for x in page.extract_text_lines(strip=True):
                                     chars = [{"size": float(c.get("size") or 0), "fontname": c.get("fontname") or ""} for c in x.get("chars") or []]
                                     lines.append({"text": x["text"], "x0": float(x["x0"]), "y0": float(x["top"]), "x1": float(x["x1"]), "y1": float(x["bottom"]), "chars": chars})
+                                if not lines:
+                                    lines = lines_of_words(page.extract_words(keep_blank_chars=False, x_tolerance=3))
                                 tables = [[[c or "" for c in row] for row in t] for t in page.extract_tables()]
                             yield pd.DataFrame([(path, k, len(page.chars), float(page.width), float(page.height), lines, tables, None)], columns=names)
                             page.close()
@@ -69,12 +86,33 @@ def read_pages(files: DataFrame, max_pages: int | None = None) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """LINES of the pages' text, tables apart; the path is the document."""
+    """LINES of the pages' text and tables; the path is the document."""
     from ..functions.text import strip
-    from ..operators.words import font_name, font_size, is_bold
+    from ..operators.words import font_name, font_size, is_bold, table_lines
+
+    own = ocr.within_limit(pages.where("error is null"))
+    tables = own.select(F.col("source_path").alias("doc_id"), "page_num", F.posexplode("tables").alias("table_no", "cells"))
+    tables = table_lines(tables).withColumn("source_path", F.col("doc_id")).select([f.name for f in LINES])
+    rows = own.select("source_path", "page_num", F.posexplode("lines").alias("line_no", "x")).where(strip(F.col("x.text")) != "")
+    return tables.unionByName(rows.select(F.col("source_path").alias("doc_id"), "source_path", "line_no", strip(F.col("x.text")).alias("text"), "page_num", *(F.col(f"x.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), font_size(F.col("x.chars")).alias("font_size"), is_bold(F.col("x.chars")).alias("bold"), font_name(F.col("x.chars")).alias("fontname"), F.lit(False).alias("is_table")).select([f.name for f in LINES]))
+
+
+def failures(pages: DataFrame) -> DataFrame:
+    """source_path, error of the files that could not be read."""
+    return pages.where("error is not null").select("source_path", "error")
+
+
+def read_documents(pages: DataFrame, files: DataFrame, mode: str = "off", backend: Callable[[], Backend] | None = None, recogniser: Callable | None = None) -> DataFrame:
+    """LINES of pages, from their text or, where ``ocr.needs_ocr`` says so, from their images.
 
-    rows = ocr.within_limit(pages.where("error is null")).select("source_path", "page_num", F.posexplode("lines").alias("line_no", "x")).where(strip(F.col("x.text")) != "")
-    return rows.select(F.col("source_path").alias("doc_id"), "source_path", "line_no", strip(F.col("x.text")).alias("text"), "page_num", *(F.col(f"x.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), font_size(F.col("x.chars")).alias("font_size"), is_bold(F.col("x.chars")).alias("bold"), font_name(F.col("x.chars")).alias("fontname"), F.lit(False).alias("is_table")).select([f.name for f in LINES])
+    A page that is recognised has no other lines; ``recogniser`` stands for ``recognise``.
+    """
+    routed = ocr.within_limit(pages.where("error is null")).withColumn("routed", ocr.needs_ocr(F.col("n_chars"), mode))
+    if mode == "off":
+        return page_lines(pages)
+    wanted = routed.where("routed").select("source_path", "page_num", ocr.resolution(F.col("width_pt"), F.col("height_pt")).alias("dpi"))
+    boxes = (recogniser or recognise)(files, wanted, backend)
+    return page_lines(routed.where("not routed")).unionByName(ocr.lines_of_boxes(boxes))
 
 
 def recognise(files: DataFrame, wanted: DataFrame, backend: Callable[[], Backend]) -> DataFrame:

@@ -101,7 +101,7 @@ def test_device(spark):
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", device.is_discrete_column(F.col("n")).alias("d")).collect()
     assert {r.n: r.d for r in got} == {n: device.is_discrete(n) for n in names}
     assert device.profile_table(spark).first().cpu_cores > 0
-    assert "提示" in device.Profile(1, 2.0, False, "", 1).summary()
+    assert "processor" in device.Profile(1, 2.0, False, "", 1).summary() and "RTX" in device.Profile(1, 2.0, True, "RTX 9", 1).summary()
 
 
 def test_entry_names_match():
@@ -109,3 +109,42 @@ def test_entry_names_match():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "article_gaps" in entry.queries()
+
+
+def test_pages_become_lines_by_text_table_or_image(spark):
+    from glossa.sources import pdf
+
+    line = lambda text: (text, 72.0, 10.0, 90.0, 20.0, [])
+    pages = spark.createDataFrame(
+        [
+            ("a.pdf", 1, 500, 600.0, 800.0, [line("第一条 甲。"), line("  ")], [[["k", "v"], ["1", None]], [["alone"]]], None),
+            ("a.pdf", 2, 3, 600.0, 800.0, [line("x")], [], None),
+            ("big.pdf", 1, 10**6, 600.0, 800.0, [line("skipped")], [], None),
+            ("bad.pdf", None, None, None, None, None, None, "OSError: broken"),
+        ],
+        pdf.PAGES,
+    )
+    assert [tuple(r) for r in pdf.failures(pages).collect()] == [("bad.pdf", "OSError: broken")]
+    asked = []
+
+    def recogniser(files, wanted, backend):
+        asked.append(sorted((r.source_path, r.page_num, r.dpi) for r in wanted.collect()))
+        box = lambda x, y: [[x, y], [x + 30, y], [x + 30, y + 30], [x, y + 30]]
+        rows = [(r.source_path, r.page_num, [box(300.0, 600.0), box(30.0, 300.0), box(0.0, 300.0)], ["低", "右", "左"], [0.9, 0.9, 0.9], r.dpi) for r in wanted.collect()]
+        return spark.createDataFrame(rows, "doc_id string, page_num int, dt_polys array<array<array<double>>>, rec_texts array<string>, rec_scores array<double>, dpi int")
+
+    shown = lambda mode: sorted((r.doc_id, r.page_num, r.line_no, r.text) for r in pdf.read_documents(pages, None, mode, None, recogniser).collect())
+    table = ("a.pdf", 1, 1_000_000, "| k | v |\n| --- | --- |\n| 1 |  |")
+    image = lambda page: [("a.pdf", page, k, t) for k, t in enumerate("左右低")]
+    assert shown("off") == [("a.pdf", 1, 0, "第一条 甲。"), table, ("a.pdf", 2, 0, "x")]
+    assert shown("auto") == [("a.pdf", 1, 0, "第一条 甲。"), table, *image(2)]
+    assert shown("force") == [*image(1), *image(2)]
+    assert asked == [[("a.pdf", 2, 300)], [("a.pdf", 1, 300), ("a.pdf", 2, 300)]]
+
+
+def test_words_without_lines_are_put_on_lines():
+    from glossa.sources import pdf
+
+    word = lambda text, top, x0: {"text": text, "top": top, "x0": x0, "x1": x0 + 5}
+    got = pdf.lines_of_words([word("第一", 10, 20), word("条", 11, 30), word(" ", 40, 0), word("下行", 30, 25)])
+    assert [(x["text"], x["x0"], x["x1"], x["y0"]) for x in got] == [("第一条", 20.0, 35.0, 10.0), ("下行", 25.0, 30.0, 30.0)]

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,12 +159,29 @@ def test_empty(spark):
 
 
 def test_yaml_scalars():
-    assert render.plain_scalar("") == '""'
-    assert render.plain_scalar("a: b") == "'a: b'"
-    assert render.plain_scalar("x") == "x\n..."
+    given = pd.Series([["", "a: b", None], ["x", "one\ntwo", "a: b"]])
+    assert list(next(render.yaml_scalars.func(iter([given])))) == [['""', "'a: b'", None], ["x\n...", "'one\n\n  two'", "'a: b'"]]
 
 
 def test_metadata_uses_the_first_page_alone(spark):
     rows = lines(spark, {"P": [{"text": "国务院令第12号"}, {"text": "2020年1月2日", "page_num": 2}]})
     meta = metadata.metadata(rows).first()
     assert (meta.doc_no, meta.publish_date, meta.issuing_authority) == ("第12号", "", "国务院")
+
+
+def test_documents_without_lines_on_page_one_stay(spark):
+    given = lines(spark, {"a": ["第一条 甲。"], "b": [{"text": "第一条 乙。", "page_num": 2}], "c": [{"text": "  "}, {"text": "第二条 丙。", "page_num": 3}]})
+    docs = spark.createDataFrame([("a",), ("b",), ("c",), ("oversize",)], "doc_id string")
+    for known, want in ((None, {"a", "b", "c"}), (docs, {"a", "b", "c", "oversize"})):
+        done = structure(given, docs=known)
+        shown = {r.doc_id: r.content for r in done.markdown().collect()}
+        assert set(shown) == want == {r.doc_id for r in done.json().collect()}
+        assert "#### 第一条 乙。" in shown["b"] and "#### 第二条 丙。" in shown["c"]
+    assert shown["oversize"] == "---\n---\n"
+
+
+def test_stored_steps_change_nothing(spark):
+    given = lines(spark, {"a": ["第一章 总则", "第一条 甲。", "（一）乙"], "b": [{"text": "前言", "font_size": 20}, {"text": "正文", "page_num": 2}]})
+    for how in ("markdown", "json"):
+        plain, kept = (sorted(map(tuple, getattr(structure(given, options=Options(store=s)), how)().collect())) for s in (False, True))
+        assert plain == kept
