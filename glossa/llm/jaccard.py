@@ -622,3 +622,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     discard(members, sketches)
     named = sets.join(classes, ["hi", "lo"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return named.groupBy("id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min(F.coalesce("comp", "rep")), F.first("id")).alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM docs WHERE len(w) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = x JOIN sizes n ON n.doc_id = y WHERE 100 * c >= 90 * (m.n + n.n - c)
+), both_ways AS MATERIALIZED (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.other = b.x
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""

@@ -64,4 +64,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_topk_search, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op6_packing, op7_license_scan, op8_quality, op9_decontamination, op10_language_id)}
 
-SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_topk_search": topk.SQL, "op3_substring_dedup": substrings.SQL, "op4_url_filter": urls.SQL}
+SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_topk_search": topk.SQL, "op3_substring_dedup": substrings.SQL, "op4_url_filter": urls.SQL, "op5_ngram_jaccard": jaccard.SQL}
