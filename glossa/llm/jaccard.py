@@ -11,14 +11,15 @@
    postings.  Length and position filters leave the classes with a partner.
    N-grams of ``HOT`` documents or more are spread over buckets and all kept.
 3. Links that only confirm a component are not needed.  In up to ``ROUNDS``
-   rounds, as long as they bring links, classes of different components meet at
-   their ``FIRST`` rarest shared n-grams, and there in blocks of about ``BLOCK``
-   classes, dealt anew in each round; the nearest pairs that span them (a least
+   rounds, as long as they bring more than ``MANY`` links, classes of different components meet, in
+   the first at ``FIRST`` of their shared n-grams (those of least hash, on which
+   like sets agree), then at all, in blocks of about ``BLOCK`` classes, dealt anew
+   in each round; the nearest pairs that span them (a least
    forest) are verified on whole sets and joined.  Then all pairs of all n-grams that pass length, position and
    suffix filter (the sketches) and are still in different components are
    verified, each once: of the classes of an n-gram, those outside its largest
    component visit all blocks, and a pair that meets at several n-grams is told at
-   the first of those that are among the ``HEADS`` rarest of both.  No link between different sets can be lost, and a
+   the least of those that are among the ``HEADS`` least of both.  No link between different sets can be lost, and a
    group of n near copies costs about n verifications.
 4. A pair is verified where the class with more pairs has its set; that one goes
    once to every ``FAN`` partners.
@@ -51,6 +52,9 @@ COUNTERS, CHUNK, BLOCK, ROUNDS, FIRST, FAN = 1 << 22, 1 << 16, 2048, 4, 4, 256
 #: occurrences that make an n-gram hot; postings that a map task holds, and those aimed at for a bucket
 HOT, FLUSH, BUCKET = 1 << 14, 500_000, 500_000
 
+#: links of a round that are worth another
+MANY = 2000
+
 #: cells of a sketch, least and most
 LEAST_CELLS, MOST_CELLS = 64, 1 << 14
 
@@ -191,7 +195,7 @@ class Sketches:
         return out
 
 
-#: of a class's rarest shared n-grams, those by which a pair's first meeting is told
+#: of a class's shared n-grams, those of least hash, by which a pair's first meeting is told
 HEADS = 8
 
 
@@ -458,14 +462,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     active = checkpointed(met.select("hi").distinct().join(classes, "hi").select("rep", "text_no", "hi", "lo"))
     chosen = F.broadcast(active) if active.count() <= MAX_SENT else active
     sketches = stored(first.withColumnRenamed("id", "rep").join(chosen, ["rep", "hi", "lo"]).select("rep", "text_no", F.col("data").alias("sketch")).dropDuplicates(["rep", "text_no"]))
-    nth = F.row_number().over(Window.partitionBy("rep", "text_no").orderBy("pos", "key"))
+    nth = F.row_number().over(Window.partitionBy("rep", "text_no").orderBy("key"))
     shared = met.join(chosen, "hi").select("key", "n", "pos", "blocks", "rep", "text_no")
     is_hot = F.col("blocks") > HOT // BLOCK
     # hot postings of copies come from several tasks
     members = stored(shared.where(~is_hot).union(shared.where(is_hot).dropDuplicates(["rep", "text_no", "key"])).withColumn("nth", nth))
     discard(met)
     # n-grams of one block alone: who has one meets everyone else who has it
-    heads = members.where((F.col("nth") <= HEADS) & (F.col("blocks") == 1)).groupBy("rep", "text_no").agg(F.collect_set("key").alias("heads"))
+    heads = members.where((F.col("nth") <= HEADS) & (F.col("blocks") == 1)).groupBy("rep", "text_no").agg(F.sort_array(F.collect_list("key")).alias("heads"))
     sketched = sketches.join(heads, ["rep", "text_no"], "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<bigint>")))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -537,11 +541,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
 
     def proposed(comps: DataFrame, turn: int) -> DataFrame:
         """Pairs of classes of different components that pass the filters: a forest of the nearest, or (turn 0) all."""
-        looked = members.where(F.col("nth") <= FIRST) if turn else members
+        looked = members.where(F.col("nth") <= FIRST) if turn == 1 else members
         placed = looked.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
         placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
-        if turn:
-            seated = placed.withColumns({"host": F.col("own"), "guest": F.lit(0), "visits": F.lit(False)})
+        alone = {"host": F.col("own"), "guest": F.lit(0), "visits": F.lit(False)}
+        if turn == 1:
+            seated = placed.withColumns(alone)
         else:
             placed = checkpointed(placed)
             by_comp = placed.groupBy("key", "blocks", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -550,9 +555,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             open_keys = open_keys.where(outside > 0).select("key", "blocks", "top", F.ceil(outside / BLOCK).cast("int").alias("seats"))
             open_keys = open_keys.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             open_rows = placed.join(open_keys, ["key", "blocks", "own"])
-            hosts = open_rows.withColumns({"host": F.col("own"), "guest": F.explode(F.sequence(F.lit(0), F.col("seats") - 1)), "visits": F.lit(False)})
-            guests = open_rows.where("comp <> top").withColumns({"host": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "guest": F.pmod(F.xxhash64("rep"), F.col("seats")).cast("int"), "visits": F.lit(True)})
-            seated = hosts.unionByName(guests)
+            if turn:
+                seated = open_rows.withColumns(alone)
+            else:
+                hosts = open_rows.withColumns({"host": F.col("own"), "guest": F.explode(F.sequence(F.lit(0), F.col("seats") - 1)), "visits": F.lit(False)})
+                guests = open_rows.where("comp <> top").withColumns({"host": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "guest": F.pmod(F.xxhash64("rep"), F.col("seats")).cast("int"), "visits": F.lit(True)})
+                seated = hosts.unionByName(guests)
         seated = seated.join(sketched, ["rep", "text_no"]).select("key", "host", "guest", "visits", "n", "pos", "rep", "comp", "sketch", "heads")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -613,12 +621,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     turn = 1
     while True:
         found = verify(proposed(comps, turn))
-        new = not found.isEmpty()
-        if new:
+        links = found.count()
+        if links:
             comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)))
         if not turn:
             break
-        turn = turn + 1 if new and turn < ROUNDS else 0
+        turn = turn + 1 if links > MANY and turn < ROUNDS else 0
     discard(members, sketches)
     named = sets.join(classes, ["hi", "lo"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return named.groupBy("id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min(F.coalesce("comp", "rep")), F.first("id")).alias("component_id")).select(F.col("id").alias(id_col), "n_shingles", "component_id")

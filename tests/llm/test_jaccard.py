@@ -61,6 +61,7 @@ def test_equals_brute_force(spark, how):
 def test_large_family_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "FIRST", 1)
+    monkeypatch.setattr(jaccard, "MANY", 0)
     rng = random.Random(1)
     rows = list(enumerate(family(rng, 150, 100, 8) + family(rng, 60, 100, 3)))
     assert found(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
@@ -68,7 +69,7 @@ def test_large_family_in_small_blocks(spark, monkeypatch):
 
 def test_hot_ngrams_are_kept_whole(spark, monkeypatch):
     # workers get the module's functions by value, and with them these figures
-    for name, value in (("BLOCK", 4), ("HOT", 8), ("BUCKET", 40), ("FLUSH", 100), ("FAN", 3)):
+    for name, value in (("BLOCK", 4), ("HOT", 8), ("BUCKET", 40), ("FLUSH", 100), ("FAN", 3), ("MANY", 0)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(6)
     rows = list(enumerate(family(rng, 40, 40, 3) * 2 + ["very common words " + t for t in family(rng, 30, 4, 4)] + family(rng, 25, 60, 4)))
