@@ -561,7 +561,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 hosts = open_rows.withColumns({"host": F.col("own"), "guest": F.explode(F.sequence(F.lit(0), F.col("seats") - 1)), "visits": F.lit(False)})
                 guests = open_rows.where("comp <> top").withColumns({"host": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "guest": F.pmod(F.xxhash64("rep"), F.col("seats")).cast("int"), "visits": F.lit(True)})
                 seated = hosts.unionByName(guests)
-        seated = seated.join(sketched, ["rep", "text_no"]).select("key", "host", "guest", "visits", "n", "pos", "rep", "comp", "sketch", "heads")
+        # only what visits asks for heads
+        known = sketches.withColumn("heads", F.array().cast("array<bigint>")) if turn else sketched
+        seated = seated.join(known, ["rep", "text_no"]).select("key", "host", "guest", "visits", "n", "pos", "rep", "comp", "sketch", "heads")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.Table] = []
