@@ -17,7 +17,8 @@
    in each round; the nearest pairs that span them (a least
    forest) are verified on whole sets and joined.  Then all pairs of all n-grams that pass length, position and
    suffix filter (the sketches) and are still in different components are
-   verified, each once: of the classes of an n-gram, those outside its largest
+   verified, each once; an n-gram of one block of which no pair passed in a round
+   that looked at all of it is not met again, as pairs only ever fall away: of the classes of an n-gram, those outside its largest
    component visit all blocks, and a pair that meets at several n-grams is told at
    the least of those that are among the ``HEADS`` least of both.  No link between different sets can be lost, and a
    group of n near copies costs about n verifications.
@@ -221,7 +222,7 @@ class Meeting:
         return out
 
     def pairs(self, inside: bool) -> Iterator[tuple[np.ndarray, ...]]:
-        """Pairs of ids that pass all filters, in how many elements they differ at least, and their components.
+        """Pairs of ids that pass all filters, in how many elements they differ at least, their components, and the n-gram.
 
         Inside, each row meets those before it in its group; else visitors meet the others.
         """
@@ -252,7 +253,7 @@ class Meeting:
                 new = ~self.met_before(x, y)
                 x, y, apart = x[new], y[new], apart[new]
             p, q = self.rep[x], self.rep[y]
-            yield np.minimum(p, q), np.maximum(p, q), apart, self.comp[x], self.comp[y]
+            yield np.minimum(p, q), np.maximum(p, q), apart, self.comp[x], self.comp[y], self.key[x]
 
 
 def heads_of(keys: list) -> bytes:
@@ -539,9 +540,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     same_id = sets.where("n > 0").join(classes, ["hi", "lo"]).select("id", "rep")
     tied = same_id.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
 
-    def proposed(comps: DataFrame, turn: int) -> DataFrame:
-        """Pairs of classes of different components that pass the filters: a forest of the nearest, or (turn 0) all."""
+    def proposed(comps: DataFrame, turn: int, going: DataFrame | None) -> DataFrame:
+        """Pairs of classes of different components that pass the filters: a forest of the nearest, or (turn 0) all.
+
+        Only n-grams of several blocks are met and those ``going`` (None: all).  After
+        the first turn rows without a pair tell each n-gram at which any pair passed.
+        """
         looked = members.where(F.col("nth") <= FIRST) if turn == 1 else members
+        if going is not None:
+            keys = F.broadcast(going) if going.count() <= MAX_SENT else going
+            looked = looked.where("blocks > 1").unionByName(looked.where("blocks = 1").join(keys, "key", "left_semi"))
         placed = looked.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
         placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
         alone = {"host": F.col("own"), "guest": F.lit(0), "visits": F.lit(False)}
@@ -568,6 +576,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.Table] = []
             found: list[tuple] = []
+            passed: list[np.ndarray] = []
 
             def reduced() -> tuple:
                 a, b, d, u, v = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -580,14 +589,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 return a[ok], b[ok], d[ok], u[ok], v[ok]
 
             def close() -> None:
-                for x in Meeting(held, num, den).pairs(bool(turn)):
-                    found.append(x)
+                for *x, key in Meeting(held, num, den).pairs(bool(turn)):
+                    found.append(tuple(x))
+                    if turn > 1:
+                        passed.append(np.unique(key))
                     if sum(len(f[0]) for f in found) > 500_000:
                         found.append(reduced())
                 held.clear()
 
             def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in reduced()[:2]], names=["a", "b"])
+                a, b = reduced()[:2]
+                keys = np.unique(np.concatenate(passed)) if passed else a[:0]
+                passed.clear()
+                columns = [pa.concat_arrays([pa.array(c, pa.int64()), pa.nulls(len(keys), pa.int64())]) for c in (a, b)]
+                return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(keys, pa.int64())])], names=["a", "b", "key"])
 
             rows_held, last = 0, None
             for batch in batches:
@@ -607,7 +622,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                     close()
                     held.append(t.slice(cut))
                     rows_held = len(t) - cut
-                    if sum(len(f[0]) for f in found) > 300_000:
+                    if sum(len(f[0]) for f in found) + sum(map(len, passed)) > 300_000:
                         yield out()
                 else:
                     held.append(t)
@@ -617,12 +632,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             if found:
                 yield out()
 
-        return seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(across, "a long, b long")
+        return seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(across, "a long, b long, key long")
 
     comps = checkpointed(components(tied))
-    turn = 1
+    turn, going = 1, None
     while True:
-        found = verify(proposed(comps, turn))
+        told = checkpointed(proposed(comps, turn, going))
+        if turn > 1:
+            going = checkpointed(told.where("key is not null").select("key").distinct())
+        found = verify(told.where("a is not null"))
         links = found.count()
         if links:
             comps = checkpointed(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)))
