@@ -4,7 +4,7 @@
    class (a 128-bit digest), so copies are never compared.  The same pass
    counts n-grams over all documents in ``COUNTERS`` buckets, a table of fixed
    size whatever the corpus, and makes a sketch of each set (the parity of its
-   hashes in about twice as many cells as it has elements; two sets differ in at
+   hashes in at least as many cells as it has elements; two sets differ in at
    least as many elements as cells).  Bucket count, then hash, is the total order.
 2. Each set is sorted rarest first.  Two sets that link share an n-gram of
    their prefixes, so prefixes meet by n-gram in buckets whose number follows the
@@ -159,7 +159,7 @@ def with_partner(every: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def sketch(found: np.ndarray) -> bytes:
     """Parity of the elements in each of some power of two of cells."""
-    cells = min(max(LEAST_CELLS, 1 << (2 * len(found) - 1).bit_length()), MOST_CELLS)
+    cells = min(max(LEAST_CELLS, 1 << (len(found) - 1).bit_length()), MOST_CELLS)
     odd = np.bincount(((found >> np.uint64(16)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
