@@ -37,6 +37,7 @@ columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -388,9 +389,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                 sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(data), dtype=np.uint32).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes(), 1) for s in sums.values()], pa.binary())], names=["n", "data"])
 
-    # counters of the tasks add up in two steps, the first dealt by chunk and task
+    # counters of the tasks add up in two steps, in the first about the root of their number a group
     chunks = COUNTERS // CHUNK
-    partial = first.where("id is null").select("n", "hi", "data").repartition(max(chunks, parts), "n", "hi").mapInArrow(total, "n long, data binary")
+    counted = first.where("id is null")
+    groups = math.isqrt(counted.count() // chunks) + 1
+    partial = counted.select("n", F.pmod("hi", F.lit(groups)).alias("hi"), "data").repartition(max(chunks, parts), "n", "hi").mapInArrow(total, "n long, data binary")
     counts = np.zeros(COUNTERS, dtype=np.uint32)  # a table of fixed size
     for r in partial.repartition(chunks, "n").mapInArrow(total, "n long, data binary").collect():
         counts[r.n * CHUNK : (r.n + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.data), dtype=np.uint32)

@@ -67,6 +67,19 @@ def test_large_family_in_small_blocks(spark, monkeypatch):
     assert found(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def test_ngrams_closed_in_a_round_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FIRST", 1)
+    monkeypatch.setattr(jaccard, "MANY", 0)
+    rng = random.Random(9)
+    # the families share a passage, so that texts of different ones meet too
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = list(enumerate(t + " " + passage * (k % 2) for k, t in enumerate(t for _ in range(12) for t in family(rng, 12, 60, 6))))
+    for width, num in ((3, 90), (3, 70), (5, 80)):
+        assert found(spark, rows, width, num, 100) == brute(rows, width, num, 100)
+    monkeypatch.setattr(jaccard, "MAX_SENT", 0)
+    assert found(spark, rows, 3, 80, 100) == brute(rows, 3, 80, 100)
+
+
 def test_hot_ngrams_are_kept_whole(spark, monkeypatch):
     # workers get the module's functions by value, and with them these figures
     for name, value in (("BLOCK", 4), ("HOT", 8), ("BUCKET", 40), ("FLUSH", 100), ("FAN", 3), ("MANY", 0)):
