@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, licenses, packing, quality, runs, sessions, substrings, topk, urls
+from . import chat, decontaminate, jaccard, langid, licenses, neighbours, packing, quality, runs, sessions, substrings, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find_runs(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_topk_search, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op6_packing, op7_license_scan, op8_quality, op9_decontamination, op10_language_id, op11_session_closing, op12_periodic_runs)}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_topk_search, op3_substring_dedup, op4_url_filter, op5_ngram_jaccard, op6_packing, op7_license_scan, op8_quality, op9_decontamination, op10_language_id, op11_session_closing, op12_periodic_runs, op13_nearest_neighbours)}
 
 SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_topk_search": topk.SQL, "op3_substring_dedup": substrings.SQL, "op4_url_filter": urls.SQL, "op5_ngram_jaccard": jaccard.SQL, "op11_session_closing": sessions.SQL}
