@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,15 @@ SHARDS = 512
 #: letters, then marks that always start a token of their own
 SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|*#$%&]+)")
 
+
+def splits(word: str) -> re.Match | None:
+    """Letters and marks of a word whose marks stand alone: the tokenizer joins them with a combining mark in which the letters' normal form ends."""
+    found = SIMPLE.fullmatch(word)
+    if not found or found[1].isascii() or unicodedata.category(unicodedata.normalize("NFC", found[1].lower())[-1])[0] == "L":
+        return found
+    return None
+
+
 #: parts words that are tokenised together: a character with a token of its own
 PARTING = "\x01"
 
@@ -87,7 +97,7 @@ class TokenCache:
         """Put words that are not known into the cache."""
         kept = words & self.old.keys()
         self.ids.update((w, self.old[w]) for w in kept)
-        matched = [(w, SIMPLE.fullmatch(w.decode())) for w in words.difference(kept)]
+        matched = [(w, splits(w.decode())) for w in words.difference(kept)]
         parts = {w: (m[1].encode(), m[2].encode()) for w, m in matched if m}
         needed = {w for w, m in matched if not m}.union(*parts.values())
         self.tokenise([w for w in needed if w not in self.ids])

@@ -87,3 +87,12 @@ def test_knapsack_equals_brute_force():
 def test_names_that_clash(spark):
     rows = spark.createDataFrame([(1, "a b", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, id int, size string")
     assert sorted((r.doc_id, r.length) for r in packing.pack_documents(rows).collect()) == [(1, 3), (2, 1)]
+
+
+def test_marks_after_any_letter_are_the_tokenizers():
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and not 0xD800 <= ord(c) < 0xE000 and not (0x3400 <= ord(c) < 0xA000 or 0xAC00 <= ord(c) < 0xD7A4 or ord(c) >= 0x20000)]
+    words = [f"{c}{mark}" for c in letters for mark in ("!", ".", ",")] + [f"a{c}!" for c in letters] + [f"!{c}" for c in letters]
+    cache = packing.TokenCache(PATH)
+    got = list(cache.encode([w.encode() for w in words]))
+    want = TOKENIZER.encode_batch(words, add_special_tokens=False)
+    assert [w for w, g, t in zip(words, got, want, strict=True) if g != np.array(t.ids, dtype="<u4").tobytes()] == []
