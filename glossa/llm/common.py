@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import tempfile
 import types
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,16 +176,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: words of more bytes are hashed by BLAKE2: sums modulo 2**64 can't tell some long patterned words apart
+LONG_WORD = 256
+#: values of bytes for a second, independent hash
+OTHER_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
 class WordHashes:
     """64-bit hashes of words, made for whole pieces of text by Rabin-Karp sums over their bytes.
 
-    A word is a maximal run of bytes other than space and \\x09-\\x0D.  Memory is
-    bounded by PIECE and by eight bytes a word of one text.
+    A word is a maximal run of bytes other than space and \\x09-\\x0D; words of more
+    than LONG_WORD bytes have a digest instead.  With ``second`` each text gets two
+    rows of hashes, made independently of each other.  Memory is bounded by PIECE and
+    by eight bytes a word and row of one text.
     """
 
-    def __init__(self, lower: bool) -> None:
+    def __init__(self, lower: bool, second: bool = False) -> None:
         release()
-        self.lower, self.powers = lower, Powers()
+        self.same, self.powers, self.second = LOWER if lower else np.arange(256, dtype=np.uint8), Powers(), second
+        self.values = [self.same.astype(np.uint64) + np.uint64(1), *([OTHER_VALUES[self.same]] if second else [])]
 
     def of_column(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The hashes of each text of a string or binary column; null: none."""
@@ -203,34 +213,47 @@ class WordHashes:
                 hashes, starts = self.piece(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 cuts = np.searchsorted(starts, at[i : j + 1] - at[i]).tolist()
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield hashes[a:b]
+                    yield self.shaped(hashes[:, a:b])
                 i = j
             else:
-                yield self.long_text(data[at[i] : at[i + 1]])
+                yield self.shaped(self.long_text(data[at[i] : at[i + 1]]))
                 i += 1
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        """Prefix sums of each byte (lower-cased, plus one) times BASE to minus its place."""
-        down = self.powers.get(len(data))[1]
-        values = (LOWER[data] if self.lower else data).astype(np.uint64)
-        values += np.uint64(1)
-        values *= down
+    def shaped(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes if self.second else hashes[0]
+
+    def sums(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Prefix sums of each byte's value times BASE to minus its place."""
+        terms = values[data]
+        terms *= self.powers.get(len(data))[1]
         out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(values, out=out[1:])
+        np.cumsum(terms, out=out[1:])
         return out
 
     def piece(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and start of each word; texts: where a text starts (or ends), which parts words too."""
+        """Hashes and start of each word; texts: where a text starts (or ends), which parts words too."""
         if not len(data):
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            return np.zeros((len(self.values), 0), dtype=np.uint64), np.zeros(0, dtype=np.int64)
         word, edge = ~SPACE[data], np.zeros(len(data) + 1, dtype=bool)
         edge[texts] = edge[0] = edge[-1] = True
         before, after = edge[:-1].copy(), edge[1:].copy()
         before[1:] |= ~word[:-1]
         after[:-1] |= ~word[1:]
         starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-        sums = self.sums(data)
-        return mixed((sums[ends] - sums[starts]) * self.powers.get(len(data))[0][starts]), starts
+        out = np.empty((len(self.values), len(starts)), dtype=np.uint64)
+        for row, values in zip(out, self.values, strict=True):
+            sums = self.sums(data, values)
+            row[:] = mixed((sums[ends] - sums[starts]) * self.powers.get(len(data))[0][starts])
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            out[:, k] = self.digest([data[starts[k] : ends[k]]])
+        return out, starts
+
+    def digest(self, parts: Iterable[np.ndarray]) -> np.ndarray:
+        """The hashes of a long word, given in parts."""
+        found = hashlib.blake2b(digest_size=16)
+        for part in parts:
+            found.update(self.same[part].tobytes())
+        return np.frombuffer(found.digest(), dtype=np.uint64)[: len(self.values)]
 
     def long_text(self, data: np.ndarray) -> np.ndarray:
         """A text of more than PIECE bytes, cut at white space."""
@@ -240,27 +263,23 @@ class WordHashes:
             if at + len(block) < len(data):
                 spaces = np.flatnonzero(SPACE[block])
                 if not len(spaces):
-                    found, at = self.long_word(data, at)
-                    out.append(found)
+                    end = self.end_of_word(data, at)
+                    out.append(self.digest(data[k : min(k + PIECE, end)] for k in range(at, end, PIECE))[:, None])
+                    at = end
                     continue
                 block = block[: spaces[-1] + 1]
             out.append(self.piece(block, np.zeros(1, dtype=np.int64))[0])
             at += len(block)
-        return np.concatenate(out)
+        return np.concatenate(out, axis=1)
 
-    def long_word(self, data: np.ndarray, at: int) -> tuple[np.ndarray, int]:
-        """The hash of a word that is longer than PIECE and starts at ``at``, and its end."""
-        total, scale, step = 0, 1, pow(BASE, -PIECE, 1 << 64)
+    def end_of_word(self, data: np.ndarray, at: int) -> int:
+        """Where a word that is longer than PIECE and starts at ``at`` ends."""
         while at < len(data):
-            block = data[at : at + PIECE]
-            spaces = np.flatnonzero(SPACE[block])
-            block = block[: spaces[0]] if len(spaces) else block
-            total += int(self.sums(block)[-1]) * scale
-            scale = scale * step % (1 << 64)
-            at += len(block)
+            spaces = np.flatnonzero(SPACE[data[at : at + PIECE]])
             if len(spaces):
-                break
-        return mixed(np.array([total % (1 << 64)], dtype=np.uint64)), at
+                return at + int(spaces[0])
+            at += PIECE
+        return len(data)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

@@ -1,7 +1,7 @@
 """Removal of repeated passages: Rabin-Karp hashes of every token window.
 
-Every window of ``window`` consecutive words is hashed, to 80 bits: by chance
-about n**2 / 2**81 of the pairs among n distinct windows are taken for equal.  A
+Every window of ``window`` consecutive words is hashed, to 64 and 16 bits that
+come from two independent hashes of its words: by chance about n**2 / 2**81 of the pairs among n distinct windows are taken for equal.  A
 map task first settles the windows that repeat among its own documents and sends
 one entry a distinct hash onwards, so that no passage, however common, sends more
 than one entry a task.  Entries meet by hash bucket; each reply names a document
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, Powers, WordHashes, mixed, rolling, texts_of, unused
+from .common import SPACE, Powers, WordHashes, rolling, texts_of, unused
 
 #: windows that a map task holds at once, and those aimed at for a bucket
 FLUSH, BUCKET = 1_000_000, 1_000_000
@@ -46,9 +46,6 @@ ROW_DDL = "bucket int, kind tinyint, part int, keys binary, who binary"
 #: a document as it is named between tasks: its id, and a byte of its text so that rows of one id spread
 NAME = np.dtype([("id", np.int64), ("tag", np.uint8)])
 
-#: makes the second hash of a window independent of the first
-OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-
 
 def part_of(value: int, tag: int, parts: int) -> int:
     """The part of a document; ``part_column`` says the same in SQL."""
@@ -63,8 +60,8 @@ def part_column(value: Column, text: Column, parts: int) -> Column:
 
 
 def window_hashes(words: np.ndarray, window: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 16 bits of each window."""
-    return rolling(words, window, powers), (rolling(mixed(words ^ OTHER), window, powers) >> np.uint64(48)).astype(np.uint16)
+    """64 and 16 bits of each window, from two hashes a word."""
+    return rolling(words[0], window, powers), (rolling(words[1], window, powers) >> np.uint64(48)).astype(np.uint16)
 
 
 def addressed(names: np.ndarray, values: np.ndarray, kind: int, parts: int, bits: int) -> list[tuple]:
@@ -212,7 +209,7 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
     parts = int(min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // (2 * BUCKET))))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(lower=False), Powers()
+        hashes, powers = WordHashes(lower=False, second=True), Powers()
         names: list[tuple] = []
         held: list[tuple] = []
         digests: list[np.ndarray] = []
@@ -227,12 +224,12 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
         for batch in batches:
             text = batch.column("text").cast(pa.binary())
             for k, (i, words) in enumerate(zip(batch.column("id").to_pylist(), hashes.of_column(text), strict=True)):
-                if len(words) >= window:
+                if words.shape[1] >= window:
                     own = text[k].as_py()
                     names.append((i, zlib.crc32(own) & 255))
                     held.append(window_hashes(words, window, powers))
                     digests.append(text_digest(own))
-                    n += len(words)
+                    n += words.shape[1]
                 if n >= FLUSH:
                     yield close()
                     n = 0

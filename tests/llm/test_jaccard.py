@@ -219,3 +219,11 @@ def test_texts_that_share_an_id_keep_the_links_of_each(spark):
         rows += [(k, one), (k, other), (k + 1, one + " near"), (k + 2, other + " near")]
     got = found(spark, rows, 3, 90, 100)
     assert got == brute(rows, 3, 90, 100) and {c for _, _, c in got} == set(range(0, 60, 3))
+
+
+def test_long_patterned_words_differ(spark):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words, word])), (2, " ".join([*words, word.translate(str.maketrans("ab", "ba"))])), (3, " ".join([*words, word.upper()]))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, den=100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 1}

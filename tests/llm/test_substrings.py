@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.llm import substrings
+from glossa.llm import common, substrings
 
 SCHEMA = "doc_id long, text string"
 
@@ -119,3 +121,33 @@ def test_different_texts_under_one_id_lose_only_their_own_repeats(spark):
     for parts in (1, 3):
         got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1).repartition(parts), window=3).collect()
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.text.strip()) for r in got) == brute(rows, 3)
+
+
+def thue_morse(n):
+    """A word of n letters and its mirror image, which sums modulo 2**64 can't tell apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096, 1 << 20])
+def test_long_patterned_words_differ(spark, n):
+    one, other = thue_morse(n)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, other])), (3, " ".join([*words, other, "x"]))]
+    assert found(spark, rows, 13) == brute(rows, 13)
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_word_hashes_are_the_same_in_any_place(monkeypatch, lower):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aAbBé") for _ in range(n)) for n in (1, 2, 30, 200, 300, 900)] * 3
+    text = "\t".join(words)
+    hashes = common.WordHashes(lower=lower, second=True)
+    whole = next(hashes.of_column(pa.array([text])))
+    single = np.concatenate(list(hashes.of_column(pa.array(words))), axis=1)
+    monkeypatch.setattr(common, "PIECE", 256)
+    pieces = next(hashes.of_column(pa.array([text])))
+    assert (whole == single).all() and (whole == pieces).all()
+    assert len(set(whole[0].tolist())) == len(set(whole[1].tolist())) == len({w.encode().lower() if lower else w for w in words})
+    assert not set(whole[0].tolist()) & set(whole[1].tolist())
+    assert (next(common.WordHashes(lower=lower).of_column(pa.array([text]))) == pieces[0]).all()
