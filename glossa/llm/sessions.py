@@ -61,6 +61,8 @@ CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # a store would allot megabytes before its first row
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
