@@ -19,8 +19,9 @@ Scale: rows are dealt by client with a rebalance, which splits a client that
 holds many rows over tasks; each map task of the stream joins its own rows to
 sessions first and sends one packed row a group, so a hot client costs its
 sessions and not its rows.  A client has at most 48 sessions a day, which
-bounds its state by the lateness and the span of a batch; the number of groups
-grows with the rows (``group_rows``).  Every call works in a new folder under
+bounds its state by the lateness and the span of a batch; the numbers of groups
+and of state stores grow with the rows (``group_rows``, ``store_rows``), the latter
+up to the session's shuffle partitions.  Every call works in a new folder under
 ``spark.checkpoint.dir``; a start that fails can be repeated on the same checkpoint.
 
 Defined cases: rows without id, client or event time take no part; of rows that
@@ -273,7 +274,7 @@ class Folder:
         self.fs.delete(self.of(self.at(name)), True)
 
 
-def close_sessions(clicks: DataFrame, *, batches: int = 8, gap_minutes: int = 30, late_hours: int = 240, id_col: str = "click_id", client_col: str = "client_id", time_col: str = "ts", arrival_col: str = "arrived_at", group_rows: int = 4096) -> DataFrame:
+def close_sessions(clicks: DataFrame, *, batches: int = 8, gap_minutes: int = 30, late_hours: int = 240, id_col: str = "click_id", client_col: str = "client_id", time_col: str = "ts", arrival_col: str = "arrived_at", group_rows: int = 4096, store_rows: int = 65536) -> DataFrame:
     """client_id, first_us, last_us, n_clicks, ids_crc32, n_merges, close_batch of every session.
 
     The rows are cut by arrival into batches, every third client and hour a batch
@@ -288,6 +289,8 @@ def close_sessions(clicks: DataFrame, *, batches: int = 8, gap_minutes: int = 30
     rows = spark.read.schema("click_id long, arrived long, us long, client_id long").parquet(folder.at("rows"))
     hour = lambda c: F.floor(F.col(c) / F.lit(HOUR_US))
     low, high, count = rows.agg(F.min(hour("arrived")), F.max(hour("arrived")), F.count(F.lit(1))).first()
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // store_rows + 1)
+    own.conf.set("spark.sql.shuffle.partitions", stores)
     share = F.floor(F.lit(batches) * (hour("arrived") - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1)) if low is not None else F.lit(0)
     later = (F.crc32(F.concat_ws(":", F.col("client_id").cast("string"), hour("us").cast("string")).cast("binary")) % 3 == 0) & F.col("arrived").isNotNull()
     batch = F.least(F.coalesce(share, F.lit(0)) + later.cast("int"), F.lit(batches - 1)).cast("int")
