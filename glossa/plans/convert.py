@@ -30,6 +30,12 @@ class Structured:
     tree: DataFrame
     nodes: DataFrame
     options: Options
+    #: intermediate tables of ``Options.store``
+    stored: tuple[DataFrame, ...] = ()
+
+    def discard(self) -> None:
+        """Delete the stored intermediate tables, once all results that are wanted have been written."""
+        shared.discard(*self.stored)
 
     def markdown(self) -> DataFrame:
         return render.markdown(self.nodes, self.meta, toc=self.options.toc, anchors=self.options.anchors)
@@ -61,4 +67,4 @@ def structure(lines: DataFrame, rules: Rules | None = None, options: Options | N
     if options.store:
         annotated = shared.stored(annotated)
     built = tree.build(segment.nodes_of(annotated))
-    return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options)
+    return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options, (meta, annotated) if options.store else ())

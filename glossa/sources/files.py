@@ -26,3 +26,8 @@ def output_path(path: Column, root: str, *, flatten: bool = False, extension: st
 def collisions(outputs: DataFrame) -> DataFrame:
     """Output paths that more than one document would write."""
     return outputs.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def without_collisions(outputs: DataFrame) -> DataFrame:
+    """The documents whose output path is their own."""
+    return outputs.join(collisions(outputs).select("rel_path"), "rel_path", "left_anti")

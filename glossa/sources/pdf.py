@@ -12,6 +12,7 @@ import importlib.util
 from collections.abc import Callable, Iterator
 from io import BytesIO
 from typing import Any, Protocol
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import ocr
 from ..operators.words import HEIGHT, TOLERANCE
 from ..schema import LINES
+from . import shared
 
 CHARS = "array<struct<size:double,fontname:string>>"
 #: what a reader yields a page: its lines, its tables, its size, or the error that stopped the file
@@ -102,38 +104,102 @@ def failures(pages: DataFrame) -> DataFrame:
     return pages.where("error is not null").select("source_path", "error")
 
 
-def read_documents(pages: DataFrame, files: DataFrame, mode: str = "off", backend: Callable[[], Backend] | None = None, recogniser: Callable | None = None) -> DataFrame:
+def whole(pages: DataFrame) -> DataFrame:
+    """Pages of the files that were read to their end: a file is taken whole or not at all."""
+    return pages.where("error is null").join(failures(pages).select("source_path").distinct(), "source_path", "left_anti")
+
+
+def documents(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id of every file that could be read, also of those without pages."""
+    return files.select(F.col("path").alias("doc_id")).join(failures(pages).select(F.col("source_path").alias("doc_id")).distinct(), "doc_id", "left_anti")
+
+
+def read_documents(pages: DataFrame, mode: str = "off", backend: Callable[[], Backend] | None = None, recogniser: Callable | None = None) -> DataFrame:
     """LINES of pages, from their text or, where ``ocr.needs_ocr`` says so, from their images.
 
-    A page that is recognised has no other lines; ``recogniser`` stands for ``recognise``.
+    A page that is recognised has no other lines; one whose recognition fails has
+    those of its text, but no tables.  ``recogniser`` stands for ``recognise``; its
+    result is stored, since the lines and the failed pages are both read from it.
     """
-    routed = ocr.within_limit(pages.where("error is null")).withColumn("routed", ocr.needs_ocr(F.col("n_chars"), mode))
     if mode == "off":
-        return page_lines(pages)
+        return page_lines(whole(pages))
+    routed = ocr.within_limit(whole(pages)).withColumn("routed", ocr.needs_ocr(F.col("n_chars"), mode))
     wanted = routed.where("routed").select("source_path", "page_num", ocr.resolution(F.col("width_pt"), F.col("height_pt")).alias("dpi"))
-    boxes = (recogniser or recognise)(files, wanted, backend)
-    return page_lines(routed.where("not routed")).unionByName(ocr.lines_of_boxes(boxes))
+    boxes = shared.stored((recogniser or recognise)(wanted, backend))
+    failed = boxes.where("error is not null").select(F.col("doc_id").alias("source_path"), "page_num")
+    back = routed.where("routed").join(failed, ["source_path", "page_num"], "left_semi").withColumn("tables", F.array().cast("array<array<array<string>>>"))
+    text = routed.where("not routed").unionByName(back)
+    return page_lines(text).unionByName(ocr.lines_of_boxes(boxes.where("error is null")))
+
+
+def open_path(path: str) -> bytes:
+    """A file's bytes, in a task: of a path or URI that the driver and all executors can reach."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + unquote(path[len("file:") :]).lstrip("/")
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(name) as f:
+        return f.read()
+
+
+def page_images(content: bytes, pages: list[tuple[int, int]]) -> Iterator[Any]:
+    """The image of each (page_num, dpi), or the exception that it raised; the file is opened once."""
+    import fitz
+    from PIL import Image
 
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        for page_num, dpi in pages:
+            try:
+                scale = dpi / 72.0
+                shot = doc.load_page(page_num - 1).get_pixmap(matrix=fitz.Matrix(scale, scale), colorspace=fitz.csRGB)
+                yield Image.frombytes("RGB", (shot.width, shot.height), shot.samples)
+            except Exception as e:
+                yield e
 
-def recognise(files: DataFrame, wanted: DataFrame, backend: Callable[[], Backend]) -> DataFrame:
-    """OCR boxes of pages (wanted: source_path, page_num, dpi); an engine a task, pages in small batches."""
+
+#: what recognition yields a page: boxes, or the error that sends the page back to its text
+BOXES = "doc_id string, page_num int, dt_polys array<array<array<double>>>, rec_texts array<string>, rec_scores array<double>, dpi int, error string"
+
+
+def recognise(wanted: DataFrame, backend: Callable[[], Backend], *, images: Callable = page_images, opener: Callable[[str], bytes] = open_path) -> DataFrame:
+    """BOXES of pages (wanted: source_path, page_num, dpi).
+
+    Only paths and page numbers travel.  A task opens a file once for a batch of up
+    to ``ocr.BATCH`` of its pages and releases the engine after the batch, which
+    bounds what an engine holds on to.  A page that fails yields an error and leaves
+    the others of its batch alone; a file or engine that fails yields one a page.
+    """
+
+    def batch_boxes(path: str, pages: list[tuple[int, int]]) -> Iterator[tuple]:
+        failed, engine, done = None, None, 0
+        try:
+            engine = backend()
+            for (page_num, dpi), image in zip(pages, images(opener(path), pages), strict=True):
+                try:
+                    if isinstance(image, Exception):
+                        raise image
+                    polys, texts, scores = engine.page(image)
+                    row = (path, page_num, [[[float(v) for v in point] for point in box] for box in polys], list(texts), [float(v) for v in scores], dpi, None)
+                except Exception as e:
+                    row = (path, page_num, None, None, None, dpi, f"{type(e).__name__}: {e}")
+                yield row
+                done += 1
+        except Exception as e:
+            failed = f"{type(e).__name__}: {e}"
+        finally:
+            if engine is not None:
+                engine.release()
+        if failed:
+            yield from ((path, page_num, None, None, None, dpi, failed) for page_num, dpi in pages[done:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = None
+        names = [part.split()[0] for part in BOXES.split(", ")]
         for batch in batches:
             for r in batch.itertuples(index=False):
-                import fitz
-                from PIL import Image
-
-                engine = engine or backend()
-                with fitz.open(stream=r.content, filetype="pdf") as doc:
-                    scale = r.dpi / 72.0
-                    shot = doc.load_page(int(r.page_num) - 1).get_pixmap(matrix=fitz.Matrix(scale, scale), colorspace=fitz.csRGB)
-                    polys, texts, scores = engine.page(Image.frombytes("RGB", (shot.width, shot.height), shot.samples))
-                yield pd.DataFrame([(r.path, r.page_num, polys, texts, scores, r.dpi)], columns=["doc_id", "page_num", "dt_polys", "rec_texts", "rec_scores", "dpi"])
-        if engine:
-            engine.release()
-
-    batch = F.expr(f"(page_num - 1) div {ocr.BATCH}")
-    rows = files.join(wanted.withColumnRenamed("source_path", "path"), "path").repartition("path", batch).select("path", "content", "page_num", "dpi")
-    return rows.mapInPandas(run, "doc_id string, page_num int, dt_polys array<array<array<double>>>, rec_texts array<string>, rec_scores array<double>, dpi int")
+                for row in batch_boxes(r.source_path, [(int(p["page_num"]), int(p["dpi"])) for p in r.pages]):
+                    yield pd.DataFrame([row], columns=names)
+
+    number = F.expr(f"(page_num - 1) div {ocr.BATCH}").alias("batch")
+    rows = wanted.groupBy("source_path", number).agg(F.array_sort(F.collect_list(F.struct("page_num", "dpi"))).alias("pages"))  # BATCH pages at most
+    return rows.select("source_path", "pages").mapInPandas(run, BOXES)

@@ -127,13 +127,13 @@ def test_pages_become_lines_by_text_table_or_image(spark):
     assert [tuple(r) for r in pdf.failures(pages).collect()] == [("bad.pdf", "OSError: broken")]
     asked = []
 
-    def recogniser(files, wanted, backend):
+    def recogniser(wanted, backend):
         asked.append(sorted((r.source_path, r.page_num, r.dpi) for r in wanted.collect()))
         box = lambda x, y: [[x, y], [x + 30, y], [x + 30, y + 30], [x, y + 30]]
         rows = [(r.source_path, r.page_num, [box(300.0, 600.0), box(30.0, 300.0), box(0.0, 300.0)], ["低", "右", "左"], [0.9, 0.9, 0.9], r.dpi) for r in wanted.collect()]
-        return spark.createDataFrame(rows, "doc_id string, page_num int, dt_polys array<array<array<double>>>, rec_texts array<string>, rec_scores array<double>, dpi int")
+        return spark.createDataFrame(rows, "doc_id string, page_num int, dt_polys array<array<array<double>>>, rec_texts array<string>, rec_scores array<double>, dpi int").withColumn("error", F.lit(None).cast("string"))
 
-    shown = lambda mode: sorted((r.doc_id, r.page_num, r.line_no, r.text) for r in pdf.read_documents(pages, None, mode, None, recogniser).collect())
+    shown = lambda mode: sorted((r.doc_id, r.page_num, r.line_no, r.text) for r in pdf.read_documents(pages, mode, None, recogniser).collect())
     table = ("a.pdf", 1, 1_000_000, "| k | v |\n| --- | --- |\n| 1 |  |")
     image = lambda page: [("a.pdf", page, k, t) for k, t in enumerate("左右低")]
     assert shown("off") == [("a.pdf", 1, 0, "第一条 甲。"), table, ("a.pdf", 2, 0, "x")]
@@ -148,3 +148,94 @@ def test_words_without_lines_are_put_on_lines():
     word = lambda text, top, x0: {"text": text, "top": top, "x0": x0, "x1": x0 + 5}
     got = pdf.lines_of_words([word("第一", 10, 20), word("条", 11, 30), word(" ", 40, 0), word("下行", 30, 25)])
     assert [(x["text"], x["x0"], x["x1"], x["y0"]) for x in got] == [("第一条", 20.0, 35.0, 10.0), ("下行", 25.0, 30.0, 30.0)]
+
+
+def counting_backend(log):
+    """A backend that notes what it does in files, and fails at images that say so."""
+
+    class Engine:
+        name = "counting"
+
+        def page(self, image):
+            if "bad" in image:
+                raise OSError(image)
+            return [[[0, 0], [300, 0], [300, 30], [0, 30]]], [image], [0.9]
+
+        def release(self):
+            note(log, "release")
+
+    def make():
+        note(log, "engine")
+        return Engine()
+
+    return make
+
+
+def note(log, what):
+    with open(log, "a") as f:
+        f.write(what + "\n")
+
+
+def test_recognition_opens_a_file_once_a_batch_and_sends_no_bytes(spark, tmp_path):
+    log = str(tmp_path / "log")
+    (tmp_path / "a b.pdf").write_bytes(b"content")
+    path = f"file:{tmp_path}/a b.pdf"
+
+    def images(content, pages):
+        note(log, f"open {content.decode()}")
+        for page_num, _ in pages:
+            yield ValueError("raster") if page_num == 3 else f"{'bad' if page_num == 2 else 'page'} {page_num}"
+
+    rows = [(path, n, 300) for n in range(1, 8)] + [("file:/no/such.pdf", 1, 300)]
+    wanted = spark.createDataFrame(rows, "source_path string, page_num int, dpi int")
+    boxes = pdf.recognise(wanted, counting_backend(log), images=images)
+    plan = boxes._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.doc_id, r.page_num): (r.rec_texts, r.error) for r in boxes.collect()}
+    assert {k[1]: v[0] for k, v in got.items() if v[0]} == {n: [f"page {n}"] for n in (1, 4, 5, 6, 7)}
+    assert got[path, 2][1] == "OSError: bad 2" and got[path, 3][1] == "ValueError: raster" and got["file:/no/such.pdf", 1][1]
+    noted = open(log).read().split("\n")
+    assert noted.count("open content") == 2 and noted.count("engine") == noted.count("release") == 3
+
+
+def test_pages_that_fail_keep_their_text_and_files_are_whole_or_errors(spark, tmp_path):
+    line = lambda text: (text, 72.0, 10.0, 90.0, 20.0, [])
+    pages = spark.createDataFrame(
+        [("a.pdf", 1, 3, 600.0, 800.0, [line("甲")], [[["k"], ["v"]]], None), ("a.pdf", 2, 3, 600.0, 800.0, [line("乙")], [], None), ("cut.pdf", 1, 500, 600.0, 800.0, [line("x")], [], None), ("cut.pdf", None, None, None, None, None, None, "OSError: page 2")],
+        pdf.PAGES,
+    )
+    recogniser = lambda wanted, backend: pdf.recognise(wanted, backend, images=lambda content, pages: iter(["bad" if n == 1 else "图" for n, _ in pages]), opener=lambda path: b"")
+    got = pdf.read_documents(pages, "auto", counting_backend(str(tmp_path / "log")), recogniser).collect()
+    assert sorted((r.doc_id, r.page_num, r.text) for r in got) == [("a.pdf", 1, "甲"), ("a.pdf", 2, "图")]
+    assert [r.text for r in pdf.read_documents(pages).where("doc_id = 'cut.pdf'").collect()] == []
+    files_read = spark.createDataFrame([("a.pdf",), ("cut.pdf",), ("empty.pdf",)], "path string")
+    assert sorted(r.doc_id for r in pdf.documents(files_read, pages).collect()) == ["a.pdf", "empty.pdf"]
+
+
+def test_backends_by_name(spark, tmp_path, monkeypatch, capsys):
+    from glossa.sources import backends
+
+    monkeypatch.setattr(backends, "BACKENDS", {})
+    backends.register("mine", dict)
+    assert backends.named("mine") is dict and backends.named("collections:OrderedDict")() == {}
+    for name in ("other", "no_such_module:x", "json:nothing", "json:__name__"):
+        with pytest.raises(ValueError):
+            backends.named(name)
+    assert cli.main(["convert", str(tmp_path / "in.parquet"), "--backend", "other"], spark) == 2
+    assert "unknown backend" in capsys.readouterr().err
+
+
+def test_colliding_outputs_are_errors_and_intermediate_tables_go(spark, tmp_path, capsys, monkeypatch):
+    from glossa.sources import shared
+
+    kept = []
+    monkeypatch.setattr(shared, "stored", lambda df, own=shared.stored: kept.append(own(df)) or kept[-1])
+    table = str(tmp_path / "in.parquet")
+    lines(spark, {"x/d": ["第一条 甲。"], "y/d": ["第一条 乙。"], "e": ["第一条 丙。"]}).write.parquet(table)
+    assert cli.main(["batch", table, "-o", str(tmp_path / "out"), "--flatten"], spark) == 1
+    assert "d.md: 2 documents" in capsys.readouterr().err
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["e.md"]
+    assert len(kept) == 2
+    for df in kept:
+        with pytest.raises(Exception):
+            spark.read.parquet(df.stored_at).count()
