@@ -18,12 +18,15 @@ words (all words of a shorter item), or if the item's places that agree in
 regions of any shift, taken together, reach ``share``; ``matched`` is then the
 larger of that union and the best alignment, whose shift ``place`` tells.
 
-Items of fewer than ``SHORT`` words, in which few windows find room, are looked for
-by plain seeds too: each ``PLAIN`` words of them, or all if they have fewer.  An
-item of fewer than ``SPAN`` words has leaked only if all its words stand together.
+Items of fewer than ``SHORT`` words, in which few windows find room, have the
+masks ``SHORT_MASKS`` of four words besides, or all their words as one seed if they
+are fewer.  At the edge of the rule (as many substitutions, at random places, as
+``share`` allows) the seeds find 0.97 or more of the items of any length from ``SPAN`` words.
+An item of fewer than ``SPAN`` words has leaked only if all its words stand together.
 
-The benchmark's seeds and words, and the alignments, are sent to all tasks only
-up to ``MAX_SENT``; beyond that both sides are shuffled.
+The benchmark's seeds and words, and the alignments with their items' words, are
+sent to all tasks only up to ``MAX_SENT``; beyond that both sides are shuffled.  A
+document's words meet its items one by one, and only which words agree goes on.
 
 Defined cases: rows that share a doc_id are one document, rows without one too;
 null and empty texts and items have no words and no part; repeated items and
@@ -43,8 +46,8 @@ SPAN = 8
 MASKS = ("11101011", "11011101", "10110111")
 MAX_SENT = 500_000
 
-#: items of fewer words have plain seeds, of so many words
-SHORT, PLAIN = 13, 4
+#: masks that items of fewer words have besides
+SHORT, SHORT_MASKS = 25, ("1111", "110011", "1101001")
 
 #: agreeing words of a region that are a leak by themselves; those of any SPAN words in a region; shifts looked at beside a hit
 RUN, AGREE, DRIFT = 13, 6, 3
@@ -55,22 +58,18 @@ def words_of(text: Column) -> Column:
     return F.filter(apart, lambda w: w != "")
 
 
-def shifted(width: int) -> Column:
-    """The windows of some words of h, a struct w0, w1, ... each; fewer words: none."""
-    return F.arrays_zip(*(F.slice("h", F.lit(1 + i), F.greatest(F.size("h") - (width - 1), F.lit(0))).alias(f"w{i}") for i in range(width)))
+def windows(rows: DataFrame, keep: list[str], masks: dict[str, Column]) -> DataFrame:
+    """The columns to keep, a window's place (from 0) and its seed, for the masks whose condition the row meets.
 
-
-def windows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per window and mask: the columns to keep, the window's place (from 0) and its seed."""
-    placed = rows.select(*keep, F.posexplode(shifted(SPAN)).alias("place", "w"))
-    seeds = [F.xxhash64(F.lit(m), *(F.col(f"w.w{i}") for i in range(SPAN) if mask[i] == "1")) for m, mask in enumerate(MASKS)]
-    return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed"))
-
-
-def plain_windows(rows: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """As ``windows``, of a width and without a mask."""
-    placed = rows.select(*keep, F.posexplode(shifted(width)).alias("place", "w"))
-    return placed.select(*keep, "place", F.xxhash64(F.lit(-width), *(F.col(f"w.w{i}") for i in range(width))).alias("seed"))
+    One explode serves masks of all widths: past the last word a window has nulls,
+    and a mask with its last place there has no seed.
+    """
+    width = max(map(len, masks))
+    ahead = F.arrays_zip(*(F.slice("h", F.lit(1 + i), F.greatest(F.size("h"), F.lit(0))).alias(f"w{i}") for i in range(width)))
+    placed = rows.select(*keep, F.size("h").alias("size"), F.posexplode(ahead).alias("place", "w"))
+    seed = lambda m: F.xxhash64(F.lit(m), *(F.col(f"w.w{i}") for i, c in enumerate(m) if c == "1"))
+    seeds = [F.when(met & F.col(f"w.w{len(m) - 1}").isNotNull(), seed(m)) for m, met in masks.items()]
+    return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def agreeing(item_words: Column, words: Column, shift: Column) -> Column:
@@ -102,29 +101,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """A row per document and leaked item: doc_id, item_id, place (of the item in the document's words), item_words, matched, overlap."""
     hashed = lambda c: F.transform(words_of(F.col(f"`{c}`")), lambda w: F.xxhash64(w))
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), hashed(item_text_col).alias("h"))
-    sizes = items.agg(F.sum(F.size("h") + 1), F.array_sort(F.collect_set(F.when(F.size("h").between(1, SHORT - 1), F.least(F.size("h"), F.lit(PLAIN)))))).first()
-    seeds = windows(items, ["item"])
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    hashed_rows = rows.select("doc", hashed("text").alias("h"))
-    of_docs = windows(hashed_rows, ["doc"])
-    for width in sizes[1]:
-        of_width = F.size("h") == width if width < PLAIN else F.size("h").between(PLAIN, SHORT - 1)
-        seeds = seeds.unionByName(plain_windows(items.where(of_width), ["item"], width))
-        of_docs = of_docs.unionByName(plain_windows(hashed_rows, ["doc"], width))
-    seeds = seeds.select("item", F.col("place").alias("item_place"), "seed").distinct()
+    size = F.size("h")
+    tiny = F.when(size.between(1, len(SHORT_MASKS[0]) - 1), size)
+    total, short, widths = items.agg(F.sum(size + 1), F.coalesce(F.max(size.between(len(SHORT_MASKS[0]), SHORT - 1)), F.lit(False)), F.array_sort(F.collect_set(tiny))).first()
+    masks = {m: F.lit(True) for m in MASKS} | {m: F.col("size") < SHORT for m in SHORT_MASKS if short} | {"1" * w: F.col("size") == w for w in widths}
+    seeds = windows(items, ["item"], masks).select("item", F.col("place").alias("item_place"), "seed").distinct()
     # a word and its windows
-    if (sizes[0] or 0) * (1 + len(MASKS) + len(sizes[1])) <= MAX_SENT:
+    if (total or 0) * (1 + len(masks)) <= MAX_SENT:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    of_docs = windows(rows.select("doc", hashed("text").alias("h")), ["doc"], dict.fromkeys(masks, F.lit(True)))
     hits = of_docs.join(seeds, "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("shift"))
-    by_item = hits.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts"))
-    aligned = checkpointed(by_item.groupBy("doc").agg(F.collect_list(F.struct("item", "shifts")).alias("hits"), F.sum(F.size("shifts")).alias("n")))
-    sent = (aligned.agg(F.sum("n")).first()[0] or 0) <= MAX_SENT
-    aligned = aligned.select(F.col("doc").alias("hit_doc"), "hits")
-    suspects = rows.join(F.broadcast(aligned) if sent else aligned, F.col("doc").eqNullSafe(F.col("hit_doc"))).select("doc", hashed("text").alias("h"), "hits")
-    shifts = F.array_distinct(F.flatten(F.transform("hit.shifts", lambda s: F.sequence(s - DRIFT, s + DRIFT))))
-    hits = suspects.select("doc", "h", F.explode("hits").alias("hit")).join(items.select(F.col("item").alias("of"), F.col("h").alias("item_h")), F.col("hit.item").eqNullSafe(F.col("of"))).select("doc", F.col("of").alias("item"), "h", "item_h", F.explode(shifts).alias("shift"))
-    size = F.size("item_h").alias("item_words")
-    agree = agreeing(F.col("item_h"), F.col("h"), F.col("shift"))
-    each = hits.select("doc", "item", F.xxhash64("item_h").alias("words"), "shift", size, agree.alias("agree")).withColumn("matched", F.size(F.filter("agree", lambda x: x)))
+    aligned = checkpointed(hits.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts")))
+    found = aligned.join(items.select(F.col("item").alias("of"), F.col("h").alias("item_h")), F.col("item").eqNullSafe(F.col("of"))).select(F.col("doc").alias("hit_doc"), "item", "shifts", "item_h")
+    sent = (found.agg(F.sum(F.size("shifts") + F.size("item_h"))).first()[0] or 0) <= MAX_SENT
+    here = aligned.select(F.col("doc").alias("hit_doc"))
+    near = F.col("doc").eqNullSafe(F.col("hit_doc"))
+    suspects = rows.join(F.broadcast(here) if sent else here, near, "left_semi").select("doc", hashed("text").alias("h"))
+    beside = F.array_distinct(F.flatten(F.transform("shifts", lambda s: F.sequence(s - DRIFT, s + DRIFT))))
+    placed = F.transform(beside, lambda s: F.struct(s.alias("shift"), agreeing(F.col("item_h"), F.col("h"), s).alias("agree")))
+    # each shift's agreement is taken where the words are; the words themselves go no further
+    judged = suspects.join(F.broadcast(found) if sent else found, near).select("doc", "item", F.xxhash64("item_h").alias("words"), F.size("item_h").alias("item_words"), F.explode(placed).alias("at"))
+    each = judged.select("doc", "item", "words", "item_words", "at.shift", "at.agree").withColumn("matched", F.size(F.filter("agree", lambda x: x)))
     best = leaked_regions(each, share, run)
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col if item_col != id_col else "item"), (-F.col("b.back")).cast("int").alias("place"), F.col("b.item_words").alias("item_words"), F.col("b.matched").alias("matched"), (F.col("b.matched") / F.col("b.item_words")).alias("overlap"))

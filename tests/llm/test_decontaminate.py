@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -20,9 +21,8 @@ def brute(docs, items, share=0.7, run=13):
         w = words(t)
         for i, q in items:
             v = words(q)
-            width = min(len(v), 4)
-            plain = [list(range(width))] if 0 < len(v) < 13 else []
-            seeds = [(m, 8) for m in masks] + [(m, width) for m in plain]
+            short = ["1" * len(v)] if 0 < len(v) < 4 else decontaminate.SHORT_MASKS if 4 <= len(v) < 25 else []
+            seeds = [(m, 8) for m in masks] + [([i for i, c in enumerate(m) if c == "1"], len(m)) for m in short]
             hit = lambda shift: any(all(w[shift + p + k] == v[p + k] for k in m) for m, n in seeds for p in range(len(v) - n + 1) if 0 <= shift + p and shift + p + n <= len(w))  # noqa: E731, B023
             hits = [shift for shift in range(1 - len(v), len(w)) if hit(shift)]
             top, union, longest = (-1, 0), set(), 0
@@ -73,6 +73,32 @@ def test_equals_brute_force(spark, monkeypatch, sent):
     assert want and found(spark, docs, items) == want
 
 
+def test_recall_at_the_edge_of_the_rule(spark):
+    """As many substitutions at random places as 0.7 allows, 40 items of each length: 0.9 or more are found."""
+    rng = random.Random(5)
+    docs, items = [], []
+    for n in range(8, 31):
+        for k in range(40):
+            item = [f"i{n}k{k}j{j}" for j in range(n)]
+            items.append((100 * n + k, " ".join(item)))
+            changed = set(rng.sample(range(n), n - math.ceil(0.7 * n - 1e-9)))
+            docs.append((100 * n + k, " ".join(["before", *("other" if j in changed else w for j, w in enumerate(item)), "after"])))
+    got = {(d, i) for d, i, *_ in found(spark, docs, items)}
+    assert all(d == i for d, i in got)
+    for n in range(8, 31):
+        assert sum(d // 100 == n for d, _ in got) >= 36, n
+
+
+def test_the_words_of_a_document_go_no_further_than_the_comparison(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_SENT", 0)
+    docs, items = corpus(3)
+    plan = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "collect_list" not in plan
+    # the generator's unrequired columns: the document's words and the shifts
+    dropped = [len(re.findall(r"\d+", x)) for line in plan.splitlines() if "Generate explode(transform(array_distinct" in line for x in re.findall(r"\[([\d, ]*)\], false, \[at#", line)]
+    assert dropped == [2]
+
+
 def test_a_substitution_in_every_window_is_tolerated(spark):
     item = [f"q{i}" for i in range(24)]
     leaked = [w if i % 7 != 3 else "other" for i, w in enumerate(item)]
