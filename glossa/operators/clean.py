@@ -27,13 +27,15 @@ def drop_marked(lines: DataFrame, rules: Rules) -> DataFrame:
 def drop_repeated(lines: DataFrame) -> DataFrame:
     """Without short lines that stand at the same height on at least two, and half, of a document's pages.
 
-    Lines are counted, not pages.  The counts are aggregated before the
-    exchange and joined back, so no document is one task's sort.
+    Lines are counted, not pages.  Both counts are windows over one exchange on the
+    document, which later steps reuse; windows spill, so a long document costs
+    its task a sort and no memory.  Lines without document, text or height stay.
     """
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page_num").alias("pages"))
-    counts = lines.where(F.length("text") < 80).groupBy("doc_id", "text", "y0").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    gone = counts.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("pages") * 0.5)).select("doc_id", "text", "y0")
-    return lines.join(gone, ["doc_id", "text", "y0"], "left_anti").select(lines.columns)
+    pages = F.size(F.collect_set("page_num").over(Window.partitionBy("doc_id")))
+    short = F.coalesce((F.length("text") < 80) & F.col("doc_id").isNotNull() & F.col("y0").isNotNull(), F.lit(False))
+    counted = lines.withColumn("_pages", pages).withColumn("_short", short)
+    counted = counted.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "text", "y0")))
+    return counted.where(~(F.col("_short") & (F.col("_n") >= F.greatest(F.lit(2.0), F.col("_pages") * 0.5)))).select(lines.columns)
 
 
 def filter_lines(lines: DataFrame, rules: Rules) -> DataFrame:

@@ -23,32 +23,40 @@ def is_bold(chars: Column) -> Column:
     return F.coalesce(F.exists(chars, lambda c: F.contains(c["fontname"], F.lit("Bold"))), F.lit(False))
 
 
+def line_starts(words: Column) -> Column:
+    """Places (from 0) of a page's words that begin a line; only places and one height go through the fold."""
+    begin = F.struct(F.array(F.lit(0)).alias("starts"), words[0]["top"].alias("top"), F.lit(0).alias("at"))
+
+    def step(acc: Column, w: Column) -> Column:
+        breaks = (w["text"] != "") & (F.abs(w["top"] - acc["top"]) > TOLERANCE)
+        starts = F.when(breaks, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), F.when(breaks, w["top"]).otherwise(acc["top"]).alias("top"), (acc["at"] + 1).alias("at"))
+
+    return F.aggregate(words, begin, step, lambda acc: acc["starts"])
+
+
 def cluster_words(words: DataFrame) -> DataFrame:
     """LINES of words (doc_id, page_num, word_no, text, top, x0, x1, chars).
 
-    A word joins the line whose first word's top is at most TOLERANCE away, so
-    the rule is a fold over a page's words; a page bounds its size.
+    A word joins the line whose first word's top is at most TOLERANCE away; blank
+    words join none, but a page's first word sets the first line's height and
+    edges even if it is blank.  A fold finds where lines begin, and each line is
+    then a slice of the page's words.  A page bounds the size of a row.
     """
     none = F.array().cast("array<struct<size:double,fontname:string>>")
     word = F.struct("word_no", strip(F.col("text")).alias("text"), F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), F.coalesce(F.col("chars").cast("array<struct<size:double,fontname:string>>"), none).alias("chars"))
-    pages = words.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(word)).alias("every"))
-    # the first word sets the first line's height and edges even if it is blank
-    empty = F.array().cast("array<struct<text:string,top:double,x0:double,x1:double,chars:array<struct<size:double,fontname:string>>>>")
-    line = lambda text, top, x0, x1, chars: F.struct(text.alias("text"), top.alias("top"), x0.alias("x0"), x1.alias("x1"), chars.alias("chars"))
-    lead = F.col("every")[0]
-    start = F.struct(empty.alias("done"), line(F.lit(""), lead["top"], lead["x0"], lead["x1"], none).alias("open"))
-
-    def step(acc: Column, w: Column) -> Column:
-        now = acc["open"]
-        same = F.abs(w["top"] - now["top"]) <= TOLERANCE
-        joined = line(F.concat(now["text"], w["text"]), now["top"], F.least(now["x0"], w["x0"]), F.greatest(now["x1"], w["x1"]), F.concat(now["chars"], w["chars"]))
-        fresh = line(w["text"], w["top"], w["x0"], w["x1"], w["chars"])
-        return F.when(same, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(now)).alias("done"), fresh.alias("open")))
-
-    folded = F.aggregate(F.filter("every", lambda w: w["text"] != ""), start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    rows = pages.select("doc_id", "page_num", F.posexplode(F.filter(folded, lambda x: x["text"] != "")).alias("line_no", "x"))
-    size = font_size(F.col("x.chars"))
-    return rows.select("doc_id", F.lit(None).cast("string").alias("source_path"), "line_no", strip(F.col("x.text")).alias("text"), "page_num", F.col("x.x0").alias("x0"), F.col("x.top").alias("y0"), F.col("x.x1").alias("x1"), (F.col("x.top") + F.when(size > 0, size).otherwise(HEIGHT)).alias("y1"), size.alias("font_size"), is_bold(F.col("x.chars")).alias("bold"), font_name(F.col("x.chars")).alias("fontname"), F.lit(False).alias("is_table"))
+    pages = words.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(word)).alias("every")).withColumn("starts", line_starts(F.col("every")))
+
+    def line(start: Column, i: Column) -> Column:
+        part = F.slice("every", start + 1, F.coalesce(F.get("starts", i + 1), F.size("every")) - start)
+        return F.struct((i == 0).alias("first"), F.get("every", start).alias("lead"), F.filter(part, lambda w: w["text"] != "").alias("own"))
+
+    lines = F.filter(F.transform("starts", line), lambda x: F.size(x["own"]) > 0)
+    found = pages.select("doc_id", "page_num", F.posexplode(lines).alias("line_no", "x")).select("doc_id", "page_num", "line_no", "x.*")
+    own, chars = F.col("own"), F.flatten(F.col("own.chars"))
+    edge = lambda side: F.when(F.col("first"), F.col(f"lead.{side}"))
+    size = font_size(chars)
+    return found.select("doc_id", F.lit(None).cast("string").alias("source_path"), "line_no", strip(F.array_join(own["text"], "")).alias("text"), "page_num", F.least(edge("x0"), F.array_min(own["x0"])).alias("x0"), F.col("lead.top").alias("y0"), F.greatest(edge("x1"), F.array_max(own["x1"])).alias("x1"), (F.col("lead.top") + F.when(size > 0, size).otherwise(HEIGHT)).alias("y1"), size.alias("font_size"), is_bold(chars).alias("bold"), font_name(chars).alias("fontname"), F.lit(False).alias("is_table"))
 
 
 def table_markdown(cells: Column) -> Column:

@@ -39,12 +39,8 @@ def lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lit(None).cast("string").alias("source_path"), "line_no", "text", "page_num", "x0", "y0", zero.alias("x1"), zero.alias("y1"), F.lit(12.0).alias("font_size"), F.lit(False).alias("bold"), F.lit("").alias("fontname"), F.lit(False).alias("is_table"))
 
 
-def law_types(lines: DataFrame) -> DataFrame:
-    return lines.select("doc_id", F.lit("law").alias("doc_type")).distinct()
-
-
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.build(segment.nodes_of(segment.by_windows(segment.classified(lines := lex(spark, sf_dir), law_types(lines)))))
+    return tree.build(segment.nodes_of(segment.by_windows(segment.classified(lex(spark, sf_dir), "law"))))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,27 +209,23 @@ def judgment_and_book_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SEGMENT_SQL} SELECT doc_id, pos, kind, level, node_pos FROM ann")
 def segmented_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = lex(spark, sf_dir)
-    return segment.by_windows(segment.classified(lines, law_types(lines))).select("doc_id", "pos", "kind", "level", "node_pos")
+    return segment.by_windows(segment.classified(lex(spark, sf_dir), "law")).select("doc_id", "pos", "kind", "level", "node_pos")
 
 
 @query(f"WITH {SEGMENT_SQL} SELECT doc_id, node_pos, level, number, title, text, n_leaves FROM nodes")
 def segment_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = lex(spark, sf_dir)
-    nodes = segment.nodes_of(segment.by_windows(segment.classified(lines, law_types(lines))))
+    nodes = segment.nodes_of(segment.by_windows(segment.classified(lex(spark, sf_dir), "law")))
     return nodes.select("doc_id", "node_pos", "level", "number", "title", "text", F.size("leaves").cast("long").alias("n_leaves"))
 
 
 @query(f"WITH {SEGMENT_SQL} SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS preamble FROM ann WHERE kind = 'preamble' GROUP BY doc_id")
 def preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = lex(spark, sf_dir)
-    return segment.preambles(segment.by_windows(segment.classified(lines, law_types(lines))))
+    return segment.preambles(segment.by_windows(segment.classified(lex(spark, sf_dir), "law")))
 
 
 @query(f"WITH {SEGMENT_SQL} SELECT doc_id, node_pos, so AS sort_order, parent_pos FROM above")
 def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = lex(spark, sf_dir)
-    return tree.parents(segment.nodes_of(segment.by_windows(segment.classified(lines, law_types(lines))))).select("doc_id", "node_pos", "sort_order", "parent_pos")
+    return tree.parents(segment.nodes_of(segment.by_windows(segment.classified(lex(spark, sf_dir), "law")))).select("doc_id", "node_pos", "sort_order", "parent_pos")
 
 
 @query(f"WITH {SEGMENT_SQL} SELECT doc_id, node_pos, level, parent_pos, path, depth FROM tree")
@@ -326,7 +318,26 @@ def ocr_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(ocr.needs_ocr(F.col("n_chars"), m).alias(m) for m in ("auto", "off", "force")))
 
 
-@query()
+BLANKS = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+#: lines begin one after another: the next is the first word too far from the last one's height
+WORD_LINES_SQL = f"""WITH RECURSIVE split AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x{{0b}}\\f\\r]+') AS parts FROM documents),
+told AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS word_no FROM split),
+word AS MATERIALIZED (SELECT doc_id, CAST(1 + word_no // 200 AS INTEGER) AS page_num, word_no, regexp_replace(part, '^{BLANKS}|{BLANKS}$', '', 'g') AS text, CAST(word_no % 200 // 9 * 12 + word_no % 4 AS DOUBLE) AS top, CAST(word_no % 9 * 30 AS DOUBLE) AS x0 FROM told),
+starts(doc_id, page_num, pos, top) AS (
+  SELECT doc_id, page_num, min(word_no), arg_min(top, word_no) FROM word GROUP BY doc_id, page_num
+  UNION ALL
+  SELECT w.doc_id, w.page_num, min(w.word_no), arg_min(w.top, w.word_no) FROM starts s JOIN word w ON w.doc_id = s.doc_id AND w.page_num = s.page_num
+  WHERE w.word_no > s.pos AND w.text <> '' AND abs(w.top - s.top) > 3 GROUP BY w.doc_id, w.page_num
+),
+lead_of AS (SELECT s.*, w.x0, row_number() OVER (PARTITION BY s.doc_id, s.page_num ORDER BY s.pos) = 1 AS opens FROM starts s JOIN word w ON w.doc_id = s.doc_id AND w.word_no = s.pos),
+line AS (
+  SELECT l.doc_id, l.page_num, l.pos, string_agg(w.text, '' ORDER BY w.word_no) AS text, l.top, least(min(w.x0), CASE WHEN l.opens THEN l.x0 END) AS x0, greatest(max(w.x0), CASE WHEN l.opens THEN l.x0 END) + 25 AS x1
+  FROM word w ASOF JOIN lead_of l ON w.doc_id = l.doc_id AND w.page_num = l.page_num AND w.word_no >= l.pos WHERE w.text <> '' GROUP BY l.doc_id, l.page_num, l.pos, l.top, l.opens, l.x0
+)
+SELECT doc_id, CAST(NULL AS VARCHAR) AS source_path, CAST(row_number() OVER (PARTITION BY doc_id, page_num ORDER BY pos) - 1 AS INTEGER) AS line_no, text, page_num, x0, top AS y0, x1, top + 12 AS y1, CAST(0 AS DOUBLE) AS font_size, false AS bold, '' AS fontname, false AS is_table FROM line"""
+
+
+@query(WORD_LINES_SQL)
 def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents' texts, put on lines by their heights."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word_no", "text"))
@@ -351,12 +362,22 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("text", classify.line_level(line).alias("level"), classify.judgment_level(line).alias("judged"), rx.starts(line, rx.FOOTNOTE).alias("footnote"), F.array_join(text.law_titles(line), "|").alias("titles"), "n")
 
 
-JUDGED_SEGMENT_SQL = (
-    SEGMENT_SQL.replace(LINES_SQL, f"lex AS ({JUDGED_LINES}), lev AS (SELECT *, {LEVEL_SQL} AS lv, {JUDGED_SQL} AS jv, {NUMBER_SQL} AS number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, y0, x0, line_no) AS INTEGER) AS pos FROM lex)")
-    .replace("lv IN ('part','chapter','section','article','subsection') AS title, lv IN ('sub_clause','item') AS sub FROM lev", "jv <> '' OR lv IN ('part','chapter','section','article','subsection') AS title, jv = '' AND lv IN ('sub_clause','item') AS sub FROM lev")
-    .replace("h.lv AS hlv", "CASE WHEN h.jv <> '' THEN h.jv ELSE h.lv END AS hlv")
-    .replace("CASE WHEN sub THEN 'article' ELSE lv END END AS level", "CASE WHEN sub THEN 'article' WHEN jv <> '' THEN jv ELSE lv END END AS level")
-    .replace("CASE level WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 ELSE 4 END AS so", "CASE level WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'party' THEN 3 WHEN 'procedure' THEN 3 WHEN 'ruling' THEN 3 ELSE 4 END AS so")
+def replaced(sql: str, *changes: tuple[str, str]) -> str:
+    """The SQL with each change made; one that finds nothing is an error."""
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+JUDGED_SEGMENT_SQL = replaced(
+    SEGMENT_SQL,
+    (LINES_SQL, f"lex AS ({JUDGED_LINES}), lev AS (SELECT *, {LEVEL_SQL} AS lv, {JUDGED_SQL} AS jv, {NUMBER_SQL} AS number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, y0, x0, line_no) AS INTEGER) AS pos FROM lex)"),
+    ("lv IN ('part','chapter','section','article','subsection') AS title, lv IN ('sub_clause','item') AS sub FROM lev", "jv <> '' OR lv IN ('part','chapter','section','article','subsection') AS title, jv = '' AND lv IN ('sub_clause','item') AS sub FROM lev"),
+    ("h.lv AS hlv", "CASE WHEN h.jv <> '' THEN h.jv ELSE h.lv END AS hlv"),
+    ("CASE WHEN sub THEN 'article' ELSE lv END END AS level", "CASE WHEN sub THEN 'article' WHEN jv <> '' THEN jv ELSE lv END END AS level"),
+    ("CASE level WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 ELSE 4 END AS so", "CASE level WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'party' THEN 3 WHEN 'procedure' THEN 3 WHEN 'ruling' THEN 3 ELSE 4 END AS so"),
 )
 
 
@@ -365,7 +386,7 @@ def judged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0)
     rows = relation(spark, sf_dir, JUDGED_LINES, "lineitem")
     rows = rows.select("doc_id", F.lit(None).cast("string").alias("source_path"), "line_no", "text", "page_num", "x0", "y0", zero.alias("x1"), zero.alias("y1"), F.lit(12.0).alias("font_size"), F.lit(False).alias("bold"), F.lit("").alias("fontname"), F.lit(False).alias("is_table"))
-    return segment.by_windows(segment.classified(rows, rows.select("doc_id", F.lit("judgment").alias("doc_type")).distinct()))
+    return segment.by_windows(segment.classified(rows, "judgment"))
 
 
 @query(f"WITH {JUDGED_SEGMENT_SQL} SELECT doc_id, pos, kind, level, node_pos FROM ann")

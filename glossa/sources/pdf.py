@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable, Iterator
+from functools import partial
 from io import BytesIO
 from typing import Any, Protocol
 from urllib.parse import unquote
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import device
 from ..operators import ocr
 from ..operators.words import HEIGHT, TOLERANCE
 from ..schema import LINES
@@ -114,18 +116,19 @@ def documents(files: DataFrame, pages: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("doc_id")).join(failures(pages).select(F.col("source_path").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
-def read_documents(pages: DataFrame, mode: str = "off", backend: Callable[[], Backend] | None = None, recogniser: Callable | None = None) -> DataFrame:
+def read_documents(pages: DataFrame, mode: str = "off", backend: Callable[[], Backend] | None = None, recogniser: Callable | None = None, gpus: float = 0) -> DataFrame:
     """LINES of pages, from their text or, where ``ocr.needs_ocr`` says so, from their images.
 
     A page that is recognised has no other lines; one whose recognition fails has
     those of its text, but no tables.  ``recogniser`` stands for ``recognise``; its
     result is stored, since the lines and the failed pages are both read from it.
+    ``gpus``: graphics units of a recognising task, see ``recognise``.
     """
     if mode == "off":
         return page_lines(whole(pages))
     routed = ocr.within_limit(whole(pages)).withColumn("routed", ocr.needs_ocr(F.col("n_chars"), mode))
     wanted = routed.where("routed").select("source_path", "page_num", ocr.resolution(F.col("width_pt"), F.col("height_pt")).alias("dpi"))
-    boxes = shared.stored((recogniser or recognise)(wanted, backend))
+    boxes = shared.stored((recogniser or partial(recognise, gpus=gpus))(wanted, backend))
     failed = boxes.where("error is not null").select(F.col("doc_id").alias("source_path"), "page_num")
     back = routed.where("routed").join(failed, ["source_path", "page_num"], "left_semi").withColumn("tables", F.array().cast("array<array<array<string>>>"))
     text = routed.where("not routed").unionByName(back)
@@ -162,13 +165,15 @@ def page_images(content: bytes, pages: list[tuple[int, int]]) -> Iterator[Any]:
 BOXES = "doc_id string, page_num int, dt_polys array<array<array<double>>>, rec_texts array<string>, rec_scores array<double>, dpi int, error string"
 
 
-def recognise(wanted: DataFrame, backend: Callable[[], Backend], *, images: Callable = page_images, opener: Callable[[str], bytes] = open_path) -> DataFrame:
+def recognise(wanted: DataFrame, backend: Callable[[], Backend], *, images: Callable = page_images, opener: Callable[[str], bytes] = open_path, gpus: float = 0) -> DataFrame:
     """BOXES of pages (wanted: source_path, page_num, dpi).
 
     Only paths and page numbers travel.  A task opens a file once for a batch of up
     to ``ocr.BATCH`` of its pages and releases the engine after the batch, which
     bounds what an engine holds on to.  A page that fails yields an error and leaves
     the others of its batch alone; a file or engine that fails yields one a page.
+    ``gpus`` are asked for in this stage alone, on a cluster; a backend learns its
+    unit, or that it has none, from ``device.task_device``.
     """
 
     def batch_boxes(path: str, pages: list[tuple[int, int]]) -> Iterator[tuple]:
@@ -200,6 +205,8 @@ def recognise(wanted: DataFrame, backend: Callable[[], Backend], *, images: Call
                 for row in batch_boxes(r.source_path, [(int(p["page_num"]), int(p["dpi"])) for p in r.pages]):
                     yield pd.DataFrame([row], columns=names)
 
+    conf = wanted.sparkSession.sparkContext.getConf()
+    profile = device.gpu_profile(conf.get("spark.master", "local"), conf.get("spark.dynamicAllocation.enabled", "false") == "true", gpus, conf.get("spark.executor.resource.gpu.discoveryScript", ""))
     number = F.expr(f"(page_num - 1) div {ocr.BATCH}").alias("batch")
     rows = wanted.groupBy("source_path", number).agg(F.array_sort(F.collect_list(F.struct("page_num", "dpi"))).alias("pages"))  # BATCH pages at most
-    return rows.select("source_path", "pages").mapInPandas(run, BOXES)
+    return rows.select("source_path", "pages").mapInPandas(run, BOXES, profile=profile)

@@ -176,6 +176,53 @@ def note(log, what):
         f.write(what + "\n")
 
 
+def test_hosts_are_probed_in_one_barrier_stage(spark):
+    got = device.host_table(spark, 3).collect()
+    assert [(r.slots, r.cpu_cores > 0) for r in got] == [(3, True)]
+
+
+def test_graphics_units_are_asked_for_on_a_cluster_only(spark):
+    assert device.gpu_profile("local[4]", False, 1) is None and device.gpu_profile("spark://host:7077", False, 0) is None
+    shared = device.gpu_profile("spark://host:7077", False, 0.5)
+    assert shared.taskResources["gpu"].amount == 0.5 and "gpu" not in shared.executorResources
+    own = device.gpu_profile("yarn", True, 1, "/find")
+    assert own.executorResources["gpu"].amount == 1 and own.executorResources["gpu"].discoveryScript == "/find"
+    assert device.task_device() == "cpu"
+
+
+def test_the_recognising_stage_alone_has_the_profile(spark, monkeypatch):
+    """A profile reaches mapInPandas; in local mode it is left out and the stage runs on the processor."""
+    seen = []
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    own = Classic.mapInPandas
+    monkeypatch.setattr(Classic, "mapInPandas", lambda self, f, schema, barrier=False, profile=None: seen.append(profile) or own(self, f, schema, barrier))
+    wanted = spark.createDataFrame([("a", 1, 72)], "source_path string, page_num int, dpi int")
+    pdf.recognise(wanted, None, gpus=1)
+    monkeypatch.setattr(device, "gpu_profile", lambda *given: given)
+    pdf.recognise(wanted, None, gpus=1)
+    assert seen[0] is None and seen[1][2] == 1
+
+
+def test_lines_start_where_words_leave_the_line(spark):
+    """A blank first word, long pages and several pages, against a plain loop."""
+    import random
+
+    rng = random.Random(3)
+    given = [("d", p, n, rng.choice(["a", "b", " ", ""]) if n else rng.choice([" ", "x"]), float(rng.randrange(12)), float(rng.randrange(50)), float(50 + rng.randrange(50))) for p in range(12) for n in range(60)]
+    rows = spark.createDataFrame([(*g, None) for g in given], f"doc_id string, page_num int, word_no int, text string, top double, x0 double, x1 double, chars {CHARS}")
+    want = []
+    for p in range(12):
+        found = []
+        for _, _, n, t, top, x0, x1 in (g for g in given if g[1] == p):
+            if n == 0 or (t.strip() and abs(top - found[-1][1]) > 3):
+                found.append(["", top, x0, x1])
+            if t.strip():
+                found[-1] = [found[-1][0] + t, found[-1][1], min(found[-1][2], x0), max(found[-1][3], x1)]
+        want += [(p, k, *x) for k, x in enumerate(x for x in found if x[0])]
+    assert sorted((r.page_num, r.line_no, r.text, r.y0, r.x0, r.x1) for r in words.cluster_words(rows).collect()) == want
+
+
 def test_recognition_opens_a_file_once_a_batch_and_sends_no_bytes(spark, tmp_path):
     log = str(tmp_path / "log")
     (tmp_path / "a b.pdf").write_bytes(b"content")

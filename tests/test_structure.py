@@ -185,3 +185,14 @@ def test_stored_steps_change_nothing(spark):
     for how in ("markdown", "json"):
         plain, kept = (sorted(map(tuple, getattr(structure(given, options=Options(store=s)), how)().collect())) for s in (False, True))
         assert plain == kept
+
+
+def test_repeats_take_one_exchange_and_keep_lines_without_a_place(spark):
+    schema = "doc_id string, line_no int, text string, page_num int, y0 double"
+    rows = [("d", 1, "same", 1, 5.0), ("d", 2, "same", 2, 5.0), ("d", 3, None, 1, 5.0), ("d", 4, None, 2, 5.0), ("d", 5, "high", 1, None), ("d", 6, "high", 2, None), (None, 7, "same", 1, 5.0), (None, 8, "same", 2, 5.0), ("d", 9, "x" * 80, 1, 5.0), ("d", 10, "x" * 80, 2, 5.0), ("e", 11, "same", 1, 5.0)]
+    left = clean.drop_repeated(spark.createDataFrame(rows, schema))
+    assert left.columns == ["doc_id", "line_no", "text", "page_num", "y0"]
+    assert sorted(r.line_no for r in left.collect()) == [3, 4, 5, 6, 7, 8, 9, 10, 11]
+    plan = left._jdf.queryExecution().sparkPlan().toString() + left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert clean.drop_repeated(spark.createDataFrame([], schema)).count() == 0
