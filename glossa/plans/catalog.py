@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, rx, text
 from ..operators import check, clean, metadata, ocr, render, segment, tree, words
 from ..sources.rules import REPLACEMENTS, SIGNATURES, Rules
-from .relations import JUDGED_LINES, KIND_LINES, LEX_LINES, META_PAGES, relation
+from .relations import BOOK_PAGES, JUDGED_LINES, KIND_LINES, LEX_LINES, META_PAGES, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,15 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(marks).unionByName(signs).withColumn("y0", F.lit(0.0))
 
 
+def replaced(sql: str, *changes: tuple[str, str]) -> str:
+    """The SQL with each change made; one that finds nothing is an error."""
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
 CN = "[一二三四五六七八九十百千零]"
 EDGE = "([^\\p{L}\\p{N}_]|$)"
 LEVEL_SQL = f"""CASE WHEN regexp_matches(text, '^第{CN}+编{EDGE}') THEN 'part' WHEN regexp_matches(text, '^第{CN}+章{EDGE}') THEN 'chapter' WHEN regexp_matches(text, '^第{CN}+节{EDGE}') THEN 'section'
@@ -184,8 +193,8 @@ def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, META_PAGES, "orders").select("doc_id", classify.doc_type(F.col("page")).alias("doc_type"))
 
 
-def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = relation(spark, sf_dir, META_PAGES, "orders")
+def page_meta(spark: SparkSession, sf_dir: str, sql: str = META_PAGES) -> DataFrame:
+    pages = relation(spark, sf_dir, sql, "orders")
     line = F.transform(F.split("page", "\n"), lambda t, i: F.struct(i.alias("line_no"), t.alias("text"), F.when(i == 0, F.lit(20.0)).when(i == 1, F.lit(15.0)).otherwise(10.0).alias("font_size")))
     return metadata.extract(pages.withColumn("lines", line))
 
@@ -207,6 +216,16 @@ def judgment_and_book_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_meta(spark, sf_dir).select("doc_id", "doc_type", extra("case_number").alias("case_number"), extra("isbn").alias("isbn"), extra("publisher").alias("publisher"), F.coalesce(F.try_element_at("extra", F.lit("judgment_date")), extra("publish_date")).alias("last_date"))
 
 
+@query(f"""WITH {replaced(META_SQL, (META_PAGES, BOOK_PAGES))} SELECT doc_id,
+  CASE WHEN doc_type = 'judgment' THEN regexp_extract(page, '^(中华人民共和国)?(.+?人民法院)(民事|刑事|行政|赔偿|执行)(判决书|裁定书|调解书|决定书|通知书)$', 2) ELSE '' END AS court,
+  CASE WHEN doc_type = 'judgment' THEN regexp_extract(page, '^.+?人民法院((民事|刑事|行政|赔偿|执行)(判决书|裁定书|调解书|决定书|通知书))$', 1) ELSE '' END AS judgment_type,
+  CASE WHEN doc_type = 'book' AND length(split_part(page, chr(10), 2)) BETWEEN 2 AND 29 AND NOT regexp_matches(split_part(page, chr(10), 2), '出版社|ISBN') THEN split_part(page, chr(10), 2) ELSE '' END AS author FROM typed""")
+def courts_and_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Court and kind of judgments, found where the title is the whole page, and authors of books."""
+    extra = lambda k: F.coalesce(F.try_element_at("extra", F.lit(k)), F.lit(""))
+    return page_meta(spark, sf_dir, BOOK_PAGES).select("doc_id", *(extra(k).alias(k) for k in ("court", "judgment_type", "author")))
+
+
 @query(f"WITH {SEGMENT_SQL} SELECT doc_id, pos, kind, level, node_pos FROM ann")
 def segmented_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.by_windows(segment.classified(lex(spark, sf_dir), "law")).select("doc_id", "pos", "kind", "level", "node_pos")
@@ -306,6 +325,17 @@ def ocr_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.box_lines(pages).select("doc_id", "box_no", "x0", "x1")
 
 
+@query("""SELECT vec_id AS doc_id, CAST(k AS INTEGER) AS box_no, round_even(a / 4, 1) AS x0, round_even((a + 3) / 4, 1) AS y0, round_even((a + 9 * (k + 1)) / 4, 1) AS x1, round_even((a + 3 + 5 * (k + 1)) / 4, 1) AS y1, round_even(5 * (k + 1) / 4, 1) AS font_size
+FROM (SELECT vec_id, unnest(range(0, 3)) AS k, CAST(floor(abs(embedding[1]) * 1000) AS DOUBLE) AS a FROM embeddings) t""")
+def box_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and sizes of boxes in quarters of a point, many of them just between two tenths."""
+    a = F.floor(F.abs(F.col("embedding")[0]) * 1000).cast("double")
+    corners = lambda i: F.array(F.array(a + 9.0 * (i + 1), a + 3.0), F.array(a, a + 3.0 + 5.0 * (i + 1)))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pages = e.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("page_num"), F.array(*(corners(i) for i in range(3))).alias("dt_polys"), F.array(*(F.lit("a") for _ in range(3))).alias("rec_texts"), F.array(*(F.lit(1.0) for _ in range(3))).alias("rec_scores"), F.lit(288).alias("dpi"))
+    return ocr.box_lines(pages).select("doc_id", "box_no", "x0", "y0", "x1", "y1", "font_size")
+
+
 @query("SELECT doc_id, CASE WHEN greatest(w, h) > 4000 THEN CAST(floor(72.0 * ((300.0 / 72.0) * (4000.0 / greatest(w, h)))) AS INTEGER) ELSE 300 END AS dpi FROM (SELECT doc_id, floor(CAST(n_chars AS DOUBLE) * (CAST(300 AS DOUBLE) / 72)) AS w, floor(CAST(600 AS DOUBLE) * (CAST(300 AS DOUBLE) / 72)) AS h FROM documents) t")
 def render_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -362,15 +392,6 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("text", classify.line_level(line).alias("level"), classify.judgment_level(line).alias("judged"), rx.starts(line, rx.FOOTNOTE).alias("footnote"), F.array_join(text.law_titles(line), "|").alias("titles"), "n")
 
 
-def replaced(sql: str, *changes: tuple[str, str]) -> str:
-    """The SQL with each change made; one that finds nothing is an error."""
-    for old, new in changes:
-        if old not in sql:
-            raise ValueError(f"not in the SQL: {old}")
-        sql = sql.replace(old, new)
-    return sql
-
-
 JUDGED_SEGMENT_SQL = replaced(
     SEGMENT_SQL,
     (LINES_SQL, f"lex AS ({JUDGED_LINES}), lev AS (SELECT *, {LEVEL_SQL} AS lv, {JUDGED_SQL} AS jv, {NUMBER_SQL} AS number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, y0, x0, line_no) AS INTEGER) AS pos FROM lex)"),

@@ -67,6 +67,15 @@ FROM (
 ) t
 """
 
+#: first pages of judgments of several courts and of books whose second line may tell an author
+BOOK_PAGES = """
+SELECT o_orderkey AS doc_id,
+  CASE CAST(o_orderkey % 2 AS int)
+    WHEN 0 THEN split_part('中华人民共和国最高人民法院|上海市人民法院|某某县人民法院', '|', CAST(o_custkey % 3 + 1 AS int)) || split_part('民事判决书|刑事裁定书|执行通知书|民事起诉状', '|', CAST(o_custkey % 4 + 1 AS int))
+    ELSE '要件事实讲义' || chr(10) || split_part('王|伊藤滋夫 著|某某大学出版社|张三、李四 编|ISBN 978-7-1-1', '|', CAST(o_custkey % 5 + 1 AS int)) END || CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 5 < 2 THEN '' ELSE chr(10) || '某某出版社' || chr(10) || '正文' END AS page
+FROM orders
+"""
+
 
 def relation(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(substituted(sql, tables), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
