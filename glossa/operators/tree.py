@@ -100,6 +100,11 @@ def all_nodes(tree: DataFrame) -> DataFrame:
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """Nodes (of ``all_nodes``) that have nothing below them."""
-    above = nodes.select("doc_id", F.col("parent_pos").alias("node_pos")).where("node_pos is not null").distinct().withColumn("leaf_no", F.lit(0))
-    return nodes.join(above, ["doc_id", "node_pos", "leaf_no"], "left_anti").select(nodes.columns)
+    """Nodes (of ``all_nodes``) that have nothing below them.
+
+    What is below a node follows it in reading order, a child of its own first: a
+    dropped child has taken along all below it.  Nodes without a document stay.
+    """
+    follows = F.lead("parent_pos").over(Window.partitionBy("doc_id").orderBy("node_pos", "leaf_no"))
+    rows = nodes.withColumn("_above", (F.col("leaf_no") == 0) & F.col("doc_id").isNotNull() & F.coalesce(follows == F.col("node_pos"), F.lit(False)))
+    return rows.where(~F.col("_above")).select(nodes.columns)
