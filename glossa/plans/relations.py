@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import shared
+
 NUMERALS = "一 二 三 四 五 六 七 八 九 十 十一 十二 十三 十四 十五 十六 十七 十八 十九 二十 二十一 二十二 二十三 二十四 二十五 二十六 二十七 二十八 二十九 三十"
 
 LEX_LINES = f"""
@@ -81,6 +83,11 @@ def relation(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFr
     return spark.sql(substituted(sql, tables), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+def order_lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A relation of lines numbered in each order, dealt by the order before: all later steps of a document share that exchange."""
+    return spark.sql(substituted(sql, ("lineitem",)), lineitem=shared.dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey"))
+
+
 def substituted(sql: str, tables: tuple[str, ...]) -> str:
     for t in tables:
         sql = sql.replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"FROM {t})", f"FROM {{{t}}})").replace(f"FROM {t} ", f"FROM {{{t}}} ")

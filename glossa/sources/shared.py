@@ -29,6 +29,18 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+#: rows that one task takes at once
+TASK_ROWS = 50_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A stored table's rows, dealt by a key over as many tasks as they need, so that a task's share doesn't grow with the table.
+
+    Rows are counted from the files' footers.
+    """
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), key)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more; others are left alone."""
     for df in tables:

@@ -196,3 +196,25 @@ def test_repeats_take_one_exchange_and_keep_lines_without_a_place(spark):
     plan = left._jdf.queryExecution().sparkPlan().toString() + left._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
     assert clean.drop_repeated(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_tasks_take_no_more_lines_as_tables_grow(spark, tmp_path, monkeypatch):
+    from glossa.plans import catalog
+    from glossa.sources import shared
+
+    given = spark.range(700).select((F.col("id") % 100).alias("l_orderkey"), *(F.col("id").alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")))
+    given.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(shared, "TASK_ROWS", 70)
+    for name in ("segmented_lines", "tree_paths", "leaves", "document_json", "judgment_tree"):
+        found = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "Broadcast")
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(l_orderkey#") == 1 and ", 10), REPARTITION_BY_NUM" in plan, name
+
+
+def test_leaves_are_what_is_no_parent(spark):
+    docs = {k: v for kind in ("law", "judgment", "book") for k, v in random_docs(kind, 40, 5).items()}
+    nodes = structure(lines(spark, docs)).nodes
+    rows = nodes.collect()
+    parents = {(r.doc_id, r.parent_pos) for r in rows}
+    want = {(r.doc_id, r.node_pos, r.leaf_no) for r in rows if r.leaf_no or (r.doc_id, r.node_pos) not in parents}
+    assert {(r.doc_id, r.node_pos, r.leaf_no) for r in tree.leaves(nodes).collect()} == want
