@@ -22,7 +22,7 @@ def first_page(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     own = F.when(F.col("page_num") == 1, F.struct("line_no", "text", F.coalesce("font_size", F.lit(0.0)).alias("font_size")))
     rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("lines"))
     if docs is not None:
-        rows = docs.select("doc_id").distinct().join(rows, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType)))
+        rows = docs.select("doc_id").distinct().join(rows.hint("merge"), "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType)))
     return rows.withColumn("page", F.array_join("lines.text", "\n"))
 
 
@@ -65,4 +65,4 @@ def metadata(lines: DataFrame, source: str | None = None, docs: DataFrame | None
 def with_preamble(meta: DataFrame, preambles: DataFrame) -> DataFrame:
     """Documents' metadata, with the lines before the first node as an extra value."""
     entry = F.when(F.col("preamble").isNotNull(), F.create_map(F.lit("preamble"), F.col("preamble"))).otherwise(F.create_map().cast("map<string,string>"))
-    return meta.join(preambles, "doc_id", "left").withColumn("extra", F.map_concat("extra", entry)).drop("preamble")
+    return meta.join(preambles.hint("merge"), "doc_id", "left").withColumn("extra", F.map_concat("extra", entry)).drop("preamble")

@@ -86,7 +86,7 @@ def bodies(nodes: DataFrame, *, toc: bool = False, anchors: bool = True) -> Data
 def markdown(nodes: DataFrame, meta: DataFrame, *, toc: bool = False, anchors: bool = True, quote=yaml_scalars) -> DataFrame:
     """doc_id, content."""
     empty = lines_of(F.lit("## 目录\n"), F.lit(""), F.lit("---"), F.lit("")) if toc else F.lit(None).cast("string")
-    return headers(meta, quote).join(bodies(nodes, toc=toc, anchors=anchors), "doc_id", "left").select("doc_id", lines_of(F.col("header"), F.coalesce("body", empty)).alias("content"))
+    return headers(meta, quote).join(bodies(nodes, toc=toc, anchors=anchors).hint("merge"), "doc_id", "left").select("doc_id", lines_of(F.col("header"), F.coalesce("body", empty)).alias("content"))
 
 
 def node_json(level, title, text, number, page_num, path, references, children: Column) -> Column:
@@ -125,4 +125,4 @@ def documents_json(tree: DataFrame, meta: DataFrame) -> DataFrame:
     replaced = F.transform(base, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at("extra", e["key"]), e["value"]).alias("value")))
     added = F.filter(F.map_entries("extra"), lambda e: ~F.array_contains(F.transform(base, lambda b: b["key"]), e["key"]))
     head = F.to_json(F.map_from_entries(F.concat(replaced, added)))
-    return meta.join(trees_json(tree), "doc_id", "left").select("doc_id", F.concat(F.lit('{"meta":'), head, F.lit(',"tree":'), F.coalesce("tree", F.lit("[]")), F.lit("}")).alias("content"))
+    return meta.join(trees_json(tree).hint("merge"), "doc_id", "left").select("doc_id", F.concat(F.lit('{"meta":'), head, F.lit(',"tree":'), F.coalesce("tree", F.lit("[]")), F.lit("}")).alias("content"))

@@ -29,9 +29,12 @@ KEEP = ["doc_id", "pos", "text", "page_num"]
 
 
 def classified(lines: DataFrame, types: DataFrame | str) -> DataFrame:
-    """Lines in order with their document's type (types: doc_id, doc_type, or one type of all) and the level that each opens."""
+    """Lines in order with their document's type (types: doc_id, doc_type, or one type of all) and the level that each opens.
+
+    Types are not broadcast: compressed they look small, but there is one a document.
+    """
     rows = in_order(drop_blank(lines))
-    rows = rows.withColumn("doc_type", F.lit(types)) if isinstance(types, str) else rows.join(types, "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit("unknown")))
+    rows = rows.withColumn("doc_type", F.lit(types)) if isinstance(types, str) else rows.join(types.hint("merge"), "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit("unknown")))
     own = classify.line_level(F.col("text"))
     judged = F.when(F.col("doc_type") == "judgment", classify.judgment_level(F.col("text"))).otherwise("")
     return rows.withColumn("judged", judged).withColumn("line_level", own)

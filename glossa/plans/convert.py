@@ -57,14 +57,18 @@ def structure(lines: DataFrame, rules: Rules | None = None, options: Options | N
     any page, is in the results.
     """
     rules, options = rules or Rules(), options or Options()
-    docs = lines.select("doc_id") if docs is None else docs
+    if docs is None and options.max_pages is not None:
+        docs = lines.select("doc_id")
     lines = clean.normalize_lines(ocr.first_pages(lines, options.max_pages), rules)
     meta = metadata.metadata(lines, source, docs)
+    tables = []
     if options.store:
-        meta = shared.stored(meta)
+        tables.append(shared.stored(meta))
+        meta = shared.dealt(tables[-1], "doc_id")
     kept = clean.filter_lines(lines, rules) if options.filter_lines else lines
     annotated = segment.annotate(kept, meta.select("doc_id", "doc_type"))
     if options.store:
-        annotated = shared.stored(annotated)
+        tables.append(shared.stored(annotated))
+        annotated = shared.dealt(tables[-1], "doc_id")
     built = tree.build(segment.nodes_of(annotated))
-    return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options, (meta, annotated) if options.store else ())
+    return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options, tuple(tables))

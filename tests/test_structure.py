@@ -218,3 +218,14 @@ def test_leaves_are_what_is_no_parent(spark):
     parents = {(r.doc_id, r.parent_pos) for r in rows}
     want = {(r.doc_id, r.node_pos, r.leaf_no) for r in rows if r.leaf_no or (r.doc_id, r.node_pos) not in parents}
     assert {(r.doc_id, r.node_pos, r.leaf_no) for r in tree.leaves(nodes).collect()} == want
+
+
+def test_what_there_is_of_each_document_is_not_broadcast(spark):
+    given = lines(spark, {f"D{i}": ["第一条 甲", "正文"] for i in range(20)})
+    done = structure(given, options=Options(store=True))
+    stored, plain = done.stored, structure(given)
+    for found in (done.markdown(), done.json(), done.annotated, plain.markdown(), plain.json(), plain.annotated):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id for r in done.markdown().collect()} == {f"D{i}" for i in range(20)}
+    assert len(stored) == 2
+    done.discard()
