@@ -43,9 +43,15 @@ def cluster_words(words: DataFrame) -> DataFrame:
     edges even if it is blank.  A fold finds where lines begin, and each line is
     then a slice of the page's words.  A page bounds the size of a row.
     """
+    word = F.struct("word_no", "text", "top", "x0", "x1", "chars")
+    return cluster_pages(words.groupBy("doc_id", "page_num").agg(F.collect_list(word).alias("words")))
+
+
+def cluster_pages(pages: DataFrame) -> DataFrame:
+    """``cluster_words`` of whole pages (doc_id, page_num, words: an array of the other columns), where they are: nothing is dealt out."""
     none = F.array().cast("array<struct<size:double,fontname:string>>")
-    word = F.struct("word_no", strip(F.col("text")).alias("text"), F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), F.coalesce(F.col("chars").cast("array<struct<size:double,fontname:string>>"), none).alias("chars"))
-    pages = words.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(word)).alias("every")).withColumn("starts", line_starts(F.col("every")))
+    word = lambda w: F.struct(w["word_no"].alias("word_no"), strip(w["text"]).alias("text"), w["top"].cast("double").alias("top"), w["x0"].cast("double").alias("x0"), w["x1"].cast("double").alias("x1"), F.coalesce(w["chars"].cast("array<struct<size:double,fontname:string>>"), none).alias("chars"))
+    pages = pages.select("doc_id", "page_num", F.array_sort(F.transform("words", word)).alias("every")).withColumn("starts", line_starts(F.col("every")))
 
     def line(start: Column, i: Column) -> Column:
         part = F.slice("every", start + 1, F.coalesce(F.get("starts", i + 1), F.size("every")) - start)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,16 @@ def test_rules_file(tmp_path):
     path.write_text('replacements:\n  - ["a", "b"]\n  - ["only"]\nheader_footer_signatures: ["x"]\n', encoding="utf-8")
     assert rules.load(str(path)).replacements == [("a", "b")]
     assert rules.load(str(tmp_path / "none.yaml")) == rules.Rules([], [])
+
+
+def test_word_lines_deal_nothing_out(spark, tmp_path):
+    from glossa.operators import words
+    from glossa.plans import catalog
+
+    texts = [(1, " ".join(f"w{i}" for i in range(450))), (2, None), (3, ""), (4, "  a  b\n"), (5, " ".join("x" for _ in range(200))), (6, " ".join("y" for _ in range(201)))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["word_lines"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(d, 1 + n // 200, n, w, n % 200 // 9 * 12.0 + n % 4, n % 9 * 30.0, n % 9 * 30.0 + 25.0, None) for d, text in texts for n, w in enumerate(re.split(r"\s+", text or ""))]
+    placed = spark.createDataFrame(rows, "doc_id long, page_num int, word_no int, text string, top double, x0 double, x1 double, chars array<struct<size:double,fontname:string>>")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, words.cluster_words(placed).collect()))
