@@ -53,6 +53,17 @@ def splits(word: str) -> re.Match | None:
     return None
 
 
+#: bytes of small letters of ASCII and Latin-1 (U+00DF to U+00FF but the division sign) in UTF-8: no normal form joins or changes them
+LETTERS = bytes([*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+#: the marks of SIMPLE
+MARKS = b".,!?;:|*#$%&"
+
+#: bytes of LETTERS for which a byte-level vocabulary has other characters than Latin-1
+OTHERS = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
+
+#: words by which a tokenizer is tried: are letters tokenised by its model alone?
+PROBE = ["the", "q", "ünder", "straße", "àéîõ", "niñez", "andonanednt"]
+
 #: parts words that are tokenised together: a character with a token of its own
 PARTING = "\x01"
 
@@ -63,7 +74,9 @@ class TokenCache:
     The tokenizer splits at white space and never joins across it, so a text's
     ids are those of its words; a word's trailing marks are split off too.  It
     ignores A-Z case but in added tokens, all of which hold ``<|``; texts with that
-    mark keep their case.  New words of some texts are tokenised in one call.
+    mark keep their case.  New words of some texts are tokenised in one call, and those
+    of LETTERS, which the tokenizer neither changes nor splits, by its model alone, whose
+    suffix at a word's last token tells words apart.
     Two generations of at most ``limit`` words and ``size`` bytes of words are kept.
     """
 
@@ -78,6 +91,24 @@ class TokenCache:
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.held = 0
+        self.model = Tokenizer(self.tokenizer.model)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.last[[i for t, i in self.model.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        probe = [w.encode() for w in PROBE]
+        self.alone = self.by_model(probe) == [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in PROBE]
+
+    def by_model(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words of LETTERS, or None where the words can't be told apart."""
+        chars = b" ".join(words).decode("latin-1")
+        for byte, char in OTHERS.items():
+            chars = chars.replace(byte, char)
+        found = np.array(self.model.encode_batch_fast([chars.split(" ")], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.last[found]) + 1)).tolist()
+        if len(ends) != len(words):
+            return None
+        data = found.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def tokenise(self, words: list[bytes]) -> None:
         able = len(self.parting) == 1
@@ -97,10 +128,26 @@ class TokenCache:
         """Put words that are not known into the cache."""
         kept = words & self.old.keys()
         self.ids.update((w, self.old[w]) for w in kept)
-        matched = [(w, splits(w.decode())) for w in words.difference(kept)]
+        fresh = words.difference(kept) if kept else words
+        plain: dict[bytes, bytes] = {}
+        cores: set[bytes] = set()
+        if self.alone:
+            plain = {w: core for w in fresh if (core := w.rstrip(MARKS)) and not core.translate(None, LETTERS)}
+            fresh = fresh.difference(plain)
+            cores = set(plain.values()).difference(self.ids)
+            again = cores & self.old.keys()
+            self.ids.update((w, self.old[w]) for w in again)
+            new = list(cores - again)
+            found = self.by_model(new) if new else []
+            self.ids.update(zip(new, found or [], strict=found is not None))
+            cores = set(new) if found is None else set()
+            plain = {w: core for w, core in plain.items() if len(core) < len(w)}
+        matched = [(w, splits(w.decode())) for w in fresh]
         parts = {w: (m[1].encode(), m[2].encode()) for w, m in matched if m}
-        needed = {w for w, m in matched if not m}.union(*parts.values())
+        needed = {w for w, m in matched if not m}.union(cores, (w[len(core) :] for w, core in plain.items()), *parts.values())
         self.tokenise([w for w in needed if w not in self.ids])
+        for w, core in plain.items():
+            self.ids[w] = self.ids[core] + self.ids[w[len(core) :]]
         for w, (core, marks) in parts.items():
             self.ids[w] = self.ids[core] + self.ids[marks]
         self.held += sum(map(len, words))

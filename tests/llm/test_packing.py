@@ -96,3 +96,21 @@ def test_marks_after_any_letter_are_the_tokenizers():
     got = list(cache.encode([w.encode() for w in words]))
     want = TOKENIZER.encode_batch(words, add_special_tokens=False)
     assert [w for w, g, t in zip(words, got, want, strict=True) if g != np.array(t.ids, dtype="<u4").tobytes()] == []
+
+
+def test_plain_letters_are_tokenised_by_the_model_alone():
+    """One trip to the whole tokenizer for the words that need it, the same ids."""
+    letters = [chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0xC0, 0x180)) if chr(c).isalpha()]
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(letters, int(n))) + str(rng.choice(["", ".", "!?", "***"])) for n in rng.integers(1, 9, 4000)] + [f"{a}{b}" for a in letters for b in ("", "a", ",")]
+    plain = ["andonanednt", "thenshes.", "inanershat,%%%", "straße", "niñez!", "àéîõüÿ", "the"]
+    cache = packing.TokenCache(PATH)
+    assert cache.alone
+    asked = []
+    whole = cache.tokenise
+    cache.tokenise = lambda words: (asked.extend(words), whole(words))
+    for texts in (plain, words):
+        for word, ids in zip(texts, cache.encode([w.encode() for w in texts]), strict=True):
+            assert ids + b"\x02\0\0\0" == ids_of(word).tobytes(), word
+        if texts is plain:
+            assert set(asked) == {b".", b",%%%", b"!"}
