@@ -84,3 +84,19 @@ def test_odd_rows(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
     assert neighbours.nearest(df.where("vec_id = 8")).count() == 0
     assert neighbours.nearest(df.where("vec_id = 20")).count() == 0
+
+
+def test_a_blocks_queries_are_searched_together():
+    """All rows in reach: the best k of each query with ties to smaller ids, and no score below what is known."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.standard_normal((700, 12)), 1)
+    x[400:430] = x[7]
+    ids, q = rng.permutation(700), np.r_[x[::70], x[7:8]]
+    points, everything = x[:, :4].copy(), lambda floor: np.full(len(floor), np.inf)
+    floor = np.where(np.arange(len(q)) % 3 == 0, (q * q).sum(1), -np.inf)
+    who, got, scores = neighbours.search_block(neighbours.Tree(points, 16), ids, x, q, q[:, :4], floor, everything, 5)
+    for i in range(len(q)):
+        all_scores = neighbours.scores_of(q[i], x)
+        want = [j for j in np.lexsort((ids, -all_scores)) if all_scores[j] >= floor[i]][:5]
+        found = sorted(zip((-scores[who == i]).tolist(), got[who == i].tolist(), strict=True))
+        assert [f for f in found if -f[0] >= floor[i]] == [(-float(all_scores[j]), int(ids[j])) for j in want]
