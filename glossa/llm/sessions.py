@@ -1,11 +1,9 @@
 """Sessions of out-of-order rows, closed by event time in a stateful stream.
 
-State: a MapState from a session's start (and client) to its end, rows, sum of
-checksums and merges, and one event-time timer for each session left open.  Rows
-that bridge open sessions delete the absorbed entries and their timers; then the
-merged session is stored and its timer registered.  Clients share a group of the
-state by a hash, since every group costs a trip to the state server and a batch
-of output; a timer that is taken in a group moves on by a millisecond.
+State: clients share a group of the state by a hash, since every group costs a
+trip to the state server and a batch of output.  A group has a ListState of its open
+sessions (client, start, end, rows, sum of checksums, merges), read and written
+whole once a batch, and one event-time timer, for the session that ends first.
 
 A batch's watermark W(b) is the largest event time through batch b less
 ``late_hours``, to the microsecond.  Spark's own watermark has milliseconds, so
@@ -138,8 +136,7 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "client long, first long", "last long, n long, crc long, merges long, timer long")
-        self.swept: set = set()
+        self.open = handle.getListState("open", "client long, first long, last long, n long, crc long, merges long, timer long")
 
     def due(self, part: list) -> bool:
         return part[1] + self.gap < self.floor
@@ -149,20 +146,26 @@ class Sessions(StatefulProcessor):
         batch = next(b for b, w in enumerate(self.floors) if w is not None and part[1] + self.gap < w)
         return CLOSED_ROW(client, *part[:5], batch)
 
-    def free(self, last: int, taken: set[int], least: int = 0) -> int:
-        """A timer of the group that fires from the watermark's millisecond which holds the session's deadline."""
-        timer = max((last + self.gap) // 1000 - 1, least)
-        while timer in taken:
-            timer += 1
-        taken.add(timer)
-        return timer
-
-    def stored(self) -> dict[int, list[list]]:
-        """The open sessions of the group by client."""
-        found: dict[int, list[list]] = {}
-        for (client, first), value in self.open.iterator():
-            found.setdefault(client, []).append([first, *value])
-        return found
+    def stored(self) -> tuple[dict[int, list[list]], int | None]:
+        """The open sessions of the group by client, and the group's timer."""
+        found, timer = {}, None
+        for client, *part in self.open.get():
+            found.setdefault(client, []).append(part)
+            timer = part[5]
+        return found, timer
+
+    def keep(self, left: list[tuple[int, list]], before: int | None, least: int = 0) -> None:
+        """Store what is left open of the group; its timer (was: before) fires from the watermark's millisecond which holds the first deadline."""
+        timer = max((min(p[1] for _, p in left) + self.gap) // 1000 - 1, least) if left else None
+        if timer != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if left:
+            self.open.put([(client, *part[:5], timer) for client, part in left])
+        else:
+            self.open.clear()
 
     def fresh(self, rows) -> dict[int, list[list]]:
         found, held = {}, 0
@@ -176,55 +179,29 @@ class Sessions(StatefulProcessor):
         return {c: [summed(g) for g in join(parts, self.gap)] for c, parts in found.items()}
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh, stored = self.fresh(rows), self.stored()
-        taken = {p[5] for parts in stored.values() for p in parts}
-        gone, put, kept = [], [], 0
+        fresh, (stored, timer) = self.fresh(rows), self.stored()
+        left = []
         for client in fresh.keys() | stored.keys():
             for group in join([*fresh.get(client, []), *stored.get(client, [])], self.gap):
-                session, old = summed(group), [p for p in group if p[5] is not None]
-                due = self.due(session)
-                if due:
+                session = summed(group)
+                if self.due(session):
                     yield self.closed(client, session)
-                elif len(old) == len(group):  # one open session without new rows
-                    kept += 1
-                    continue
                 else:
-                    put.append((client, session))
-                for p in old:
-                    self.handle.deleteTimer(p[5])
-                    taken.discard(p[5])
-                    if due or p[0] != session[0]:
-                        gone.append((client, p[0]))
-                    else:
-                        kept += 1
-        if gone and not kept:
-            self.open.clear()
-        else:
-            for entry in gone:
-                self.open.removeKey(entry)
-        for client, session in put:
-            timer = self.free(session[1], taken)
-            self.open.updateValue((client, session[0]), (*session[1:5], timer))
-            self.handle.registerTimer(timer)
+                    left.append((client, session))
+        self.keep(left, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """The first timer of a group closes all of its sessions that are due; the others find nothing left."""
-        if key[0] in self.swept:
-            return
-        self.swept.add(key[0])
-        stored, now = self.stored(), timerValues.getCurrentWatermarkInMs()
-        taken = {p[5] for parts in stored.values() for p in parts}
+        """Closes all sessions of the group that are due; the first deadline may be later in the watermark's millisecond."""
+        (stored, timer), now = self.stored(), timerValues.getCurrentWatermarkInMs()
+        left = []
         for client, parts in stored.items():
             for part in parts:
                 if self.due(part):
                     yield self.closed(client, part)
-                    self.open.removeKey((client, part[0]))
-                    if part[5] >= now:
-                        self.handle.deleteTimer(part[5])
-                elif part[5] < now:  # its deadline is later in the watermark's millisecond
-                    timer = self.free(part[1], taken, now)
-                    self.open.updateValue((client, part[0]), (*part[1:5], timer))
-                    self.handle.registerTimer(timer)
+                else:
+                    left.append((client, part))
+        # the timer that fires is deleted by Spark
+        self.keep(left, timer if timer is not None and timer >= now else None, now)
 
     def close(self) -> None:
         pass
@@ -312,9 +289,9 @@ def close_sessions(clicks: DataFrame, *, batches: int = 8, gap_minutes: int = 30
         return spark.createDataFrame([], CLOSED)
     closed = spark.read.schema(CLOSED).parquet(folder.at("closed"))
     left = spark.read.format("statestore").option("path", folder.at("checkpoint")).option("stateVarName", "open").load()
-    last = F.col("user_map_value.last")
+    last = F.col("list_element.last")
     ends = F.coalesce(*(F.when(last + F.lit(gap) < F.lit(w), F.lit(b)) for b, w in enumerate(floors) if w is not None), F.lit(batches))
-    open_ones = left.select(F.col("user_map_key.client").alias("client_id"), F.col("user_map_key.first").alias("first_us"), last.alias("last_us"), F.col("user_map_value.n").alias("n_clicks"), F.col("user_map_value.crc").alias("ids_crc32"), F.col("user_map_value.merges").alias("n_merges"), ends.cast("long").alias("close_batch"))
+    open_ones = left.select(F.col("list_element.client").alias("client_id"), F.col("list_element.first").alias("first_us"), last.alias("last_us"), F.col("list_element.n").alias("n_clicks"), F.col("list_element.crc").alias("ids_crc32"), F.col("list_element.merges").alias("n_merges"), ends.cast("long").alias("close_batch"))
     return closed.unionByName(open_ones)
 
 

@@ -4,6 +4,7 @@ import datetime
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from glossa.llm import sessions
@@ -79,3 +80,53 @@ def test_empty_and_odd_rows(spark):
     assert found(spark, [(None, 1, at, at), (1, None, at, at), (2, 1, None, at)]) == []
     rows = [(5, 1, at, None), (5, 1, at, None)]
     assert found(spark, rows) == brute(rows) and len(brute(rows)) == 1
+
+
+class Calls:
+    """A state handle that counts trips to the state server."""
+
+    def __init__(self):
+        self.held, self.timers, self.trips = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.trips += 1
+        return iter(self.held)
+
+    def put(self, rows):
+        self.trips += 1
+        self.held = list(rows)
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, at):
+        self.trips += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.trips += 1
+        self.timers.remove(at)
+
+
+def test_a_group_costs_a_few_trips_whatever_it_holds():
+    gap, calls = sessions.MINUTE_US, Calls()
+
+    def batch(floors, parts):
+        processor = sessions.Sessions(gap, floors)
+        processor.init(calls)
+        calls.trips = 0
+        out = list(processor.handleInputRows((0,), iter([{"packed": np.array(parts, dtype=np.int64).tobytes()}]), None))
+        assert calls.trips <= 4
+        assert len(calls.timers) == bool(calls.held)
+        return out
+
+    at = [3 * gap * i for i in range(1000)]
+    assert batch([0], [(7, t, t, 1, t) for t in at]) == []
+    assert calls.timers == {gap // 1000 - 1} and len(calls.held) == 1000
+    closed = batch([0, at[500] + gap], [(7, at[500] + gap, at[501] - gap, 2, 5)])
+    assert [(r.first_us, r.n_clicks, r.n_merges, r.close_batch) for r in sorted(closed)] == [(t, 1, 0, 1) for t in at[:500]]
+    assert len(calls.held) == 499 and calls.timers == {(at[501] + gap) // 1000 - 1}
+    assert [r[1:6] for r in calls.held if r[1] == at[500]] == [(at[500], at[501], 4, at[500] + at[501] + 5, 1)]
