@@ -61,14 +61,15 @@ def words_of(text: Column) -> Column:
 def windows(rows: DataFrame, keep: list[str], masks: dict[str, Column]) -> DataFrame:
     """The columns to keep, a window's place (from 0) and its seed, for the masks whose condition the row meets.
 
-    One explode serves masks of all widths: past the last word a window has nulls,
-    and a mask with its last place there has no seed.
+    One explode serves masks of all widths: past the last word there are nulls, and a
+    mask with its last place there has no seed.  Only places are exploded, and words
+    read from the one array: windows as structs made some 300 bytes of garbage a word.
     """
-    width = max(map(len, masks))
-    ahead = F.arrays_zip(*(F.slice("h", F.lit(1 + i), F.greatest(F.size("h"), F.lit(0))).alias(f"w{i}") for i in range(width)))
-    placed = rows.select(*keep, F.size("h").alias("size"), F.posexplode(ahead).alias("place", "w"))
-    seed = lambda m: F.xxhash64(F.lit(m), *(F.col(f"w.w{i}") for i, c in enumerate(m) if c == "1"))
-    seeds = [F.when(met & F.col(f"w.w{len(m) - 1}").isNotNull(), seed(m)) for m, met in masks.items()]
+    size = F.size("h")
+    placed = rows.select(*keep, size.alias("size"), "h", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("place"))
+    word = lambda i: F.get("h", F.col("place") + i)
+    seed = lambda m: F.xxhash64(F.lit(m), *(word(i) for i, c in enumerate(m) if c == "1"))
+    seeds = [F.when(met & word(len(m) - 1).isNotNull(), seed(m)) for m, met in masks.items()]
     return placed.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Powers, WordHashes, checkpointed, discard, rolling, stored
+from .common import Powers, WordHashes, checkpointed, discard, rolling, stored, tidy
 
 COUNTERS, CHUNK, BLOCK, ROUNDS, FIRST, FAN = 1 << 22, 1 << 16, 2048, 4, 4, 256
 
@@ -320,7 +320,7 @@ def joined_in_task(edges: DataFrame) -> DataFrame:
         found = [(x, find(x)) for x in top]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, c in found if x != c], pa.int64()), pa.array([c for x, c in found if x != c], pa.int64())], names=["node", "comp"])
 
-    return edges.coalesce(1).mapInArrow(join, "node long, comp long")
+    return edges.coalesce(1).mapInArrow(tidy(join), "node long, comp long")
 
 
 def joined_by_stars(now: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             salt = int(counts.sum()) % (1 << 20)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.int64()), pa.array([c for c, _ in packed], pa.int64()), pa.array([salt] * len(packed), pa.int64()), pa.nulls(len(packed), pa.int64()), pa.array([p for _, p in packed], pa.binary())], names=names)
 
-    first = stored(rows.mapInArrow(count, "id long, n long, hi long, lo long, data binary"))
+    first = stored(rows.mapInArrow(tidy(count), "id long, n long, hi long, lo long, data binary"))
     sets = first.where("id is not null").select("id", "n", "hi", "lo")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,9 +393,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     chunks = COUNTERS // CHUNK
     counted = first.where("id is null")
     groups = math.isqrt(counted.count() // chunks) + 1
-    partial = counted.select("n", F.pmod("hi", F.lit(groups)).alias("hi"), "data").repartition(max(chunks, parts), "n", "hi").mapInArrow(total, "n long, data binary")
+    partial = counted.select("n", F.pmod("hi", F.lit(groups)).alias("hi"), "data").repartition(max(chunks, parts), "n", "hi").mapInArrow(tidy(total), "n long, data binary")
     counts = np.zeros(COUNTERS, dtype=np.uint32)  # a table of fixed size
-    for r in partial.repartition(chunks, "n").mapInArrow(total, "n long, data binary").collect():
+    for r in partial.repartition(chunks, "n").mapInArrow(tidy(total), "n long, data binary").collect():
         counts[r.n * CHUNK : (r.n + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.data), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(counts)
     expected = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
@@ -457,8 +457,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         if held:
             yield close()
 
-    sorted_out = rows.select("text").mapInArrow(postings, "bucket long, hot boolean, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "hot")
-    met = stored(sorted_out.mapInArrow(meet, POSTING_DDL))
+    sorted_out = rows.select("text").mapInArrow(tidy(postings), "bucket long, hot boolean, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "hot")
+    met = stored(sorted_out.mapInArrow(tidy(meet), POSTING_DDL))
     # an id with several texts stands for several classes, numbered by text
     numbered = F.row_number().over(Window.partitionBy("rep").orderBy("hi", "lo"))
     classes = stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")).withColumn("text_no", numbered))
@@ -536,9 +536,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
                             break
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        sets_sent = rows.join(asked, rows["id"] == asked["rep"]).select("names", "goes", "text").mapInArrow(send, "hub long, salt int, leaf long, grams binary")
+        sets_sent = rows.join(asked, rows["id"] == asked["rep"]).select("names", "goes", "text").mapInArrow(tidy(send), "hub long, salt int, leaf long, grams binary")
         # a hub's own sets come before its leaves'
-        return checkpointed(sets_sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("leaf").asc_nulls_first()).mapInArrow(check, "a long, b long").distinct())
+        return checkpointed(sets_sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("leaf").asc_nulls_first()).mapInArrow(tidy(check), "a long, b long").distinct())
 
     same_id = sets.where("n > 0").join(classes, ["hi", "lo"]).select("id", "rep")
     tied = same_id.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
@@ -635,7 +635,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             if found:
                 yield out()
 
-        return seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(across, "a long, b long, key long")
+        return seated.repartition(parts, "key", "host", "guest").sortWithinPartitions("key", "host", "guest", "visits").mapInArrow(tidy(across), "a long, b long, key long")
 
     comps = checkpointed(components(tied))
     turn, going = 1, None

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, texts_of, worker_slot
+from .common import crc_fold, texts_of, tidy, worker_slot
 
 SPAN = 40
 SYMBOLS = re.compile(r"[^\w\s]{2,}$|^[^\w\s]+$")
@@ -173,7 +173,7 @@ def features_of(rows: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.binary())], names=[*keep, "features"])
 
     ddl = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), "features binary"])
-    return rows.select(*keep, "text").mapInArrow(run, ddl)
+    return rows.select(*keep, "text").mapInArrow(tidy(run), ddl)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, held_fold: int, folds: int, sample_rows: int) -> Additive | None:
@@ -214,7 +214,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col), F.coalesce(crc_fold(id_col, folds) == held_fold, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_fold: int = 1, folds: int = 3, sample_rows: int = 10_000) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
                 scores = judge.score(np.array([statistics(t, cache) for t in texts_of(batch, text_col)]))
                 yield batch.filter(pa.array(scores >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, Powers, WordHashes, rolling, texts_of, unused
+from .common import SPACE, Powers, WordHashes, give_back, rolling, texts_of, tidy, unused
 
 #: windows that a map task holds at once, and those aimed at for a bucket
 FLUSH, BUCKET = 1_000_000, 1_000_000
@@ -281,8 +281,8 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
         if last := replies():
             yield as_batch(last)
 
-    sent = rows.mapInArrow(windows, ROW_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(compare, ROW_DDL).select("part", "kind", "keys", "who"), parts
+    sent = rows.mapInArrow(tidy(windows), ROW_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(tidy(compare), ROW_DDL).select("part", "kind", "keys", "who"), parts
 
 
 def cut_text(text: bytes, spans: np.ndarray) -> bytes:
@@ -338,9 +338,15 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
         names = [*kept, *(n for n, _ in added)]
         return pa.table([values[n] if n in values else rows.column(n) for n in names], names=names)
 
+    def cut_part(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        try:
+            return cut(rows, replies)
+        finally:
+            give_back()
+
     own_id = F.col(f"`{id_col}`").cast("long")
     placed = docs.withColumns({whole_id: own_id, part: part_column(own_id, F.col(f"`{text_col}`").cast("string"), parts)})
-    return placed.groupBy(part).cogroup(found.groupBy("part")).applyInArrow(cut, schema)
+    return placed.groupBy(part).cogroup(found.groupBy("part")).applyInArrow(cut_part, schema)
 
 
 SQL = r"""
