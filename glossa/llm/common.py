@@ -57,15 +57,20 @@ def release() -> None:
     worker_slot("", lambda: None)
 
 
-#: rows of texts that go to Python at once
-BATCH_ROWS = 1000
+#: rows of texts that go to Python at once, and their bytes (or one row)
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let at most BATCH_ROWS rows go to Python at once in this session: whole texts are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Let at most BATCH_ROWS rows, and BATCH_BYTES unless the session has a limit, go to Python at once in this session.
+
+    Whole texts are long rows and packed hashes longer ones: a batch stands in memory on both sides, beside the heap.
+    """
+    key, bytes_key = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    if bytes_key not in spark.conf.getAll:
+        spark.conf.set(bytes_key, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,7 +188,7 @@ def rolling(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
 
 
 #: bytes of text that are hashed at once
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

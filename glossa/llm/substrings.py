@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,9 @@ from .common import SPACE, Powers, WordHashes, give_back, rolling, texts_of, tid
 #: windows that a map task holds at once, and those aimed at for a bucket
 FLUSH, BUCKET = 1_000_000, 1_000_000
 
+#: bytes of packed rows that a task gives at once, and documents that are cut at once
+PACKED, SLICE = 1 << 20, 256
+
 #: rows between tasks; kind 0: hashes to compare, 1: word intervals already settled, with the digest of their text, 2: hashes settled by a bucket (1 and 2 for a part of the documents)
 ROW = [("bucket", pa.int32()), ("kind", pa.int8()), ("part", pa.int32()), ("keys", pa.binary()), ("who", pa.binary())]
 ROW_DDL = "bucket int, kind tinyint, part int, keys binary, who binary"
@@ -108,18 +112,22 @@ def unplanes(data: np.ndarray, n: int, kind, drop: int = 0) -> np.ndarray:
 
 
 def send(keys: np.ndarray, extra: np.ndarray, who: np.ndarray, names: np.ndarray, bits: int) -> Iterator[tuple]:
-    """Rows for hashes; who: an index into names, sorted by id, for each."""
-    drop, bucket = bits // 8, (keys >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((who, bucket))
-    keys, extra, who, bucket = keys[order], extra[order], who[order], bucket[order]
-    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)] if len(keys) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    """Rows for hashes; who: an index into names, sorted by id, for each.  Sorted hashes are not copied but a bucket at a time."""
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        keys, extra, who = keys[order], extra[order], who[order]
+    drop, a = bits // 8, 0
+    while a < len(keys):
+        bucket = int(keys[a]) >> (64 - bits)
+        b = int(np.searchsorted(keys, np.uint64(((bucket + 1) << (64 - bits)) - 1), side="right"))
+        order = a + np.argsort(who[a:b], kind="stable")
         own, counts = np.unique(who[a:b], return_counts=True)
         ids = names["id"][own]
         # gaps between ids, modulo 2**64, are short
         gaps = np.diff(ids.view(np.uint64), prepend=np.uint64(0))
         head = np.array([len(own), b - a], dtype=np.int64).tobytes()
-        yield int(bucket[a]), 0, 0, planes(keys[a:b], drop) + planes(extra[a:b]), head + planes(gaps) + names["tag"][own].tobytes() + planes(counts.astype(np.uint32))
+        yield bucket, 0, 0, planes(keys[order], drop) + planes(extra[order]), head + planes(gaps) + names["tag"][own].tobytes() + planes(counts.astype(np.uint32))
+        a = b
 
 
 def receive(bucket: int, keys: bytes, who: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,36 +165,62 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, ROW, strict=True)], names=[n for n, _ in ROW])
 
 
+def in_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about PACKED bytes, each made when it is asked for."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3]) + len(row[4])
+        if size >= PACKED:
+            yield as_batch(held)
+            held, size = [], 0
+    if held:
+        yield as_batch(held)
+
+
 def by_hash(keys: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by both hashes, and where in it a new one starts."""
     order = np.argsort(keys, kind="stable")
-    k, e = keys[order], extra[order]
+    k = keys[order]
     same = k[1:] == k[:-1]
-    if (same & (e[1:] != e[:-1])).any():
+    again = np.flatnonzero(same)
+    if (extra[order[again + 1]] != extra[order[again]]).any():
         order = np.lexsort((extra, keys))
         k, e = keys[order], extra[order]
         same = (k[1:] == k[:-1]) & (e[1:] == e[:-1])
     return order, np.r_[True, ~same] if len(k) else np.zeros(0, bool)
 
 
-def settle(names: np.ndarray, found: list[tuple], digests: list[np.ndarray], window: int, bits: int, parts: int) -> list[tuple]:
-    """Rows to send for the windows of some documents."""
+def settle(names: np.ndarray, found: list[tuple], digests: list[np.ndarray], window: int, bits: int, parts: int) -> Iterator[tuple]:
+    """Rows to send for the windows of some documents.
+
+    Arrays of all windows follow one another: what they take at once stands beside the executor's heap.
+    """
     by_id = np.lexsort((names["tag"], names["id"]))
     names = names[by_id]
     lengths = np.array([len(found[i][0]) for i in by_id])
     keys, extra = (np.concatenate([found[i][c] for i in by_id]) for c in (0, 1))
     found.clear()
-    doc = np.repeat(np.arange(len(by_id), dtype=np.int32), lengths)
-    place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
     order, first = by_hash(keys, extra)
-    keys, extra, doc, place = keys[order], extra[order], doc[order], place[order]
-    least = doc[first][np.cumsum(first) - 1]
-    late = names["id"][doc] > names["id"][least]
+    keys = keys[order]
+    extra = extra[order]
+    doc = np.repeat(np.arange(len(by_id), dtype=np.int32), lengths)[order]
+    place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])[order]
+    del order
+    rank = np.cumsum(np.r_[False, names["id"][1:] != names["id"][:-1]], dtype=np.int32)
+    late = rank[doc] > rank[doc[first]][np.cumsum(first, dtype=np.int32) - 1]
     # rows of one id are answered by tag
     tag = names["tag"][doc]
     sent = first | (~late & np.r_[True, tag[1:] != tag[:-1]]) if len(doc) else first
-    rows = list(send(keys[sent], extra[sent], doc[sent], names, bits))
-    doc, place = doc[late], place[late]
+    del first, tag
+    place, of_late = place[late], doc[late]
+    keys = keys[sent]
+    extra = extra[sent]
+    doc = doc[sent]
+    del sent, late
+    yield from send(keys, extra, doc, names, bits)
+    del keys, extra
+    doc = of_late
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     cuts = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)] if len(doc) else [0]
@@ -196,8 +230,7 @@ def settle(names: np.ndarray, found: list[tuple], digests: list[np.ndarray], win
         # rows that share an id have their own indices
         owners = np.repeat(names[doc[cuts[:-1]]], sizes)
         of = np.repeat(np.stack([digests[by_id[d]] for d in doc[cuts[:-1]]]), sizes, axis=0)
-        rows += addressed(owners, np.concatenate([of, np.concatenate(spans)], axis=1), 1, parts, bits)
-    return rows
+        yield from addressed(owners, np.concatenate([of, np.concatenate(spans)], axis=1), 1, parts, bits)
 
 
 def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -215,11 +248,11 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
         digests: list[np.ndarray] = []
         n = 0
 
-        def close() -> pa.RecordBatch:
-            out = as_batch(settle(np.array(names, dtype=NAME), held, digests, window, bits, parts))
+        def close() -> Iterator[pa.RecordBatch]:
+            yield from in_batches(settle(np.array(names, dtype=NAME), held, digests, window, bits, parts))
             names.clear()
             digests.clear()
-            return out
+            give_back()
 
         for batch in batches:
             text = batch.column("text").cast(pa.binary())
@@ -231,10 +264,10 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
                     digests.append(text_digest(own))
                     n += words.shape[1]
                 if n >= FLUSH:
-                    yield close()
+                    yield from close()
                     n = 0
         if n:
-            yield close()
+            yield from close()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -263,23 +296,24 @@ def removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
             return addressed(who[order], k[order], 2, parts, bits)
 
         for batch in batches:
-            settled = []
-            for b, kind, part, data, who in zip(*(batch.column(n).to_pylist() for n, _ in ROW), strict=True):
-                if kind:
-                    settled.append((0, kind, part, data, who))
+            passed = pc.not_equal(batch.column("kind"), 0)
+            if settled := pc.sum(passed).as_py():
+                yield batch.filter(passed)
+            # hashes are read where they lie in the batch
+            buckets, kinds, data_of, who_of = (batch.column(n) for n in ("bucket", "kind", "keys", "who"))
+            for i in range(batch.num_rows if (settled or 0) < batch.num_rows else 0):
+                if kinds[i].as_py():
                     continue
+                b, data, who = buckets[i].as_py(), data_of[i].as_buffer(), who_of[i].as_buffer()
                 if b != bucket and held:
                     close()
                     if sum(len(k) for _, k in out) > FLUSH:
-                        yield as_batch(replies())
+                        yield from in_batches(replies())
                 bucket = b
                 held.append(receive(b, data, who, bits))
-            if settled:
-                yield as_batch(settled)
         if held:
             close()
-        if last := replies():
-            yield as_batch(last)
+        yield from in_batches(replies())
 
     sent = rows.mapInArrow(tidy(windows), ROW_DDL).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(tidy(compare), ROW_DDL).select("part", "kind", "keys", "who"), parts
@@ -317,26 +351,29 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
         for kind, data, who in zip(*(replies.column(c).to_pylist() for c in ("kind", "keys", "who")), strict=True):
             for name, values in delivered(kind, data, who):
                 (settled if kind == 1 else keys).setdefault(name, []).append(values)
-        given = rows.column(text_col).cast(pa.string()).combine_chunks().cast(pa.binary())
-        texts, counts, gone, spans = [], [], [], []
-        for i, text, words in zip(rows.column(whole_id).to_pylist(), given, hashes.of_column(given), strict=True):
-            text = text.as_py()
-            name = (i, zlib.crc32(text or b"") & 255)
-            span = []
-            if name in settled and text:
-                own = text_digest(text)
-                span = [x[(x[:, :2] == own).all(1), 2:].astype(np.int64) for x in settled[name]]
-            if name in keys:
-                own = rolling(words, window, powers)
-                span.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys[name]))), window))
-            span = joined(np.concatenate(span)) if span else np.zeros((0, 2), dtype=np.int64)
-            texts.append(cut_text(text, span) if len(span) else text)
-            counts.append(len(words))
-            gone.append(int((span[:, 1] - span[:, 0]).sum()))
-            spans.append([{"start": a, "end": b} for a, b in span.tolist()])
-        values = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), **dict(zip((n for n, _ in added), (pa.array(x, k) for x, (_, k) in zip((counts, gone, spans), added, strict=True)), strict=True))}
-        names = [*kept, *(n for n, _ in added)]
-        return pa.table([values[n] if n in values else rows.column(n) for n in names], names=names)
+        done = []
+        for batch in rows.to_batches(max_chunksize=SLICE) or [pa.RecordBatch.from_pylist([], schema=rows.schema)]:
+            given = batch.column(text_col).cast(pa.string()).cast(pa.binary())
+            texts, counts, gone, spans = [], [], [], []
+            for i, text, words in zip(batch.column(whole_id).to_pylist(), given, hashes.of_column(given), strict=True):
+                text = text.as_py()
+                name = (i, zlib.crc32(text or b"") & 255)
+                span = []
+                if name in settled and text:
+                    own = text_digest(text)
+                    span = [x[(x[:, :2] == own).all(1), 2:].astype(np.int64) for x in settled[name]]
+                if name in keys:
+                    own = rolling(words, window, powers)
+                    span.append(intervals(np.flatnonzero(np.isin(own, np.concatenate(keys[name]))), window))
+                span = joined(np.concatenate(span)) if span else np.zeros((0, 2), dtype=np.int64)
+                texts.append(cut_text(text, span) if len(span) else text)
+                counts.append(len(words))
+                gone.append(int((span[:, 1] - span[:, 0]).sum()))
+                spans.append([{"start": a, "end": b} for a, b in span.tolist()])
+            values = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), **dict(zip((n for n, _ in added), (pa.array(x, k) for x, (_, k) in zip((counts, gone, spans), added, strict=True)), strict=True))}
+            names = [*kept, *(n for n, _ in added)]
+            done.append(pa.RecordBatch.from_arrays([values[n] if n in values else batch.column(n) for n in names], names=names))
+        return pa.Table.from_batches(done)
 
     def cut_part(rows: pa.Table, replies: pa.Table) -> pa.Table:
         try:
