@@ -22,12 +22,13 @@ def judgment_level(text: Column) -> Column:
 
 def doc_type(page: Column) -> Column:
     """judgment, interpretation, book, law or unknown, from the text of the first page."""
-    lines = F.split(page, LINE_ENDS)
-    any_line = lambda test: F.exists(lines, test)
-    return (
-        F.when(any_line(lambda x: rx.starts(x, rx.JUDGMENT_TITLE)), "judgment")
+    # each line is looked at once: 3 a judgment's title, 2 a book's heading, 1 any level's
+    of_line = lambda x: F.when(rx.starts(x, rx.JUDGMENT_TITLE), 3).when(rx.starts(x, f"{rx.PREFACE}|{rx.APPENDIX}"), 2).when(rx.starts(x, "|".join(p for _, p in rx.LEVEL_RULES)), 1).otherwise(0)
+    kind = lambda most: (
+        F.when(most == 3, "judgment")
         .when(rx.has(page, rx.INTERPRETATION), "interpretation")
-        .when(any_line(lambda x: rx.starts(x, rx.PREFACE) | rx.starts(x, rx.APPENDIX)) | rx.has(page, rx.PUBLISHER) | rx.has(page, rx.ISBN), "book")
-        .when(any_line(lambda x: line_level(x) != ""), "law")
+        .when((most == 2) | rx.has(page, rx.PUBLISHER) | rx.has(page, rx.ISBN), "book")
+        .when(most == 1, "law")
         .otherwise("unknown")
     )
+    return F.transform(F.array(F.array_max(F.transform(F.split(page, LINE_ENDS), of_line))), kind)[0]

@@ -20,7 +20,7 @@ def first_page(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     ``docs`` (doc_id) that has no line at all; their page is empty.
     """
     own = F.when(F.col("page_num") == 1, F.struct("line_no", "text", F.coalesce("font_size", F.lit(0.0)).alias("font_size")))
-    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("lines"))
+    rows = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(own)).alias("lines"))
     if docs is not None:
         rows = docs.select("doc_id").distinct().join(rows.hint("merge"), "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType)))
     return rows.withColumn("page", F.array_join("lines.text", "\n"))

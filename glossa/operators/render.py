@@ -6,27 +6,39 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..functions.text import full_text, heading_level, law_references, reference_link
 from .tree import leaf_path
 
 
+def yaml_scalar(value: str) -> str:
+    """A value as PyYAML writes it by itself, end mark and all: in a plain or a quoted style, never a block."""
+    import yaml
+
+    return yaml.safe_dump(value, allow_unicode=True).strip() if value else json.dumps(value)
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
 def yaml_scalars(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Arrays of values as PyYAML writes each by itself, end mark and all; nulls are left.
+    """``yaml_scalar`` of arrays' values; nulls are left."""
+    for batch in values:
+        written = {v: yaml_scalar(v) for row in batch for v in row if v is not None}
+        yield pd.Series([[written.get(v) for v in row] for row in batch])
 
-    PyYAML chooses a plain or a quoted style, never a block.  Distinct values of a
-    batch are written once, all in one trip to Python.
-    """
-    import yaml
 
+@arrow_udf(T.ArrayType(T.StringType()))
+def yaml_lists(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same without a Python object a row: distinct values of a batch are written once, all in one trip to Python."""
     for batch in values:
-        written = {v: yaml.safe_dump(v, allow_unicode=True).strip() if v else json.dumps(v) for row in batch for v in row if v is not None}
-        yield pd.Series([[written.get(v) for v in row] for row in batch])
+        coded = batch.flatten().dictionary_encode()
+        written = pa.array([yaml_scalar(v) for v in coded.dictionary.to_pylist()], coded.dictionary.type)
+        yield type(batch).from_arrays(pc.subtract(batch.offsets, batch.offsets[0]), written.take(coded.indices))
 
 
 def lines_of(*parts: Column) -> Column:
@@ -42,7 +54,7 @@ EXTRA_HEADER = {
 }
 
 
-def headers(meta: DataFrame, quote=yaml_scalars) -> DataFrame:
+def headers(meta: DataFrame, quote=yaml_lists) -> DataFrame:
     """doc_id, header: the block of metadata at the top, with a line end."""
     fields = [(label, F.nullif(F.col(c), F.lit(""))) for label, c in HEADER]
     plain = len(fields)
@@ -75,15 +87,19 @@ def node_blocks(nodes: DataFrame, anchors: bool = True) -> DataFrame:
 
 def bodies(nodes: DataFrame, *, toc: bool = False, anchors: bool = True) -> DataFrame:
     """doc_id, body: blocks in reading order, after a table of contents if asked for."""
-    rows = node_blocks(nodes, anchors).where("block <> ''" if not toc else "true")
+    rows = node_blocks(nodes, anchors)
     entry = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("title"))
-    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", "leaf_no", "block", entry.alias("entry")))).alias("parts"))
+    # no filter on blocks before the grouping: it would make each block twice
+    part = F.struct("node_pos", "leaf_no", "block", entry.alias("entry")) if toc else F.when(F.col("block") != "", F.struct("node_pos", "leaf_no", "block"))
+    parts = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(part)).alias("parts")).where(F.size("parts") > 0)
+    if not toc:
+        return parts.select("doc_id", F.array_join("parts.block", "\n").alias("body"))
     body = F.array_join(F.filter(F.col("parts.block"), lambda b: b != ""), "\n")
     contents = lines_of(F.lit("## 目录\n"), F.array_join("parts.entry", "\n"), F.lit(""), F.lit("---"), F.lit(""))
-    return parts.select("doc_id", (lines_of(contents, body) if toc else body).alias("body"))
+    return parts.select("doc_id", lines_of(contents, body).alias("body"))
 
 
-def markdown(nodes: DataFrame, meta: DataFrame, *, toc: bool = False, anchors: bool = True, quote=yaml_scalars) -> DataFrame:
+def markdown(nodes: DataFrame, meta: DataFrame, *, toc: bool = False, anchors: bool = True, quote=yaml_lists) -> DataFrame:
     """doc_id, content."""
     empty = lines_of(F.lit("## 目录\n"), F.lit(""), F.lit("---"), F.lit("")) if toc else F.lit(None).cast("string")
     return headers(meta, quote).join(bodies(nodes, toc=toc, anchors=anchors).hint("merge"), "doc_id", "left").select("doc_id", lines_of(F.col("header"), F.coalesce("body", empty)).alias("content"))

@@ -1,12 +1,14 @@
 """The hierarchy of nodes: parents, repeated headings, paths, leaves.
 
 Levels have orders 1 to 4, so a node has at most three ancestors and no
-recursion is needed.  A parent and its children are brought together by
-``family``: a window over the parent's place, all on one exchange by document.
+recursion is needed.  All windows are over whole documents in reading order or
+against it, on one exchange by document and three sorts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,41 +28,42 @@ def parents(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("above", above).withColumn("parent_pos", F.col("above.at")).withColumn("parent_order", F.col("above.of")).drop("above", "last1", "last2", "last3")
 
 
-def family(order: int) -> tuple[Column, Column]:
-    """For nodes of an order: the place that a node shares with its children, and whether a row is the child."""
-    child = F.coalesce(F.col("parent_order") == order, F.lit(False))
-    return F.when(child, F.col("parent_pos")).when(F.col("sort_order") == order, F.col("node_pos")).otherwise(-F.col("node_pos")), child
-
-
 def drop_repeated_headings(rows: DataFrame) -> DataFrame:
     """Without nodes that the next sibling repeats (same title and level) while they hold nothing, and all below them.
 
-    ``rows`` as of ``parents``; hierarchy_path is added.
+    ``rows`` as of ``parents``; hierarchy_path is added.  Of the nodes that follow
+    and hang below a node of some order (0: below none), the nearest is a child or
+    a sibling if there is any.
     """
-    siblings = Window.partitionBy("doc_id", "parent_pos").orderBy("node_pos")
-    follows = F.lead(F.struct("title", "level")).over(siblings)
-    rows = rows.withColumn("repeated", F.coalesce(follows == F.struct("title", "level"), F.lit(False)))
-    rows = rows.withColumn("filled", (F.col("text") != "") | (F.size("leaves") > 0)).withColumn("gone", F.col("repeated") & ~F.col("filled") & (F.col("sort_order") == 4)).withColumn("has_nodes", F.lit(False))
+    back = Window.partitionBy("doc_id").orderBy(F.desc("node_pos")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("doc_id").orderBy("node_pos").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = lambda on, value, window: F.last(F.when(on, value), ignorenulls=True).over(window)
+    of = lambda k: F.coalesce("parent_order", F.lit(0)) == k
+    own = lambda k: F.col("sort_order") == k
+    said = F.struct("title", "level")
+    rows = rows.select("*", *(nearest(of(k), F.struct("parent_pos", said.alias("said")), back).alias(f"next{k}") for k in (0, *ORDERS[:-1])))
+    sibling = reduce(lambda c, k: c.when(of(k), F.col(f"next{k}")), ORDERS[:-1], F.when(of(0), F.col("next0")))
+    rows = rows.withColumn("sibling", sibling)
+    repeated = F.col("sibling.parent_pos").eqNullSafe(F.col("parent_pos")) & (F.col("sibling.said") == said)
+    rows = rows.withColumn("filled", (F.col("text") != "") | (F.size("leaves") > 0)).withColumn("hollow", F.coalesce(repeated, F.lit(False)) & ~F.col("filled"))
+    nodes = reduce(lambda c, k: c.when(own(k), F.col(f"next{k}.parent_pos") == F.col("node_pos")), ORDERS[1:-1], F.when(own(1), F.col("next1.parent_pos") == F.col("node_pos")))
+    rows = rows.withColumn("has_nodes", F.coalesce(nodes, F.lit(False))).withColumn("gone", F.col("hollow") & own(4)).drop(*(f"next{k}" for k in (0, *ORDERS[:-1])), "sibling")
     # bottom up: a child that stays counts if it has text, leaves or nodes
     for k in (3, 2, 1):
-        place, child = family(k)
-        rows = rows.withColumn("place", place).withColumn("child", child)
-        kin = Window.partitionBy("doc_id", "place")
-        own = F.col("sort_order") == k
-        holds = F.coalesce(F.max(F.when(F.col("child") & ~F.col("gone"), F.col("filled") | F.col("has_nodes"))).over(kin), F.lit(False))
-        nodes = F.coalesce(F.max(F.col("child")).over(kin), F.lit(False))
-        rows = rows.withColumn("holds", holds).withColumn("nodes", nodes)
-        rows = rows.withColumn("has_nodes", F.when(own, F.col("nodes")).otherwise(F.col("has_nodes"))).withColumn("gone", F.when(own, F.col("repeated") & ~F.col("filled") & ~F.col("holds")).otherwise(F.col("gone")))
-    rows = rows.withColumn("hierarchy_path", F.array("title"))
+        stays = of(k) & ~F.col("gone") & (F.col("filled") | F.col("has_nodes"))
+        rows = rows.withColumn("held", nearest(stays, F.col("parent_pos"), back))
+        holds = F.coalesce(F.col("held") == F.col("node_pos"), F.lit(False))
+        rows = rows.withColumn("gone", F.when(own(k), F.col("hollow") & ~holds).otherwise(F.col("gone")))
     # top down: what hangs below a dropped node goes too
-    for k in (1, 2, 3):
-        place, child = family(k)
-        rows = rows.withColumn("place", place).withColumn("child", child)
-        kin = Window.partitionBy("doc_id", "place")
-        above = F.max(F.when(~F.col("child"), F.struct("gone", "hierarchy_path"))).over(kin)
-        rows = rows.withColumn("up", F.when(F.col("child"), above))
-        rows = rows.withColumn("gone", F.col("gone") | F.coalesce("up.gone", F.lit(False))).withColumn("hierarchy_path", F.when(F.col("child"), F.concat("up.hierarchy_path", F.array("title"))).otherwise(F.col("hierarchy_path")))
-    return rows.where(~F.col("gone")).drop("repeated", "filled", "gone", "has_nodes", "place", "child", "holds", "nodes", "up")
+    rows = rows.select("*", *(nearest(own(k), F.struct("node_pos", "gone", "title"), before).alias(f"last{k}") for k in ORDERS[:-1]))
+    gone, path = F.col("gone"), F.array().cast("array<string>")
+    for k in ORDERS[:-1]:
+        # the last node of an order is above this one unless one of a smaller order came between
+        open_yet = reduce(lambda c, j: c & F.coalesce(F.col(f"last{j}.node_pos") < F.col(f"last{k}.node_pos"), F.lit(True)), range(1, k), F.col(f"last{k}").isNotNull())
+        above = F.col("sort_order").isin(*ORDERS[k:]) & open_yet
+        gone, path = gone | (above & F.coalesce(F.col(f"last{k}.gone"), F.lit(False))), F.concat(path, F.when(above, F.array(f"last{k}.title")).otherwise(F.array().cast("array<string>")))
+    rows = rows.where(~gone).withColumn("hierarchy_path", F.concat(path, F.array("title")))
+    return rows.drop("filled", "hollow", "gone", "has_nodes", "held", *(f"last{k}" for k in ORDERS[:-1]))
 
 
 def build(nodes: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ class Options:
     anchors: bool = True
     #: store metadata and annotated lines in the checkpoint folder, each of which more than one step reads
     store: bool = False
+    #: of the results only one is wanted, so annotated lines are read once and never stored
+    single: bool = False
 
 
 @dataclass
@@ -26,6 +28,8 @@ class Structured:
     """Lazy results; nothing is computed until one of them is used."""
 
     meta: DataFrame
+    #: metadata without the lines before the first node, which no header shows
+    heads: DataFrame
     annotated: DataFrame
     tree: DataFrame
     nodes: DataFrame
@@ -38,7 +42,7 @@ class Structured:
         shared.discard(*self.stored)
 
     def markdown(self) -> DataFrame:
-        return render.markdown(self.nodes, self.meta, toc=self.options.toc, anchors=self.options.anchors)
+        return render.markdown(self.nodes, self.heads, toc=self.options.toc, anchors=self.options.anchors)
 
     def json(self) -> DataFrame:
         return render.documents_json(self.tree, self.meta)
@@ -59,16 +63,21 @@ def structure(lines: DataFrame, rules: Rules | None = None, options: Options | N
     rules, options = rules or Rules(), options or Options()
     if docs is None and options.max_pages is not None:
         docs = lines.select("doc_id")
-    lines = clean.normalize_lines(ocr.first_pages(lines, options.max_pages), rules)
-    meta = metadata.metadata(lines, source, docs)
-    tables = []
-    if options.store:
-        tables.append(shared.stored(meta))
-        meta = shared.dealt(tables[-1], "doc_id")
-    kept = clean.filter_lines(lines, rules) if options.filter_lines else lines
-    annotated = segment.annotate(kept, meta.select("doc_id", "doc_type"))
+    lines = ocr.first_pages(lines, options.max_pages)
+    heads = meta = metadata.metadata(clean.normalize_lines(lines, rules), source, docs)
+    tables, books = [], True
     if options.store:
+        heads = shared.stored(meta)
+        tables.append(heads)
+        meta, books = shared.dealt(heads, "doc_id"), not heads.where("doc_type = 'book'").isEmpty()
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        rows = clean.normalize_lines(rows, rules)
+        return clean.filter_lines(rows, rules) if options.filter_lines else rows
+
+    annotated = segment.annotate(lines, meta.select("doc_id", "doc_type"), cleaned, books)
+    if options.store and not options.single:
         tables.append(shared.stored(annotated))
         annotated = shared.dealt(tables[-1], "doc_id")
     built = tree.build(segment.nodes_of(annotated))
-    return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), annotated, built, tree.all_nodes(built), options, tuple(tables))
+    return Structured(metadata.with_preamble(meta, segment.preambles(annotated)), heads, annotated, built, tree.all_nodes(built), options, tuple(tables))

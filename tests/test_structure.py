@@ -2,6 +2,7 @@ import json
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,52 @@ def test_what_there_is_of_each_document_is_not_broadcast(spark):
     assert {r.doc_id for r in done.markdown().collect()} == {f"D{i}" for i in range(20)}
     assert len(stored) == 2
     done.discard()
+
+
+def plan_of(df, step="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), step)().toString()
+
+
+def test_each_line_is_cleaned_once(spark):
+    given = lines(spark, {"a": ["第一章 总则", "第一条 甲。"], "b": ["前言", "正文"]})
+    # once among books and once among all others; a filter that takes the text's making along would do it again
+    for some, times in ((given, 2), (given.where("doc_id = 'a'"), 1)):
+        done = structure(some, options=Options(store=True, single=True))
+        assert plan_of(done.annotated).count("translate(") == times == 1 + plan_of(done.annotated).count("fold_book(")
+    assert done.markdown().count() == 1 and len(done.stored) == 1
+    done.discard()
+
+
+def test_a_single_result_with_and_without_books(spark):
+    docs = {k: v for kind in ("law", "judgment", "book") for k, v in random_docs(kind, 30, 3).items()}
+    for given in (docs | {"B": ["前言", "正文"]}, {"L": ["第一条 甲。"]}):
+        plain, single = (structure(lines(spark, given), options=o).markdown().collect() for o in (Options(), Options(store=True, single=True)))
+        assert sorted(map(tuple, plain)) == sorted(map(tuple, single)) and len(single) == len(given)
+
+
+def test_a_tree_takes_three_sorts_and_a_block_is_made_once(spark):
+    nodes = segment.nodes_of(segment.by_windows(segment.classified(lines(spark, {"a": ["第一条 甲。"]}), "law")))
+    built = tree.build(nodes)
+    sorts = [plan_of(df, "sparkPlan").count("Window [") for df in (nodes, built)]
+    assert sorts[1] - sorts[0] <= 6
+    plans = [plan_of(df, "executedPlan").split("== Initial Plan ==")[-1].count("Sort [") for df in (nodes, built)]
+    assert plans[1] - plans[0] == 3
+    assert plan_of(render.bodies(tree.all_nodes(built))).count("引用: ") == 1
+
+
+def test_headings_that_repeat_go_with_what_is_below(spark):
+    given = {"a": ["第一编 总则", "第一章 甲", "第一节 丙", "第一条 乙", "第一章 甲", "第一节 丙", "第一节 丙", "第一条 乙", "第一条 乙", "正文", "第一编 总则"], "b": ["第一章 甲", "第一章 甲", "第一章 甲"], "c": ["第一条 乙", "第一章 甲", "第一条 乙", "第一章 甲"]}
+    annotated = segment.annotate(lines(spark, given), spark.createDataFrame([(d, "law") for d in given], "doc_id string, doc_type string"))
+    got = {}
+    for r in tree.build(segment.nodes_of(annotated)).collect():
+        got.setdefault(r.doc_id, {})[r.node_pos] = tuple(r.hierarchy_path)
+    for doc, texts in given.items():
+        nodes, _ = model.nodes_of([(n, x, 72, 12, False) for n, x in enumerate(texts, 1)], "law")
+        assert got[doc] == {n.pos: path for n, path in model.walk(model.build(nodes))}, doc
+
+
+def test_yaml_lists_are_the_scalars():
+    values = [["", "a: b", None], ["x", "one\ntwo", "a: b"], [None], [], ["是", "1", "null", "第一条 甲"]]
+    for given in (pa.array(values), pa.array(values)[1:4], pa.array([], pa.list_(pa.string()))):
+        (found,) = render.yaml_lists.func(iter([given]))
+        assert found.to_pylist() == list(next(render.yaml_scalars.func(iter([pd.Series(given.to_pylist(), dtype=object)]))))
