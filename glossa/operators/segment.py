@@ -59,7 +59,7 @@ def by_windows(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("title", title).withColumn("sub", sub & ~title)
     started = F.coalesce(F.max(F.col("title") | F.col("sub")).over(before), F.lit(False))
     said = last(~F.col("title") & ~F.col("sub"), F.col("pos")).over(before)
-    rows = rows.withColumn("started", started).withColumn("said", said).withColumn("last_sub", last(F.col("sub"), F.col("pos")).over(upto))
+    rows = rows.withColumns({"started": started, "said": said, "last_sub": last(F.col("sub"), F.col("pos")).over(upto)})
     rows = rows.withColumn("opens", F.col("title") | (F.col("sub") & ~F.col("started")))
     opened = F.when(F.col("sub"), "article").otherwise(F.when(F.col("judged") != "", F.col("judged")).otherwise(F.col("line_level")))
     rows = rows.withColumn("opened", F.when(F.col("opens"), opened))

@@ -41,17 +41,20 @@ def drop_repeated_headings(rows: DataFrame) -> DataFrame:
     of = lambda k: F.coalesce("parent_order", F.lit(0)) == k
     own = lambda k: F.col("sort_order") == k
     said = F.struct("title", "level")
-    rows = rows.select("*", *(nearest(of(k), F.struct("parent_pos", said.alias("said")), back).alias(f"next{k}") for k in (0, *ORDERS[:-1])))
+    rows = rows.withColumn("filled", (F.col("text") != "") | (F.size("leaves") > 0))
+    # below order 3 there are no nodes, so what stays there is what is filled
+    rows = rows.select("*", *(nearest(of(k), F.struct("parent_pos", said.alias("said")), back).alias(f"next{k}") for k in (0, *ORDERS[:-1])), nearest(of(3) & F.col("filled"), F.col("parent_pos"), back).alias("held"))
     sibling = reduce(lambda c, k: c.when(of(k), F.col(f"next{k}")), ORDERS[:-1], F.when(of(0), F.col("next0")))
     rows = rows.withColumn("sibling", sibling)
     repeated = F.col("sibling.parent_pos").eqNullSafe(F.col("parent_pos")) & (F.col("sibling.said") == said)
-    rows = rows.withColumn("filled", (F.col("text") != "") | (F.size("leaves") > 0)).withColumn("hollow", F.coalesce(repeated, F.lit(False)) & ~F.col("filled"))
+    rows = rows.withColumn("hollow", F.coalesce(repeated, F.lit(False)) & ~F.col("filled"))
     nodes = reduce(lambda c, k: c.when(own(k), F.col(f"next{k}.parent_pos") == F.col("node_pos")), ORDERS[1:-1], F.when(own(1), F.col("next1.parent_pos") == F.col("node_pos")))
     rows = rows.withColumn("has_nodes", F.coalesce(nodes, F.lit(False))).withColumn("gone", F.col("hollow") & own(4)).drop(*(f"next{k}" for k in (0, *ORDERS[:-1])), "sibling")
     # bottom up: a child that stays counts if it has text, leaves or nodes
     for k in (3, 2, 1):
-        stays = of(k) & ~F.col("gone") & (F.col("filled") | F.col("has_nodes"))
-        rows = rows.withColumn("held", nearest(stays, F.col("parent_pos"), back))
+        if k < 3:
+            stays = of(k) & ~F.col("gone") & (F.col("filled") | F.col("has_nodes"))
+            rows = rows.withColumn("held", nearest(stays, F.col("parent_pos"), back))
         holds = F.coalesce(F.col("held") == F.col("node_pos"), F.lit(False))
         rows = rows.withColumn("gone", F.when(own(k), F.col("hollow") & ~holds).otherwise(F.col("gone")))
     # top down: what hangs below a dropped node goes too

@@ -257,7 +257,7 @@ def test_a_tree_takes_three_sorts_and_a_block_is_made_once(spark):
     nodes = segment.nodes_of(segment.by_windows(segment.classified(lines(spark, {"a": ["第一条 甲。"]}), "law")))
     built = tree.build(nodes)
     sorts = [plan_of(df, "sparkPlan").count("Window [") for df in (nodes, built)]
-    assert sorts[1] - sorts[0] <= 6
+    assert sorts[1] - sorts[0] <= 5
     plans = [plan_of(df, "executedPlan").split("== Initial Plan ==")[-1].count("Sort [") for df in (nodes, built)]
     assert plans[1] - plans[0] == 3
     assert plan_of(render.bodies(tree.all_nodes(built))).count("引用: ") == 1
